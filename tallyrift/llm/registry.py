@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, sharding, urlfilter
+from . import packing, pii, sharding, urlfilter
 
 #: The rules of op1.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -56,8 +56,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op3_sharding": op3_sharding, "op4_pii": op4_pii}
+    return {"op1_url_filters": op1_url_filters, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, sharding, topk, urlfilter
+from . import packing, pii, sharding, topk, urlfilter, vectordup
 
 #: The rules of op1.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -78,13 +78,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+OP6_SQL = """
+with recursive e as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select vec_id, v, sqrt(list_inner_product(v, v)) as len from e where list_inner_product(v, v) > 0),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id
+      where list_inner_product(a.v, b.v) / (a.len * b.len) >= 0.9),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join l on r.b = l.a)
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links,
+  (select min(b) from reach r where r.a = vec_id) as component_id,
+  vec_id = (select min(b) from reach r where r.a = vec_id) as kept from embeddings
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op7_packing": op7_packing}
+    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, sharding, topk, urlfilter, vectordup
+from . import jaccardjoin, packing, pii, sharding, topk, urlfilter, vectordup
 
 #: The rules of op1.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -100,8 +100,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.jaccard_links(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing}
+    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccardjoin, packing, pii, sharding, topk, urlfilter, vectordup
+from . import jaccardjoin, packing, pii, sharding, topk, toxicity, urlfilter, vectordup
 
 #: The rules of op1.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -78,6 +78,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+TOXIC_FROM = 0.7
+
+
+def fold(parts: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
+
+
+def toxic_trains() -> Column:
+    """Which labels may be learned from."""
+    return fold(3) != 1
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxic_trains())
+    return found.select("doc_id", (~toxic_trains()).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "evidence")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -105,7 +122,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,8 +6,9 @@ distance. So each block is joined by range under that budget, and a pair found i
 whole vectors; of the blocks that find it, the first counts it.
 
 The range join of a block goes by strips of its first coordinate, twice the range wide: a row lives in
-its own strip and visits a neighbour that it is in range of. A strip of many rows is cut into slices,
-and each pair of slices is one task, so none holds more than ``HOME_ROWS`` and ``VISIT_ROWS`` rows.
+its own strip and visits the one before if it is in range of that. Each row looks for rows that follow
+it on that line only, so a pair meets once. A strip of many rows is cut into slices, and each pair of
+slices is one task, so none holds more than ``HOME_ROWS`` and ``VISIT_ROWS`` rows.
 
 Equal vectors are one class, joined once, however many there are. Vectors that are null, zero or hold
 null or non-finite components link with nothing, nor do those of another length than most. Rows that
@@ -56,48 +57,42 @@ def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def links_in_cell(home: np.ndarray, visit: np.ndarray, home_id: np.ndarray, visit_id: np.ndarray, weight: np.ndarray, block: int, blocks: int, least: float, chunk: int = 128):
-    """Of the links of ``home`` rows that ``block`` is the first to find: the number for each, and their forest.
-
-    Returns (links by home row, roots), the roots over the rows of home, then those of visit.
-    """
+def links_in_cell(
+    home: np.ndarray, visit: np.ndarray, home_line: np.ndarray, visit_line: np.ndarray, home_id: np.ndarray, visit_id: np.ndarray,
+    block: int, blocks: int, least: float, chunk: int = 128,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The links (home row, visiting row) of rows that follow on the line, if ``block`` is the first to find them."""
     turn = rotation(home.shape[1])
     unit = lambda x: x / np.sqrt((x**2).sum(1))[:, None]
     h, v = unit(home), unit(visit)
-    hr, vr = h @ turn, v @ turn
     edges = np.linspace(0, home.shape[1], blocks + 1).astype(int)
     lo, hi = edges[block], edges[block + 1]
     budget = (2 - 2 * least) / blocks * (1 + 1e-9) + 1e-12
-    reach = np.sqrt(budget)
-    order = np.argsort(vr[:, lo])
-    line = vr[order, lo]
-    small_v = vr[order, lo:hi].astype(np.float32)
-    small_h = hr[:, lo:hi].astype(np.float32)
+    reach = np.sqrt(budget) * (1 + 1e-9)
+    order, at_home = np.argsort(visit_line), np.argsort(home_line)
+    line = visit_line[order]
+    small_v, small_h = (v[order] @ turn[:, lo:hi]).astype(np.float32), (h @ turn[:, lo:hi]).astype(np.float32)
     sq_v, sq_h = (small_v**2).sum(1), (small_h**2).sum(1)
-    count = np.zeros(len(h), np.int64)
-    parent = np.arange(len(h) + len(v))
-    at_home = np.argsort(hr[:, lo])
+    first_out, second_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(h), chunk):
         own = at_home[at : at + chunk]
-        first, last = np.searchsorted(line, hr[own[0], lo] - reach), np.searchsorted(line, hr[own[-1], lo] + reach, "right")
-        apart = small_h[own] @ small_v[first:last].T
-        near = sq_h[own, None] + sq_v[None, first:last] - 2 * apart <= budget + 1e-4
+        first, last = np.searchsorted(line, home_line[own[0]]), np.searchsorted(line, home_line[own[-1]] + reach, "right")
+        # Half of (sum of squares - budget) against the product: one pass less over the matrix.
+        near = small_h[own] @ small_v[first:last].T >= (sq_h[own, None] - np.float32(budget + 1e-4)) / 2 + sq_v[None, first:last] / 2
         i, j = np.nonzero(near)
         i, j = own[i], order[first + j]
         for k in range(0, len(i), 1 << 17):
             a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-            other = home_id[a] != visit_id[b]
-            a, b = a[other], b[other]
+            after = (visit_line[b] > home_line[a]) | ((visit_line[b] == home_line[a]) & (visit_id[b] > home_id[a]))
+            a, b = a[after], b[after]
             true = np.einsum("ij,ij->i", h[a], v[b]) >= least
             a, b = a[true], b[true]
-            if not len(a):
-                continue
-            subs = np.add.reduceat((hr[a] - vr[b]) ** 2, edges[:-1], axis=1)
-            mine = (subs <= budget).argmax(1) == block
-            a, b = a[mine], b[mine]
-            np.add.at(count, a, weight[b])
-            union(parent, a, len(h) + b)
-    return count, parent
+            if len(a):
+                subs = np.add.reduceat(np.einsum("ij,jk->ik", h[a] - v[b], turn) ** 2, edges[:-1], axis=1)
+                mine = (subs <= budget).argmax(1) == block
+                first_out.append(a[mine])
+                second_out.append(b[mine])
+    return np.concatenate(first_out), np.concatenate(second_out)
 
 
 def near_duplicates(
@@ -131,19 +126,17 @@ def near_duplicates(
                 firsts = (x / np.sqrt((x**2).sum(1))[:, None]) @ turn[:, edges]
                 for b in range(blocks):
                     strip = np.floor(firsts[:, b] / wide).astype(np.int64)
-                    place = firsts[:, b] - strip * wide
-                    for step, there in ((0, None), (-1, place <= wide / 2 * (1 + 1e-9)), (1, place >= wide / 2 * (1 - 1e-9))):
-                        took = np.arange(len(x)) if there is None else np.flatnonzero(there)
-                        pick = batch.take(pa.array(took))
+                    guests = np.flatnonzero(firsts[:, b] - strip * wide <= wide / 2 * (1 + 1e-6))
+                    for step, took in ((0, np.arange(len(x))), (-1, guests)):
                         n = len(took)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, b, np.int32)), pa.array(strip[took] + step), pa.array(np.full(n, step == 0)), *pick.columns],
-                            ["block", "strip", "home", "v", "cls", "weight"],
+                            [pa.array(np.full(n, b, np.int32)), pa.array(strip[took] + step), pa.array(np.full(n, step == 0)), pa.array(firsts[took, b]), *batch.take(pa.array(took)).columns],
+                            ["block", "strip", "home", "line", "v", "cls", "weight"],
                         )
 
     kind = next(t for n, t in classes.dtypes if n == "v")
     dealt = stash(
-        classes.select("v", "cls", "weight").mapInArrow(deal, f"block int, strip bigint, home boolean, v {kind}, cls bigint, weight bigint"), "strips"
+        classes.select("v", "cls", "weight").mapInArrow(deal, f"block int, strip bigint, home boolean, line double, v {kind}, cls bigint, weight bigint"), "strips"
     )
     sums = dealt.groupBy("block", "strip").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("homes > 0")
     sums = sums.select(
@@ -152,26 +145,25 @@ def near_duplicates(
     cut = dealt.join(sums, ["block", "strip"])
     slice_of = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = cut.where("home").select("block", "strip", slice_of("hs", 1).alias("h"), every("vs").alias("w"), "v", "cls")
-    same = [F.col(c).alias(c) for c in ("block", "strip", "v", "cls", "weight")]  # columns of their own, for the cogroup
+    home = cut.where("home").select("block", "strip", slice_of("hs", 1).alias("h"), every("vs").alias("w"), "line", "v", "cls", "weight")
+    same = [F.col(c).alias(c) for c in ("block", "strip", "line", "v", "cls", "weight")]  # columns of their own, for the cogroup
     visit = cut.select(*same, every("hs").alias("h"), slice_of("vs", 2).alias("w"))
 
     def cell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"cls": pa.int64(), "links": pa.int64(), "up": pa.int64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-        a, b = left.column("cls").to_numpy(), right.column("cls").to_numpy()
-        count, parent = links_in_cell(
-            _matrix(left.column("v"), dim), _matrix(right.column("v"), dim), a, b, right.column("weight").to_numpy(), key[0].as_py(), blocks, least
-        )
-        ids = np.concatenate([a, b])
-        tied = np.flatnonzero(parent != np.arange(len(parent)))
-        counted = np.flatnonzero(count)
-        return pa.table({
-            "cls": pa.array(np.concatenate([a[counted], ids[tied]])),
-            "links": pa.array(np.concatenate([count[counted], np.zeros(len(tied), np.int64)])),
-            "up": pa.array(np.concatenate([a[counted], ids[parent[tied]]])),
-        })
+        of = lambda c: (left.column(c).to_numpy(), right.column(c).to_numpy())
+        (a, b), (la, lb), (wa, wb) = of("cls"), of("line"), of("weight")
+        i, j = links_in_cell(_matrix(left.column("v"), dim), _matrix(right.column("v"), dim), la, lb, a, b, key[0].as_py(), blocks, least)
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        count, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        i, j, n = place[i], place[len(a) + j], (wa[i], wb[j])
+        np.add.at(count, i, n[1])
+        np.add.at(count, j, n[0])
+        union(parent, i, j)
+        some = np.flatnonzero(count)
+        return pa.table({"cls": pa.array(ids[some]), "links": pa.array(count[some]), "up": pa.array(ids[parent[some]])})
 
     by = ["block", "strip", "h", "w"]
     found = stash(home.groupBy(*by).cogroup(visit.groupBy(*by)).applyInArrow(cell, "cls bigint, links bigint, up bigint"), "links")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccardjoin, lmscore, packing, pii, sharding, topk, toxicity, urlfilter, vectordup
+from . import jaccardjoin, lmscore, packing, piecefst, pii, sharding, topk, toxicity, urlfilter, vectordup
 
 #: The rules of op1.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -117,6 +117,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecefst.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lmscore.lm_scores(table(spark, sf_dir, "documents"), fold(10) != 0)
     return found.withColumn("held_out", ~F.col("trains")).drop("trains")
@@ -127,7 +131,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op9_lm_scoring": op9_lm_scoring, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

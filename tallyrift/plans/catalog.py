@@ -227,14 +227,14 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_rows(b).select("tid", "i1", "i2").join(able, ["i1", "i2"], "left_semi").select("tid", "i1", "i2")
 
 
-@query("j6_third_level", f"with recursive {BRANDS}, {PROFITS}, {BASE}, {lev(3)} select array_to_string(list_sort(x), ' ') as items, round(sum(u * p) + 1e-6, 4) as eu, round(1 - product(1 - p), 6) as ep, count(*) as n from lev where len(x) = 3 group by x having 1 - product(1 - p) >= 0.3")
+@query("j6_third_level", f"with recursive {BRANDS}, {PROFITS}, {BASE}, {lev(3)} select array_to_string(list_sort(x), ' ') as items, round(sum(u * p) + 1e-6, 4) as eu, round(1 - product(1 - p), 6) as ep, count(*) as n from lev where len(x) = 3 group by x having 1 - product(1 - p) >= 0.3 - 1e-10")
 def j6(spark: SparkSession, d: str) -> DataFrame:
     """All triples that are likely enough: survivors by probability alone, level by level."""
     b = base(spark, d)
     level = search.first_level(encode.as_tails(encode.ranked_base(b, encode.item_ranks(encode.item_bounds(b)))))
     for _ in range(2):
-        level = search.grown(level.persist(), search.measured(level).where(F.col("ep") >= 0.3).select("items"))
-    return search.measured(level).where(F.col("ep") >= 0.3).select(F.array_join(F.array_sort("items"), " ").alias("items"), shown_eu().alias("eu"), F.round("ep", 6).alias("ep"), "n")
+        level = search.grown(level.persist(), search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select("items"))
+    return search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select(F.array_join(F.array_sort("items"), " ").alias("items"), shown_eu().alias("eu"), F.round("ep", 6).alias("ep"), "n")
 
 
 def top_sql(db: str, k: int, min_pro: float, longest: int | None = None, of: str = BASE, min_support: float = 0.0) -> str:

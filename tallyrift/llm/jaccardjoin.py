@@ -186,10 +186,11 @@ def jaccard_links(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class, all columns; the kept ones are told by id and text."""
-    kept = jaccard_links(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
-    key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    mine = docs.withColumn("_text_key", key)
-    # Of rows that are the same in both, one is kept; those of texts without words all are.
-    blank = ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"(?U)\w")
-    ranked = mine.where(~blank).join(kept, mine[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return ranked.dropDuplicates([id_col, "_text_key"]).drop("_text_key").unionByName(docs.where(blank))
+    kept = jaccard_links(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_key").alias("__kept_key"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    mine = docs.withColumn("__text_key", F.md5(text))
+    # Of rows with the same id and text, one is kept; those of texts without words all are.
+    blank = ~text.rlike(r"(?U)\w")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_key"))
+    ranked = mine.where(~blank).join(kept, same, "left_semi")
+    return ranked.dropDuplicates([id_col, "__text_key"]).drop("__text_key").unionByName(docs.where(blank))

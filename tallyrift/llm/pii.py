@@ -116,19 +116,19 @@ def _scored(text: Column, kind: Kind, spans: Column, window: int) -> Column:
 
 
 def find_pii(
-    docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), kinds: tuple[Kind, ...] = KINDS, window: int = 40
+    docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), kinds: tuple[Kind, ...] = KINDS, window: int = 40, name: str = "entities"
 ) -> DataFrame:
-    """``id_cols`` and entities: array of (kind, start, end, text, score), by kind, then start.
+    """``id_cols`` and ``name``: array of (kind, start, end, text, score), by kind, then start.
 
     For each kind the leftmost matches that don't overlap; those whose checksum or parts fail are
     dropped and not tried again. A context word within ``window`` characters raises the score.
     """
     text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), MARK, SPARE)
-    held = docs.select(*[F.col(f"`{c}`") for c in id_cols], text.alias("_text"))
-    raw = held.withColumns({f"_{k.name}": _matches(F.col("_text"), k) for k in kinds})
+    held = docs.select(*[F.col(f"`{c}`") for c in id_cols], text.alias("__text"))
+    raw = held.withColumns({f"__{k.name}": _matches(F.col("__text"), k) for k in kinds})
     return raw.select(
         *[F.col(f"`{c}`") for c in id_cols],
-        F.concat(*[_scored(F.col("_text"), k, F.col(f"_{k.name}"), window) for k in kinds]).alias("entities"),
+        F.concat(*[_scored(F.col("__text"), k, F.col(f"__{k.name}"), window) for k in kinds]).alias(name),
     )
 
 

@@ -240,9 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    keep: tuple[str, ...] = (), k: int = 15, most: int = 2000, terms: int = 1024, chi: float = 40.0,
+    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 2000, terms: int = 1024, chi: float = 40.0,
 ) -> DataFrame:
-    """``keep`` or ``id_col``, score, evidence (ids of the nearest examples, at most three) for each row."""
+    """``keep`` or ``id_col``, score, evidence (ids of the nearest examples, at most three) for each row.
+
+    ``names``: what the last two are called, for rows that have columns of those names.
+    """
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trains, id_col, text_col, label_col, k, most, terms, chi))
     keep = keep or (id_col,)
     kinds = dict(docs.dtypes)
@@ -262,7 +265,7 @@ def toxicity_scores(
                     score.append(at.score(rows, cos))
                     near.append(at.ids[rows[:3]].tolist() if len(rows) else [])
                 cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "score", "evidence"])
+                yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, evidence array<bigint>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{names[0]}` double, `{names[1]}` array<bigint>"
     return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(judge, schema)

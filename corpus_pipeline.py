@@ -19,8 +19,8 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), toxic_trains(), keep=tuple(docs.columns))
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), toxic_trains(), keep=tuple(docs.columns), names=("__score", "__evidence"))
+    return scored.where(F.col("__score") < TOXIC_FROM).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(docs, id_cols=tuple(docs.columns))
-    text = pii.masked(F.col("text"), F.col("entities"))
+    found = pii.find_pii(docs, id_cols=tuple(docs.columns), name="__entities")
+    text = pii.masked(F.col("text"), F.col("__entities"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -70,6 +70,10 @@ def shown_eu(eu: Column | None = None) -> Column:
     return F.round((F.col("eu") if eu is None else eu) + 1e-6, 4)
 
 
+def shown_ep(ep: Column | None = None) -> Column:
+    return F.round((F.col("ep") if ep is None else ep) + 1e-8, 6)
+
+
 # Sources
 
 
@@ -192,18 +196,18 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a3_a4_a5_singles", f"""with {BRANDS}, {PROFITS}, {BASE}, {RTU}, {BOUNDS}, {RANKS}, {REM}
-  select item, round(sum(u * p) + 1e-6, 4) as eu, round(1 - product(1 - p), 6) as ep, round(sum(greatest(u + rem, 0) * p), 4) as ub from m group by item""")
+  select item, round(sum(u * p) + 1e-6, 4) as eu, round(1 - product(1 - p) + 1e-8, 6) as ep, round(sum(greatest(u + rem, 0) * p), 4) as ub from m group by item""")
 def a3(spark: SparkSession, d: str) -> DataFrame:
     b = base(spark, d)
     tails = encode.as_tails(encode.ranked_base(b, encode.item_ranks(encode.item_bounds(b))))
-    return search.measured(search.first_level(tails)).select(F.col("items")[0].alias("item"), shown_eu().alias("eu"), F.round("ep", 6).alias("ep"), F.round("ub", 4).alias("ub"))
+    return search.measured(search.first_level(tails)).select(F.col("items")[0].alias("item"), shown_eu().alias("eu"), shown_ep().alias("ep"), F.round("ub", 4).alias("ub"))
 
 
-@query("a5b_probability_by_logarithms", f"with {EVENTS}, {PROFITS}, {BASE} select item, round(1 - product(1 - p), 6) as ep from b group by item")
+@query("a5b_probability_by_logarithms", f"with {EVENTS}, {PROFITS}, {BASE} select item, round(1 - product(1 - p) + 1e-8, 6) as ep from b group by item")
 def a5b(spark: SparkSession, d: str) -> DataFrame:
     tx = tables.from_events(spark, d)
     b = encode.priced(tx, tables.signed_profits(tx))
-    return b.groupBy("item").agg(F.round(measures.existential_probability_log(), 6).alias("ep"))
+    return b.groupBy("item").agg(shown_ep(measures.existential_probability_log()).alias("ep"))
 
 
 @query("a6_pair_bounds", f"with {BRANDS}, {PROFITS}, {BASE}, {RTU} select x.item as i1, y.item as i2, round(sum(rtu * x.p * y.p), 4) as bound from b x join b y on x.tid = y.tid and x.item < y.item join t on t.tid = x.tid group by 1, 2")
@@ -211,10 +215,10 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_bounds(base(spark, d)).select("i1", "i2", F.round("bound", 4).alias("bound"))
 
 
-@query("j3_j4_pair_measures", f"with {BRANDS}, {PROFITS}, {BASE} select x.item as i1, y.item as i2, round(sum((x.u + y.u) * x.p * y.p) + 1e-6, 4) as eu, round(1 - product(1 - x.p * y.p), 6) as ep, count(*) as n from b x join b y on x.tid = y.tid and x.item < y.item group by 1, 2")
+@query("j3_j4_pair_measures", f"with {BRANDS}, {PROFITS}, {BASE} select x.item as i1, y.item as i2, round(sum((x.u + y.u) * x.p * y.p) + 1e-6, 4) as eu, round(1 - product(1 - x.p * y.p) + 1e-8, 6) as ep, count(*) as n from b x join b y on x.tid = y.tid and x.item < y.item group by 1, 2")
 def j3(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_rows(base(spark, d)).groupBy("i1", "i2").agg(
-        shown_eu(measures.expected_utility()).alias("eu"), F.round(measures.existential_probability(), 6).alias("ep"), F.count("*").alias("n")
+        shown_eu(measures.expected_utility()).alias("eu"), shown_ep(measures.existential_probability()).alias("ep"), F.count("*").alias("n")
     )
 
 
@@ -227,14 +231,14 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_rows(b).select("tid", "i1", "i2").join(able, ["i1", "i2"], "left_semi").select("tid", "i1", "i2")
 
 
-@query("j6_third_level", f"with recursive {BRANDS}, {PROFITS}, {BASE}, {lev(3)} select array_to_string(list_sort(x), ' ') as items, round(sum(u * p) + 1e-6, 4) as eu, round(1 - product(1 - p), 6) as ep, count(*) as n from lev where len(x) = 3 group by x having 1 - product(1 - p) >= 0.3 - 1e-10")
+@query("j6_third_level", f"with recursive {BRANDS}, {PROFITS}, {BASE}, {lev(3)} select array_to_string(list_sort(x), ' ') as items, round(sum(u * p) + 1e-6, 4) as eu, round(1 - product(1 - p) + 1e-8, 6) as ep, count(*) as n from lev where len(x) = 3 group by x having 1 - product(1 - p) >= 0.3 - 1e-10")
 def j6(spark: SparkSession, d: str) -> DataFrame:
     """All triples that are likely enough: survivors by probability alone, level by level."""
     b = base(spark, d)
     level = search.first_level(encode.as_tails(encode.ranked_base(b, encode.item_ranks(encode.item_bounds(b)))))
     for _ in range(2):
         level = search.grown(level.persist(), search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select("items"))
-    return search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select(F.array_join(F.array_sort("items"), " ").alias("items"), shown_eu().alias("eu"), F.round("ep", 6).alias("ep"), "n")
+    return search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select(F.array_join(F.array_sort("items"), " ").alias("items"), shown_eu().alias("eu"), shown_ep().alias("ep"), "n")
 
 
 def top_sql(db: str, k: int, min_pro: float, longest: int | None = None, of: str = BASE, min_support: float = 0.0) -> str:
@@ -242,11 +246,11 @@ def top_sql(db: str, k: int, min_pro: float, longest: int | None = None, of: str
     use = lev(longest).replace("from b\n", "from b where item in (select item from w)\n").replace("join b on", "join (select * from b where item in (select item from w)) b on") if min_support else lev(longest)
     return f"""with recursive {db}, {PROFITS}, {of}{kept}, {use},
 s as (select list_sort(x) as x, sum(u * p) as eu, 1 - product(1 - p) as ep from lev group by x having 1 - product(1 - p) >= {min_pro} - 1e-10 and sum(u * p) >= -1e-10)
-select (row_number() over (order by round(eu, 6) desc, len(x), x))::int as rank, array_to_string(x, ' ') as items, round(eu + 1e-6, 4) as eu, round(ep, 6) as ep from s order by rank limit {k}"""
+select (row_number() over (order by round(eu, 6) desc, len(x), x))::int as rank, array_to_string(x, ' ') as items, round(eu + 1e-6, 4) as eu, round(ep + 1e-8, 6) as ep from s order by rank limit {k}"""
 
 
 def shown(mined: search.Mined, spark: SparkSession) -> DataFrame:
-    return mined.frame(spark).select("rank", F.array_join("items", " ").alias("items"), shown_eu().alias("eu"), F.round("ep", 6).alias("ep"))
+    return mined.frame(spark).select("rank", F.array_join("items", " ").alias("items"), shown_eu().alias("eu"), shown_ep().alias("ep"))
 
 
 def topk(name: str, k: int, min_pro: float, source: str = "brands", db: str = BRANDS, of: str = BASE, **options) -> None:

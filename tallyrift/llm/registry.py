@@ -130,9 +130,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.jaccard_links(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+OP10_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where c >= 0.8 * (a.n + b.n - c) - 1e-9),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.y from reach r join l on r.b = l.x)
+select doc_id, (select count(*) from l where x = doc_id) as n_links, (select min(b) from reach where a = doc_id) as class_id,
+  doc_id = (select min(b) from reach where a = doc_id) as kept from documents
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL}

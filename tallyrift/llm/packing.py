@@ -156,8 +156,9 @@ def pack(
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     by_bucket = dealt.groupBy("_bucket", "length").count()
+    # Columns of their own: a cogroup's sides may not share any.
     before = by_bucket.select(
-        "_bucket", "length",
+        F.col("_bucket").alias("_in"), F.col("length").alias("_of"),
         (F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).alias("_before"),
     )
 
@@ -165,7 +166,7 @@ def pack(
         keys = [("length", "ascending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
         left = left.take(pc.sort_indices(left, sort_keys=keys))
         base = np.zeros(capacity + 1, np.int64)
-        base[right.column("length").to_numpy()] = right.column("_before").to_numpy()
+        base[right.column("_of").to_numpy()] = right.column("_before").to_numpy()
         length = left.column("length").to_numpy()
         rank = np.arange(len(length)) - np.searchsorted(length, length) + base[length]
         t = table.value
@@ -176,4 +177,4 @@ def pack(
         return out.append_column("offset", pa.array(found[:, 3], pa.int64()))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("_bucket").cogroup(before.groupBy("_bucket")).applyInArrow(place, schema)
+    return dealt.groupBy("_bucket").cogroup(before.groupBy("_in")).applyInArrow(place, schema)

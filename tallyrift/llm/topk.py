@@ -100,7 +100,8 @@ def top_k(
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asks = rows.where("asks").select("vec_id", "row", "v", block(q_blocks).alias("qb"), every(x_blocks).alias("xb"))
-    cands = rows.select("vec_id", "row", "v", block(x_blocks).alias("xb"), every(q_blocks).alias("qb"))
+    own = [F.col(c).alias(c) for c in ("vec_id", "row", "v")]  # columns of their own, for the cogroup
+    cands = rows.select(*own, block(x_blocks).alias("xb"), every(q_blocks).alias("qb"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         p, p_up = held.value

@@ -28,6 +28,7 @@ def test_pieces_and_places(docs_of, tokenizer):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 2
     ids = packing.pack(docs_of(texts[:5]), path, 256, with_ids=True).collect()
     assert all(len(r.ids) == r.length for r in ids)
+    assert packing.pack(docs_of(texts), path, 256).count() == len(want)
     assert packing.pack(docs_of(["a"]).limit(0), path).count() == 0
 
 

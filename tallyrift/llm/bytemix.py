@@ -1,15 +1,18 @@
-"""A byte model by logistic mixing of hashed-context bit predictors.
+"""A byte model by logistic mixing of the bit predictors of contexts.
 
 Bytes are coded by the bits of Huffman codes, one for each byte before, some three bits each. Each bit
-has one predictor for each context: the last byte, the last three, and the word so far. A predictor's
-counts sit in a slot that the context and the node of the code tree hash to. It speaks by the
-logarithm of its odds, gated by its evidence: a slot with few counts says little, one without any is
-silent. Weights add these up and are refined as a text goes on, by the error of each segment.
+has one predictor for each context: the last byte, the last three, and the word so far.
+What is counted is how often a byte came in a context, by a key of 60 bits (``keys``); the counts of
+the bits are sums over the bytes below a node of the code tree (``answers``). Any number of keys may be
+counted, as no table has a fixed size. A predictor speaks by the logarithm of its odds, gated by its
+evidence: few counts say little, none are silent. Weights add these up and are refined as a text goes
+on, after each segment by its error.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,9 +20,11 @@ import numpy as np
 #: Comes before and after each text; no UTF-8 text has it.
 EDGE = 255
 #: Of the contexts' weights at the start of each text: last byte, last three, word so far.
-FIRST = np.array([0.2, 0.45, 0.55], np.float32)
-SEGMENT, RATE = 512, 2.0
-ORDERS, MOST_BITS = 3, 21
+FIRST = {3: np.array([0.2, 0.45, 0.55], np.float32)}
+SEGMENT, RATE = 512, 0.001
+ORDERS, KEY_BITS = 3, 60
+#: Bytes whose predictors are looked up at once.
+WINDOW = 80_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256)
@@ -70,12 +75,6 @@ def huffman(pairs: np.ndarray) -> Code:
     return Code(np.array(nodes, np.int64), np.array(bits, np.int64), np.cumsum(size) - size, np.array(size))
 
 
-def table_bits(train_bytes: int) -> list[int]:
-    """Slots of each context's table, as powers of two: more for more text, up to 2^MOST_BITS."""
-    wide = int(np.clip(np.ceil(np.log2(max(train_bytes, 1) / 64)), 16, MOST_BITS))
-    return [16, wide, wide]
-
-
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each with EDGE behind, and the lengths including that."""
     data = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
@@ -101,7 +100,8 @@ def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
         new = np.zeros(n, np.int64)
         new[1:] = np.where((BLANK[data] | (data == EDGE))[:-1], np.arange(1, n), 0)
         word = (total[:-1] - total[np.maximum.accumulate(new)]) * power
-        three = last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16)
+        two = last[0] | last[1] << np.uint64(8)
+        three = two | last[2] << np.uint64(16)
         out = []
         for c in (three, word):
             c = (c + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -109,6 +109,108 @@ def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
     return last[0].astype(np.int64), out
 
 
+def keys(data: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each context the key of each byte in it: 44 bits of the context's hash, the byte before, the byte."""
+    before, of = contexts(data, sizes)
+    pair = before << 8 | data
+    return [pair, *(c << 16 | pair for c in of)]
+
+
+def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs or the sum of its counts."""
+    if count is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], np.diff(np.append(starts, len(key))) if count is None else np.add.reduceat(count, starts) if len(key) else count
+
+
+class KeyCounts:
+    """The keys of all texts given, and how often each came in those that are trained on."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDERS)]
+        self.waiting: list[list[np.ndarray]] = []
+        self.held = 0
+
+    def add(self, texts: list[bytes], trains: np.ndarray) -> None:
+        data, sizes = joined(texts)
+        flags = np.repeat(trains.astype(np.int64), sizes)
+        self.waiting.append([k << 1 | flags for k in keys(data, sizes)])
+        self.held += len(data)
+        if self.held >= GATHER // 2:
+            self.gather()
+
+    def gather(self) -> None:
+        for k in range(ORDERS):
+            if self.waiting:
+                key, n = distinct(np.concatenate([w[k] for w in self.waiting]))
+                self.parts[k].append((key >> 1, n * (key & 1)))
+        self.waiting, self.held = [], 0
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.gather()
+        none = np.zeros(0, np.int64)
+        return distinct(*(np.concatenate([none, *(p[i] for p in self.parts[k])]) for i in (0, 1)))
+
+
+def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def answers(code: Code, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct keys in order, with whole contexts: where each key's bits start, and what is said of all bits."""
+    pair = key & 0xFFFF
+    size = code.size[pair]
+    at = flat(code.start[pair], size)
+    context = np.cumsum(np.concatenate([[0], key[1:] >> 8 != key[:-1] >> 8])) if len(key) else key
+    node, where = np.unique(np.repeat(context, size) * 65536 + code.nodes[at], return_inverse=True)
+    many = np.repeat(count, size)
+    n = np.bincount(where, many, len(node))
+    ones = np.bincount(where, many * code.bits[at], len(node))
+    return np.cumsum(size) - size, opinions(n, ones)[where]
+
+
+class Places:
+    """Finds keys among distinct ones: tables that hold what had no room in the one before."""
+
+    def __init__(self, key: np.ndarray):
+        self.key, self.tables = key, []
+        left, odd = np.arange(len(key), dtype=np.int32), int(ODD)
+        while len(left):
+            bits = int(len(left)).bit_length() + 2
+            table = np.zeros(1 << bits, np.int32)
+            at = self._at(key[left], odd, bits)
+            table[at] = left
+            self.tables.append((odd, bits, table))
+            left = left[table[at] != left]
+            odd = (odd * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
+
+    @staticmethod
+    def _at(key: np.ndarray, odd: int, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = key.astype(np.uint64) * np.uint64(odd)
+            x ^= x >> np.uint64(32)
+            return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), np.int32)
+        todo = slice(None)
+        for odd, bits, table in self.tables:
+            own = key[todo]
+            got = table[self._at(own, odd, bits)]
+            out[todo] = got
+            miss = np.flatnonzero(self.key[got] != own)
+            if not len(miss):
+                return out
+            todo = miss if isinstance(todo, slice) else todo[miss]
+        raise KeyError("a key that was not counted")
+
+
 class Bits:
     """The bits of some bytes: how many each has, where they end, the node and value of each bit."""
 
@@ -135,7 +237,7 @@ GATHER = 4_000_000
 
 
 class Counts:
-    """Of each slot how many bits came that were not set, and that were."""
+    """Counts of few texts in memory: of each slot how many bits came that were not set, and that were."""
 
     def __init__(self, bits: list[int]):
         self.bits = bits
@@ -149,7 +251,7 @@ class Counts:
             return
         before, of = contexts(data, sizes)
         spread = Bits(code, before, data)
-        for k, (b, c) in enumerate(zip(self.bits, [None, *of], strict=True)):
+        for k, (b, c) in enumerate(zip(self.bits, [None, *of], strict=False)):
             at = spread.slots(c, b) * 2
             at += spread.bit
             self.waiting[k].append(at.astype(np.int32))
@@ -176,41 +278,103 @@ def opinions(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.log((ones + 0.3) / (n - ones + 0.3)) * (n / (n + 0.4))).astype(np.float32)
 
 
-def score(code: Code, tables: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
-    """The natural logarithm of each text's probability, its end included."""
+class Slots:
+    """What hashed tables say of the bits of some texts."""
+
+    def __init__(self, tables: list[np.ndarray], data: np.ndarray, sizes: np.ndarray):
+        self.tables = tables
+        self.before, of = contexts(data, sizes)
+        self.of = [None, *of][: len(tables)]
+
+    def said(self, row: np.ndarray, spread: Bits) -> list[np.ndarray]:
+        return [t[spread.slots(None if c is None else c[row], int(np.log2(len(t))))] for t, c in zip(self.tables, self.of, strict=True)]
+
+
+class Known:
+    """What the answers of keys say of the bits of some texts that have only such keys."""
+
+    def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]], texts: list[bytes]):
+        """``tables``: for each context the distinct keys in order, and what is said of all their bits."""
+        self.tables = [said for _, said in tables]
+        places = [Places(key) for key, _ in tables]
+        starts = []
+        for key, _ in tables:
+            size = code.size[key & 0xFFFF]
+            starts.append((np.cumsum(size) - size).astype(np.int32))
+        parts: list[list[np.ndarray]] = [[] for _ in tables]
+        for part in batches(texts):
+            for k, key in enumerate(keys(*joined(part))):
+                parts[k].append(starts[k][places[k](key)])
+        self.start = [np.concatenate(p) for p in parts]
+
+    def said(self, row: np.ndarray, spread: Bits) -> list[np.ndarray]:
+        return [t[flat(s[row], spread.size)] for t, s in zip(self.tables, self.start, strict=True)]
+
+
+def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t) + 1
+        if size >= WINDOW:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def score(code: Code, tables: list[np.ndarray] | Known, texts: list[bytes]) -> np.ndarray:
+    """The natural logarithm of each text's probability, its end included.
+
+    All texts go forward together, byte by byte; each text's weights follow its own errors.
+    """
     data, sizes = joined(texts)
     if not len(data):
         return np.zeros(0)
-    before, of = contexts(data, sizes)
-    # Segment by segment: first those that open the texts, then the second ones, and so on.
-    pieces = -(-sizes // SEGMENT)
-    text = np.repeat(np.arange(len(sizes)), pieces)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = (np.cumsum(sizes) - sizes)[text] + number * SEGMENT
-    length = np.minimum(sizes[text] - number * SEGMENT, SEGMENT)
-    order = np.lexsort((text, number))
-    text, number, begin, length = text[order], number[order], begin[order], length[order]
-    row = np.arange(length.sum()) + np.repeat(begin - (np.cumsum(length) - length), length)
-    spread = Bits(code, before[row], data[row])
-    said = [t[spread.slots(None if c is None else c[row], int(np.log2(len(t))))] for t, c in zip(tables, [None, *of], strict=True)]
-    ends = spread.ends[np.cumsum(length) - 1]
-    starts = np.concatenate([[0], ends[:-1]])
-    weights = np.tile(FIRST, (len(sizes), 1))
+    model = tables if isinstance(tables, Known) else Slots(tables, data, sizes)
+    orders = len(model.tables)
+    order = np.argsort(-sizes, kind="stable")
+    begin, long = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    active = len(sizes) - np.searchsorted(long[::-1], np.arange(long[0]), "right")  # texts with a byte at each step
     total = np.zeros(len(sizes))
-    turns = np.concatenate([[0], np.cumsum(np.bincount(number))])
-    sign = (1 - 2 * spread.bit).astype(np.float32)
-    for lo, hi in zip(turns[:-1], turns[1:], strict=True):
-        a, b = starts[lo], ends[hi - 1]
-        who, many, first = text[lo:hi], ends[lo:hi] - starts[lo:hi], starts[lo:hi] - a
-        own = weights[who]
-        dot = np.repeat(own[:, 0], many) * said[0][a:b]
-        for k in range(1, ORDERS):
-            dot += np.repeat(own[:, k], many) * said[k][a:b]
-        np.clip(dot, -11, 11, out=dot)
-        wrong = np.exp(dot * sign[a:b])  # odds against the bit that came
-        total[who] -= np.add.reduceat(np.log1p(wrong), first)
-        error = wrong / (1 + wrong) * -sign[a:b]
-        for k in range(ORDERS):
-            own[:, k] += RATE * np.add.reduceat(error * said[k][a:b], first) / (many + 400)
-        weights[who] = own
-    return total
+    weights = np.repeat(FIRST[orders][:, None], len(sizes), 1)
+    slope = np.zeros_like(weights)
+    ends = np.cumsum(active)
+    at = step = 0
+    while at < long[0]:
+        till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOW, "right")))
+        many = active[at:till]
+        who = flat(np.zeros(len(many), np.int64), many)
+        row = begin[who] + np.repeat(np.arange(at, till), many)
+        last = np.full(len(row), EDGE, np.int64)
+        inside = row > begin[who]
+        last[inside] = data[row[inside] - 1]
+        spread = Bits(code, last, data[row])
+        said = np.stack(model.said(row, spread))
+        said *= (1 - 2 * spread.bit).astype(np.float32)  # of the other bit against the one that came
+        of_bit = np.repeat(who, spread.size)
+        first = spread.ends - spread.size
+        wrong = np.empty(len(of_bit), np.float32)
+        lo = 0
+        for a in many.tolist():
+            hi = lo + a
+            b, e = first[lo], spread.ends[hi - 1]
+            own = said[:, b:e]
+            odds = weights.take(of_bit[b:e], 1)
+            odds *= own
+            odds = odds.sum(0)
+            np.minimum(np.maximum(odds, -11, out=odds), 11, out=odds)
+            np.exp(odds, out=odds)
+            wrong[b:e] = odds
+            odds /= 1 + odds
+            slope[:, :a] += RATE * np.add.reduceat(own * odds, first[lo:hi] - b, axis=1)
+            lo = hi
+            step += 1
+            if step % SEGMENT == 0:
+                weights -= slope
+                slope[:] = 0
+        total -= np.bincount(who, np.add.reduceat(np.log1p(wrong.astype(np.float64)), first), len(sizes))
+        at = till
+    out = np.empty(len(sizes))
+    out[order] = total
+    return out

@@ -4,9 +4,11 @@ The base needs each token's count in the training texts. Texts are dealt into bl
 ``BLOCK_BYTES``; a block's distinct tokens meet the corpus counts by a join, and come back to the
 block, so a token crosses the network once for each block instead of once for each text.
 
-The mixing model's counts are summed over all training texts: every task counts its own texts, the
-tables are cut into chunks, and the chunks are added where they meet. Their size depends on the
-amount of text up to a bound (``bytemix.table_bits``), 9 MB when broadcast. No text is sampled or cut.
+The mixing model's counts are of (context, byte), by keys of 60 bits; there are as many as the training
+texts have, with no bound. Each block sends its distinct keys, cut into buckets by their first bits;
+a bucket's counts are summed over all blocks, and what they say of each key comes back to the blocks
+that have it. So nothing is broadcast but the code. The number of buckets grows with the text, so what
+one holds does not. No text is sampled or cut.
 
 Null texts count as empty: their only token is the end. Repeated rows are texts of their own, and are
 counted as often. An empty table gives no rows; without any training text all counts are zero, and
@@ -21,13 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytemix
-from .base import partitions, stash
+from .base import stash
+
+BLOCK_BYTES, BUCKET_BYTES, BATCH = 8 << 20, 32 << 20, 80_000
+#: Texts of up to so many bytes, and longer ones, have blocks of their own: a block takes as many steps as its longest text.
+LENGTHS = (4 << 10, 16 << 10)
+
 
-BLOCK_BYTES, TASK_BYTES, CHUNK, BATCH = 10 << 20, 64 << 20, 1 << 16, 80_000
 def tokens(text: str) -> list[bytes]:
     """The words as bytes, A-Z in lower case: of bytes, lower() and split() know no other letters and blanks."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -58,63 +65,44 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
     )
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, every = np.zeros(1 << 16, np.int64), 0
+        seen, every = np.zeros(1 << 16, np.int64), np.zeros(len(LENGTHS) + 1, np.int64)
         for batch in batches:
             flags = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in _batches(batch.column(1).to_pylist()):
-                every += sum(map(len, part)) + len(part)
+                long = np.array([len(t) for t in part])
+                every += np.bincount(np.searchsorted(LENGTHS, long), long + 1, len(every)).astype(np.int64)
                 own = [t for t, f in zip(part, flags[at : at + len(part)], strict=True) if f]
                 data = np.frombuffer(b"\xff" + b"\xff".join([*own, b""]), np.uint8).astype(np.int64)
                 seen += np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16)
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], every))], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1 - np.arange(len(every))), pa.int32()), pa.array(np.append(seen[some], every))], ["pair", "n"])
 
-    # 65,537 rows at most.
+    # 65,539 rows at most.
     counted = {r[0]: r[1] for r in texts.select("trains", "text").mapInArrow(histogram, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect()}
     pairs = np.array([counted.get(i, 0) for i in range(1 << 16)], np.int64)
-    every, trained = counted.get(-1, 0), int(pairs.sum())
-    code, wide = sc.broadcast(bytemix.huffman(pairs.reshape(256, 256))), bytemix.table_bits(trained)
-
-    # The mixing model's counts.
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = bytemix.Counts(wide)
-        for batch in batches:
-            for _, part in _batches(batch.column(0).to_pylist()):
-                counts.learn(code.value, part)
-        for k in range(bytemix.ORDERS):
-            for at in range(0, 1 << wide[k], CHUNK):
-                got = counts.part(k, at, at + CHUNK)
-                if got.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at // CHUNK], pa.int32()), pa.array([got.astype(np.int32).tobytes()])], ["k", "chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, chunk, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = np.frombuffer(raw, np.int32).astype(np.int64).reshape(2, CHUNK)
-                sums[k, chunk] = sums[k, chunk] + got if (k, chunk) in sums else got
-        for (k, chunk), (n, ones) in sums.items():
-            said = bytemix.opinions(n, ones).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int32()), pa.array([said.tobytes()])], ["k", "chunk", "said"])
-
-    parts = partitions(spark)
-    tasks = max(1, -(-trained // TASK_BYTES))
-    raw = texts.where("trains").select("text").coalesce(tasks).mapInArrow(learn, "k int, chunk int, counts binary")
-    model = raw.repartition(parts, "k", "chunk").mapInArrow(add, "k int, chunk int, said binary")
-    tables = [np.zeros(1 << b, np.float32) for b in wide]
-    for k, chunk, said in model.collect():  # chunks of 128 KB, 65 of them at most: table_bits bounds them
-        tables[k][chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(said, np.float16)
-    held = sc.broadcast([t.astype(np.float16) for t in tables])
-
-    # The base's counts.
-    blocks = max(1, -(-every // BLOCK_BYTES))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("row", "id"), F.lit(blocks)))
+    every = [counted.get(-1 - i, 0) for i in range(len(LENGTHS) + 1)]
+    code = sc.broadcast(bytemix.huffman(pairs.reshape(256, 256)))
+    cut = max(0, (sum(every) // BUCKET_BYTES).bit_length())
+    edges = np.arange(1, 1 << cut) << bytemix.KEY_BITS - cut
+
+    # Blocks of texts of like lengths.
+    blocks = [-(-n // BLOCK_BYTES) for n in every]
+    long, block = F.octet_length("text"), None
+    for i, n in enumerate(blocks):
+        own = F.pmod(F.xxhash64("row", "id"), F.lit(max(n, 1))) + sum(blocks[:i])
+        last = i == len(LENGTHS)
+        block = own if last and block is None else block.otherwise(own) if last else (F if block is None else block).when(long <= LENGTHS[i], own)
+    dealt = texts.withColumn("block", block)
 
     def words(rows: pa.Table) -> pa.Table:
         known: Counter = Counter()
         others: set[str] = set()
         block = rows.column("block")[0]
         ends = 0
+        flags = rows.column("trains").to_numpy()
+        seen = bytemix.KeyCounts()
+        for at, part in _batches(rows.column("text").to_pylist()):
+            seen.add(part, flags[at : at + len(part)])
         for flag, text in zip(rows.column("trains").to_pylist(), rows.column("text").to_pylist(), strict=True):
             if flag:
                 known.update(tokens(text))
@@ -124,23 +112,58 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
         others -= known.keys()
         word = [*known, *others, None]
         n = [*known.values(), *[0] * len(others), ends]
-        return pa.table({"block": pa.array([block.as_py()] * len(word)), "word": pa.array(word, pa.binary()), "n": pa.array(n, pa.int64())})
+        kind, bucket, held, times = [], [], [], []
+        for k in range(bytemix.ORDERS):
+            key, count = seen.of(k)
+            at = [0, *np.searchsorted(key, edges), len(key)]
+            for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if lo < hi:
+                    kind.append(k)
+                    bucket.append(i)
+                    held.append(key[lo:hi].tobytes())
+                    times.append(count[lo:hi].astype(np.int32).tobytes())
+        none, more = [None] * len(word), [None] * len(kind)
+        return pa.table({
+            "block": pa.array([block.as_py()] * (len(word) + len(kind))), "word": pa.array(word + more, pa.binary()), "n": pa.array(n + more, pa.int64()),
+            "k": pa.array(none + kind, pa.int32()), "bucket": pa.array(none + bucket, pa.int32()), "keys": pa.array(none + held, pa.binary()), "times": pa.array(none + times, pa.binary()),
+        })
 
-    by_block = stash(dealt.select("block", "trains", "text").groupBy("block").applyInArrow(words, "block bigint, word binary, n bigint"), "block-words")
+    schema = "block bigint, word binary, n bigint, k int, bucket int, keys binary, times binary"
+    all_counts = stash(dealt.select("block", "trains", "text").groupBy("block").applyInArrow(words, schema), "block-counts")
+    by_block = all_counts.where("k is null").select("block", "word", "n")
+
+    def answer(rows: pa.Table) -> pa.Table:
+        """For each block what is said of the bits of its keys, those of one context and bucket."""
+        held = [np.frombuffer(b, np.int64) for b in rows.column("keys").to_pylist()]
+        times = [np.frombuffer(b, np.int32) for b in rows.column("times").to_pylist()]
+        key, n = bytemix.distinct(np.concatenate(held), np.concatenate(times).astype(np.int64))
+        start, said = bytemix.answers(code.value, key, n)
+        said, size = said.astype(np.float16), code.value.size[key & 0xFFFF]
+        out = []
+        for own in held:
+            at = np.searchsorted(key, own)
+            out.append(said[bytemix.flat(start[at], size[at])].tobytes())
+        return pa.table({"block": rows.column("block"), "k": rows.column("k"), "bucket": rows.column("bucket"), "said": pa.array(out, pa.binary())})
+
+    said_of = all_counts.where("k is not null").groupBy("k", "bucket").applyInArrow(answer, "block bigint, k int, bucket int, said binary")
+
+    # The base's counts.
     vocabulary = stash(by_block.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     total, distinct, ends = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.max(F.when(F.col("word").isNull(), F.col("c")))).first()
     total, distinct, ends = total or 0, distinct or 0, ends or 0
     counts = by_block.select("block", "word").where("word is not null").join(vocabulary.where("word is not null and c > 0"), "word").select("block", "word", "c")
+    both = counts.select(F.col("block").alias("_block"), "word", "c", F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("said")).unionByName(
+        said_of.select(F.col("block").alias("_block"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"), "k", "bucket", "said")
+    )
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = right.filter(pc.is_valid(right.column("k"))).sort_by([("k", "ascending"), ("bucket", "ascending")])
+        right = right.filter(pc.is_null(right.column("k")))
         logs = np.log10((right.column("c").to_numpy() + 0.1) / (total + 0.1 * (distinct + 1)))
         of = dict(zip(right.column("word").to_pylist(), logs.tolist(), strict=True)).get
         new = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
         end = math.log10((ends + 0.1) / (total + 0.1 * (distinct + 1)))
-        said = [t.astype(np.float32) for t in held.value]
-        # Texts of like lengths share a batch.
         text = left.column("text").to_pylist()
-        order = sorted(range(len(text)), key=lambda i: len(text[i]))
         n_tokens, n_known, base, size = (np.zeros(len(text), t) for t in (np.int64, np.int64, np.float64, np.int64))
         score = np.zeros(len(text))
         for i, t in enumerate(text):
@@ -148,10 +171,14 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
             known = [x for x in own if x is not None]
             n_tokens[i], n_known[i] = len(own) + 1, len(known) + (ends > 0)
             base[i] = sum(known) + new * (len(own) - len(known)) + end
-        for at, part in _batches([text[i] for i in order]):
-            rows = order[at : at + len(part)]
-            score[rows] = bytemix.score(code.value, said, part)
-            size[rows] = [len(t) + 1 for t in part]
+        if len(text):
+            raw, seen = [(t or "").encode("utf-8", "surrogatepass") for t in text], bytemix.KeyCounts()
+            for part in bytemix.batches(raw):
+                seen.add(part, np.zeros(len(part), bool))
+            k, said = told.column("k").to_pylist(), told.column("said").to_pylist()
+            tables = [(seen.of(i)[0], np.frombuffer(b"".join(x for j, x in zip(k, said, strict=True) if j == i), np.float16)) for i in range(bytemix.ORDERS)]
+            score = bytemix.score(code.value, bytemix.Known(code.value, tables, raw), raw)
+            size[:] = [len(t) + 1 for t in raw]
         score /= math.log(10)
         return pa.table({
             "id": left.column("id"), "trains": left.column("trains"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
@@ -159,5 +186,5 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
         })
 
     schema = f"id {kind}, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"
-    out = dealt.select("block", "id", "trains", "text").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(judge, schema)
+    out = dealt.select("block", "id", "trains", "text").groupBy("block").cogroup(both.groupBy("_block")).applyInArrow(judge, schema)
     return out.select(F.col("id").alias(id_col), "trains", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")

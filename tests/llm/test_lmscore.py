@@ -75,3 +75,29 @@ def test_texts_are_scored_on_their_own():
 
 def test_tokens():
     assert tokens("AÄb\x1cC d e") == ["aÄb\x1cc".encode(), "d e".encode()]
+
+
+def known(train, others, code):
+    counts = bytemix.KeyCounts()
+    counts.add(train, np.ones(len(train), bool))
+    counts.add(others, np.zeros(len(others), bool))
+    every = [counts.of(k) for k in range(bytemix.ORDERS)]
+    return every, bytemix.Known(code, [(key, bytemix.answers(code, key, n)[1]) for key, n in every], others)
+
+
+def test_no_context_shares_its_counts():
+    r = random.Random(8)
+    train = [bytes(r.choices(range(32, 127), k=4000)) for _ in range(30)]  # more contexts than 2^16 slots
+    code, _ = model(train)
+    every, _ = known(train, train[:2], code)
+    three = Counter(b[i : i + 4] for t in train for b in [b"\xff" * 3 + t + b"\xff"] for i in range(len(t) + 1))
+    key, n = every[1]
+    assert len(key) == len(three) and sorted(n.tolist()) == sorted(three.values())
+    own = Counter()  # bits by (context, node), as exact keys give them
+    for b, c in three.items():
+        pair = b[2] * 256 + b[3]
+        for at in range(code.start[pair], code.start[pair] + code.size[pair]):
+            own[b[:3], int(code.nodes[at]), int(code.bits[at])] += c
+    want = sorted(float(bytemix.opinions(np.float64(own[c, m, 0] + own[c, m, 1]), np.float64(own[c, m, 1]))) for b in three for c in [b[:3]]
+                  for m in code.nodes[code.start[b[2] * 256 + b[3]] :][: code.size[b[2] * 256 + b[3]]].tolist())
+    assert np.allclose(np.sort(bytemix.answers(code, key, n)[1]), want, atol=1e-5)

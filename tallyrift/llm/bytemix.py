@@ -6,7 +6,7 @@ What is counted is how often a byte came in a context, by a key of 60 bits (``ke
 the bits are sums over the bytes below a node of the code tree (``answers``). Any number of keys may be
 counted, as no table has a fixed size. A predictor speaks by the logarithm of its odds, gated by its
 evidence: few counts say little, none are silent. Weights add these up and are refined as a text goes
-on, after each segment by its error.
+on, after each byte by its error.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 EDGE = 255
 #: Of the contexts' weights at the start of each text: last byte, last three, word so far.
 FIRST = {3: np.array([0.2, 0.45, 0.55], np.float32)}
-SEGMENT, RATE = 512, 0.001
+RATE = 0.01
 ORDERS, KEY_BITS = 3, 60
 #: Bytes whose predictors are looked up at once.
 WINDOW = 80_000
@@ -338,9 +338,8 @@ def score(code: Code, tables: list[np.ndarray] | Known, texts: list[bytes]) -> n
     active = len(sizes) - np.searchsorted(long[::-1], np.arange(long[0]), "right")  # texts with a byte at each step
     total = np.zeros(len(sizes))
     weights = np.repeat(FIRST[orders][:, None], len(sizes), 1)
-    slope = np.zeros_like(weights)
     ends = np.cumsum(active)
-    at = step = 0
+    at = 0
     while at < long[0]:
         till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOW, "right")))
         many = active[at:till]
@@ -367,12 +366,8 @@ def score(code: Code, tables: list[np.ndarray] | Known, texts: list[bytes]) -> n
             np.exp(odds, out=odds)
             wrong[b:e] = odds
             odds /= 1 + odds
-            slope[:, :a] += RATE * np.add.reduceat(own * odds, first[lo:hi] - b, axis=1)
+            weights[:, :a] -= RATE * np.add.reduceat(own * odds, first[lo:hi] - b, axis=1)
             lo = hi
-            step += 1
-            if step % SEGMENT == 0:
-                weights -= slope
-                slope[:] = 0
         total -= np.bincount(who, np.add.reduceat(np.log1p(wrong.astype(np.float64)), first), len(sizes))
         at = till
     out = np.empty(len(sizes))

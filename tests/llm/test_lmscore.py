@@ -101,3 +101,12 @@ def test_no_context_shares_its_counts():
     want = sorted(float(bytemix.opinions(np.float64(own[c, m, 0] + own[c, m, 1]), np.float64(own[c, m, 1]))) for b in three for c in [b[:3]]
                   for m in code.nodes[code.start[b[2] * 256 + b[3]] :][: code.size[b[2] * 256 + b[3]]].tolist())
     assert np.allclose(np.sort(bytemix.answers(code, key, n)[1]), want, atol=1e-5)
+
+
+def test_weights_follow_each_byte(monkeypatch):
+    train = [t.encode() for t in texts(100)]
+    code, tables = model(train)
+    short = [train[0][:4], train[3][:300]]
+    moved = bytemix.score(code, tables, short)
+    monkeypatch.setattr(bytemix, "RATE", 0.0)
+    assert (np.abs(bytemix.score(code, tables, short) - moved) > 1e-6).all()

@@ -1,7 +1,7 @@
 """A byte model by logistic mixing of the bit predictors of contexts.
 
 Bytes are coded by the bits of Huffman codes, one for each byte before, some three bits each. Each bit
-has one predictor for each context: the last byte, the last three, and the word so far.
+has one predictor for each context: the last byte, the last two, three and four, and the word so far.
 What is counted is how often a byte came in a context, by a key of 60 bits (``keys``); the counts of
 the bits are sums over the bytes below a node of the code tree (``answers``). Any number of keys may be
 counted, as no table has a fixed size. A predictor speaks by the logarithm of its odds, gated by its
@@ -19,10 +19,10 @@ import numpy as np
 
 #: Comes before and after each text; no UTF-8 text has it.
 EDGE = 255
-#: Of the contexts' weights at the start of each text: last byte, last three, word so far.
-FIRST = {3: np.array([0.2, 0.45, 0.55], np.float32)}
+#: Of the contexts' weights at the start of each text: last byte, last three, word so far; with all, last two and last four.
+FIRST = {3: np.array([0.2, 0.45, 0.55], np.float32), 5: np.array([0.1, 0.25, 0.45, 0.15, 0.35], np.float32)}
 RATE = 0.01
-ORDERS, KEY_BITS = 3, 60
+ORDERS, KEY_BITS = 5, 60
 #: Bytes whose predictors are looked up at once.
 WINDOW = 80_000
 BLANK = np.zeros(256, bool)
@@ -86,7 +86,7 @@ def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
     n = len(data)
     back = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     last = []
-    for k in range(1, 4):
+    for k in range(1, 5):
         b = np.full(n, EDGE, np.uint64)
         b[k:] = data[: n - k]
         b[back < k] = EDGE  # nothing is seen across the start of a text
@@ -103,7 +103,7 @@ def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
         two = last[0] | last[1] << np.uint64(8)
         three = two | last[2] << np.uint64(16)
         out = []
-        for c in (three, word):
+        for c in (three, word, two, three | last[3] << np.uint64(24)):
             c = (c + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
             out.append(((c ^ (c >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)).astype(np.int64))
     return last[0].astype(np.int64), out

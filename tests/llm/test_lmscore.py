@@ -110,3 +110,11 @@ def test_weights_follow_each_byte(monkeypatch):
     moved = bytemix.score(code, tables, short)
     monkeypatch.setattr(bytemix, "RATE", 0.0)
     assert (np.abs(bytemix.score(code, tables, short) - moved) > 1e-6).all()
+
+
+def test_last_two_and_four_bytes_are_contexts():
+    data, sizes = bytemix.joined([b"abcdX", b"zbcdX", b"zacdX"])
+    groups = {tuple(np.unique(k[[4, 10, 16]], return_inverse=True)[1].tolist()) for k in bytemix.keys(data, sizes)}
+    assert bytemix.ORDERS == 5 and len(bytemix.keys(data, sizes)) == 5
+    assert any(len(set(g)) == 3 for g in groups)  # more than three bytes back within a word, whatever the word's start
+    assert [len(np.unique(k[[4, 10]])) for k in bytemix.keys(data, sizes)] == [1, 1, 2, 1, 2]

@@ -23,7 +23,9 @@ class Kind:
 
     ``pattern`` is written with possessive repeats, which match what greedy ones match here, as no
     character that may follow a repeat is in it; Java walks them without recursion. Look-behinds
-    keep a failing run from being tried again from each of its characters.
+    keep a failing run from being tried again from each of its characters. Of an iban the pattern is
+    only the beginning: what follows an account number may look like more of it, so all ends are
+    tried (``_accounts``).
     """
 
     name: str
@@ -41,10 +43,16 @@ KINDS = (
     Kind("ip", ".", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.6, "ip|host|server|address|login"),
     Kind("card", "", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){15,18}+(?![ -]?[0-9])", 0.8, "card|credit|visa|pay|amex"),
     Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, "phone|tel|call|mobile|fax"),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?! ?[A-Z0-9])", 0.8, "iban|bank|account|konto|compte"),
+    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", 0.8, "iban|bank|account|konto|compte"),
     Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security|tax id", 0.5, 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
+#: How many characters account numbers have, by country.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def digits(text: Column) -> Column:
@@ -101,9 +109,38 @@ def _matches(text: Column, kind: Kind) -> Column:
 
     found = F.aggregate(parts, first, step, lambda a: a["out"])
     wanted = F.lit(True) if not kind.needs else F.instr(text, kind.needs) > 0
+    if kind.name == "iban":
+        found = _accounts(text, found)
     return F.when(wanted & text.rlike(kind.pattern), found).otherwise(empty)
 
 
+def _accounts(text: Column, begun: Column) -> Column:
+    """The account numbers that begin where a span does, from left to right without overlaps.
+
+    A number ends where no capital or digit follows and mod 97 holds: at its country's length, else as late as possible.
+    """
+    country = F.create_map(*[F.lit(x) for n, names in ACCOUNT_LENGTHS.items() for c in names.split() for x in (c, n)])
+
+    def whole(s: Column) -> Column:
+        rest = F.substring(text, s["start"] + 1, F.lit(68))
+        run = F.regexp_extract(rest, "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", 0)
+        ends = F.filter(
+            F.sequence(F.lit(15), F.greatest(F.length(run), F.lit(15))),
+            lambda n: (F.substring(rest, n, F.lit(1)) != " ") & ~F.substring(rest, n + 1, F.lit(1)).rlike("[A-Z0-9]") & _checked("iban", F.substring(run, F.lit(1), n)),
+        )
+        usual = lambda n: F.length(F.regexp_replace(F.substring(run, F.lit(1), n), " ", "")) == country[F.substring(run, 1, 2)]
+        size = F.array_max(F.transform(ends, lambda n: F.struct(F.coalesce(usual(n), F.lit(False)).alias("usual"), n.alias("n"))))["n"]
+        return F.struct(s["start"].alias("start"), (s["start"] + size).alias("end"))
+
+    def step(a: Column, s: Column) -> Column:
+        span = F.struct(F.lit("iban").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"))
+        out = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+        return F.when(s["end"].isNotNull() & (s["start"] >= a["at"]), out).otherwise(a)
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.aggregate(F.transform(begun, whole), first, step, lambda a: a["out"])
+
+
 def _scored(text: Column, kind: Kind, spans: Column, window: int) -> Column:
     def score(s: Column) -> Column:
         start = F.greatest(s["start"] - window, F.lit(0))
@@ -121,7 +158,7 @@ def find_pii(
     """``id_cols`` and ``name``: array of (kind, start, end, text, score), by kind, then start.
 
     For each kind the leftmost matches that don't overlap; those whose checksum or parts fail are
-    dropped and not tried again. A context word within ``window`` characters raises the score.
+    dropped and not tried again, but of an iban every end is tried. A context word within ``window`` characters raises the score.
     """
     text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), MARK, SPARE)
     held = docs.select(*[F.col(f"`{c}`") for c in id_cols], text.alias("__text"))

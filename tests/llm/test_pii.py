@@ -47,6 +47,14 @@ def test_added_kinds_scores_and_masks(docs_of, spark):
     assert {r[0]: r[1] for r in both.select("doc_id", pii.masked(both.text, both.entities)).collect()}[4] == "mail me: [email]"
 
 
+def test_account_numbers_before_other_words(docs_of):
+    de, gb, spaced = "DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"
+    every = [f"{de} Please pay", f"{de} {gb}", f"{spaced} 42 EUR", f"{de} {spaced} {gb} A", f"AB12 {de}", f"{de}1", "é😀 " + de, f"{spaced}\n{gb}", "AB12 " * 4000 + de]
+    got = {r.doc_id: [(e.start, e.text) for e in r.entities if e.kind == "iban"] for r in pii.find_pii(docs_of(every)).collect()}
+    want = [[de], [de, gb], [spaced], [de, spaced, gb], [de], [], [de], [spaced, gb], [de]]
+    assert got == {i: [(every[i].rindex(w), w) for w in ws] for i, ws in enumerate(want)}
+
+
 def test_query(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.cc é 1.2.3.4"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in registry.op4_pii(spark, str(tmp_path)).collect()}

@@ -12,6 +12,7 @@ on, after each byte by its error.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,6 +157,16 @@ class KeyCounts:
         return distinct(*(np.concatenate([none, *(p[i] for p in self.parts[k])]) for i in (0, 1)))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all values before the second ones."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T), 1)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size."""
     ends = np.cumsum(size)

@@ -120,8 +120,8 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
                 if lo < hi:
                     kind.append(k)
                     bucket.append(i)
-                    held.append(key[lo:hi].tobytes())
-                    times.append(count[lo:hi].astype(np.int32).tobytes())
+                    held.append(bytemix.packed(np.diff(key[lo:hi], prepend=0)))
+                    times.append(bytemix.packed(count[lo:hi].astype(np.int32)))
         none, more = [None] * len(word), [None] * len(kind)
         return pa.table({
             "block": pa.array([block.as_py()] * (len(word) + len(kind))), "word": pa.array(word + more, pa.binary()), "n": pa.array(n + more, pa.int64()),
@@ -134,15 +134,15 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
 
     def answer(rows: pa.Table) -> pa.Table:
         """For each block what is said of the bits of its keys, those of one context and bucket."""
-        held = [np.frombuffer(b, np.int64) for b in rows.column("keys").to_pylist()]
-        times = [np.frombuffer(b, np.int32) for b in rows.column("times").to_pylist()]
+        held = [np.cumsum(bytemix.unpacked(b, np.int64)) for b in rows.column("keys").to_pylist()]
+        times = [bytemix.unpacked(b, np.int32) for b in rows.column("times").to_pylist()]
         key, n = bytemix.distinct(np.concatenate(held), np.concatenate(times).astype(np.int64))
         start, said = bytemix.answers(code.value, key, n)
         said, size = said.astype(np.float16), code.value.size[key & 0xFFFF]
         out = []
         for own in held:
             at = np.searchsorted(key, own)
-            out.append(said[bytemix.flat(start[at], size[at])].tobytes())
+            out.append(bytemix.packed(said[bytemix.flat(start[at], size[at])]))
         return pa.table({"block": rows.column("block"), "k": rows.column("k"), "bucket": rows.column("bucket"), "said": pa.array(out, pa.binary())})
 
     said_of = all_counts.where("k is not null").groupBy("k", "bucket").applyInArrow(answer, "block bigint, k int, bucket int, said binary")
@@ -176,7 +176,7 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
             for part in bytemix.batches(raw):
                 seen.add(part, np.zeros(len(part), bool))
             k, said = told.column("k").to_pylist(), told.column("said").to_pylist()
-            tables = [(seen.of(i)[0], np.frombuffer(b"".join(x for j, x in zip(k, said, strict=True) if j == i), np.float16)) for i in range(bytemix.ORDERS)]
+            tables = [(seen.of(i)[0], np.concatenate([np.zeros(0, np.float16), *(bytemix.unpacked(x, np.float16) for j, x in zip(k, said, strict=True) if j == i)])) for i in range(bytemix.ORDERS)]
             score = bytemix.score(code.value, bytemix.Known(code.value, tables, raw), raw)
             size[:] = [len(t) + 1 for t in raw]
         score /= math.log(10)

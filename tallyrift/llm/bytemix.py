@@ -307,16 +307,22 @@ class Known:
     def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]], texts: list[bytes]):
         """``tables``: for each context the distinct keys in order, and what is said of all their bits."""
         self.tables = [said for _, said in tables]
-        places = [Places(key) for key, _ in tables]
-        starts = []
+        self.places = [Places(key) for key, _ in tables]
+        self.starts = starts = []
         for key, _ in tables:
             size = code.size[key & 0xFFFF]
             starts.append((np.cumsum(size) - size).astype(np.int32))
-        parts: list[list[np.ndarray]] = [[] for _ in tables]
+        self.start = self.meet(texts)
+
+    def meet(self, texts: list[bytes]) -> list[np.ndarray]:
+        """From now on it is about these texts."""
+        self.start = [np.zeros(sum(map(len, texts)) + len(texts), np.int32) for _ in self.tables]
+        at = 0
         for part in batches(texts):
             for k, key in enumerate(keys(*joined(part))):
-                parts[k].append(starts[k][places[k](key)])
-        self.start = [np.concatenate(p) for p in parts]
+                self.start[k][at : at + len(key)] = self.starts[k][self.places[k](key)]
+            at += len(key)
+        return self.start
 
     def said(self, row: np.ndarray, spread: Bits) -> list[np.ndarray]:
         return [t[flat(s[row], spread.size)] for t, s in zip(self.tables, self.start, strict=True)]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bytemix
 from .base import stash
 
-BLOCK_BYTES, BUCKET_BYTES, BATCH = 8 << 20, 32 << 20, 80_000
+BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 16 << 20, 4 << 20, 32 << 20, 80_000
 #: Texts of up to so many bytes, and longer ones, have blocks of their own: a block takes as many steps as its longest text.
 LENGTHS = (4 << 10, 16 << 10)
 
@@ -177,8 +177,15 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
                 seen.add(part, np.zeros(len(part), bool))
             k, said = told.column("k").to_pylist(), told.column("said").to_pylist()
             tables = [(seen.of(i)[0], np.concatenate([np.zeros(0, np.float16), *(bytemix.unpacked(x, np.float16) for j, x in zip(k, said, strict=True) if j == i)])) for i in range(bytemix.ORDERS)]
-            score = bytemix.score(code.value, bytemix.Known(code.value, tables, raw), raw)
             size[:] = [len(t) + 1 for t in raw]
+            del seen, said
+            model = bytemix.Known(code.value, tables, [])
+            # Texts of like lengths go forward together.
+            order = np.argsort(size, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // GROUP_BYTES)) + 1):
+                group = [raw[i] for i in own]
+                model.meet(group)
+                score[own] = bytemix.score(code.value, model, group)
         score /= math.log(10)
         return pa.table({
             "id": left.column("id"), "trains": left.column("trains"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),

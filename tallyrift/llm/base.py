@@ -11,31 +11,47 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests,
-    a folder in the warehouse (which is shared as well) takes its place.
+    a folder in the warehouse (which is shared as well) takes its place; on a cluster
+    a warehouse that only one machine sees is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stash"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+    return warehouse + "/_stash"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     A lost executor loses nothing, as the files outlive it, and later reads prune columns.
-    Files are as lasting as checkpoints; ``clear_stash`` removes those of a session.
+    ``release`` removes a table that nothing reads any more, ``clear_stash`` all of a session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``stash`` returned, once all that was made from them is written."""
+    for t in tables:
+        _remove(t.sparkSession, t.stash_path)
 
 
 def clear_stash(spark: SparkSession) -> None:
     """Remove every table that ``stash`` wrote in this session."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,20 +1,23 @@
 """Toxicity: the nearest labelled examples by exact TF-IDF cosine vote, weighted by distance.
 
 Labelled examples are a bounded sample: at most ``most`` of each label, those whose ids hash least.
-Terms are words and the first four to six letters of words, and that one of these occurs at least
-twice or three times; those kept are the ``terms`` that the labels of the sample depend on most (chi
-square, at least ``chi``). Document frequencies are counted
-over all documents. The index, whose size those bounds fix, is broadcast.
-
-The search for the nearest is exact: each term has the largest weight of each block of examples, so a
-block's bound is a sum over the query's terms; blocks are scored in the order of their bounds until
-the next bound is below the k-th best cosine. Votes become scores by a monotonic fit of the sample's
-own leave-one-out votes, each label weighted by how many rows have it.
-
-Texts that are null, empty or without any kept term are nearest to nothing: their score is the share
-of toxic ones among such examples. Labels of ids that aren't in the documents, and null labels, count
-for nothing; an id with several labels is toxic if one of them is. Repeated rows are scored one by
-one; an empty table gives no rows. Only the columns named are read.
+Terms are words and the first four to six letters of words, all of those that an example has; none is
+cut. A term weighs (1 + log tf) * idf * telling: idf from the document frequencies over all documents,
+telling from the sample, the logarithm of the odds that a toxic example has it against a clean one
+(without it, words that say nothing drown those that do: see the README). Terms that no example has
+can't match any and are left out of a text's length. The index, whose size those bounds fix, is broadcast.
+
+The index is inverted, by blocks of examples: a term has an entry for each block that holds it, with
+the largest weight there and where its postings begin. A block's bound is a sum over the query's
+entries; blocks are evaluated in the order of their bounds until the next bound is below the k-th best
+cosine, so the search is exact. Equal cosines at the k-th place all vote. Votes become scores by a
+monotonic fit of the sample's own leave-one-out votes, each label weighted by how many rows have it.
+
+Texts that are null, empty or share no term with any example are nearest to nothing: their score is
+the share of toxic ones among such examples. Labels of ids that aren't in the documents, and null
+labels, count for nothing; an id with several labels is toxic if one of them is, one with several
+texts stands for the least of them. Repeated rows are scored one by one; very long texts are read
+whole; an empty table gives no rows. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -22,102 +25,134 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import release, stash
+
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
-STARTS, OFTEN = (4, 5, 6), (2, 3)
+STARTS = (4, 5, 6)
+#: Characters of the words that a Python worker remembers, and of the longest of them.
+KNOWN_CHARS, LONGEST = 8_000_000, 64
 
 
-def _bases(word: str) -> list[str]:
+def _terms(word: str) -> list[str]:
+    """A word's terms; a star ends the beginning of a word."""
     return [word, *(word[:size] + "*" for size in STARTS if len(word) >= size)]
 
 
 def terms_of(text: str | None) -> dict[str, int]:
-    """How often each term occurs. A star ends the beginning of a word; ``+n`` says: n times or more."""
+    """How often each term occurs."""
     out: Counter = Counter()
     for w, n in Counter(WORD.findall(text.lower()) if text else ()).items():
-        for t in _bases(w):
+        for t in _terms(w):
             out[t] += n
-    return dict(out) | {f"{t}+{least}": 1 for t, n in out.items() for least in OFTEN if n >= least}
+    return dict(out)
 
 
 class Matcher:
-    """The kept terms of texts. Words already seen are remembered, a fixed number of them."""
-
-    def __init__(self, place: dict[str, int]):
-        levels: dict[str, list[tuple[int, int]]] = {}
-        for term, at in place.items():
-            base, plus, least = term.partition("+")
-            levels.setdefault(base, []).append((int(least) if plus else 0, at))
-        self.levels, self.known = levels, {}
+    """The terms of texts that are in a vocabulary, by number. Words already seen are remembered, up to a size."""
+
+    def __init__(self, vocabulary: str):
+        self.place = {t: i for i, t in enumerate(vocabulary.split("\n"))} if vocabulary else {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def _learn(self, word: str) -> tuple[int, ...]:
+        at = tuple(i for t in _terms(word) if (i := self.place.get(t)) is not None)
+        if len(word) <= LONGEST:
+            if self.held > KNOWN_CHARS:
+                self.known.clear()
+                self.held = 0
+            self.known[word] = at
+            self.held += len(word) + 8
+        return at
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, how often) in the order of the terms."""
-        bases: Counter = Counter()
+        found: dict[int, int] = {}
         if text:
-            known, levels = self.known, self.levels
+            get, known = found.get, self.known.get
             for w, n in Counter(WORD.findall(text.lower())).items():
-                at = known.get(w)
-                if at is None:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[w] = at = tuple(t for t in _bases(w) if t in levels)
-                for t in at:
-                    bases[t] += n
-        found = {at: 1 if least else n for t, n in bases.items() for least, at in self.levels[t] if n >= least}
-        ids = np.array(sorted(found), np.int64)
-        return ids, np.array([found[t] for t in ids.tolist()], np.float64)
+                at = known(w)
+                for t in self._learn(w) if at is None else at:
+                    found[t] = get(t, 0) + n
+        ids = np.fromiter(found, np.int64, len(found))
+        tf = np.fromiter(found.values(), np.float64, len(found))
+        order = np.argsort(ids)
+        return ids[order], tf[order]
+
+
+def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples by term, the largest weight of each block, and their labels."""
-
-    place: dict[str, int]
-    idf: np.ndarray
-    weights: np.ndarray  # terms x examples
-    most: np.ndarray  # terms x blocks
-    toxic: np.ndarray
-    ids: np.ndarray
+    """The examples' unit vectors as postings by term, and by block within a term."""
+
+    vocabulary: str  # all terms, one a line
+    weight: np.ndarray  # idf * telling of each term
+    toxic: np.ndarray  # of each example
+    ids: list
+    entries: np.ndarray  # where each term's entries begin; one more at the end
+    block: np.ndarray  # of each entry
+    most: np.ndarray  # the largest weight of each entry's postings
+    postings: np.ndarray  # where each entry's postings begin; one more at the end
+    example: np.ndarray  # of each posting
+    value: np.ndarray
     none: float = 0.0  # the score of texts without neighbours
     votes: np.ndarray | None = None  # the fit from votes to scores
     scores: np.ndarray | None = None
+    _matcher: Matcher | None = field(default=None, repr=False)
+
+    def matcher(self) -> Matcher:
+        """Made once in each worker."""
+        if self._matcher is None:
+            self._matcher = Matcher(self.vocabulary)
+        return self._matcher
 
     def unit(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[ids]
+        w = (1 + np.log(tf)) * self.weight[ids]
         size = np.sqrt((w**2).sum())
         return w / size if size > 0 else w
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, ties to the first, and their cosines."""
-        bound = w @ self.most[ids] + 1e-9
+        """The k examples of the largest positive cosine, with all that tie with the last, and their cosines."""
+        first = self.entries[ids]
+        size = self.entries[ids + 1] - first
+        at = flat(first, size)
+        own = np.repeat(w, size)
+        of = self.block[at]
+        n = len(self.toxic)
+        bound = np.bincount(of, self.most[at] * own, -(-n // BLOCK)) + 1e-9
         order = np.argsort(-bound, kind="stable")
         bound = bound[order]
-        seen, cos, least, at, step = [], [], 0.0, 0, 2
-        n = self.weights.shape[1]
-        while at < len(order) and bound[at] > 1e-8 and bound[at] >= least:
-            rows = (order[at : at + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < n]
-            c = w @ self.weights[np.ix_(ids, rows)]
+        last = int(np.searchsorted(-bound, -2e-9, "right"))  # blocks that share a term
+        cos, least, done, step = np.zeros(n), 0.0, 0, 4
+        while done < last and bound[done] >= least:
+            now = np.zeros(len(order), bool)
+            now[order[done : min(done + step, last)]] = True
+            some = np.flatnonzero(now[of])
+            begin = self.postings[at[some]]
+            many = self.postings[at[some] + 1] - begin
+            spot = flat(begin, many)
+            cos += np.bincount(self.example[spot], self.value[spot] * np.repeat(own[some], many), n)
             if skip >= 0:
-                c[rows == skip] = 0
-            seen.append(rows)
-            cos.append(c)
-            every = np.concatenate(cos)
-            least = np.partition(every, len(every) - k)[len(every) - k] if len(every) >= k else 0.0
-            at, step = at + step, step * 2
-        if not seen:
-            return np.zeros(0, np.int64), np.zeros(0)
-        seen, every = np.concatenate(seen), np.concatenate(cos)
-        best = np.lexsort((seen, -every))[:k]
-        best = best[every[best] > 1e-8]
-        return seen[best], every[best]
+                cos[skip] = 0
+            least = np.partition(cos, n - k)[n - k] if n >= k else 0.0
+            done, step = done + step, step * 4
+        good = np.flatnonzero(cos >= max(least * (1 - 1e-12), 1e-8))
+        best = good[np.argsort(-cos[good], kind="stable")]
+        return best, cos[best]
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         w = 1 / (1.05 - cos)
@@ -149,104 +184,117 @@ def monotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array(px), np.maximum.accumulate(np.array(py))
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_col: str, label_col: str, k: int, most: int, terms: int, chi: float) -> Index:
+def telling(with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """How far the odds of each term in toxic examples are from those in clean ones, by their logarithm."""
+    return np.abs(np.log((with_toxic + 0.5) / (toxic + 1)) - np.log((with_clean + 0.5) / (clean + 1)))
+
+
+def build(ids: list, toxic: np.ndarray, vocabulary: list[str], vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int, rows: tuple[int, int], k: int) -> Index:
+    """The index of examples with sorted terms and their frequencies; ``rows``: how many clean and toxic rows there are."""
+    size = (int((toxic == 0).sum()), int((toxic == 1).sum()))
+    has = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(v[0] for v, y in zip(vectors, toxic, strict=True) if y == label)]), minlength=len(vocabulary)) for label in (0, 1)]
+    weight = (np.log((n + 1) / (df + 1)) + 1e-3) * telling(has[1], has[0], size[1], size[0])
+    none = np.zeros(0, np.int64)
+    index = Index("\n".join(vocabulary), weight, toxic.astype(float), ids, none, none, none, none, none, none)
+    units = [index.unit(*v) for v in vectors]
+    # Examples with the same strongest term stand together, so that blocks differ.
+    strongest = [int(v[0][u.argmax()]) if len(u) else -1 for v, u in zip(vectors, units, strict=True)]
+    order = np.argsort(strongest, kind="stable")
+    vectors, units = [vectors[i] for i in order], [units[i] for i in order]
+    index.toxic, index.ids = index.toxic[order], [ids[i] for i in order]
+    example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    term, value = np.concatenate([none, *(v[0] for v in vectors)]), np.concatenate([np.zeros(0), *units])
+    by = np.argsort(term, kind="stable")
+    term, example, value = term[by], example[by], value[by]
+    key = term * (len(vectors) // BLOCK + 1) + example // BLOCK
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else none
+    index.block = (example[begin] // BLOCK).astype(np.int32)
+    index.most = np.maximum.reduceat(value, begin) if len(key) else np.zeros(0)
+    index.postings = np.append(begin, len(key)).astype(np.int32)
+    index.entries = np.searchsorted(term[begin], np.arange(len(vocabulary) + 1)).astype(np.int32)
+    index.example, index.value = example.astype(np.int32), value
+    share = np.array([rows[y] / max(size[y], 1) for y in (0, 1)])
+    votes, ys, ws, alone = [], [], [], [0.5, 0.05]
+    for j, (v, u) in enumerate(zip(vectors, units, strict=True)):
+        y = int(index.toxic[j])
+        near, cos = index.nearest(v[0], u, k, skip=j) if len(u) else ((), ())
+        if len(near):
+            votes.append(index.vote(near, cos))
+            ys.append(y)
+            ws.append(share[y])
+        else:
+            alone = [alone[0] + share[y], alone[1] + share[y] * y]
+    index.none = alone[1] / alone[0]
+    if votes:
+        index.votes, index.scores = monotonic(np.array(votes), np.array(ys, float), np.array(ws))
+    return index
+
+
+def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_col: str, label_col: str, k: int, most: int) -> Index:
     """The index. ``trains``: which ids of ``labels`` may be learned from."""
     spark = docs.sparkSession
     marked = labels.where(trains & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     known = texts.select("_id").where("_id is not null").distinct().join(marked, "_id")
     rows = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
-    # The bounded sample: two times ``most`` ids at most.
-    pick = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most).collect()
-    chosen = spark.createDataFrame([(r[0], r[1]) for y in (0, 1) for r in pick(y)], "_id bigint, _y int")
-    sample = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    # The bounded sample: two times ``most`` examples at most.
+    pick = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = stash(pick(0).unionByName(pick(1)), "chosen")
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(terms_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["term", "y"])
-
-    size = {y: min(most, rows.get(y, 0)) for y in (0, 1)}
-    a, b = F.col("a"), F.col("b")  # toxic and clean examples with the term
-    c, d = F.lit(size[1]) - a, F.lit(size[0]) - b
-    chi2 = (a * d - b * c) ** 2 * F.lit(float(size[0] + size[1])) / F.greatest((a + b) * (c + d) * F.lit(float(max(size[0] * size[1], 1))), F.lit(1.0))
-    kept = (
-        sample.select("_y", "_text").mapInArrow(explode, "term string, y int").groupBy("term")
-        .agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-        .where("a + b >= 3").withColumn("chi", chi2).where(F.col("chi") >= chi).orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()
-    )
-    place = {t: i for i, t in enumerate(sorted(r[0] for r in kept))}
-    held = spark.sparkContext.broadcast(place)
+            found = [terms_of(t) for t in batch.column(2).to_pylist()]
+            terms, tf = pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, tf], ["_id", "_y", "terms", "tf"])
+
+    kind = dict(docs.dtypes)[id_col]
+    examples = sample.select("_id", F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(split, f"_id {kind}, _y int, terms array<string>, tf array<bigint>")
+    # At most two times ``most`` rows reach the driver.
+    got = examples.orderBy("_y", "_id").toArrow().combine_chunks()
+    release(chosen)
+    empty = pa.array([], pa.string())
+    coded = pa.concat_arrays([empty, *(c.flatten() for c in got.column("terms").chunks)]).dictionary_encode()
+    rank = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")) if len(coded.dictionary) else np.zeros(0, np.int64)
+    vocabulary = sorted(coded.dictionary.to_pylist())
+    every = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    tf = np.array(pa.concat_arrays([pa.array([], pa.int64()), *(c.flatten() for c in got.column("tf").chunks)]), np.float64)
+    vectors, at = [], 0
+    for size in pc.list_value_length(got.column("tf")).to_pylist():
+        own = np.argsort(every[at : at + size])
+        vectors.append((every[at : at + size][own], tf[at : at + size][own]))
+        at += size
+    held = spark.sparkContext.broadcast("\n".join(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, df, n = Matcher(held.value), np.zeros(len(held.value), np.int64), 0
+        match = Matcher(held.value)
+        df, n = np.zeros(len(match.place), np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                for text in batch.column(0).slice(at, 1024).to_pylist():
+            for lo in range(0, batch.num_rows, 1024):
+                for text in batch.column(0).slice(lo, 1024).to_pylist():
                     df[match(text)[0]] += 1
                     n += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
-    # Document frequencies over all documents; ``terms`` + 1 rows reach the driver.
-    df = {r[0]: r[1] for r in texts.select("_text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect()}
-    n = df.get(-1, 0)
-    idf = np.log((n + 1) / (np.array([df.get(i, 0) for i in range(len(place))], float) + 1)) + 1e-3
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(held.value)
-        for batch in batches:
-            found = [match(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                ["_id", "_y", "terms", "tf"],
-            )
-
-    got = sample.select("_id", "_y", "_text").mapInArrow(vectors, "_id bigint, _y int, terms array<bigint>, tf array<double>").collect()
-    got = sorted(got, key=lambda r: (r["_y"], r["_id"]))
-    index = Index(place, idf, np.zeros((len(place), len(got))), np.zeros((len(place), 0)), np.array([r["_y"] for r in got], float), np.array([r["_id"] for r in got], np.int64))
-    # Examples with the same strongest term stand together, so that blocks differ.
-    strongest = []
-    for r in got:
-        ids, tf = np.array(r["terms"], np.int64), np.array(r["tf"])
-        strongest.append(int(ids[index.unit(ids, tf).argmax()]) if len(ids) else -1)
-    order = np.argsort(strongest, kind="stable")
-    got = [got[i] for i in order]
-    index.toxic, index.ids = index.toxic[order], index.ids[order]
-    for j, r in enumerate(got):
-        ids = np.array(r["terms"], np.int64)
-        if len(ids):
-            index.weights[ids, j] = index.unit(ids, np.array(r["tf"]))
-    blocks = -(-len(got) // BLOCK)
-    index.most = np.stack([index.weights[:, b * BLOCK : (b + 1) * BLOCK].max(1) for b in range(blocks)], 1) if blocks else np.zeros((len(place), 0))
-    share = np.array([rows.get(0, 0) / max(size[0], 1), rows.get(1, 0) / max(size[1], 1)])
-    votes, ys, ws, alone = [], [], [], [0.5, 0.05]
-    for j, r in enumerate(got):
-        y, w = r["_y"], share[r["_y"]]
-        ids = np.array(r["terms"], np.int64)
-        near, cos = index.nearest(ids, index.weights[ids, j], k, skip=j) if len(ids) else ((), ())
-        if len(near):
-            votes.append(index.vote(near, cos))
-            ys.append(y)
-            ws.append(w)
-        else:
-            alone = [alone[0] + w, alone[1] + w * y]
-    index.none = alone[1] / alone[0]
-    if votes:
-        index.votes, index.scores = monotonic(np.array(votes), np.array(ys, float), np.array(ws))
-    return index
+    # Document frequencies over all documents: a row for each term of the sample reaches the driver.
+    counted = texts.select("_text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held.unpersist()
+    df, n, term = np.zeros(len(vocabulary), np.int64), counted.column("n").to_numpy(), counted.column("term").to_numpy()
+    df[term[term >= 0]] = n[term >= 0]
+    toxic = got.column("_y").to_numpy()
+    return build(got.column("_id").to_pylist(), toxic, vocabulary, vectors, df, int(n[term < 0].sum()), (rows.get(0, 0), rows.get(1, 0)), k)
 
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 2000, terms: int = 1024, chi: float = 40.0,
+    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 2000,
 ) -> DataFrame:
     """``keep`` or ``id_col``, score, evidence (ids of the nearest examples, at most three) for each row.
 
     ``names``: what the last two are called, for rows that have columns of those names.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trains, id_col, text_col, label_col, k, most, terms, chi))
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trains, id_col, text_col, label_col, k, most))
     keep = keep or (id_col,)
     kinds = dict(docs.dtypes)
     sent = keep if text_col in keep else (*keep, text_col)
@@ -254,7 +302,7 @@ def toxicity_scores(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
-        match = Matcher(at.place)
+        match = at.matcher()
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
@@ -263,9 +311,9 @@ def toxicity_scores(
                     ids, tf = match(text)
                     rows, cos = at.nearest(ids, at.unit(ids, tf), k) if len(ids) else ((), ())
                     score.append(at.score(rows, cos))
-                    near.append(at.ids[rows[:3]].tolist() if len(rows) else [])
-                cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(pa.int64()))]
+                    near.append([at.ids[i] for i in rows[:3]])
+                cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(batch.column(sent.index(id_col)).type if id_col in sent else pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{names[0]}` double, `{names[1]}` array<bigint>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{names[0]}` double, `{names[1]}` array<{kinds[id_col]}>"
     return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(judge, schema)

@@ -1,11 +1,14 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tallyrift.llm import toxicity
-from tallyrift.llm.toxicity import Index, Matcher, monotonic, terms_of, toxicity_scores
+from tallyrift.llm.toxicity import Matcher, monotonic, terms_of, toxicity_scores
 
 
 def made(n=600, seed=2):
@@ -43,23 +46,97 @@ def test_without_labels_or_rows(docs_of, spark):
     assert len(toxicity_scores(docs_of(["a b", "c"]), one, F.lit(True), keep=("doc_id", "text", "score"), names=("s", "e")).columns) == 5
 
 
+def vectors_of(r, n, terms):
+    out = []
+    for _ in range(n):
+        ids = np.sort(r.choice(terms, r.integers(1, 9), replace=False))
+        out.append((ids, r.integers(1, 4, len(ids)).astype(float)))
+    return out
+
+
 def test_search_is_exact():
     r = np.random.default_rng(1)
-    w = r.random((40, 700)) * (r.random((40, 700)) < 0.15)
-    w /= np.maximum(np.sqrt((w**2).sum(0)), 1e-12)
-    most = np.stack([w[:, b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK].max(1) for b in range(-(-700 // toxicity.BLOCK))], 1)
-    index = Index({}, np.ones(40), w, most, np.zeros(700), np.arange(700))
-    for _ in range(50):
-        ids = np.sort(r.choice(40, r.integers(1, 8), replace=False))
-        q = r.random(len(ids))
-        near, cos = index.nearest(ids, q / np.sqrt((q**2).sum()), 15)
-        want = np.sort((q / np.sqrt((q**2).sum())) @ w[ids])[::-1][:15]
-        assert np.allclose(cos, want[want > 1e-8]) and len(set(near.tolist())) == len(near)
+    n, terms = 700, 40
+    vectors = vectors_of(r, n, terms)
+    vectors[5:9] = [vectors[4]] * 4  # ties
+    toxic = r.integers(0, 2, n)
+    index = toxicity.build(list(range(n)), toxic, [f"t{i:02d}" for i in range(terms)], vectors, r.integers(1, 50, terms), 1000, (n, n), 15)
+    dense = np.zeros((n, terms))
+    for row, at in enumerate(index.ids):
+        dense[row, vectors[at][0]] = index.unit(*vectors[at])
+    for _ in range(80):
+        ids, tf = vectors_of(r, 1, terms)[0]
+        w = index.unit(ids, tf)
+        near, cos = index.nearest(ids, w, 15)
+        full = dense[:, ids] @ w
+        last = np.sort(full)[::-1][14]
+        want = np.flatnonzero(full >= max(last - 1e-12, 1e-8))
+        assert sorted(near.tolist()) == want.tolist() and np.allclose(cos, full[near])
+    assert index.most.tolist() == [index.value[a:b].max() for a, b in zip(index.postings[:-1], index.postings[1:], strict=True)]
+
+
+def slow_scores(texts, labelled, k=15):
+    """All of it again with dictionaries: labelled is {text number: toxic}."""
+    parsed = [Counter() for _ in texts]
+    for c, t in zip(parsed, texts, strict=True):
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            c.update([w, *(w[:s] + "*" for s in (4, 5, 6) if len(w) >= s)])
+    toxic, clean = [i for i, y in labelled.items() if y], [i for i, y in labelled.items() if not y]
+    terms = {t for i in labelled for t in parsed[i]}
+    weight = {}
+    for t in terms:
+        df = sum(t in c for c in parsed)
+        odds = [math.log((sum(t in parsed[i] for i in group) + 0.5) / (len(group) + 1)) for group in (toxic, clean)]
+        weight[t] = (math.log((len(texts) + 1) / (df + 1)) + 1e-3) * abs(odds[0] - odds[1])
+
+    def unit(c):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in terms}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()} if size else v
+
+    units = [unit(c) for c in parsed]
+
+    def vote(i, own):
+        cos = {j: sum(x * units[j].get(t, 0.0) for t, x in units[i].items()) for j in labelled if j != own}
+        best = sorted(cos.values(), reverse=True)
+        near = [j for j, c in cos.items() if c >= max(best[min(k, len(best)) - 1] * (1 - 1e-12), 1e-8)]
+        if not near:
+            return None
+        w = {j: 1 / (1.05 - cos[j]) for j in near}
+        return sum(w[j] * labelled[j] for j in near) / sum(w.values())
+
+    alone = {i: vote(i, i) for i in labelled}
+    none = [0.5 + sum(v is None for v in alone.values()), 0.05 + sum(labelled[i] for i, v in alone.items() if v is None)]
+    some = [i for i, v in alone.items() if v is not None]
+    x, y = monotonic(np.array([alone[i] for i in some]), np.array([labelled[i] for i in some], float), np.ones(len(some)))
+    out = []
+    for i in range(len(texts)):
+        v = vote(i, None)
+        out.append(none[1] / none[0] if v is None else 0.97 * float(np.interp(v, x, y)) + 0.03 * v)
+    return out
+
+
+def test_whole_score_equals_the_slow_one(docs_of, spark):
+    texts, toxic = made(150, seed=9)
+    texts = [*texts, None, "", "12 !", texts[0], texts[0], texts[7], "ab"]
+    labelled = {i: toxic[i] for i in range(150) if zlib.crc32(str(i).encode()) % 3 != 1}
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity_scores(docs_of(texts), labels, F.crc32(F.col("doc_id").cast("string")) % 3 != 1).collect()}
+    want = slow_scores(texts, labelled)
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-9)
+    assert got[153] == got[154] == got[0]  # repeated rows
+
+
+def test_ids_of_other_kinds_and_with_several_texts(spark):
+    docs = spark.createDataFrame([("a", "vile scum"), ("a", "good day"), ("b", "good day all"), ("c", "vile")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "doc_id string, toxic int")
+    got = toxicity_scores(docs, labels, F.lit(True)).collect()
+    assert len(got) == 4 and {e for r in got for e in r.evidence} <= {"a", "b"}
 
 
 def test_terms_and_fit():
-    assert terms_of("Abcdef abcdef") == {"abcdef": 2, "abcd*": 2, "abcde*": 2, "abcdef*": 2, "abcdef+2": 1, "abcd*+2": 1, "abcde*+2": 1, "abcdef*+2": 1}
-    ids, tf = Matcher({"abcd*": 0, "abcdef+2": 1, "zz": 2})("abcdef Abcdef abcd")
-    assert ids.tolist() == [0, 1] and tf.tolist() == [3, 1]
+    assert terms_of("Abcdef abcdef") == {"abcdef": 2, "abcd*": 2, "abcde*": 2, "abcdef*": 2}
+    ids, tf = Matcher("abcd*\nabcdef\nzz")("abcdef Abcdef abcd " + "x" * 100)
+    assert ids.tolist() == [0, 1] and tf.tolist() == [3, 2]
     x, y = monotonic(np.array([0.0, 0.5, 1.0]), np.array([0.0, 1.0, 1.0]), np.ones(3))
     assert (np.diff(y) >= 0).all() and y[0] < 0.5 < y[-1]

@@ -26,12 +26,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .base import release, stash
 
@@ -40,6 +42,10 @@ BLOCK = 64
 STARTS = (4, 5, 6)
 #: Characters of the words that a Python worker remembers, and of the longest of them.
 KNOWN_CHARS, LONGEST = 8_000_000, 64
+#: Characters of the texts that are matched at once.
+BATCH = 1_000_000
+#: Terms that so large a share of the examples has become rows of a matrix where they are searched.
+COMMON = 0.08
 
 
 def _terms(word: str) -> list[str]:
@@ -56,37 +62,57 @@ def terms_of(text: str | None) -> dict[str, int]:
     return dict(out)
 
 
-class Matcher:
+class Matcher(dict):
     """The terms of texts that are in a vocabulary, by number. Words already seen are remembered, up to a size."""
 
     def __init__(self, vocabulary: str):
+        super().__init__()
         self.place = {t: i for i, t in enumerate(vocabulary.split("\n"))} if vocabulary else {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.of: list[tuple[int, ...]] = []
         self.held = 0
 
-    def _learn(self, word: str) -> tuple[int, ...]:
-        at = tuple(i for t in _terms(word) if (i := self.place.get(t)) is not None)
+    def __missing__(self, word: str) -> int:
+        self.of.append(tuple(i for t in _terms(word) if (i := self.place.get(t)) is not None))
         if len(word) <= LONGEST:
-            if self.held > KNOWN_CHARS:
-                self.known.clear()
-                self.held = 0
-            self.known[word] = at
+            self[word] = len(self.of) - 1
             self.held += len(word) + 8
-        return at
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, how often) in the order of the terms."""
-        found: dict[int, int] = {}
-        if text:
-            get, known = found.get, self.known.get
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                at = known(w)
-                for t in self._learn(w) if at is None else at:
-                    found[t] = get(t, 0) + n
-        ids = np.fromiter(found, np.int64, len(found))
-        tf = np.fromiter(found.values(), np.float64, len(found))
-        order = np.argsort(ids)
-        return ids[order], tf[order]
+        return len(self.of) - 1
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each text's terms begin, one more at the end; terms in order; how often each)."""
+        if self.held > KNOWN_CHARS:
+            self.clear()
+            self.of, self.held = [], 0
+        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        sizes = [len(w) for w in words]
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        wide = max(len(self.of), 1)
+        key, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * wide + number, return_counts=True)
+        doc, number = np.divmod(key, wide)
+        some, where = np.unique(number, return_inverse=True)
+        terms = [self.of[i] for i in some.tolist()]
+        long = np.array([len(t) for t in terms], np.int64)
+        every = np.fromiter(chain.from_iterable(terms), np.int64, int(long.sum()))
+        size = long[where]
+        term = every[flat((np.cumsum(long) - long)[where], size)]
+        key = np.repeat(doc, size) * max(len(self.place), 1) + term
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], np.repeat(n, size)[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        doc, term = np.divmod(key[first], max(len(self.place), 1))
+        return np.searchsorted(doc, np.arange(len(texts) + 1)), term, np.add.reduceat(n, first) if len(first) else n
+
+
+def batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """The texts in runs, from and to, of BATCH characters or a little more."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 100
+        if held >= BATCH:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -109,10 +135,13 @@ class Index:
     postings: np.ndarray  # where each entry's postings begin; one more at the end
     example: np.ndarray  # of each posting
     value: np.ndarray
+    wide: int = 0  # so many terms, the first ones, are common
+    share: float = 0.0  # of toxic rows
     none: float = 0.0  # the score of texts without neighbours
     votes: np.ndarray | None = None  # the fit from votes to scores
     scores: np.ndarray | None = None
     _matcher: Matcher | None = field(default=None, repr=False)
+    _common: np.ndarray | None = field(default=None, repr=False)
 
     def matcher(self) -> Matcher:
         """Made once in each worker."""
@@ -120,27 +149,61 @@ class Index:
             self._matcher = Matcher(self.vocabulary)
         return self._matcher
 
+    @property
+    def common(self) -> np.ndarray:
+        """The common terms' weights in all examples, made of their postings once in each worker."""
+        if self._common is None:
+            self._common = np.zeros((self.wide, len(self.toxic)))
+            last = self.entries[self.wide] if len(self.entries) else 0
+            term = np.repeat(np.arange(self.wide), np.diff(self.postings[self.entries[: self.wide + 1]])) if last else np.zeros(0, np.int64)
+            self._common[term, self.example[: len(term)]] = self.value[: len(term)]
+        return self._common
+
     def unit(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.weight[ids]
         size = np.sqrt((w**2).sum())
         return w / size if size > 0 else w
 
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, with all that tie with the last, and their cosines."""
+    def all_nearest(self, begin: np.ndarray, terms: np.ndarray, tf: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of some texts, as a matcher gives them."""
+        for lo in range(0, len(begin) - 1, 128):
+            at = begin[lo : lo + 129]
+            units = [self.unit(terms[a:b], tf[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            dense = np.zeros((len(units), self.wide))
+            for i, (a, w) in enumerate(zip(at, units, strict=False)):
+                n = int(np.searchsorted(terms[a : a + len(w)], self.wide))
+                dense[i, terms[a : a + n]] = w[:n]
+            for a, w, base in zip(at, units, dense @ self.common, strict=False):
+                yield self.nearest(terms[a : a + len(w)], w, k, base)
+
+    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, base: np.ndarray | None = None, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive cosine, with all that tie with the last, and their cosines.
+
+        ``base``: what the common terms add to each cosine, if known; ``skip``: an example to leave out.
+        """
+        rest = int(np.searchsorted(ids, self.wide))
+        if base is None:
+            base = w[:rest] @ self.common[ids[:rest]]
+        n = len(self.toxic)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        ids, w = ids[rest:], w[rest:]
         first = self.entries[ids]
         size = self.entries[ids + 1] - first
         at = flat(first, size)
         own = np.repeat(w, size)
         of = self.block[at]
-        n = len(self.toxic)
-        bound = np.bincount(of, self.most[at] * own, -(-n // BLOCK)) + 1e-9
+        blocks = -(-n // BLOCK)
+        bound = np.bincount(of, self.most[at] * own, blocks) + np.maximum.reduceat(base, np.arange(0, n, BLOCK)) + 1e-9
+        cos = base.copy()
+        if skip >= 0:
+            cos[skip] = 0
+        least = np.partition(cos, n - k)[n - k] if n >= k else 0.0
         order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        last = int(np.searchsorted(-bound, -2e-9, "right"))  # blocks that share a term
-        cos, least, done, step = np.zeros(n), 0.0, 0, 4
-        while done < last and bound[done] >= least:
-            now = np.zeros(len(order), bool)
-            now[order[done : min(done + step, last)]] = True
+        done, step = 0, 4
+        while done < blocks and bound[order[done]] >= least:
+            now = np.zeros(blocks, bool)
+            now[order[done : done + step]] = True
             some = np.flatnonzero(now[of])
             begin = self.postings[at[some]]
             many = self.postings[at[some] + 1] - begin
@@ -155,8 +218,9 @@ class Index:
         return best, cos[best]
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
+        """The share of toxic ones, weighted by distance; one more vote, at distance one, is that of all rows."""
         w = 1 / (1.05 - cos)
-        return float((w * self.toxic[near]).sum() / w.sum())
+        return float(((w * self.toxic[near]).sum() + self.share / 1.05) / (w.sum() + 1 / 1.05))
 
     def score(self, near: np.ndarray, cos: np.ndarray) -> float:
         if not len(near):
@@ -195,7 +259,19 @@ def build(ids: list, toxic: np.ndarray, vocabulary: list[str], vectors: list[tup
     has = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(v[0] for v, y in zip(vectors, toxic, strict=True) if y == label)]), minlength=len(vocabulary)) for label in (0, 1)]
     weight = (np.log((n + 1) / (df + 1)) + 1e-3) * telling(has[1], has[0], size[1], size[0])
     none = np.zeros(0, np.int64)
-    index = Index("\n".join(vocabulary), weight, toxic.astype(float), ids, none, none, none, none, none, none)
+    none = np.zeros(0, np.int64)
+    # Common terms first.
+    wide = int((has[0] + has[1] >= max(COMMON * len(vectors), 1)).sum()) if len(vectors) else 0
+    new = np.empty(len(vocabulary), np.int64)
+    new[np.argsort(-(has[0] + has[1]), kind="stable")] = np.arange(len(vocabulary))
+    back = np.argsort(new)
+    named, weight, moved = [vocabulary[i] for i in back.tolist()], weight[back], []
+    for terms, tf in vectors:
+        terms = new[terms]
+        by = np.argsort(terms)
+        moved.append((terms[by], tf[by]))
+    vectors = moved
+    index = Index("\n".join(named), weight, toxic.astype(float), ids, none, none, none, none, none, none, wide)
     units = [index.unit(*v) for v in vectors]
     # Examples with the same strongest term stand together, so that blocks differ.
     strongest = [int(v[0][u.argmax()]) if len(u) else -1 for v, u in zip(vectors, units, strict=True)]
@@ -213,6 +289,8 @@ def build(ids: list, toxic: np.ndarray, vocabulary: list[str], vectors: list[tup
     index.postings = np.append(begin, len(key)).astype(np.int32)
     index.entries = np.searchsorted(term[begin], np.arange(len(vocabulary) + 1)).astype(np.int32)
     index.example, index.value = example.astype(np.int32), value
+    index._common = None
+    index.share = rows[1] / max(sum(rows), 1)
     share = np.array([rows[y] / max(size[y], 1) for y in (0, 1)])
     votes, ys, ws, alone = [], [], [], [0.5, 0.05]
     for j, (v, u) in enumerate(zip(vectors, units, strict=True)):
@@ -242,8 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
     chosen = stash(pick(0).unionByName(pick(1)), "chosen")
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def split(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
             found = [terms_of(t) for t in batch.column(2).to_pylist()]
             terms, tf = pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, tf], ["_id", "_y", "terms", "tf"])
@@ -266,14 +344,14 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
         at += size
     held = spark.sparkContext.broadcast("\n".join(vocabulary))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(held.value)
         df, n = np.zeros(len(match.place), np.int64), 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                for text in batch.column(0).slice(lo, 1024).to_pylist():
-                    df[match(text)[0]] += 1
-                    n += 1
+        for batch in incoming:
+            texts = batch.column(0).to_pylist()
+            for lo, hi in batches(texts):
+                df += np.bincount(match(texts[lo:hi])[1], minlength=len(df))
+            n += len(texts)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
@@ -297,22 +375,22 @@ def toxicity_scores(
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trains, id_col, text_col, label_col, k, most))
     keep = keep or (id_col,)
     kinds = dict(docs.dtypes)
+    named = to_arrow_type(docs.schema[id_col].dataType)
     sent = keep if text_col in keep else (*keep, text_col)
     spot = sent.index(text_col)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
         match = at.matcher()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+        for whole in incoming:
+            texts = whole.column(spot).to_pylist()
+            for lo, hi in batches(texts):
+                batch = whole.slice(lo, hi - lo)
                 score, near = [], []
-                for text in batch.column(spot).to_pylist():
-                    ids, tf = match(text)
-                    rows, cos = at.nearest(ids, at.unit(ids, tf), k) if len(ids) else ((), ())
+                for rows, cos in at.all_nearest(*match(texts[lo:hi]), k):
                     score.append(at.score(rows, cos))
                     near.append([at.ids[i] for i in rows[:3]])
-                cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(batch.column(sent.index(id_col)).type if id_col in sent else pa.int64()))]
+                cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(named))]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{names[0]}` double, `{names[1]}` array<{kinds[id_col]}>"

@@ -54,16 +54,19 @@ def vectors_of(r, n, terms):
     return out
 
 
-def test_search_is_exact():
+def test_search_is_exact(monkeypatch):
     r = np.random.default_rng(1)
     n, terms = 700, 40
     vectors = vectors_of(r, n, terms)
     vectors[5:9] = [vectors[4]] * 4  # ties
     toxic = r.integers(0, 2, n)
+    monkeypatch.setattr(toxicity, "COMMON", 0.13)  # some terms have rows, some postings
     index = toxicity.build(list(range(n)), toxic, [f"t{i:02d}" for i in range(terms)], vectors, r.integers(1, 50, terms), 1000, (n, n), 15)
-    dense = np.zeros((n, terms))
+    dense, place = np.zeros((n, terms)), {t: i for i, t in enumerate(index.vocabulary.split("\n"))}
+    assert 0 < len(index.common) < terms
     for row, at in enumerate(index.ids):
-        dense[row, vectors[at][0]] = index.unit(*vectors[at])
+        own = np.array([place[f"t{i:02d}"] for i in vectors[at][0]])
+        dense[row, np.sort(own)] = index.unit(np.sort(own), vectors[at][1][np.argsort(own)])
     for _ in range(80):
         ids, tf = vectors_of(r, 1, terms)[0]
         w = index.unit(ids, tf)
@@ -103,7 +106,7 @@ def slow_scores(texts, labelled, k=15):
         if not near:
             return None
         w = {j: 1 / (1.05 - cos[j]) for j in near}
-        return sum(w[j] * labelled[j] for j in near) / sum(w.values())
+        return (sum(w[j] * labelled[j] for j in near) + len(toxic) / len(labelled) / 1.05) / (sum(w.values()) + 1 / 1.05)
 
     alone = {i: vote(i, i) for i in labelled}
     none = [0.5 + sum(v is None for v in alone.values()), 0.05 + sum(labelled[i] for i, v in alone.items() if v is None)]
@@ -136,7 +139,7 @@ def test_ids_of_other_kinds_and_with_several_texts(spark):
 
 def test_terms_and_fit():
     assert terms_of("Abcdef abcdef") == {"abcdef": 2, "abcd*": 2, "abcde*": 2, "abcdef*": 2}
-    ids, tf = Matcher("abcd*\nabcdef\nzz")("abcdef Abcdef abcd " + "x" * 100)
-    assert ids.tolist() == [0, 1] and tf.tolist() == [3, 2]
+    begin, ids, tf = Matcher("abcd*\nabcdef\nzz")(["abcdef Abcdef abcd " + "x" * 100, None, "zz abcdef"])
+    assert begin.tolist() == [0, 2, 2, 5] and ids.tolist() == [0, 1, 0, 1, 2] and tf.tolist() == [3, 2, 1, 1, 1]
     x, y = monotonic(np.array([0.0, 0.5, 1.0]), np.array([0.0, 1.0, 1.0]), np.ones(3))
     assert (np.diff(y) >= 0).all() and y[0] < 0.5 < y[-1]

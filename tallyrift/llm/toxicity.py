@@ -23,6 +23,7 @@ whole; an empty table gives no rows. Only the columns named are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -123,18 +124,19 @@ def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The examples' unit vectors as postings by term, and by block within a term."""
+    """The examples' terms as postings, by term, then example; ``prepare`` gives their weights, entries and blocks.
 
-    vocabulary: str  # all terms, one a line
+    What is sent to the workers is the postings alone.
+    """
+
+    vocabulary: str  # all terms, one a line; those that most examples have first
     weight: np.ndarray  # idf * telling of each term
     toxic: np.ndarray  # of each example
     ids: list
-    entries: np.ndarray  # where each term's entries begin; one more at the end
-    block: np.ndarray  # of each entry
-    most: np.ndarray  # the largest weight of each entry's postings
-    postings: np.ndarray  # where each entry's postings begin; one more at the end
+    many: np.ndarray  # how many postings each term has
     example: np.ndarray  # of each posting
-    value: np.ndarray
+    tf: np.ndarray
+    size: np.ndarray  # the length of each example's vector
     wide: int = 0  # so many terms, the first ones, are common
     share: float = 0.0  # of toxic rows
     none: float = 0.0  # the score of texts without neighbours
@@ -143,6 +145,29 @@ class Index:
     _matcher: Matcher | None = field(default=None, repr=False)
     _common: np.ndarray | None = field(default=None, repr=False)
 
+    def prepare(self) -> Index:
+        """entries: where each term's begin; block, most, postings: of each entry its block, largest weight, first posting."""
+        term = np.repeat(np.arange(len(self.many)), self.many)
+        self.value = (1 + np.log(self.tf.astype(float))) * self.weight[term] / self.size[self.example] if len(term) else np.zeros(0)
+        key = term * (len(self.toxic) // BLOCK + 1) + self.example // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.block = (self.example[begin] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, begin) if len(key) else np.zeros(0)
+        self.postings = np.append(begin, len(key)).astype(np.int32)
+        self.entries = np.searchsorted(term[begin], np.arange(len(self.many) + 1)).astype(np.int32)
+        return self
+
+    def __getstate__(self) -> dict:
+        small = {k: v for k, v in self.__dict__.items() if k not in ("value", "block", "most", "postings", "entries", "_matcher", "_common")}
+        small["vocabulary"] = zlib.compress(self.vocabulary.encode(), 6)
+        small["example"], small["tf"] = ((zlib.compress(x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes(), 1), np.min_scalar_type(int(x.max(initial=0))).str) for x in (self.example, self.tf))
+        return small
+
+    def __setstate__(self, small: dict) -> None:
+        self.__dict__.update(small, _matcher=None, _common=None, vocabulary=zlib.decompress(small["vocabulary"]).decode())
+        self.example, self.tf = (np.frombuffer(zlib.decompress(raw), kind).astype(np.int32) for raw, kind in (small["example"], small["tf"]))
+        self.prepare()
+
     def matcher(self) -> Matcher:
         """Made once in each worker."""
         if self._matcher is None:
@@ -271,25 +296,19 @@ def build(ids: list, toxic: np.ndarray, vocabulary: list[str], vectors: list[tup
         by = np.argsort(terms)
         moved.append((terms[by], tf[by]))
     vectors = moved
-    index = Index("\n".join(named), weight, toxic.astype(float), ids, none, none, none, none, none, none, wide)
+    index = Index("\n".join(named), weight, toxic.astype(float), ids, none, none, none, none, wide)
     units = [index.unit(*v) for v in vectors]
     # Examples with the same strongest term stand together, so that blocks differ.
     strongest = [int(v[0][u.argmax()]) if len(u) else -1 for v, u in zip(vectors, units, strict=True)]
     order = np.argsort(strongest, kind="stable")
     vectors, units = [vectors[i] for i in order], [units[i] for i in order]
     index.toxic, index.ids = index.toxic[order], [ids[i] for i in order]
+    index.size = np.array([np.sqrt((((1 + np.log(tf)) * weight[terms]) ** 2).sum()) or 1.0 for terms, tf in vectors])
     example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    term, value = np.concatenate([none, *(v[0] for v in vectors)]), np.concatenate([np.zeros(0), *units])
+    term, tf = np.concatenate([none, *(v[0] for v in vectors)]), np.concatenate([none, *(v[1] for v in vectors)]).astype(np.int64)
     by = np.argsort(term, kind="stable")
-    term, example, value = term[by], example[by], value[by]
-    key = term * (len(vectors) // BLOCK + 1) + example // BLOCK
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else none
-    index.block = (example[begin] // BLOCK).astype(np.int32)
-    index.most = np.maximum.reduceat(value, begin) if len(key) else np.zeros(0)
-    index.postings = np.append(begin, len(key)).astype(np.int32)
-    index.entries = np.searchsorted(term[begin], np.arange(len(vocabulary) + 1)).astype(np.int32)
-    index.example, index.value = example.astype(np.int32), value
-    index._common = None
+    index.many, index.example, index.tf = np.bincount(term, minlength=len(vocabulary)), example[by].astype(np.int32), tf[by]
+    index.prepare()
     index.share = rows[1] / max(sum(rows), 1)
     share = np.array([rows[y] / max(size[y], 1) for y in (0, 1)])
     votes, ys, ws, alone = [], [], [], [0.5, 0.05]
@@ -329,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
     kind = dict(docs.dtypes)[id_col]
     examples = sample.select("_id", F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(split, f"_id {kind}, _y int, terms array<string>, tf array<bigint>")
     # At most two times ``most`` rows reach the driver.
-    got = examples.orderBy("_y", "_id").toArrow().combine_chunks()
+    got = examples.toArrow().sort_by([("_y", "ascending"), ("_id", "ascending")]).combine_chunks()
     release(chosen)
     empty = pa.array([], pa.string())
     coded = pa.concat_arrays([empty, *(c.flatten() for c in got.column("terms").chunks)]).dictionary_encode()

@@ -59,8 +59,17 @@ def test_one_of_each(docs_of, spark):
     assert jaccardjoin.jaccard_links(docs_of(["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 10**6])
+def test_long_and_short_prefixes_find_the_same(docs_of, crowd):
+    every = texts(7)
+    got = jaccardjoin.jaccard_links(docs_of(every), crowd=crowd).collect()
+    assert sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in got) == brute(every)
+
+
 def test_prefixes_and_pairs():
-    assert jaccardjoin.prefix_length(0.8, 32, 10, 0.9999) == 6
+    assert [jaccardjoin.trees_for(d, 0.8, 0.9999) for d in (4, 5, 6)] == [18, 24, 31]
+    found = np.array([[900, 40, 3], [0, 0, 0], [90, 80, 70], [40, 10, 0]])  # by length 4, 5, 6
+    assert jaccardjoin.prefix_lengths(found, 4, 32).tolist() == [6, 4, 6, 5]
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
     a, b = jaccardjoin.similar_pairs(sets, 0.3)

@@ -1,7 +1,7 @@
 """Toxicity: the nearest labelled examples by exact TF-IDF cosine vote, weighted by distance.
 
 Labelled examples are a bounded sample: at most ``most`` of each label, those whose ids hash least.
-Terms are words and the first four to six letters of words, all of those that an example has; none is
+Terms are words and the first four letters of words, all of those that an example has; none is
 cut. A term weighs (1 + log tf) * idf * telling: idf from the document frequencies over all documents,
 telling from the sample, the logarithm of the odds that a toxic example has it against a clean one
 (without it, words that say nothing drown those that do: see the README). Terms that no example has
@@ -40,13 +40,13 @@ from .base import release, stash
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
-STARTS = (4, 5, 6)
+STARTS = (4,)
 #: Characters of the words that a Python worker remembers, and of the longest of them.
 KNOWN_CHARS, LONGEST = 8_000_000, 64
 #: Characters of the texts that are matched at once.
 BATCH = 1_000_000
 #: Terms that so large a share of the examples has become rows of a matrix where they are searched.
-COMMON = 0.08
+COMMON = 0.12
 
 
 def _terms(word: str) -> list[str]:
@@ -150,11 +150,12 @@ class Index:
         term = np.repeat(np.arange(len(self.many)), self.many)
         self.value = (1 + np.log(self.tf.astype(float))) * self.weight[term] / self.size[self.example] if len(term) else np.zeros(0)
         key = term * (len(self.toxic) // BLOCK + 1) + self.example // BLOCK
+        del term
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.block = (self.example[begin] // BLOCK).astype(np.int32)
         self.most = np.maximum.reduceat(self.value, begin) if len(key) else np.zeros(0)
         self.postings = np.append(begin, len(key)).astype(np.int32)
-        self.entries = np.searchsorted(term[begin], np.arange(len(self.many) + 1)).astype(np.int32)
+        self.entries = np.searchsorted(begin, np.append(0, np.cumsum(self.many))).astype(np.int32)
         return self
 
     def __getstate__(self) -> dict:
@@ -189,8 +190,8 @@ class Index:
         size = np.sqrt((w**2).sum())
         return w / size if size > 0 else w
 
-    def all_nearest(self, begin: np.ndarray, terms: np.ndarray, tf: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` for each of some texts, as a matcher gives them."""
+    def all_nearest(self, begin: np.ndarray, terms: np.ndarray, tf: np.ndarray, k: int, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of some texts, as a matcher gives them; ``own``: they are the examples, and none is its own neighbour."""
         for lo in range(0, len(begin) - 1, 128):
             at = begin[lo : lo + 129]
             units = [self.unit(terms[a:b], tf[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -198,17 +199,15 @@ class Index:
             for i, (a, w) in enumerate(zip(at, units, strict=False)):
                 n = int(np.searchsorted(terms[a : a + len(w)], self.wide))
                 dense[i, terms[a : a + n]] = w[:n]
-            for a, w, base in zip(at, units, dense @ self.common, strict=False):
-                yield self.nearest(terms[a : a + len(w)], w, k, base)
+            for i, (a, w, base) in enumerate(zip(at, units, dense @ self.common, strict=False)):
+                yield self.nearest(terms[a : a + len(w)], w, k, base, lo + i if own else -1)
 
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, base: np.ndarray | None = None, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, base: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, with all that tie with the last, and their cosines.
 
-        ``base``: what the common terms add to each cosine, if known; ``skip``: an example to leave out.
+        ``base``: what the common terms add to each cosine; ``skip``: an example to leave out.
         """
         rest = int(np.searchsorted(ids, self.wide))
-        if base is None:
-            base = w[:rest] @ self.common[ids[:rest]]
         n = len(self.toxic)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0)
@@ -278,43 +277,41 @@ def telling(with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean: i
     return np.abs(np.log((with_toxic + 0.5) / (toxic + 1)) - np.log((with_clean + 0.5) / (clean + 1)))
 
 
-def build(ids: list, toxic: np.ndarray, vocabulary: list[str], vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n: int, rows: tuple[int, int], k: int) -> Index:
-    """The index of examples with sorted terms and their frequencies; ``rows``: how many clean and toxic rows there are."""
-    size = (int((toxic == 0).sum()), int((toxic == 1).sum()))
-    has = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(v[0] for v, y in zip(vectors, toxic, strict=True) if y == label)]), minlength=len(vocabulary)) for label in (0, 1)]
+def build(ids: list, toxic: np.ndarray, vocabulary: list[str], begin: np.ndarray, term: np.ndarray, tf: np.ndarray, df: np.ndarray, n: int, rows: tuple[int, int], k: int) -> Index:
+    """The index of examples; ``term``, ``tf``: theirs one after the other, each's from ``begin`` on; ``rows``: how many clean and toxic rows there are."""
+    size, count, wide = (int((toxic == 0).sum()), int((toxic == 1).sum())), len(ids), len(vocabulary)
+    example = np.repeat(np.arange(count, dtype=np.int32), np.diff(begin))
+    has = [np.bincount(term[toxic[example] == label], minlength=wide) for label in (0, 1)]
     weight = (np.log((n + 1) / (df + 1)) + 1e-3) * telling(has[1], has[0], size[1], size[0])
-    none = np.zeros(0, np.int64)
-    none = np.zeros(0, np.int64)
     # Common terms first.
-    wide = int((has[0] + has[1] >= max(COMMON * len(vectors), 1)).sum()) if len(vectors) else 0
-    new = np.empty(len(vocabulary), np.int64)
-    new[np.argsort(-(has[0] + has[1]), kind="stable")] = np.arange(len(vocabulary))
-    back = np.argsort(new)
-    named, weight, moved = [vocabulary[i] for i in back.tolist()], weight[back], []
-    for terms, tf in vectors:
-        terms = new[terms]
-        by = np.argsort(terms)
-        moved.append((terms[by], tf[by]))
-    vectors = moved
-    index = Index("\n".join(named), weight, toxic.astype(float), ids, none, none, none, none, wide)
-    units = [index.unit(*v) for v in vectors]
+    order = np.argsort(-(has[0] + has[1]), kind="stable")
+    new = np.empty(wide, np.int32)
+    new[order] = np.arange(wide, dtype=np.int32)
+    term, weight, named = new[term], weight[order], "\n".join([vocabulary[i] for i in order.tolist()])
+    common = int((has[0] + has[1] >= max(COMMON * count, 1)).sum()) if count else 0
+    value = (1 + np.log(tf)) * weight[term]
+    length = np.sqrt(np.bincount(example, value**2, count))
+    length[length == 0] = 1
     # Examples with the same strongest term stand together, so that blocks differ.
-    strongest = [int(v[0][u.argmax()]) if len(u) else -1 for v, u in zip(vectors, units, strict=True)]
+    strongest = np.full(count, -1)
+    by = np.lexsort((-value, example))
+    some = np.flatnonzero(np.diff(begin))
+    strongest[some] = term[by[begin[some]]]
     order = np.argsort(strongest, kind="stable")
-    vectors, units = [vectors[i] for i in order], [units[i] for i in order]
-    index.toxic, index.ids = index.toxic[order], [ids[i] for i in order]
-    index.size = np.array([np.sqrt((((1 + np.log(tf)) * weight[terms]) ** 2).sum()) or 1.0 for terms, tf in vectors])
-    example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    term, tf = np.concatenate([none, *(v[0] for v in vectors)]), np.concatenate([none, *(v[1] for v in vectors)]).astype(np.int64)
-    by = np.argsort(term, kind="stable")
-    index.many, index.example, index.tf = np.bincount(term, minlength=len(vocabulary)), example[by].astype(np.int32), tf[by]
+    place = np.empty(count, np.int32)
+    place[order] = np.arange(count, dtype=np.int32)
+    example = place[example]
+    by = np.lexsort((example, term))
+    index = Index(named, weight, toxic[order].astype(float), [ids[i] for i in order.tolist()], np.bincount(term, minlength=wide), example[by], tf[by].astype(np.int32), length[order], common)
     index.prepare()
+    by = np.lexsort((term, example))
+    begin, term, tf = np.searchsorted(example[by], np.arange(count + 1)), term[by], tf[by]
+    del by, example, value
     index.share = rows[1] / max(sum(rows), 1)
     share = np.array([rows[y] / max(size[y], 1) for y in (0, 1)])
     votes, ys, ws, alone = [], [], [], [0.5, 0.05]
-    for j, (v, u) in enumerate(zip(vectors, units, strict=True)):
+    for j, (near, cos) in enumerate(index.all_nearest(begin, term, tf, k, own=True)):
         y = int(index.toxic[j])
-        near, cos = index.nearest(v[0], u, k, skip=j) if len(u) else ((), ())
         if len(near):
             votes.append(index.vote(near, cos))
             ys.append(y)
@@ -350,17 +347,18 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
     # At most two times ``most`` rows reach the driver.
     got = examples.toArrow().sort_by([("_y", "ascending"), ("_id", "ascending")]).combine_chunks()
     release(chosen)
-    empty = pa.array([], pa.string())
-    coded = pa.concat_arrays([empty, *(c.flatten() for c in got.column("terms").chunks)]).dictionary_encode()
-    rank = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")) if len(coded.dictionary) else np.zeros(0, np.int64)
-    vocabulary = sorted(coded.dictionary.to_pylist())
-    every = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-    tf = np.array(pa.concat_arrays([pa.array([], pa.int64()), *(c.flatten() for c in got.column("tf").chunks)]), np.float64)
-    vectors, at = [], 0
-    for size in pc.list_value_length(got.column("tf")).to_pylist():
-        own = np.argsort(every[at : at + size])
-        vectors.append((every[at : at + size][own], tf[at : at + size][own]))
-        at += size
+    ids, toxic = got.column("_id").to_pylist(), got.column("_y").to_numpy()
+    begin = np.append(0, np.cumsum(pc.list_value_length(got.column("tf")).to_numpy())).astype(np.int64)
+    tf = pa.concat_arrays([pa.array([], pa.int64()), *(c.flatten() for c in got.column("tf").chunks)]).to_numpy().astype(np.int32)
+    coded = pa.concat_arrays([pa.array([], pa.string()), *(c.flatten() for c in got.column("terms").chunks)]).dictionary_encode()
+    vocabulary, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
+    del got, coded
+    # Numbers in the order of the terms, whatever the order of arrival.
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    vocabulary, term = [vocabulary[i] for i in order], rank[term]
+    del order, rank
     held = spark.sparkContext.broadcast("\n".join(vocabulary))
 
     def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,15 +375,14 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
     # Document frequencies over all documents: a row for each term of the sample reaches the driver.
     counted = texts.select("_text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     held.unpersist()
-    df, n, term = np.zeros(len(vocabulary), np.int64), counted.column("n").to_numpy(), counted.column("term").to_numpy()
-    df[term[term >= 0]] = n[term >= 0]
-    toxic = got.column("_y").to_numpy()
-    return build(got.column("_id").to_pylist(), toxic, vocabulary, vectors, df, int(n[term < 0].sum()), (rows.get(0, 0), rows.get(1, 0)), k)
+    df, n, at = np.zeros(len(vocabulary), np.int64), counted.column("n").to_numpy(), counted.column("term").to_numpy()
+    df[at[at >= 0]] = n[at >= 0]
+    return build(ids, toxic, vocabulary, begin, term, tf, df, int(n[at < 0].sum()), (rows.get(0, 0), rows.get(1, 0)), k)
 
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 2000,
+    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 1500,
 ) -> DataFrame:
     """``keep`` or ``id_col``, score, evidence (ids of the nearest examples, at most three) for each row.
 

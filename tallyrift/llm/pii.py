@@ -2,11 +2,14 @@
 
 Offsets are code points, the end exclusive. A null text counts as empty and has no spans; rows
 that repeat are judged one by one; an empty table gives no rows. Only the columns named are read.
-All of it is built-in functions on one row at a time: no shuffle, no Python.
+All of it is built-in functions on one row at a time: no shuffle, no Python. Very long texts are read
+whole: a text is cut at its matches once, and what is asked of a match is asked of the parts beside it,
+so the time of a text with n matches grows by n * sqrt(n).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: Stands around each match while the text is split; a text's own are replaced, one for one.
 MARK, SPARE = "\u0001", "\u0002"
-SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,text:string,near:string>>"
+#: No match is shorter, so that many characters have no more parts than twice a fifth of them.
+SHORTEST = 5
 
 
 @dataclass(frozen=True)
@@ -93,59 +98,93 @@ def _checked(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: Kind) -> Column:
-    """All matches: the marked text's parts with odd numbers; lengths of the parts before give offsets."""
-    parts = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK, -1)
-    empty = F.array().cast(SPAN)
-    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _added(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def starts(lengths: Column) -> Column:
+    """The sum of the lengths before each: within runs of sqrt(n), and of the runs before."""
+
+    def of_runs(runs: Column) -> Column:
+        return let(F.transform(runs, _added), lambda sums: F.flatten(F.transform(
+            runs,
+            lambda run, i: let(_added(F.slice(sums, 1, i)), lambda first: F.transform(run, lambda _, j: first + _added(F.slice(run, 1, j)))),
+        )))
+
+    def of_wide(wide: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(1), F.size(lengths), wide), lambda at: F.slice(lengths, at, wide)), of_runs)
 
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + F.length(p)
-        span = F.struct(F.lit(kind.name).alias("kind"), a["at"].alias("start"), end.alias("end"), p.alias("text"))
-        return F.struct(
-            (a["i"] + 1).alias("i"), end.alias("at"),
-            F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"),
-        )
+    return let(F.ceil(F.sqrt(F.size(lengths))).cast("int"), of_wide)
 
-    found = F.aggregate(parts, first, step, lambda a: a["out"])
+
+def _matches(text: Column, kind: Kind, window: int) -> Column:
+    """All matches and what is near: the marked text's parts with odd numbers."""
+    empty = F.array().cast(SPAN)
+    reach = 2 * -(-(68 + window) // SHORTEST) + 2
+
+    def spans(parts: Column, at: Column) -> Column:
+        def span(i: Column) -> Column:
+            # The array's positions count from 1, the parts' numbers from 0.
+            first = F.greatest(i - reach, F.lit(0))
+            before = F.array_join(F.slice(parts, first + 1, i - first), "")
+            after = F.array_join(F.slice(parts, i + 2, F.lit(reach)), "")
+            left = F.substring(before, F.greatest(F.length(before) - window, F.lit(0)) + 1, F.lit(window))
+            right = F.substring(after, 1, 68 + window if kind.name == "iban" else window)
+            near = right if kind.name == "iban" else F.concat_ws(" ", left, right)
+            own = let(parts[i], lambda p: F.struct(
+                F.lit(kind.name).alias("kind"), at[i].alias("start"), (at[i] + F.length(p)).alias("end"), p.alias("text"), near.alias("near"), left.alias("left"),
+            ))
+            return own
+
+        found = F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), span)
+        if kind.name == "iban":
+            return _accounts(found, window)
+        return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "text", "near")]))
+
+    cut = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK, -1)
     wanted = F.lit(True) if not kind.needs else F.instr(text, kind.needs) > 0
-    if kind.name == "iban":
-        found = _accounts(text, found)
+    found = let(cut, lambda parts: let(starts(F.transform(parts, lambda p: F.length(p))), lambda at: spans(parts, at)))
     return F.when(wanted & text.rlike(kind.pattern), found).otherwise(empty)
 
 
-def _accounts(text: Column, begun: Column) -> Column:
-    """The account numbers that begin where a span does, from left to right without overlaps.
+def _accounts(begun: Column, window: int) -> Column:
+    """The account numbers that begin where a span does, from left to right without overlaps; ``near`` is what follows the beginning.
 
     A number ends where no capital or digit follows and mod 97 holds: at its country's length, else as late as possible.
     """
     country = F.create_map(*[F.lit(x) for n, names in ACCOUNT_LENGTHS.items() for c in names.split() for x in (c, n)])
 
     def whole(s: Column) -> Column:
-        rest = F.substring(text, s["start"] + 1, F.lit(68))
-        run = F.regexp_extract(rest, "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", 0)
-        ends = F.filter(
-            F.sequence(F.lit(15), F.greatest(F.length(run), F.lit(15))),
-            lambda n: (F.substring(rest, n, F.lit(1)) != " ") & ~F.substring(rest, n + 1, F.lit(1)).rlike("[A-Z0-9]") & _checked("iban", F.substring(run, F.lit(1), n)),
-        )
-        usual = lambda n: F.length(F.regexp_replace(F.substring(run, F.lit(1), n), " ", "")) == country[F.substring(run, 1, 2)]
-        size = F.array_max(F.transform(ends, lambda n: F.struct(F.coalesce(usual(n), F.lit(False)).alias("usual"), n.alias("n"))))["n"]
-        return F.struct(s["start"].alias("start"), (s["start"] + size).alias("end"))
+        def of_rest(rest: Column) -> Column:
+            run = F.regexp_extract(rest, "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", 0)
+            ends = F.filter(
+                F.sequence(F.lit(15), F.greatest(F.length(run), F.lit(15))),
+                lambda n: (F.substring(rest, n, F.lit(1)) != " ") & ~F.substring(rest, n + 1, F.lit(1)).rlike("[A-Z0-9]") & _checked("iban", F.substring(run, F.lit(1), n)),
+            )
+            usual = lambda n: F.length(F.regexp_replace(F.substring(run, F.lit(1), n), " ", "")) == country[F.substring(run, 1, 2)]
+            size = F.array_max(F.transform(ends, lambda n: F.struct(F.coalesce(usual(n), F.lit(False)).alias("usual"), n.alias("n"))))["n"]
+            return let(size, lambda n: F.struct(
+                F.lit("iban").alias("kind"), s["start"].alias("start"), (s["start"] + n).alias("end"), F.substring(rest, F.lit(1), n).alias("text"),
+                F.concat_ws(" ", s["left"], F.substring(rest, n + 1, F.lit(window))).alias("near"),
+            ))
+
+        return let(F.concat(s["text"], s["near"]), of_rest)
 
     def step(a: Column, s: Column) -> Column:
-        span = F.struct(F.lit("iban").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"))
-        out = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-        return F.when(s["end"].isNotNull() & (s["start"] >= a["at"]), out).otherwise(a)
+        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a)
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.transform(begun, whole), first, step, lambda a: a["out"])
+    return F.aggregate(F.filter(F.transform(begun, whole), lambda s: s["end"].isNotNull()), first, step, lambda a: a["out"])
 
 
-def _scored(text: Column, kind: Kind, spans: Column, window: int) -> Column:
+def _scored(kind: Kind, spans: Column) -> Column:
     def score(s: Column) -> Column:
-        start = F.greatest(s["start"] - window, F.lit(0))
-        near = F.lower(F.concat_ws(" ", F.substring(text, start + 1, s["start"] - start), F.substring(text, s["end"] + 1, F.lit(window))))
-        return F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.words})\b"), F.lit(kind.gain)).otherwise(F.lit(0.0))
+        return F.lit(kind.score) + F.when(F.lower(s["near"]).rlike(rf"\b(?:{kind.words})\b"), F.lit(kind.gain)).otherwise(F.lit(0.0))
 
     kept = F.filter(spans, lambda s: _checked(kind.name, s["text"]))
     out = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.round(score(s), 3).alias("score")))
@@ -162,10 +201,10 @@ def find_pii(
     """
     text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), MARK, SPARE)
     held = docs.select(*[F.col(f"`{c}`") for c in id_cols], text.alias("__text"))
-    raw = held.withColumns({f"__{k.name}": _matches(F.col("__text"), k) for k in kinds})
+    raw = held.withColumns({f"__{k.name}": _matches(F.col("__text"), k, window) for k in kinds})
     return raw.select(
         *[F.col(f"`{c}`") for c in id_cols],
-        F.concat(*[_scored(F.col("__text"), k, F.col(f"__{k.name}"), window) for k in kinds]).alias(name),
+        F.concat(*[_scored(k, F.col(f"__{k.name}")) for k in kinds]).alias(name),
     )
 
 
@@ -177,11 +216,16 @@ def span_list(entities: Column) -> Column:
 def masked(text: Column, entities: Column) -> Column:
     """The text with each entity replaced by its kind in brackets; of overlapping ones the first counts."""
     order = F.array_sort(F.transform(entities, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(entities) == 0, text).otherwise(F.aggregate(
-        order, first,
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], -s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct((-s["end"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    ))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,start:int,kind:string>>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        piece = F.struct(a["at"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))
+        over = F.struct(F.greatest(a["at"], -s["end"]).alias("at"), a["out"].alias("out"))
+        return F.when(s["start"] < a["at"], over).otherwise(F.struct((-s["end"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out")))
+
+    def filled(kept: Column, chars: Column) -> Column:
+        between = F.transform(kept["out"], lambda p: F.concat(F.array_join(F.slice(chars, p["from"] + 1, p["start"] - p["from"]), ""), F.lit("["), p["kind"], F.lit("]")))
+        return F.concat(F.array_join(between, ""), F.array_join(F.slice(chars, kept["at"] + 1, F.size(chars)), ""))
+
+    whole = let(F.aggregate(order, first, step), lambda kept: let(F.split(text, ""), lambda chars: filled(kept, chars)))
+    return F.when(F.size(entities) == 0, text).otherwise(whole)

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tallyrift.llm import pii, registry
 
@@ -55,6 +58,18 @@ def test_account_numbers_before_other_words(docs_of):
     assert got == {i: [(every[i].rindex(w), w) for w in ws] for i, ws in enumerate(want)}
 
 
+def test_many_matches_in_one_text(docs_of):
+    text = "".join(f"n{i}@x.yz " for i in range(16000))
+    docs = docs_of([text, text])
+    found = pii.find_pii(docs)
+    began = time.perf_counter()
+    got = found.collect()
+    assert time.perf_counter() - began < 30  # half a minute where steps grow with the square takes minutes
+    assert all(len(r.entities) == 16000 and text[r.entities[-1].start : r.entities[-1].end] == "n15999@x.yz" for r in got)
+    both = found.join(docs.select("doc_id", "text"), "doc_id").select(pii.masked(F.col("text"), F.col("entities")))
+    assert [r[0] for r in both.collect()] == ["[email] " * 16000] * 2
+
+
 def test_query(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.cc é 1.2.3.4"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in registry.op4_pii(spark, str(tmp_path)).collect()}

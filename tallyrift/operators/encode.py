@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrift.functions.measures import positive, utility
+from tallyrift.functions.measures import existential_probability, expected_utility, positive, utility
+from tallyrift.sources.shared import stash
 
 
 def priced(transactions: DataFrame, profits: DataFrame, unpriced: str = "exclude") -> DataFrame:
@@ -32,17 +33,36 @@ def with_rtu(base: DataFrame) -> DataFrame:
     return base.withColumn("rtu", F.sum(positive(F.col("u"))).over(Window.partitionBy("tid")))
 
 
-def item_bounds(base: DataFrame) -> DataFrame:
-    """item, rtwu, rtwu_weighted, support (expected), frequency: bounds on all itemsets with the item."""
+def item_measures(base: DataFrame) -> DataFrame:
+    """item, its bounds and its own measures (eu, ep), in one pass."""
     return with_rtu(base).groupBy("item").agg(
-        F.sum("rtu").alias("rtwu"), F.sum(F.col("rtu") * F.col("p")).alias("rtwu_weighted"), F.sum("p").alias("support"), F.count("*").alias("frequency")
+        F.sum("rtu").alias("rtwu"), F.sum(F.col("rtu") * F.col("p")).alias("rtwu_weighted"), F.sum("p").alias("support"), F.count("*").alias("frequency"),
+        expected_utility().alias("eu"), existential_probability().alias("ep"),
     )
 
 
+def item_bounds(base: DataFrame) -> DataFrame:
+    """item, rtwu, rtwu_weighted, support (expected), frequency: bounds on all itemsets with the item."""
+    return item_measures(base).select("item", "rtwu", "rtwu_weighted", "support", "frequency")
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """The rows with their place from 0 in the order given, which must be total: counted within ranges, then shifted by the ranges before.
+
+    Ranges hold about as many rows each, so no task numbers all of them. They are written to the shared folder, as both
+    passes must see the same ones.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stash(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").count()  # a row for each range
+    before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).select(*rows.columns, name)
+
+
 def item_ranks(bounds: DataFrame, by: str = "rtwu_weighted") -> DataFrame:
-    """item, bound, rank: ascending bound, then item, from 0. The item table is small against its transactions."""
-    order = Window.orderBy(by, "item")
-    return bounds.select("item", F.col(by).alias("bound"), (F.row_number().over(order) - 1).alias("rank"))
+    """item, bound, rank: ascending bound, then item, from 0."""
+    return numbered(bounds.select("item", F.col(by).alias("bound")), "rank", "bound", "item").withColumn("rank", F.col("rank").cast("int"))
 
 
 def promising(bounds: DataFrame, by: str = "rtwu_weighted", threshold: float = 0.0, min_support: float = 0.0) -> DataFrame:
@@ -50,21 +70,22 @@ def promising(bounds: DataFrame, by: str = "rtwu_weighted", threshold: float = 0
     return bounds.where((F.col(by) > 0) & (F.col(by) >= threshold) & (F.col("support") >= min_support))
 
 
-def with_remaining(ranked: DataFrame) -> DataFrame:
-    """rem: the positive utility of the transaction's items of later ranks."""
-    after = Window.partitionBy("tid").orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
+def with_remaining(ranked: DataFrame, *order: str) -> DataFrame:
+    """rem: the positive utility of the transaction's items that come later in the order (by rank, if none is given)."""
+    after = Window.partitionBy("tid").orderBy(*(order or ("rank",))).rowsBetween(1, Window.unboundedFollowing)
     return ranked.withColumn("rem", F.coalesce(F.sum(positive(F.col("u"))).over(after), F.lit(0.0)))
 
 
 def ranked_base(base: DataFrame, ranks: DataFrame) -> DataFrame:
-    """tid, item, rank, u, p, rem."""
-    return with_remaining(base.join(ranks.select("item", "rank"), "item").select("tid", "item", "rank", "u", "p"))
+    """tid, item, rank, bound, u, p, rem."""
+    return with_remaining(base.join(ranks, "item").select("tid", "item", "rank", "bound", "u", "p"))
 
 
-def as_tails(ranked: DataFrame) -> DataFrame:
-    """A row for each transaction: its items in rank order, as an array of (rank, item, u, p, rem).
+def as_tails(ranked: DataFrame, *order: str) -> DataFrame:
+    """A row for each transaction: lists of its items, their u, p, rem and bounds, in the order given (by rank, if none is).
 
     From here on itemsets grow within their row, so no level of the search shuffles by transaction.
     """
-    each = F.struct("rank", "item", "u", "p", "rem")
-    return ranked.groupBy("tid").agg(F.array_sort(F.collect_list(each)).alias("tail"))
+    each = F.struct(*(order or ("rank",)), *[c for c in ("item", "u", "p", "rem", "bound") if c not in order])
+    rows = ranked.groupBy("tid").agg(F.array_sort(F.collect_list(each)).alias("t"))
+    return rows.select("tid", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("item", "u", "p", "rem", "bound")])

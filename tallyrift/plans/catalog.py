@@ -57,8 +57,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def brands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tx = tables.from_lines(spark, d)
-    return tx, tables.signed_profits(tx)
+    return tables.from_lines(spark, d), tables.part_profits(spark, d)
 
 
 def base(spark: SparkSession, d: str, unpriced: str = "exclude") -> DataFrame:
@@ -81,7 +80,7 @@ def shown_ep(ep: Column | None = None) -> Column:
 @query("s1_profit_source", f"with {BRANDS}, {PROFITS} select item, round(profit, 6) as profit from pr")
 def s1(spark: SparkSession, d: str) -> DataFrame:
     """Profit lines, with a stale line before each and broken ones between."""
-    _, pr = brands(spark, d)
+    pr = tables.signed_profits(tables.from_lines(spark, d))
     row = pr.select(
         "item", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat_ws(" ", "item", F.lit("999")).alias("v")), F.struct(F.lit(1).alias("n"), F.concat(F.lit(" "), F.concat_ws("\t", "item", "profit")).alias("v")), F.struct(F.lit(2).alias("n"), F.concat_ws(" ", "item", F.lit("1 x")).alias("v")))).alias("l")
     )
@@ -238,7 +237,7 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     b = base(spark, d)
     level = search.first_level(encode.as_tails(encode.ranked_base(b, encode.item_ranks(encode.item_bounds(b)))))
     for _ in range(2):
-        level = search.grown(level.persist(), search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select("items"))
+        level = search.grown(level, search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select("items"))
     return search.measured(level).where(F.col("ep") >= 0.3 - 1e-10).select(F.array_join(F.array_sort("items"), " ").alias("items"), shown_eu().alias("eu"), shown_ep().alias("ep"), "n")
 
 
@@ -258,7 +257,7 @@ def topk(name: str, k: int, min_pro: float, source: str = "brands", db: str = BR
     @query(name, top_sql(db, k, min_pro, options.get("max_len"), of, options.get("min_support", 0.0)))
     def run(spark: SparkSession, d: str) -> DataFrame:
         tx = {"brands": tables.from_lines, "events": tables.from_events, "parts": lambda s, x: tables.from_lines(s, x, "part")}[source](spark, d)
-        pr = tables.signed_profits(tx)
+        pr = tables.signed_profits(tx) if source == "events" else tables.part_profits(spark, d, "brand" if source == "brands" else "part")
         if options.get("unpriced") == "zero":
             pr = pr.where("item % 5 <> 0")
         return shown(search.mine(tables.validate(tx), pr, k, min_pro, **options), spark)

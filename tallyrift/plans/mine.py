@@ -1,9 +1,11 @@
 """Top-k high-utility itemsets of an uncertain database, exactly, level by level.
 
 A level holds a row for each occurrence of each itemset that may still matter: what it is worth there,
-how likely, and the items after it. A level's sums give expected utility, existential probability and
-an upper bound for all itemsets that grow from it; those that can't qualify go, and the rest grow by
-one item of their own row's tail. The k best so far set the threshold of the next level.
+how likely, and its last item's place among its transaction's items. A level's sums give expected
+utility, existential probability and an upper bound for all itemsets that grow from it; those that
+can't qualify go, and the rest grow by one later item of their own row. The k best so far set the
+threshold, which then decides on items to grow by as well as on itemsets. Only the transactions and the
+levels' sums are kept; a level's rows are made again from them when it grows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tallyrift.sources.shared import stash
 
 #: Levels between two that are written out, which ends their lineage.
 CUT_EVERY = 4
+#: Itemsets are ordered by utilities of six digits, so those within the last one are left to that order.
+SLACK = 1e-6
 RESULT = "rank int, items array<int>, eu double, ep double"
 
 
@@ -47,21 +51,25 @@ def measured(level: DataFrame) -> DataFrame:
     )
 
 
-def first_level(tails: DataFrame) -> DataFrame:
-    """items, u, p, rem, tail: each item alone, with what follows it in its transaction."""
-    rows = tails.select("tail", F.posexplode("tail").alias("i", "x"))
-    return rows.select(
-        F.array("x.item").alias("items"), "x.u", "x.p", "x.rem", F.slice("tail", F.col("i") + 2, F.size("tail")).alias("tail")
-    )
+LISTS = ("t_item", "t_u", "t_p", "t_rem", "t_bound")
 
 
-def grown(level: DataFrame, keep: DataFrame) -> DataFrame:
-    """The next level: each occurrence of an itemset to keep, with each of the items after it."""
-    rows = level.where(F.size("tail") > 0).join(keep, "items", "left_semi")
-    rows = rows.select("items", "u", "p", "tail", F.posexplode("tail").alias("i", "x"))
+def first_level(tails: DataFrame) -> DataFrame:
+    """items, u, p, rem, at and the transaction's lists: each item alone, ``at`` its place."""
+    rows = tails.select(*LISTS, F.posexplode("t_item").alias("at", "item"))
+    return rows.select(F.array("item").alias("items"), F.get("t_u", "at").alias("u"), F.get("t_p", "at").alias("p"), F.get("t_rem", "at").alias("rem"), "at", *LISTS)
+
+
+def grown(level: DataFrame, keep: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The next level: each occurrence of an itemset to keep, with each later item whose own bound reaches the threshold."""
+    last = F.size("t_item") - 1
+    rows = level.where(F.col("at") < last).join(keep, "items", "left_semi")
+    rows = rows.select("items", "u", "p", *LISTS, F.explode(F.sequence(F.col("at") + 1, last)).alias("at"))
+    if threshold is not None:
+        rows = rows.where(F.get("t_bound", "at") >= threshold - SLACK)
     return rows.select(
-        F.concat("items", F.array("x.item")).alias("items"), (F.col("u") + F.col("x.u")).alias("u"), (F.col("p") * F.col("x.p")).alias("p"),
-        F.col("x.rem").alias("rem"), F.slice("tail", F.col("i") + 2, F.size("tail")).alias("tail"),
+        F.concat("items", F.array(F.get("t_item", "at"))).alias("items"), (F.col("u") + F.get("t_u", "at")).alias("u"), (F.col("p") * F.get("t_p", "at")).alias("p"),
+        F.get("t_rem", "at").alias("rem"), "at", *LISTS,
     )
 
 
@@ -82,44 +90,47 @@ def mine(
     if k < 1:
         raise ValueError("k must be at least 1")
     by = "rtwu_weighted" if weighted else "rtwu"
-    base = encode.priced(transactions, profits, unpriced).persist()
-    bounds = encode.promising(encode.item_bounds(base), by, 0.0, min_support)
-    # Singles give the first threshold, so that items which can't matter are gone before tails are built.
-    singles = base.groupBy("item").agg(expected_utility().alias("eu"), existential_probability().alias("ep"))
-    good = singles.join(bounds.select("item"), "item", "left_semi").where(qualifies(min_pro, 0.0))
-    seeds = good.orderBy(F.desc("eu")).limit(k).select("eu").collect()
-    threshold = max(0.0, seeds[-1][0]) if len(seeds) == k else 0.0
-    usable = singles.where(F.col("ep") >= min_pro - EPSILON).select("item")
-    ranks = encode.item_ranks(bounds.where(F.col(by) >= threshold - EPSILON).join(usable, "item", "left_semi"), by)
-    tails = encode.as_tails(encode.ranked_base(base, ranks)).persist()
-    held = [base, tails]
-
-    best: list[tuple[list[int], float, float]] = []
-    out = Mined([], threshold)
-    level, size = first_level(tails), 1
-    while True:
-        sums = measured(level).persist()
-        held.append(sums)
-        # The k best of the level; k rows at most come to the driver.
-        top = sums.where(qualifies(min_pro, threshold)).orderBy(F.desc(F.round("eu", 6)), F.array_sort("items")).limit(k).collect()
-        best = best_first(best + [(sorted(r["items"]), r["eu"], r["ep"]) for r in top])[:k]
-        if len(best) == k:
-            threshold = max(threshold, best[-1][1], 0.0)
-        likely = F.col("ep") >= min_pro - EPSILON
-        may_grow = likely & (F.col("ub") >= threshold - EPSILON)
-        said = sums.agg(F.count("*"), F.count_if(~likely), F.count_if(likely & ~may_grow), F.count_if(may_grow)).first()
-        out.levels.append({"level": size, "candidates": said[0], "ep_pruned": said[1], "ub_pruned": said[2], "survivors": said[3], "threshold": threshold})
-        if not said[3] or size == max_len:
-            break
-        level = grown(level, sums.where(may_grow).select("items"))
-        if pairs and size == 1:
-            able = pair_bounds(base).where(F.col("bound") >= threshold - EPSILON)
-            able = able.select(F.array("i1", "i2").alias("_pair"))
-            level = level.join(able, F.array_sort("items") == F.col("_pair"), "left_semi")
-        size += 1
-        level = stash(level, f"level-{size}") if size % CUT_EVERY == 0 else level.persist()
-        held.append(level)
-    out.rows, out.threshold = best, threshold
-    for x in held:
-        x.unpersist()
-    return out
+    held: list[DataFrame] = []
+
+    def keep(frame: DataFrame) -> DataFrame:
+        held.append(frame.persist())
+        return frame
+
+    try:
+        # All that follows of transactions goes by tid, so this is their only shuffle.
+        base = keep(encode.priced(transactions, profits, unpriced).select("tid", "item", "u", "p").repartition("tid"))
+        items = keep(encode.promising(encode.item_measures(base), by, 0.0, min_support))
+        # Singles give the first threshold, so that items which can't matter are gone before lists are built.
+        seeds = items.where(qualifies(min_pro, 0.0)).orderBy(F.desc("eu")).limit(k).select("eu").collect()
+        threshold = max(0.0, seeds[-1][0]) if len(seeds) == k else 0.0
+        usable = items.where((F.col("ep") >= min_pro - EPSILON) & (F.col(by) >= threshold - SLACK))
+        ranked = base.join(usable.select("item", F.col(by).alias("bound")), "item")
+        tails = keep(encode.as_tails(encode.with_remaining(ranked, "bound", "item"), "bound", "item"))
+        out = Mined([], threshold)
+        best: list[tuple[list[int], float, float]] = []
+        level, size = first_level(tails), 1
+        while True:
+            sums = keep(measured(level))
+            # The k best of the level; k rows at most come to the driver.
+            top = sums.where(qualifies(min_pro, threshold - SLACK if threshold > 0 else 0.0)).orderBy(F.desc(F.round("eu", 6)), F.array_sort("items")).limit(k).collect()
+            best = best_first(best + [(sorted(r["items"]), r["eu"], r["ep"]) for r in top])[:k]
+            if len(best) == k:
+                threshold = max(threshold, best[-1][1], 0.0)
+            likely = F.col("ep") >= min_pro - EPSILON
+            may_grow = likely & (F.col("ub") >= threshold - SLACK)
+            said = sums.agg(F.count("*"), F.count_if(~likely), F.count_if(likely & ~may_grow), F.count_if(may_grow)).first()
+            out.levels.append({"level": size, "candidates": said[0], "ep_pruned": said[1], "ub_pruned": said[2], "survivors": said[3], "threshold": threshold})
+            if not said[3] or size == max_len:
+                break
+            level = grown(level, sums.where(may_grow).select("items"), threshold)
+            if pairs and size == 1:
+                able = pair_bounds(base).where(F.col("bound") >= threshold - SLACK).select(F.array("i1", "i2").alias("_pair"))
+                level = level.join(able, F.array_sort("items") == F.col("_pair"), "left_semi")
+            size += 1
+            if size % CUT_EVERY == 0:
+                level = stash(level, f"level-{size}")
+        out.rows, out.threshold = best, threshold
+        return out
+    finally:
+        for x in held:
+            x.unpersist()

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if the cluster names it, else a folder in the warehouse."""
+    """``spark.checkpoint.dir`` if the cluster names it, else a folder in the warehouse, which must be shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stash"
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+    return warehouse + "/_stash"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -36,7 +36,16 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signed_profits(transactions: DataFrame) -> DataFrame:
     """item, profit: a quarter of the items has a loss."""
+    return with_profit(transactions.select("item").distinct())
+
+
+def with_profit(items: DataFrame) -> DataFrame:
     item = F.col("item")
-    return transactions.select("item").distinct().select(
-        "item", F.when(item % 4 == 0, -1.0 * (item % 7 + 1)).otherwise(item % 9 + 1.0).cast("double").alias("profit")
-    )
+    return items.select("item", F.when(item % 4 == 0, -1.0 * (item % 7 + 1)).otherwise(item % 9 + 1.0).cast("double").alias("profit"))
+
+
+def part_profits(spark: SparkSession, sf_dir: str, item: str = "brand") -> DataFrame:
+    """The profits of all brands or parts, from the table of parts: the lines need not be read for them."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    of = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") if item == "brand" else F.col("p_partkey").cast("int")
+    return with_profit(parts.select(of.alias("item")).distinct())

@@ -48,15 +48,10 @@ def dense_tids(transactions: DataFrame) -> DataFrame:
 
     Ranges hold about as many tids each, so no task numbers all of them.
     """
-    from pyspark.sql import Window
-
-    parts = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tids = transactions.select("tid").distinct().repartitionByRange(parts, "tid").select("tid", F.spark_partition_id().alias("part")).persist()
-    sizes = tids.groupBy("part").count().orderBy("part")
-    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("tid"))
-    numbered = tids.withColumn("own", own).join(F.broadcast(before), "part").select("tid", (F.col("own") + F.col("before")).alias("dense"))
-    return transactions.join(numbered, "tid").select(F.col("dense").alias("tid"), *[c for c in transactions.columns if c != "tid"])
+    from tallyrift.operators.encode import numbered
+
+    dense = numbered(transactions.select("tid").distinct(), "_dense", "tid")
+    return transactions.join(dense, "tid").select((F.col("_dense") + 1).alias("tid"), *[c for c in transactions.columns if c != "tid"])
 
 
 def write_transactions(transactions: DataFrame, path: str) -> None:

@@ -1,12 +1,15 @@
 """A byte model by logistic mixing of the bit predictors of contexts.
 
 Bytes are coded by the bits of Huffman codes, one for each byte before, some three bits each. Each bit
-has one predictor for each context: the last byte, the last two, three and four, and the word so far.
+has one predictor for each context: the last two, three and four bytes, and the word so far. (What the
+last byte alone says is in the codes; a predictor of its own was worth 0.001 bits a byte.)
 What is counted is how often a byte came in a context, by a key of 60 bits (``keys``); the counts of
 the bits are sums over the bytes below a node of the code tree (``answers``). Any number of keys may be
 counted, as no table has a fixed size. A predictor speaks by the logarithm of its odds, gated by its
-evidence: few counts say little, none are silent. Weights add these up and are refined as a text goes
-on, after each byte by its error.
+evidence: few counts say little, none are silent. Weights add these up. There is a set of weights for
+each place in a word (``gates``), and the set in use is refined after each byte of a text by its error.
+The weights start anew every ``SEGMENT`` bytes, so that the parts of long texts go forward side by side;
+what the contexts see goes across these starts.
 """
 
 from __future__ import annotations
@@ -20,10 +23,15 @@ import numpy as np
 
 #: Comes before and after each text; no UTF-8 text has it.
 EDGE = 255
-#: Of the contexts' weights at the start of each text: last byte, last three, word so far; with all, last two and last four.
-FIRST = {3: np.array([0.2, 0.45, 0.55], np.float32), 5: np.array([0.1, 0.25, 0.45, 0.15, 0.35], np.float32)}
-RATE = 0.01
-ORDERS, KEY_BITS = 5, 60
+#: The contexts' weights at each start: last three bytes, word so far, last two, last four.
+FIRST = np.array([0.2, 0.45, 0.15, 0.35], np.float32)
+RATE = 0.02
+SEGMENT = 4096
+#: Sets of weights: after so many bytes of a word, or more.
+GATES = 4
+ORDERS, KEY_BITS = 4, 60
+#: What predictors say is kept in so many steps to the unit.
+STEPS = 8
 #: Bytes whose predictors are looked up at once.
 WINDOW = 80_000
 BLANK = np.zeros(256, bool)
@@ -82,6 +90,19 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([len(t) + 1 for t in texts], np.int64)
 
 
+def gates(data: np.ndarray) -> np.ndarray:
+    """The set of weights for each byte: how many bytes of its word came before, GATES - 1 at most."""
+    gap = np.ones(len(data) + 1, bool)
+    gap[1:] = BLANK[data] | (data == EDGE)
+    out = np.zeros(len(data), np.int8)
+    inside = ~gap[:-1]
+    for _ in range(GATES - 1):
+        out[inside] += 1
+        inside[1:] = inside[1:] & ~gap[:-2] & inside[:-1] if len(inside) else inside[1:]
+        inside[:1] = False
+    return out
+
+
 def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The byte before each byte, and a hash for each longer context, of bytes before it only."""
     n = len(data)
@@ -114,7 +135,7 @@ def keys(data: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """For each context the key of each byte in it: 44 bits of the context's hash, the byte before, the byte."""
     before, of = contexts(data, sizes)
     pair = before << 8 | data
-    return [pair, *(c << 16 | pair for c in of)]
+    return [c << 16 | pair for c in of]
 
 
 def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +162,7 @@ class KeyCounts:
         flags = np.repeat(trains.astype(np.int64), sizes)
         self.waiting.append([k << 1 | flags for k in keys(data, sizes)])
         self.held += len(data)
-        if self.held >= GATHER // 2:
+        if self.held >= GATHER:
             self.gather()
 
     def gather(self) -> None:
@@ -174,7 +195,7 @@ def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def answers(code: Code, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct keys in order, with whole contexts: where each key's bits start, and what is said of all bits."""
+    """For distinct keys in order, with whole contexts: where each key's bits start, and what is said of all bits, in steps."""
     pair = key & 0xFFFF
     size = code.size[pair]
     at = flat(code.start[pair], size)
@@ -183,7 +204,7 @@ def answers(code: Code, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray,
     many = np.repeat(count, size)
     n = np.bincount(where, many, len(node))
     ones = np.bincount(where, many * code.bits[at], len(node))
-    return np.cumsum(size) - size, opinions(n, ones)[where]
+    return np.cumsum(size) - size, np.rint(opinions(n, ones) * STEPS).clip(-127, 127).astype(np.int8)[where]
 
 
 class Places:
@@ -232,56 +253,10 @@ class Bits:
         at = np.repeat(code.start[pair] - (self.ends - self.size), self.size)
         at += np.arange(len(at))
         self.node, self.bit = code.nodes[at], code.bits[at]
-        self.spread = self.node * 0x9E3779B1
-
-    def slots(self, context: np.ndarray | None, bits: int) -> np.ndarray:
-        if context is None:
-            return self.node
-        at = np.repeat(context, self.size)
-        at += self.spread
-        at &= (1 << bits) - 1
-        return at
-
-
-#: Bits whose slots are gathered before they are counted: adding a table costs as much as counting that many.
-GATHER = 4_000_000
-
-
-class Counts:
-    """Counts of few texts in memory: of each slot how many bits came that were not set, and that were."""
-
-    def __init__(self, bits: list[int]):
-        self.bits = bits
-        self.seen = [np.zeros(2 << b, np.int64) for b in bits]
-        self.waiting: list[list[np.ndarray]] = [[] for _ in bits]
-        self.held = 0
 
-    def learn(self, code: Code, texts: list[bytes]) -> None:
-        data, sizes = joined(texts)
-        if not len(data):
-            return
-        before, of = contexts(data, sizes)
-        spread = Bits(code, before, data)
-        for k, (b, c) in enumerate(zip(self.bits, [None, *of], strict=False)):
-            at = spread.slots(c, b) * 2
-            at += spread.bit
-            self.waiting[k].append(at.astype(np.int32))
-        self.held += len(spread.bit)
-        if self.held >= GATHER:
-            self.add()
-
-    def add(self) -> None:
-        for k, b in enumerate(self.bits):
-            if self.waiting[k]:
-                self.seen[k] += np.bincount(np.concatenate(self.waiting[k]), minlength=2 << b)
-                self.waiting[k] = []
-        self.held = 0
 
-    def part(self, k: int, lo: int, hi: int) -> np.ndarray:
-        """Two rows: the bits of slots lo to hi, and how many were set."""
-        self.add()
-        two = self.seen[k][2 * lo : 2 * hi].reshape(-1, 2)
-        return np.stack([two.sum(1), two[:, 1]])
+#: Bytes whose keys are gathered before they are counted.
+GATHER = 2_000_000
 
 
 def opinions(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -289,24 +264,12 @@ def opinions(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.log((ones + 0.3) / (n - ones + 0.3)) * (n / (n + 0.4))).astype(np.float32)
 
 
-class Slots:
-    """What hashed tables say of the bits of some texts."""
-
-    def __init__(self, tables: list[np.ndarray], data: np.ndarray, sizes: np.ndarray):
-        self.tables = tables
-        self.before, of = contexts(data, sizes)
-        self.of = [None, *of][: len(tables)]
-
-    def said(self, row: np.ndarray, spread: Bits) -> list[np.ndarray]:
-        return [t[spread.slots(None if c is None else c[row], int(np.log2(len(t))))] for t, c in zip(self.tables, self.of, strict=True)]
-
-
 class Known:
     """What the answers of keys say of the bits of some texts that have only such keys."""
 
     def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]], texts: list[bytes]):
         """``tables``: for each context the distinct keys in order, and what is said of all their bits."""
-        self.tables = [said for _, said in tables]
+        self.tables = [said.astype(np.float32) / STEPS for _, said in tables]
         self.places = [Places(key) for key, _ in tables]
         self.starts = starts = []
         for key, _ in tables:
@@ -324,8 +287,15 @@ class Known:
             at += len(key)
         return self.start
 
-    def said(self, row: np.ndarray, spread: Bits) -> list[np.ndarray]:
-        return [t[flat(s[row], spread.size)] for t, s in zip(self.tables, self.start, strict=True)]
+    def said(self, row: np.ndarray, spread: Bits) -> np.ndarray:
+        """A row for each context: what it says of each bit."""
+        out = np.empty((len(self.tables), len(spread.bit)), np.float32)
+        first, count = spread.ends - spread.size, np.arange(len(spread.bit))
+        for k, (t, s) in enumerate(zip(self.tables, self.start, strict=True)):
+            at = np.repeat(s[row] - first, spread.size)
+            at += count
+            np.take(t, at, out=out[k], mode="clip")
+        return out
 
 
 def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -340,35 +310,41 @@ def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def score(code: Code, tables: list[np.ndarray] | Known, texts: list[bytes]) -> np.ndarray:
-    """The natural logarithm of each text's probability, its end included.
+def score(code: Code, model: Known, texts: list[bytes]) -> np.ndarray:
+    """The natural logarithm of each text's probability, its end included. ``model`` is about these texts.
 
-    All texts go forward together, byte by byte; each text's weights follow its own errors.
+    Segments of all texts go forward together, byte by byte; each one's weights follow its own errors.
     """
     data, sizes = joined(texts)
     if not len(data):
         return np.zeros(0)
-    model = tables if isinstance(tables, Known) else Slots(tables, data, sizes)
-    orders = len(model.tables)
-    order = np.argsort(-sizes, kind="stable")
-    begin, long = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    active = len(sizes) - np.searchsorted(long[::-1], np.arange(long[0]), "right")  # texts with a byte at each step
-    total = np.zeros(len(sizes))
-    weights = np.repeat(FIRST[orders][:, None], len(sizes), 1)
+    parts = -(-sizes // SEGMENT)
+    text = np.repeat(np.arange(len(sizes)), parts)
+    begin = np.cumsum(sizes) - sizes
+    offset = flat(np.zeros(len(parts), np.int64), parts) * SEGMENT
+    long = np.minimum(sizes[text] - offset, SEGMENT)
+    order = np.argsort(-long, kind="stable")
+    text, long, start = text[order], long[order], (begin[text] + offset)[order]
+    n = len(long)
+    active = n - np.searchsorted(long[::-1], np.arange(long[0]), "right")  # segments with a byte at each step
+    total = np.zeros(n)
+    weights = np.repeat(FIRST[:, None], n * GATES, 1)
+    gate = gates(data)
+    before = np.full(len(data), EDGE, np.int64)
+    before[1:] = data[:-1]
+    before[begin] = EDGE
     ends = np.cumsum(active)
     at = 0
     while at < long[0]:
         till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOW, "right")))
         many = active[at:till]
         who = flat(np.zeros(len(many), np.int64), many)
-        row = begin[who] + np.repeat(np.arange(at, till), many)
-        last = np.full(len(row), EDGE, np.int64)
-        inside = row > begin[who]
-        last[inside] = data[row[inside] - 1]
-        spread = Bits(code, last, data[row])
-        said = np.stack(model.said(row, spread))
+        row = start[who] + np.repeat(np.arange(at, till), many)
+        spread = Bits(code, before[row], data[row])
+        said = model.said(row, spread)
         said *= (1 - 2 * spread.bit).astype(np.float32)  # of the other bit against the one that came
-        of_bit = np.repeat(who, spread.size)
+        mine = who * GATES + gate[row]
+        of_bit = np.repeat(mine, spread.size)
         first = spread.ends - spread.size
         wrong = np.empty(len(of_bit), np.float32)
         lo = 0
@@ -376,17 +352,13 @@ def score(code: Code, tables: list[np.ndarray] | Known, texts: list[bytes]) -> n
             hi = lo + a
             b, e = first[lo], spread.ends[hi - 1]
             own = said[:, b:e]
-            odds = weights.take(of_bit[b:e], 1)
-            odds *= own
-            odds = odds.sum(0)
+            odds = np.einsum("ij,ij->j", weights.take(of_bit[b:e], 1), own)
             np.minimum(np.maximum(odds, -11, out=odds), 11, out=odds)
             np.exp(odds, out=odds)
             wrong[b:e] = odds
             odds /= 1 + odds
-            weights[:, :a] -= RATE * np.add.reduceat(own * odds, first[lo:hi] - b, axis=1)
+            weights[:, mine[lo:hi]] -= RATE * np.add.reduceat(own * odds, first[lo:hi] - b, axis=1)
             lo = hi
-        total -= np.bincount(who, np.add.reduceat(np.log1p(wrong.astype(np.float64)), first), len(sizes))
+        total -= np.bincount(who, np.add.reduceat(np.log1p(wrong), first, dtype=np.float64), n)
         at = till
-    out = np.empty(len(sizes))
-    out[order] = total
-    return out
+    return np.bincount(text, total, len(sizes))

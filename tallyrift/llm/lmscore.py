@@ -1,197 +1,244 @@
 """Language-model scores of whole texts: a unigram base, and online logistic mixing of byte contexts.
 
-The base needs each token's count in the training texts. Texts are dealt into blocks of about
-``BLOCK_BYTES``; a block's distinct tokens meet the corpus counts by a join, and come back to the
-block, so a token crosses the network once for each block instead of once for each text.
+Texts are dealt into blocks of about ``BLOCK_BYTES`` where they lie, by the tasks that read them. A block
+is written once, packed: its texts, its distinct words with their counts, and for each context its distinct
+keys with theirs. Both are cut into buckets, words by a checksum and keys by their first bits. A bucket's
+counts are summed over all blocks, and what they say of each word and key comes back to the blocks
+that have it. So a word or key crosses the network twice for each block that has it, packed with its
+neighbours, and nothing is broadcast but the code.
 
 The mixing model's counts are of (context, byte), by keys of 60 bits; there are as many as the training
-texts have, with no bound. Each block sends its distinct keys, cut into buckets by their first bits;
-a bucket's counts are summed over all blocks, and what they say of each key comes back to the blocks
-that have it. So nothing is broadcast but the code. The number of buckets grows with the text, so what
-one holds does not. No text is sampled or cut.
+texts have, with no bound, as there are words. The number of buckets grows with the text, so what one
+holds does not. No text is sampled or cut.
 
 Null texts count as empty: their only token is the end. Repeated rows are texts of their own, and are
-counted as often. An empty table gives no rows; without any training text all counts are zero, and
-the base of every token is log10(0.1 / 0.1). Only the columns named are read.
+counted as often; very long texts are read whole. An empty table gives no rows; without any training
+text all counts are zero, and the base of every token is log10(0.1 / 0.1). Only the columns named are read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytemix
 from .base import stash
 
-BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 16 << 20, 4 << 20, 32 << 20, 80_000
-#: Texts of up to so many bytes, and longer ones, have blocks of their own: a block takes as many steps as its longest text.
-LENGTHS = (4 << 10, 16 << 10)
+BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 16 << 20, 4 << 20, 64 << 20, 80_000
+#: The kinds of packed rows besides the contexts, which are numbered from 0: a block's texts, its words, and totals.
+TEXTS, WORDS, TOTALS = -1, bytemix.ORDERS, bytemix.ORDERS + 1
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words as bytes, A-Z in lower case: of bytes, lower() and split() know no other letters and blanks."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: bytes) -> list[bytes]:
+    """The words, A-Z in lower case: of bytes, lower() and split() know no other letters and blanks."""
+    return text.lower().split()
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Of some texts the first's number and the bytes, about BATCH of those at once."""
-    part: list[bytes] = []
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _runs(texts: list[bytes], most: int) -> Iterator[slice]:
+    """The texts in runs of ``most`` bytes or a little more."""
     at = size = 0
     for i, t in enumerate(texts):
-        part.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(part[-1]) + 1
-        if size >= BATCH:
-            yield at, part
-            part, at, size = [], i + 1, 0
-    if part:
-        yield at, part
+        size += len(t) + 1
+        if size >= most:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
-def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """``id_col``, trains, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte for each row."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    kind = next(t for n, t in docs.dtypes if n == id_col)
-    texts = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.coalesce(trains, F.lit(False)).alias("trains"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"),
+def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
+    return zlib.compress(b"".join(texts), 1), np.array([len(t) for t in texts], "<i8").tobytes()
+
+
+def unpack_texts(raw: bytes, sizes: bytes) -> list[bytes]:
+    data, out, at = zlib.decompress(raw), [], 0
+    for n in np.frombuffer(sizes, "<i8").tolist():
+        out.append(data[at : at + n])
+        at += n
+    return out
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Sorted words, which hold no blanks; the empty one stands for the end of a text."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return zlib.decompress(raw).split(b" ")
+
+
+def _rows(block: int, parts: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """Of (k, bucket, a, b, ids, trains)."""
+    k, bucket, a, b, ids, trains = zip(*parts, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * len(parts), pa.int64()), pa.array(k, pa.int32()), pa.array(bucket, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ids, pa.list_(kind)), pa.array(trains, pa.list_(pa.bool_()))],
+        ["block", "k", "bucket", "a", "b", "ids", "trains"],
     )
 
+
+def block_rows(texts: list[bytes], ids: list, trains: list[bool], cut: int) -> Iterator[tuple]:
+    """The packed rows of one block, cut into 2^cut buckets."""
+    for at in _runs(texts, 2 << 20):
+        yield (TEXTS, 0, *pack_texts(texts[at]), ids[at], trains[at])
+    flags, seen = np.array(trains, bool), bytemix.KeyCounts()
+    for at in _runs(texts, BATCH):
+        seen.add(texts[at], flags[at])
+    edges = np.arange(1, 1 << cut) << bytemix.KEY_BITS - cut
+    for k in range(bytemix.ORDERS):
+        key, count = seen.of(k)
+        ends = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+        for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if lo < hi:
+                yield k, i, bytemix.packed(np.diff(key[lo:hi], prepend=0)), bytemix.packed(count[lo:hi].astype(np.int32)), None, None
+    known: Counter = Counter()
+    others: set[bytes] = set()
+    for t, f in zip(texts, trains, strict=True):
+        known.update(tokens(t)) if f else others.update(tokens(t))
+    known[b""] = int(flags.sum())
+    buckets: list[list[bytes]] = [[] for _ in range(1 << cut)]
+    for w in sorted(others.union(known)):
+        buckets[zlib.crc32(w) & (1 << cut) - 1].append(w)
+    for i, own in enumerate(buckets):
+        if own:
+            yield WORDS, i, pack_words(own), bytemix.packed(np.array([known[w] for w in own], np.int32)), None, None
+
+
+def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, trains, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte for each row."""
+    sc = docs.sparkSession.sparkContext
+    id_type = docs.schema[id_col].dataType
+    kind, arrow = id_type.simpleString(), to_arrow_type(id_type)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(trains, F.lit(False)).alias("trains"), F.col(f"`{text_col}`").alias("text"))
+
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, every = np.zeros(1 << 16, np.int64), np.zeros(len(LENGTHS) + 1, np.int64)
+        seen, every = np.zeros(1 << 16, np.int64), 0
         for batch in batches:
-            flags = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in _batches(batch.column(1).to_pylist()):
-                long = np.array([len(t) for t in part])
-                every += np.bincount(np.searchsorted(LENGTHS, long), long + 1, len(every)).astype(np.int64)
-                own = [t for t, f in zip(part, flags[at : at + len(part)], strict=True) if f]
+            flags = batch.column(0).to_pylist()
+            raw = [_bytes(t) for t in batch.column(1).to_pylist()]
+            every += sum(map(len, raw)) + len(raw)
+            for at in _runs(raw, BATCH):
+                own = [t for t, f in zip(raw[at], flags[at], strict=True) if f]
                 data = np.frombuffer(b"\xff" + b"\xff".join([*own, b""]), np.uint8).astype(np.int64)
                 seen += np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16)
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1 - np.arange(len(every))), pa.int32()), pa.array(np.append(seen[some], every))], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2]), pa.int32()), pa.array(np.append(seen[some], [every, 1]))], ["pair", "n"])
 
-    # 65,539 rows at most.
+    # 65,538 rows at most: how often each two bytes came, all bytes, and how many partitions there are.
     counted = {r[0]: r[1] for r in texts.select("trains", "text").mapInArrow(histogram, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect()}
     pairs = np.array([counted.get(i, 0) for i in range(1 << 16)], np.int64)
-    every = [counted.get(-1 - i, 0) for i in range(len(LENGTHS) + 1)]
     code = sc.broadcast(bytemix.huffman(pairs.reshape(256, 256)))
-    cut = max(0, (sum(every) // BUCKET_BYTES).bit_length())
-    edges = np.arange(1, 1 << cut) << bytemix.KEY_BITS - cut
+    every, parts = counted.get(-1, 0), counted.get(-2, 1)
+    cut = max(0, (every // BUCKET_BYTES).bit_length())
 
-    # Blocks of texts of like lengths.
-    blocks = [-(-n // BLOCK_BYTES) for n in every]
-    long, block = F.octet_length("text"), None
-    for i, n in enumerate(blocks):
-        own = F.pmod(F.xxhash64("row", "id"), F.lit(max(n, 1))) + sum(blocks[:i])
-        last = i == len(LENGTHS)
-        block = own if last and block is None else block.otherwise(own) if last else (F if block is None else block).when(long <= LENGTHS[i], own)
-    dealt = texts.withColumn("block", block)
-
-    def words(rows: pa.Table) -> pa.Table:
-        known: Counter = Counter()
-        others: set[str] = set()
-        block = rows.column("block")[0]
-        ends = 0
-        flags = rows.column("trains").to_numpy()
-        seen = bytemix.KeyCounts()
-        for at, part in _batches(rows.column("text").to_pylist()):
-            seen.add(part, flags[at : at + len(part)])
-        for flag, text in zip(rows.column("trains").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            if flag:
-                known.update(tokens(text))
-                ends += 1
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of one partition; their numbers are its own."""
+        block = TaskContext.get().partitionId() << 32
+        held, ids, flags, size = [], [], [], 0
+        for batch in batches:
+            for i, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(_bytes(t))
+                ids.append(i)
+                flags.append(f)
+                size += len(held[-1]) + 1
+                if size >= BLOCK_BYTES:
+                    for row in block_rows(held, ids, flags, cut):
+                        yield _rows(block, [row], arrow)
+                    block, held, ids, flags, size = block + 1, [], [], [], 0
+        if held:
+            for row in block_rows(held, ids, flags, cut):
+                yield _rows(block, [row], arrow)
+
+    schema = f"block bigint, k int, bucket int, a binary, b binary, ids array<{kind}>, trains array<boolean>"
+    # Small partitions are put together, without a shuffle, so that blocks are full.
+    few = max(1, min(parts, max(-(-every // BLOCK_BYTES), sc.defaultParallelism)))
+    blocks = stash(texts.coalesce(few).mapInArrow(pack, schema), "blocks")
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        """What is said of the keys or words of one bucket, to each block that has them."""
+        k = key[0].as_py()
+        block, times = rows.column("block").to_pylist(), [bytemix.unpacked(b, np.int32) for b in rows.column("b").to_pylist()]
+        sent, out = rows.column("a").to_pylist(), []
+        kinds, totals = [k] * len(block), (0, 0, 0)
+        if k == WORDS:
+            total: dict[bytes, int] = {}
+            get = total.get
+            for raw, n in zip(sent, times, strict=True):
+                for w, c in zip(unpack_words(raw), n.tolist(), strict=True):
+                    total[w] = get(w, 0) + c
+            for raw in sent:
+                own = unpack_words(raw)
+                out.append(bytemix.packed(np.fromiter(map(total.__getitem__, own), np.int64, len(own))))
+            totals = (sum(total.values()), sum(c > 0 for c in total.values()), get(b"", 0))
+            block, kinds, sent = [*block, -1], [*kinds, TOTALS], [*sent, b""]
+            out.append(np.array(totals, "<i8").tobytes())
+        else:
+            held = [np.cumsum(bytemix.unpacked(a, np.int64)) for a in sent]
+            every_key, n = bytemix.distinct(np.concatenate(held), np.concatenate(times).astype(np.int64))
+            start, said = bytemix.answers(code.value, every_key, n)
+            size = code.value.size[every_key & 0xFFFF]
+            for own in held:
+                at = np.searchsorted(every_key, own)
+                out.append(zlib.compress(said[bytemix.flat(start[at], size[at])].tobytes(), 1))
+        return pa.table({"block": pa.array(block, pa.int64()), "k": pa.array(kinds, pa.int32()), "bucket": pa.array([key[1].as_py()] * len(block), pa.int32()), "a": pa.array(sent, pa.binary()), "b": pa.array(out, pa.binary())})
+
+    asked = blocks.where(f"k <> {TEXTS}").select("block", "k", "bucket", "a", "b")
+    answered = stash(asked.groupBy("k", "bucket").applyInArrow(answer, "block bigint, k int, bucket int, a binary, b binary"), "answers")
+    # A row for each bucket of words.
+    totals = [np.frombuffer(bytes(r[0]), "<i8") for r in answered.where(f"k = {TOTALS}").select("b").collect()]
+    total, distinct, ends = (int(x) for x in np.sum(totals, 0)) if totals else (0, 0, 0)
+
+    def judge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("k", "ascending"), ("bucket", "ascending")])
+        k, a, b = (rows.column(c).to_pylist() for c in ("k", "a", "b"))
+        raw, ids, flags, tables = [], [], [], []
+        of: dict[bytes, float] = {}
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(bytemix.ORDERS)]
+        for i, what in enumerate(k):
+            if what == TEXTS:
+                raw += unpack_texts(a[i], b[i])
+                ids.append(rows.column("ids")[i].values)
+                flags.append(rows.column("trains")[i].values)
+            elif what == WORDS:
+                of.update(zip(unpack_words(a[i]), np.log10(bytemix.unpacked(b[i], np.int64) + 0.1).tolist(), strict=True))
             else:
-                others.update(tokens(text))
-        others -= known.keys()
-        word = [*known, *others, None]
-        n = [*known.values(), *[0] * len(others), ends]
-        kind, bucket, held, times = [], [], [], []
-        for k in range(bytemix.ORDERS):
-            key, count = seen.of(k)
-            at = [0, *np.searchsorted(key, edges), len(key)]
-            for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if lo < hi:
-                    kind.append(k)
-                    bucket.append(i)
-                    held.append(bytemix.packed(np.diff(key[lo:hi], prepend=0)))
-                    times.append(bytemix.packed(count[lo:hi].astype(np.int32)))
-        none, more = [None] * len(word), [None] * len(kind)
-        return pa.table({
-            "block": pa.array([block.as_py()] * (len(word) + len(kind))), "word": pa.array(word + more, pa.binary()), "n": pa.array(n + more, pa.int64()),
-            "k": pa.array(none + kind, pa.int32()), "bucket": pa.array(none + bucket, pa.int32()), "keys": pa.array(none + held, pa.binary()), "times": pa.array(none + times, pa.binary()),
-        })
-
-    schema = "block bigint, word binary, n bigint, k int, bucket int, keys binary, times binary"
-    all_counts = stash(dealt.select("block", "trains", "text").groupBy("block").applyInArrow(words, schema), "block-counts")
-    by_block = all_counts.where("k is null").select("block", "word", "n")
-
-    def answer(rows: pa.Table) -> pa.Table:
-        """For each block what is said of the bits of its keys, those of one context and bucket."""
-        held = [np.cumsum(bytemix.unpacked(b, np.int64)) for b in rows.column("keys").to_pylist()]
-        times = [bytemix.unpacked(b, np.int32) for b in rows.column("times").to_pylist()]
-        key, n = bytemix.distinct(np.concatenate(held), np.concatenate(times).astype(np.int64))
-        start, said = bytemix.answers(code.value, key, n)
-        said, size = said.astype(np.float16), code.value.size[key & 0xFFFF]
-        out = []
-        for own in held:
-            at = np.searchsorted(key, own)
-            out.append(bytemix.packed(said[bytemix.flat(start[at], size[at])]))
-        return pa.table({"block": rows.column("block"), "k": rows.column("k"), "bucket": rows.column("bucket"), "said": pa.array(out, pa.binary())})
-
-    said_of = all_counts.where("k is not null").groupBy("k", "bucket").applyInArrow(answer, "block bigint, k int, bucket int, said binary")
-
-    # The base's counts.
-    vocabulary = stash(by_block.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    total, distinct, ends = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.max(F.when(F.col("word").isNull(), F.col("c")))).first()
-    total, distinct, ends = total or 0, distinct or 0, ends or 0
-    counts = by_block.select("block", "word").where("word is not null").join(vocabulary.where("word is not null and c > 0"), "word").select("block", "word", "c")
-    both = counts.select(F.col("block").alias("_block"), "word", "c", F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("said")).unionByName(
-        said_of.select(F.col("block").alias("_block"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"), "k", "bucket", "said")
-    )
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        told = right.filter(pc.is_valid(right.column("k"))).sort_by([("k", "ascending"), ("bucket", "ascending")])
-        right = right.filter(pc.is_null(right.column("k")))
-        logs = np.log10((right.column("c").to_numpy() + 0.1) / (total + 0.1 * (distinct + 1)))
-        of = dict(zip(right.column("word").to_pylist(), logs.tolist(), strict=True)).get
-        new = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
-        end = math.log10((ends + 0.1) / (total + 0.1 * (distinct + 1)))
-        text = left.column("text").to_pylist()
-        n_tokens, n_known, base, size = (np.zeros(len(text), t) for t in (np.int64, np.int64, np.float64, np.int64))
-        score = np.zeros(len(text))
-        for i, t in enumerate(text):
-            own = list(map(of, tokens(t)))
-            known = [x for x in own if x is not None]
-            n_tokens[i], n_known[i] = len(own) + 1, len(known) + (ends > 0)
-            base[i] = sum(known) + new * (len(own) - len(known)) + end
-        if len(text):
-            raw, seen = [(t or "").encode("utf-8", "surrogatepass") for t in text], bytemix.KeyCounts()
-            for part in bytemix.batches(raw):
-                seen.add(part, np.zeros(len(part), bool))
-            k, said = told.column("k").to_pylist(), told.column("said").to_pylist()
-            tables = [(seen.of(i)[0], np.concatenate([np.zeros(0, np.float16), *(bytemix.unpacked(x, np.float16) for j, x in zip(k, said, strict=True) if j == i)])) for i in range(bytemix.ORDERS)]
-            size[:] = [len(t) + 1 for t in raw]
-            del seen, said
-            model = bytemix.Known(code.value, tables, [])
-            # Texts of like lengths go forward together.
-            order = np.argsort(size, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // GROUP_BYTES)) + 1):
-                group = [raw[i] for i in own]
-                model.meet(group)
-                score[own] = bytemix.score(code.value, model, group)
-        score /= math.log(10)
+                parts[what].append((np.cumsum(bytemix.unpacked(a[i], np.int64)), np.frombuffer(zlib.decompress(b[i]), np.int8)))
+        del a, b
+        tables = [tuple(np.concatenate(c) for c in zip(*p, strict=True)) for p in parts]
+        n_tokens, n_known, base, score = (np.zeros(len(raw), t) for t in (np.int64, np.int64, np.float64, np.float64))
+        new, end = math.log10(0.1), math.log10(ends + 0.1)
+        for i, t in enumerate(raw):
+            own = np.fromiter(map(of.__getitem__, tokens(t)), np.float64)
+            n_tokens[i], n_known[i] = len(own) + 1, (own > new + 1e-9).sum() + (ends > 0)
+            base[i] = own.sum() + end
+        of.clear()
+        size = np.array([len(t) + 1 for t in raw])
+        model = bytemix.Known(code.value, tables, [])
+        # Texts of like lengths go forward together.
+        order = np.argsort(size, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // GROUP_BYTES)) + 1):
+            group = [raw[i] for i in own]
+            model.meet(group)
+            score[own] = bytemix.score(code.value, model, group)
+        base -= n_tokens * math.log10(total + 0.1 * (distinct + 1))
         return pa.table({
-            "id": left.column("id"), "trains": left.column("trains"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(-score * math.log2(10) / np.maximum(size, 1)),
+            "id": pa.chunked_array(ids), "trains": pa.chunked_array(flags), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
+            "base_score": pa.array(base), "score": pa.array(score / math.log(10)), "bits_per_byte": pa.array(-score / math.log(2) / size),
         })
 
+    held = blocks.where(f"k = {TEXTS}").unionByName(answered.where(f"k <> {TOTALS}"), allowMissingColumns=True)
     schema = f"id {kind}, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"
-    out = dealt.select("block", "id", "trains", "text").groupBy("block").cogroup(both.groupBy("_block")).applyInArrow(judge, schema)
+    out = held.groupBy("block").applyInArrow(judge, schema)
     return out.select(F.col("id").alias(id_col), "trains", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -1,22 +1,27 @@
 """SentencePiece encoding and decoding by a weighted transducer and its shortest path.
 
-Three machines are composed with each input: the normaliser (a blank in front, blanks as U+2581), the
-pieces (a trie whose final states write a piece's id) and the byte fallback (a character that no
-piece has writes its bytes). A state of the result is a position and the piece that ended there; the
-shortest path in the tropical semiring (least sum of weights) is the encoding.
+Three machines are composed with each input. The normaliser is a transducer compiled from the model: its
+character map as a trie whose longest match is rewritten, user-defined pieces passed as they are, blanks
+put in front, joined or dropped at the ends as the model says, and written as U+2581. The pieces are a trie
+whose final states write a piece's id. The byte fallback writes the bytes of a character that no piece has;
+without it a run of such characters is one unknown id. A state of the result is a position and the piece
+that ended there; the shortest path in the tropical semiring (least sum of weights) is the encoding.
 
-In a unigram model a piece weighs its negative score. In a BPE model the weights alone don't say what
+In a unigram model a piece weighs its negative score, a user-defined one next to nothing, a character without a piece ten more than the worst; sums have single precision
+and the first of equal paths stays, as in the library. In a BPE model weights alone don't say what
 merging gives, so the machine has its constraint in the transitions: a piece may follow another only
 if merging the two pieces' text gives just those two. A sequence is what merging gives if and only if
 that holds for all neighbours, so each position keeps one state, and the path is the library's result.
-Only runs of blanks, whose pieces all have one score, are merged directly, leftmost first.
+Runs of blanks, whose pieces all have one score, are merged directly, leftmost first, with the word
+behind them; so is a part through which the constraint leaves no path.
 
 Inputs are cut between characters that are neighbours in no piece: before blanks, at line feeds, and
 between letters and other characters, as far as the model's pieces allow. A cut-out part is encoded
-once and remembered, ``PARTS`` of them at most in each worker.
+once and remembered, up to ``PARTS_CHARS`` characters of parts in each worker, none of more than ``LONGEST``.
 
-Null and empty texts have no ids. Repeated rows are encoded one by one; an empty table gives no rows.
-Only the columns named are read.
+Null and empty texts have no ids. Repeated rows are encoded one by one; very long texts are read whole;
+an empty table gives no rows. Ids that are null or that the model doesn't have decode to nothing. Only
+the columns named are read.
 """
 
 from __future__ import annotations
@@ -32,11 +37,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 400_000
+PARTS_CHARS, LONGEST, PAIRS = 8_000_000, 64, 400_000
 BLANK = "▁"
 NORMAL, USER, BYTE = 1, 4, 6
 
 
+def char_map(blob: bytes) -> dict[str, str]:
+    """The rewrites of a normaliser: read from its double-array trie (a size, units of 32 bits, then texts that end in a zero byte)."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+    below = lambda unit: (unit >> 10) << ((unit & 0x200) >> 6)
+    out, todo = {}, [(below(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for c in range(1, 256):
+            if (at ^ c) < len(units) and units[at ^ c] & 0x800000FF == c:
+                unit, word = units[at ^ c], key + bytes([c])
+                nxt = (at ^ c) ^ below(unit)
+                if unit >> 8 & 1:
+                    start = units[nxt] & 0x7FFFFFFF
+                    out[word] = texts[start : texts.index(b"\0", start)]
+                todo.append((nxt, word))
+    return {k.decode(): v.decode() for k, v in out.items()}
+
+
 class Transducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -45,9 +71,11 @@ class Transducer:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise NotImplementedError("only models whose normaliser leaves characters as they are")
+        if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise NotImplementedError("only models that write blanks as U+2581, before words")
+        self.rewrites = char_map(spec.precompiled_charsmap)
         self.front = BLANK if spec.add_dummy_prefix else ""
+        self.trim = spec.remove_extra_whitespaces
         self.unigram = model.trainer_spec.model_type == 1
         self.ids, self.score, self.byte_ids = {}, {}, [0] * 256
         self.raw: list[bytes] = []
@@ -63,6 +91,12 @@ class Transducer:
                 self.unknown = i if p.type == 2 else self.unknown
                 self.raw.append(b"")
         self.bytes = model.trainer_spec.byte_fallback
+        self.user = {p.piece for p in model.pieces if p.type == USER}
+        best = [p.score for p in model.pieces if p.type == NORMAL]
+        self.most, self.miss = np.float32(max([0.0, *best])), np.float32(min(best, default=0.0)) - np.float32(10)
+        starts = sorted({*self.rewrites, *self.user}, key=lambda x: (-len(x), x))
+        self.pattern = re.compile("|".join(map(re.escape, starts))) if starts else None
+        self.known_chars = 0
         # The trie: each state's arcs by character, and the piece that ends there.
         self.trie: list[dict[str, int]] = [{}]
         self.final: list[str | None] = [None]
@@ -85,21 +119,30 @@ class Transducer:
         letter = re.compile(r"[^\W\d_²³¹]")
         kind = lambda c: BLANK if c == BLANK else "\n" if c == "\n" else "a" if letter.match(c) else "-"
         met = {(kind(a), kind(b)) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        if (self.unigram and not self.front) or any(a != BLANK and b == BLANK or "\n" in (a, b) for a, b in met):
+        if self.user or not self.bytes or (self.unigram and not self.front) or any(a != BLANK and b == BLANK or "\n" in (a, b) for a, b in met):
             return re.compile("(?s).+")
         if ("a", "-") in met or ("-", "a") in met:
             return re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
         return re.compile(rf"{BLANK}*[^\W\d_²³¹]+|{BLANK}*(?:(?![{BLANK}\n])[\W\d_²³¹])+|{BLANK}+|\n")
 
+    def normalise(self, text: str) -> str:
+        """What the pieces are matched with: the longest match at each place is rewritten, blanks are settled."""
+        if self.pattern:
+            text = self.pattern.sub(lambda m: m[0] if m[0] in self.user else self.rewrites[m[0]], text)
+        if self.trim:
+            text = re.sub(" {2,}", " ", text).strip(" ")
+        return self.front + text.replace(" ", BLANK) if text else ""
+
     def merge(self, text: str) -> list[str]:
         """What merging gives: the best pair first, of equal ones the leftmost."""
-        n, part = len(text), list(text)
+        part = self.symbols(text)
+        n = len(part)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, str]] = []
 
         def offer(i: int) -> None:
             j = right[i]
-            if j < n and (s := self.score.get(part[i] + part[j])) is not None:
+            if j < n and part[i] not in self.user and part[j] not in self.user and (s := self.score.get(part[i] + part[j])) is not None:
                 heapq.heappush(heap, (-s, i, part[i] + part[j]))
 
         for i in range(n - 1):
@@ -116,20 +159,33 @@ class Transducer:
                     offer(left[i])
         return [p for p in part if p]
 
+    def symbols(self, text: str) -> list[str]:
+        """The characters of a text, but user-defined pieces whole: those are never merged."""
+        if not self.user:
+            return list(text)
+        out, at = [], 0
+        longest = max(map(len, self.user))
+        while at < len(text):
+            size = next((k for k in range(min(longest, len(text) - at), 1, -1) if text[at : at + k] in self.user), 1)
+            out.append(text[at : at + size])
+            at += size
+        return out
+
     def _follows(self, a: str, b: str) -> bool:
         ok = self.follows.get((a, b))
         if ok is None:
-            if len(self.follows) > PARTS:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             ok = self.follows[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return ok
 
     def path(self, text: str) -> list[str]:
         """The pieces of the shortest path; a character that is none stands for its bytes."""
-        if self.tied and not self.unigram and BLANK * 2 in text:
+        if self.unigram:
+            return self._least(text)
+        if self.user or (self.tied and BLANK * 2 in text):
             return self.merge(text)
         n, trie, final = len(text), self.trie, self.final
-        best: list[float] = [0.0] + [float("inf")] * n
         last: list[str | None] = [""] + [None] * n
         for i in range(n):
             if last[i] is None:
@@ -141,16 +197,10 @@ class Transducer:
                 piece = final[state]
                 if piece is not None:
                     single = single or j == i + 1
-                    if self.unigram:
-                        weight = -self.score[piece]
-                    elif last[j] is None and self._follows(a, piece):
-                        weight = 1.0
-                    else:
-                        continue
-                    if best[i] + weight < best[j]:
-                        best[j], last[j] = best[i] + weight, piece
-            if not single and best[i] + 20 < best[i + 1]:
-                best[i + 1], last[i + 1] = best[i] + 20, text[i] if self.unigram else ""
+                    if last[j] is None and self._follows(a, piece):
+                        last[j] = piece
+            if not single and last[i + 1] is None:
+                last[i + 1] = ""
         if last[n] is None:
             return self.merge(text)
         out, j = [], n
@@ -160,31 +210,67 @@ class Transducer:
             j -= len(piece)
         return out[::-1]
 
+    def _least(self, text: str) -> list[str]:
+        """The path of the least weight; weights are single-precision sums of scores, the first of equal ones stays."""
+        n, trie, final = len(text), self.trie, self.final
+        best: list[np.float32 | None] = [np.float32(0)] + [None] * n
+        last = [""] * (n + 1)
+        for i in range(n):
+            state, j, single = 0, i, False
+            while j < n and (state := trie[state].get(text[j], -1)) >= 0:
+                j += 1
+                piece = final[state]
+                if piece is None:
+                    continue
+                single = single or j == i + 1
+                score = np.float32(len(piece.encode()) * self.most - 0.1) if piece in self.user else np.float32(self.score[piece])
+                if best[j] is None or best[i] + score > best[j]:
+                    best[j], last[j] = best[i] + score, piece
+            if not single and (best[i + 1] is None or best[i] + self.miss > best[i + 1]):
+                best[i + 1], last[i + 1] = best[i] + self.miss, text[i]
+        out, j = [], n
+        while j > 0:
+            out.append(last[j])
+            j -= len(last[j])
+        return out[::-1]
+
     def _write(self, pieces: list[str]) -> bytes:
         out: list[int] = []
+        missed = False
         for p in pieces:
-            if p in self.ids:
+            known = p in self.ids
+            if known:
                 out.append(self.ids[p])
-            else:
-                out += [self.byte_ids[b] for b in p.encode()] if self.bytes else [self.unknown]
+            elif self.bytes:
+                out += [self.byte_ids[b] for b in p.encode()]
+            elif not missed:
+                out.append(self.unknown)  # one for a run
+            missed = not known
         return np.array(out, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        parts = self.cut.findall(self.front + text.replace(" ", BLANK))
+        parts = self.cut.findall(self.normalise(text))
         known = self.known
-        if len(known) > PARTS:
+        if self.known_chars > PARTS_CHARS:
             known.clear()
+            self.known_chars = 0
+        out = []
         for p in parts:
-            if p not in known:
-                known[p] = self._write(self.path(p))
-        return b"".join([known[p] for p in parts])
+            own = known.get(p)
+            if own is None:
+                own = self._write(self.path(p))
+                if len(p) <= LONGEST:
+                    known[p] = own
+                    self.known_chars += len(p) + 8
+            out.append(own)
+        return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int | None]) -> str:
         """The text of ids: the inverse path, without the blank in front."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join([self.raw[i] for i in ids if i is not None and 0 <= i < len(self.raw)]).decode("utf-8", "replace")
         return text[1:] if self.front and text.startswith(" ") else text
 
 
@@ -202,7 +288,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model)
-        low = np.array(sorted(fst.byte_ids))
+        low = np.array(sorted(fst.byte_ids)) if fst.bytes else np.array([1, 0])
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

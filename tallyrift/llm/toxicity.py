@@ -382,7 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 1500,
+    keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "evidence"), k: int = 15, most: int = 1250,
 ) -> DataFrame:
     """``keep`` or ``id_col``, score, evidence (ids of the nearest examples, at most three) for each row.
 

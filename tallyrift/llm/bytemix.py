@@ -1,15 +1,15 @@
 """A byte model by logistic mixing of the bit predictors of contexts.
 
-Bytes are coded by the bits of Huffman codes, one for each byte before, some three bits each. Each bit
-has one predictor for each context: the last two, three and four bytes, and the word so far. (What the
-last byte alone says is in the codes; a predictor of its own was worth 0.001 bits a byte.)
-What is counted is how often a byte came in a context, by a key of 60 bits (``keys``); the counts of
-the bits are sums over the bytes below a node of the code tree (``answers``). Any number of keys may be
-counted, as no table has a fixed size. A predictor speaks by the logarithm of its odds, gated by its
-evidence: few counts say little, none are silent. Weights add these up. There is a set of weights for
-each place in a word (``gates``), and the set in use is refined after each byte of a text by its error.
-The weights start anew every ``SEGMENT`` bytes, so that the parts of long texts go forward side by side;
-what the contexts see goes across these starts.
+Bytes are coded by the bits of Huffman codes, one for each two bytes before, some two and a half bits each;
+a byte that never followed those is coded by an escape and the code of the one byte before. Each bit has
+one predictor for each context: the last three and the last four bytes, and the word so far, with the two
+bytes before. (What those two alone say is in the codes.) What is counted is how often a byte came in a
+context, by a key of 60 bits (``keys``); the counts of the bits are sums over the bytes below a node of
+the code tree (``answers``). Any number of keys may be counted, as no table has a fixed size. A predictor
+speaks by the logarithm of its odds, gated by its evidence: few counts say little, none are silent.
+Weights add these up. There is a set of weights for each place in a word (``gates``), and the set in use is
+refined after each byte of a text by its error. The weights start anew every ``SEGMENT`` bytes, so that
+the parts of long texts go forward side by side; what the contexts see goes across these starts.
 """
 
 from __future__ import annotations
@@ -23,17 +23,17 @@ import numpy as np
 
 #: Comes before and after each text; no UTF-8 text has it.
 EDGE = 255
-#: The contexts' weights at each start: last three bytes, word so far, last two, last four.
-FIRST = np.array([0.2, 0.45, 0.15, 0.35], np.float32)
+#: The contexts' weights at each start: last three bytes, word so far, last four.
+FIRST = np.array([0.2, 0.5, 0.45], np.float32)
 RATE = 0.02
 SEGMENT = 4096
 #: Sets of weights: after so many bytes of a word, or more.
 GATES = 4
-ORDERS, KEY_BITS = 4, 60
+ORDERS, KEY_BITS = 3, 60
 #: What predictors say is kept in so many steps to the unit.
 STEPS = 8
 #: Bytes whose predictors are looked up at once.
-WINDOW = 80_000
+WINDOW = 20_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256)
@@ -42,46 +42,109 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
 
+ESCAPE = 256
+
+
+def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Code:
-    """For each pair of bytes the second's path: nodes and bits, where it starts in those, and its length."""
+    """Paths as nodes (numbered within what comes before) and bits, one after the other, and where each begins.
+
+    ``place``: for two bytes the number of their code, or -1; ``start``, ``size``: by code and byte, or ESCAPE;
+    no size where a byte never came. ``pair_start``, ``pair_size``: by the byte before and the byte.
+    """
 
     nodes: np.ndarray
     bits: np.ndarray
+    place: np.ndarray
     start: np.ndarray
     size: np.ndarray
-
-
-def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
-    heap = [(int(n) * 256 + 1, i, i) for i, n in enumerate(counts)]
+    pair_start: np.ndarray
+    pair_size: np.ndarray
+
+    def paths(self, two: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bits each byte has after the two before, and which ones."""
+        code = self.place[two]
+        number = code * 257 + byte
+        size = np.where(code >= 0, self.size[number], 0)
+        first = self.start[number].astype(np.int64)
+        other = np.flatnonzero(size == 0)  # by an escape, if there is a code, and the code of one byte
+        escape = np.maximum(code[other], 0) * 257 + ESCAPE
+        ahead = np.where(code[other] >= 0, self.size[escape], 0)
+        pair = (two[other] & 255) << 8 | byte[other]
+        size = size.astype(np.int64)
+        size[other] = ahead + self.pair_size[pair]
+        first[other] = self.start[escape]
+        at = flat(first, size)
+        begin = np.cumsum(size)[other] - size[other] + ahead
+        at[flat(begin, self.pair_size[pair])] = flat(self.pair_start[pair], self.pair_size[pair])
+        return size, at
+
+
+def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+    """The Huffman code of each of some symbols, two at least, as (inner node, bit); symbols of no count have one too."""
+    n = len(counts)
+    heap = [(c * 512 + 1, i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
     inner: list[tuple[int, int]] = []
     while len(heap) > 1:
-        (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (x + y, n + len(inner)))
         inner.append((a, b))
-        heapq.heappush(heap, (n + m, 255 + len(inner), 255 + len(inner)))
-    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    stack: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])]
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    stack: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][1], [])]
     while stack:
         at, path = stack.pop()
-        if at < 256:
+        if at < n:
             paths[at] = path
         else:
-            for bit, below in enumerate(inner[at - 256]):
-                stack.append((below, [*path, (at - 256, bit)]))
+            for bit, under in enumerate(inner[at - n]):
+                stack.append((under, [*path, (at - n, bit)]))
     return paths
 
 
-def huffman(pairs: np.ndarray) -> Code:
-    """The codes of counts by (byte before, byte); a byte that no other follows has the code of all."""
-    common = _paths(pairs.sum(0))
-    nodes, bits, size = [], [], []
+def huffman(triple: np.ndarray, count: np.ndarray) -> Code:
+    """The codes of counts by (two bytes before, byte), as numbers of 24 bits in order. A byte that nothing follows has the code of all."""
+    pairs = np.bincount(triple & 0xFFFF, count, 1 << 16).astype(np.int64).reshape(256, 256)
+    nodes, bits, pair_size = [], [], []
+    common = _paths(pairs.sum(0).tolist())
     for before in range(256):
-        for path in _paths(pairs[before]) if pairs[before].any() else common:
-            size.append(len(path))
-            nodes += [before * 255 + n for n, _ in path]
+        for path in _paths(pairs[before].tolist()) if pairs[before].any() else common:
+            pair_size.append(len(path))
+            nodes += [256 + n for n, _ in path]
+            bits += [b for _, b in path]
+    twos, begin = np.unique(triple >> 8, return_index=True)
+    place = np.full(1 << 16, -1, np.int64)
+    place[twos] = np.arange(len(twos))
+    size, start = np.zeros(max(len(twos), 1) * 257, np.uint8), np.zeros(max(len(twos), 1) * 257, np.int32)
+    for code, (lo, hi) in enumerate(zip(begin.tolist(), np.append(begin[1:], len(triple)).tolist(), strict=False)):
+        # As likely an escape as there are bytes that had to come a first time.
+        own = [*(triple[lo:hi] & 255).tolist(), ESCAPE]
+        for byte, path in zip(own, _paths([*count[lo:hi].tolist(), hi - lo]), strict=True):
+            size[code * 257 + byte], start[code * 257 + byte] = len(path), len(nodes)
+            nodes += [n for n, _ in path]
             bits += [b for _, b in path]
-    return Code(np.array(nodes, np.int64), np.array(bits, np.int64), np.cumsum(size) - size, np.array(size))
+    pair_size = np.array(pair_size)
+    return Code(np.array(nodes, np.int16), np.array(bits, np.int8), place, start, size, np.cumsum(pair_size) - pair_size, pair_size)
+
+
+def triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (two bytes before, byte) in order, and how often each came."""
+    data, sizes = joined(texts)
+    return np.unique(before_two(data, sizes) << 8 | data, return_counts=True)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order and the sums of their counts, of several such lists."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return number, np.bincount(where, np.concatenate([p[1] for p in parts]), len(number)).astype(np.int64)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +166,28 @@ def gates(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The byte before each byte, and a hash for each longer context, of bytes before it only."""
+def _last(data: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """The last byte before each, the one before that, and so on; nothing is seen across the start of a text."""
     n = len(data)
     back = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    last = []
-    for k in range(1, 5):
-        b = np.full(n, EDGE, np.uint64)
+    out = []
+    for k in range(1, most + 1):
+        b = np.full(n, EDGE, np.int64)
         b[k:] = data[: n - k]
-        b[back < k] = EDGE  # nothing is seen across the start of a text
-        last.append(b)
+        b[back < k] = EDGE
+        out.append(b)
+    return out
+
+
+def before_two(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    last = _last(data, sizes, 2)
+    return last[0] | last[1] << 8
+
+
+def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The two bytes before each byte, and a hash of 36 bits for each longer context, of bytes before it only."""
+    n = len(data)
+    last = [b.astype(np.uint64) for b in _last(data, sizes, 4)]
     with np.errstate(over="ignore"):
         power, inverse = np.full(n, ODD), np.full(n, INVERSE)
         np.multiply.accumulate(power, out=power)
@@ -125,17 +200,17 @@ def contexts(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
         two = last[0] | last[1] << np.uint64(8)
         three = two | last[2] << np.uint64(16)
         out = []
-        for c in (three, word, two, three | last[3] << np.uint64(24)):
+        for c in (three, word, three | last[3] << np.uint64(24)):
             c = (c + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append(((c ^ (c >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)).astype(np.int64))
-    return last[0].astype(np.int64), out
+            out.append(((c ^ (c >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(28)).astype(np.int64))
+    return two.astype(np.int64), out
 
 
 def keys(data: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """For each context the key of each byte in it: 44 bits of the context's hash, the byte before, the byte."""
+    """For each context the key of each byte in it: 36 bits of the context's hash, the two bytes before, the byte."""
     before, of = contexts(data, sizes)
-    pair = before << 8 | data
-    return [c << 16 | pair for c in of]
+    near = before << 8 | data
+    return [c << 24 | near for c in of]
 
 
 def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -153,29 +228,21 @@ class KeyCounts:
     """The keys of all texts given, and how often each came in those that are trained on."""
 
     def __init__(self) -> None:
-        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDERS)]
-        self.waiting: list[list[np.ndarray]] = []
-        self.held = 0
+        self.waiting: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
 
     def add(self, texts: list[bytes], trains: np.ndarray) -> None:
         data, sizes = joined(texts)
         flags = np.repeat(trains.astype(np.int64), sizes)
-        self.waiting.append([k << 1 | flags for k in keys(data, sizes)])
-        self.held += len(data)
-        if self.held >= GATHER:
-            self.gather()
-
-    def gather(self) -> None:
-        for k in range(ORDERS):
-            if self.waiting:
-                key, n = distinct(np.concatenate([w[k] for w in self.waiting]))
-                self.parts[k].append((key >> 1, n * (key & 1)))
-        self.waiting, self.held = [], 0
+        for k, key in enumerate(keys(data, sizes)):
+            self.waiting[k].append(key << 1 | flags)
 
     def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        self.gather()
-        none = np.zeros(0, np.int64)
-        return distinct(*(np.concatenate([none, *(p[i] for p in self.parts[k])]) for i in (0, 1)))
+        """The distinct keys in order and their counts; what was gathered for them is dropped."""
+        key = np.concatenate([np.zeros(0, np.int64), *self.waiting[k]])
+        self.waiting[k] = []
+        key.sort()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])) if len(key) else np.zeros(0, np.int64)
+        return key[starts] >> 1, np.add.reduceat(key & 1, starts) if len(key) else key
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -188,23 +255,15 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its size."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def answers(code: Code, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct keys in order, with whole contexts: where each key's bits start, and what is said of all bits, in steps."""
-    pair = key & 0xFFFF
-    size = code.size[pair]
-    at = flat(code.start[pair], size)
+def answers(code: Code, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct keys in order, with whole contexts: where each key's bits start, how many there are, and what is said of all bits, in steps."""
+    size, at = code.paths(key >> 8 & 0xFFFF, key & 0xFF)
     context = np.cumsum(np.concatenate([[0], key[1:] >> 8 != key[:-1] >> 8])) if len(key) else key
-    node, where = np.unique(np.repeat(context, size) * 65536 + code.nodes[at], return_inverse=True)
+    node, where = np.unique(np.repeat(context, size) * 512 + code.nodes[at], return_inverse=True)
     many = np.repeat(count, size)
     n = np.bincount(where, many, len(node))
     ones = np.bincount(where, many * code.bits[at], len(node))
-    return np.cumsum(size) - size, np.rint(opinions(n, ones) * STEPS).clip(-127, 127).astype(np.int8)[where]
+    return np.cumsum(size) - size, size, np.rint(opinions(n, ones) * STEPS).clip(-127, 127).astype(np.int8)[where]
 
 
 class Places:
@@ -243,22 +302,6 @@ class Places:
         raise KeyError("a key that was not counted")
 
 
-class Bits:
-    """The bits of some bytes: how many each has, where they end, the node and value of each bit."""
-
-    def __init__(self, code: Code, before: np.ndarray, data: np.ndarray):
-        pair = before * 256 + data
-        self.size = code.size[pair]
-        self.ends = np.cumsum(self.size)
-        at = np.repeat(code.start[pair] - (self.ends - self.size), self.size)
-        at += np.arange(len(at))
-        self.node, self.bit = code.nodes[at], code.bits[at]
-
-
-#: Bytes whose keys are gathered before they are counted.
-GATHER = 2_000_000
-
-
 def opinions(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The gated logarithm of the odds of each slot."""
     return (np.log((ones + 0.3) / (n - ones + 0.3)) * (n / (n + 0.4))).astype(np.float32)
@@ -273,7 +316,7 @@ class Known:
         self.places = [Places(key) for key, _ in tables]
         self.starts = starts = []
         for key, _ in tables:
-            size = code.size[key & 0xFFFF]
+            size, _ = code.paths(key >> 8 & 0xFFFF, key & 0xFF)
             starts.append((np.cumsum(size) - size).astype(np.int32))
         self.start = self.meet(texts)
 
@@ -287,12 +330,12 @@ class Known:
             at += len(key)
         return self.start
 
-    def said(self, row: np.ndarray, spread: Bits) -> np.ndarray:
-        """A row for each context: what it says of each bit."""
-        out = np.empty((len(self.tables), len(spread.bit)), np.float32)
-        first, count = spread.ends - spread.size, np.arange(len(spread.bit))
+    def said(self, row: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row for each context: what it says of each bit of the bytes in these rows."""
+        out = np.empty((len(self.tables), ends[-1]), np.float32)
+        first, count = ends - size, np.arange(ends[-1])
         for k, (t, s) in enumerate(zip(self.tables, self.start, strict=True)):
-            at = np.repeat(s[row] - first, spread.size)
+            at = np.repeat(s[row] - first, size)
             at += count
             np.take(t, at, out=out[k], mode="clip")
         return out
@@ -330,9 +373,7 @@ def score(code: Code, model: Known, texts: list[bytes]) -> np.ndarray:
     total = np.zeros(n)
     weights = np.repeat(FIRST[:, None], n * GATES, 1)
     gate = gates(data)
-    before = np.full(len(data), EDGE, np.int64)
-    before[1:] = data[:-1]
-    before[begin] = EDGE
+    before = before_two(data, sizes)
     ends = np.cumsum(active)
     at = 0
     while at < long[0]:
@@ -340,24 +381,29 @@ def score(code: Code, model: Known, texts: list[bytes]) -> np.ndarray:
         many = active[at:till]
         who = flat(np.zeros(len(many), np.int64), many)
         row = start[who] + np.repeat(np.arange(at, till), many)
-        spread = Bits(code, before[row], data[row])
-        said = model.said(row, spread)
-        said *= (1 - 2 * spread.bit).astype(np.float32)  # of the other bit against the one that came
+        size, path = code.paths(before[row], data[row])
+        stop = np.cumsum(size)
+        said = model.said(row, size, stop)
+        said *= (1 - 2 * code.bits[path]).astype(np.float32)  # of the other bit against the one that came
         mine = who * GATES + gate[row]
-        of_bit = np.repeat(mine, spread.size)
-        first = spread.ends - spread.size
+        of_bit = np.repeat(mine, size)
+        first = stop - size
         wrong = np.empty(len(of_bit), np.float32)
+        sums = np.zeros((len(said), len(of_bit) + 1))
         lo = 0
         for a in many.tolist():
             hi = lo + a
-            b, e = first[lo], spread.ends[hi - 1]
+            b, e = first[lo], stop[hi - 1]
             own = said[:, b:e]
             odds = np.einsum("ij,ij->j", weights.take(of_bit[b:e], 1), own)
             np.minimum(np.maximum(odds, -11, out=odds), 11, out=odds)
             np.exp(odds, out=odds)
             wrong[b:e] = odds
             odds /= 1 + odds
-            weights[:, mine[lo:hi]] -= RATE * np.add.reduceat(own * odds, first[lo:hi] - b, axis=1)
+            own *= odds
+            sums[:, 1 : e - b + 1] = own
+            np.cumsum(sums[:, : e - b + 1], 1, out=sums[:, : e - b + 1])
+            weights[:, mine[lo:hi]] -= RATE * (sums[:, stop[lo:hi] - b] - sums[:, first[lo:hi] - b])
             lo = hi
         total -= np.bincount(who, np.add.reduceat(np.log1p(wrong), first, dtype=np.float64), n)
         at = till

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import bytemix
 from .base import stash
 
-BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 16 << 20, 4 << 20, 64 << 20, 80_000
+BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 8 << 20, 4 << 20, 64 << 20, 80_000
 #: The kinds of packed rows besides the contexts, which are numbered from 0: a block's texts, its words, and totals.
 TEXTS, WORDS, TOTALS = -1, bytemix.ORDERS, bytemix.ORDERS + 1
 
@@ -124,23 +124,22 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(trains, F.lit(False)).alias("trains"), F.col(f"`{text_col}`").alias("text"))
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, every = np.zeros(1 << 16, np.int64), 0
+        seen, every = [], 0
         for batch in batches:
             flags = batch.column(0).to_pylist()
             raw = [_bytes(t) for t in batch.column(1).to_pylist()]
             every += sum(map(len, raw)) + len(raw)
-            for at in _runs(raw, BATCH):
-                own = [t for t, f in zip(raw[at], flags[at], strict=True) if f]
-                data = np.frombuffer(b"\xff" + b"\xff".join([*own, b""]), np.uint8).astype(np.int64)
-                seen += np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2]), pa.int32()), pa.array(np.append(seen[some], [every, 1]))], ["pair", "n"])
-
-    # 65,538 rows at most: how often each two bytes came, all bytes, and how many partitions there are.
-    counted = {r[0]: r[1] for r in texts.select("trains", "text").mapInArrow(histogram, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect()}
-    pairs = np.array([counted.get(i, 0) for i in range(1 << 16)], np.int64)
-    code = sc.broadcast(bytemix.huffman(pairs.reshape(256, 256)))
-    every, parts = counted.get(-1, 0), counted.get(-2, 1)
+            for at in _runs(raw, 1 << 20):
+                seen.append(bytemix.triples([t for t, f in zip(raw[at], flags[at], strict=True) if f]))
+                seen = [bytemix.added(seen)] if len(seen) > 16 else seen
+        triple, n = bytemix.added(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(triple, [-1, -2])), pa.array(np.append(n, [every, 1]))], ["triple", "n"])
+
+    # How often each three bytes came (2^24 rows could be, some ten thousand are), all bytes, and how many partitions there are.
+    counted = texts.select("trains", "text").mapInArrow(histogram, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n")).toArrow().sort_by("triple")
+    triple, n = counted.column("triple").to_numpy(), counted.column("n").to_numpy()
+    code = sc.broadcast(bytemix.huffman(triple[triple >= 0], n[triple >= 0]))
+    every, parts = int(n[triple == -1].sum()), int(n[triple == -2].sum()) or 1
     cut = max(0, (every // BUCKET_BYTES).bit_length())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +186,7 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
         else:
             held = [np.cumsum(bytemix.unpacked(a, np.int64)) for a in sent]
             every_key, n = bytemix.distinct(np.concatenate(held), np.concatenate(times).astype(np.int64))
-            start, said = bytemix.answers(code.value, every_key, n)
-            size = code.value.size[every_key & 0xFFFF]
+            start, size, said = bytemix.answers(code.value, every_key, n)
             for own in held:
                 at = np.searchsorted(every_key, own)
                 out.append(zlib.compress(said[bytemix.flat(start[at], size[at])].tobytes(), 1))

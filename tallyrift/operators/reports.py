@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The metrics that are averaged over repetitions.
@@ -100,10 +100,12 @@ def curve_fit(runs: DataFrame, x: str, y: str) -> DataFrame:
         F.sum("y").alias("t0"), F.sum(d * F.col("y")).alias("t1"), F.sum(d * d * F.col("y")).alias("t2"),
     )
     # Normal equations with the first moment zero: two unknowns remain.
-    s = s.withColumn("q", F.col("s4") - F.col("s2") ** 2 / F.col("n") - F.col("s3") ** 2 / F.col("s2"))
-    s = s.withColumn("a", (F.col("t2") - F.col("s2") * F.col("t0") / F.col("n") - F.col("s3") * F.col("t1") / F.col("s2")) / F.col("q"))
-    s = s.withColumn("b0", (F.col("t1") - F.col("a") * F.col("s3")) / F.col("s2"))
-    s = s.withColumn("c0", (F.col("t0") - F.col("a") * F.col("s2")) / F.col("n"))
+    # Too few different x have no curve: a, b and c are null then.
+    over = lambda a, b: F.try_divide(a, F.nullif(F.col(b), F.lit(0.0)))
+    s = s.withColumn("q", F.col("s4") - over(F.col("s2") ** 2, "n") - over(F.col("s3") ** 2, "s2"))
+    s = s.withColumn("a", over(F.col("t2") - over(F.col("s2") * F.col("t0"), "n") - over(F.col("s3") * F.col("t1"), "s2"), "q"))
+    s = s.withColumn("b0", over(F.col("t1") - F.col("a") * F.col("s3"), "s2"))
+    s = s.withColumn("c0", over(F.col("t0") - F.col("a") * F.col("s2"), "n"))
     return s.select("a", (F.col("b0") - 2 * F.col("a") * F.col("m")).alias("b"), (F.col("c0") - F.col("b0") * F.col("m") + F.col("a") * F.col("m") ** 2).alias("c"))
 
 
@@ -118,9 +120,13 @@ def group_means(runs: DataFrame) -> DataFrame:
 
 
 def with_speedup(runs: DataFrame) -> DataFrame:
-    """speedup: the dataset's least time over the run's own."""
-    least = F.min("execution_time_ms").over(Window.partitionBy("dataset"))
-    return runs.withColumn("speedup", least / F.col("execution_time_ms"))
+    """speedup: the dataset's least time over the run's own; null for a run of no time.
+
+    The least times are a sum by dataset that Spark joins back, so a dataset with most of the runs is no task of its own.
+    """
+    least = runs.groupBy("dataset").agg(F.min("execution_time_ms").alias("_least"))
+    speedup = F.when(F.col("execution_time_ms") > 0, F.col("_least") / F.col("execution_time_ms"))
+    return runs.join(least, "dataset").withColumn("speedup", speedup).select(*runs.columns, "speedup")
 
 
 def extremes(runs: DataFrame) -> DataFrame:
@@ -131,22 +137,81 @@ def extremes(runs: DataFrame) -> DataFrame:
     )
 
 
-def latex_table(frame: DataFrame, caption: str, columns: list[str]) -> str:
-    """A table of a summary, whose rows the driver can hold: an aggregate by a few keys."""
-    rows = frame.select(*columns).limit(1000).collect()
-    cell = lambda v: f"{v:.2f}" if isinstance(v, float) else str(v).replace("_", r"\_")
-    body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
-    head = " & ".join(c.replace("_", r"\_") for c in columns) + r" \\"
-    return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", r"\begin{tabular}{" + "l" * len(columns) + "}", r"\hline", head, r"\hline", *body, r"\hline", r"\end{tabular}", r"\end{table}"])
+def performance_table(runs: DataFrame) -> DataFrame:
+    """dataset and its means: time, memory, pruning, throughput, speedup."""
+    means = {"time_ms": "execution_time_ms", "memory_mb": "peak_memory_mb", "pruning": "pruning_percentage", "throughput": "transactions_per_second", "speedup": "speedup"}
+    return with_speedup(runs).groupBy("dataset").agg(*[F.avg(m).alias(n) for n, m in means.items()])
+
+
+def sensitivity_table(runs: DataFrame) -> DataFrame:
+    """parameter (k or min_prob), setting, mean time by it."""
+    sets = runs.groupingSets([["k"], ["min_prob"]], "k", "min_prob").agg(F.grouping("k").alias("g"), F.avg("execution_time_ms").alias("time_ms"))
+    return sets.select(F.when(F.col("g") == 0, "k").otherwise("min_prob").alias("parameter"), F.coalesce(F.col("k").cast("double"), "min_prob").alias("setting"), "time_ms")
+
+
+def best_runs(runs: DataFrame) -> DataFrame:
+    """kind (fastest, most pruned), dataset, k, min_prob, reached of the best run of each kind, ties to the first run."""
+    of = lambda metric, order: F.min_by(F.struct("dataset", "k", "min_prob", F.col(metric).cast("double").alias("reached")), F.struct(order, "run"))
+    one = runs.agg(of("execution_time_ms", F.col("execution_time_ms")).alias("fastest"), of("pruning_percentage", -F.col("pruning_percentage")).alias("pruned"))
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), F.col(c).alias("x")) for c, name in (("fastest", "fastest"), ("pruned", "most pruned"))]))
+    return one.select(rows.alias("r")).select("r.kind", "r.x.*")
+
+
+#: From which mean on a percentage counts as good, and as excellent.
+GRADES = {"pruning_percentage": (80, 90), "cas_efficiency": (90, 95)}
+
+
+def grades(runs: DataFrame) -> DataFrame:
+    """metric, mean, grade (excellent, good, improve) of the percentages that have limits."""
+    one = runs.agg(*[F.avg(m).alias(m) for m in GRADES])
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("mean"), F.when(F.col(m) > b, "excellent").when(F.col(m) > a, "good").otherwise("improve").alias("grade")) for m, (a, b) in GRADES.items()]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def text_rows(table: DataFrame, formats: dict[str, str], between: str, end: str = "") -> DataFrame:
+    """The rows as lines of text, column ``line``; ``formats``: how each column is printed."""
+    cells = [F.format_string(f, F.col(c)) for c, f in formats.items()]
+    return table.select(F.concat(F.concat_ws(between, *cells), F.lit(end)).alias("line"))
+
+
+#: How the columns of the tables are printed.
+PERFORMANCE = {"dataset": "%s", "time_ms": "%.1f", "memory_mb": "%.1f", "pruning": "%.1f", "throughput": "%.0f", "speedup": "%.2f"}
+SENSITIVITY = {"parameter": "%s", "setting": "%.3f", "time_ms": "%.1f"}
+
+
+def printed(table: DataFrame, formats: dict[str, str], between: str, end: str = "", most: int = 10_000) -> list[str]:
+    """The lines of a summary in the order of its columns; of more rows than ``most`` none are printed but an error is raised."""
+    rows = text_rows(table.orderBy(*formats), formats, between, end).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows is no summary")
+    return [r[0] for r in rows]
+
+
+def latex_table(table: DataFrame, formats: dict[str, str], caption: str, label: str) -> str:
+    head = " & ".join(c.replace("_", r"\_") for c in formats) + r" \\"
+    body = [line.replace("_", r"\_") for line in printed(table, formats, " & ", r" \\")]
+    kinds = "".join("l" if f == "%s" else "r" for f in formats.values())
+    return "\n".join([
+        r"\begin{table}[h]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{tab:{label}}}", rf"\begin{{tabular}}{{{kinds}}}", r"\hline", head, r"\hline", *body,
+        r"\hline", r"\end{tabular}", r"\end{table}", "",
+    ])
+
+
+def latex_tables(runs: DataFrame) -> str:
+    """Both tables of a paper: performance by dataset, and mean time by k and by min_prob."""
+    return latex_table(performance_table(runs), PERFORMANCE, "Performance by dataset", "performance") + "\n" + latex_table(sensitivity_table(runs), SENSITIVITY, "Time by parameter", "sensitivity")
 
 
 def markdown_report(runs: DataFrame) -> str:
-    """Status counts, means by dataset and the extremes, as Markdown."""
+    """Status counts, means, means by dataset, the best runs with their settings, and grades, as Markdown; without a successful run, the counts alone."""
     from tallyrift.sources.runs import successful
 
     said, good = status_counts(runs).first(), successful(runs)
-    top = extremes(good).first()
-    lines = ["# Runs", "", f"Runs: {said.total}, successful {said.success}, failed {said.failed}, timed out {said.timeout}.", "", "| dataset | mean ms | mean MB |", "|-|-|-|"]
-    for r in mean_by(good, "dataset", "execution_time_ms", "peak_memory_mb").orderBy("dataset").limit(1000).collect():
-        lines.append(f"| {r[0]} | {r[1]:.2f} | {r[2]:.2f} |")
-    return "\n".join([*lines, "", f"Fastest: run {top.fastest} ({top.fastest_ms:.2f} ms). Most pruned: run {top.most_pruned} ({top.most_pruning:.2f} %).", ""])
+    lines = ["# Runs", "", f"Runs: {said.total}, successful {said.success}, failed {said.failed}, timed out {said.timeout}.", ""]
+    if said.success:
+        mean = good.agg(F.avg("execution_time_ms"), F.avg("peak_memory_mb"), F.coalesce(F.avg("pruning_percentage"), F.lit(0.0))).first()
+        lines += [f"Means: {mean[0]:.2f} ms, {mean[1]:.2f} MB, {mean[2]:.1f} % pruned.", ""]
+        lines += ["| " + " | ".join(PERFORMANCE) + " |", "|-" * len(PERFORMANCE) + "|", *["| " + x + " |" for x in printed(performance_table(good), PERFORMANCE, " | ")], ""]
+        lines += [f"{r.kind.capitalize()}: {r.dataset}, k {r.k}, min_prob {r.min_prob}: {r.reached:.1f}." for r in best_runs(good).collect() if r.reached is not None]
+        lines += ["", *[f"{r.metric}: {r['mean']:.1f}, {r.grade}." for r in grades(good).collect() if r["mean"] is not None], ""]
+    return "\n".join(lines)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyrift.functions import measures
 from tallyrift.operators import encode, pairs, reports
 from tallyrift.plans import mine as search
+from tallyrift.sources import results as printing
 from tallyrift.sources import runs as records
 from tallyrift.sources import tables, text
 
@@ -102,15 +103,29 @@ def s2_dense(spark: SparkSession, d: str) -> DataFrame:
     return text.dense_tids(tables.from_lines(spark, d).select("tid", "item", "quantity"))
 
 
-@query("s7_metric_scan", f"""with {records.RUNS_SQL} select run, execution_time, database_size, candidates_generated, total_pruned, cas_efficiency, thread_pool_size::bigint as thread_pool_size,
-  null::bigint as num_items, round(total_pruned / candidates_generated, 6) as pruning_ratio, round(case when execution_time > 0 then database_size / (execution_time / 1000) end, 6) as transactions_per_second from runs""")
+#: What the metrics of a made output are, as SQL that both engines read alike.
+SCANNED = {
+    "execution_time": "execution_time", "database_size": "database_size", "num_items": "case when run % 2 = 0 then num_items end", "items_after_filter": "run % 50",
+    "candidates_generated": "candidates_generated", "utility_lists_created": "run % 1000", "rtwu_pruned": "rtwu_pruned", "branches_pruned": "branches_pruned",
+    "bulk_branches_pruned": "bulk_branches_pruned", "eu_remaining_pruned": "eu_remaining_pruned", "ep_pruned": "ep_pruned", "total_pruned": "total_pruned",
+    "peak_memory_reported": "run % 4096", "topk_found": "cast(k as bigint)", "final_threshold": "cast(run % 1000 as double) / 4", "successful_updates": "run % 77", "cas_retries": "run % 13",
+    "cas_efficiency": "cas_efficiency", "thread_pool_size": "cast(thread_pool_size as bigint)",
+}
+
+
+@query("s7_metric_scan", f"""with {records.RUNS_SQL} select run, {", ".join(f"{x} as {n}" for n, x in SCANNED.items())},
+  round(total_pruned / candidates_generated, 6) as pruning_ratio, round(case when execution_time > 0 then database_size / (execution_time / 1000) end, 6) as transactions_per_second from runs""")
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    said = F.format_string(
-        "start\nEXECUTION time: %s ms\nDatabase size: %s\nCandidates generated: %s\nTotal pruned:  %s\nCAS efficiency: %s%%\nThread pool size: %s\n",
-        *[F.col(c).cast("string") for c in ("execution_time", "database_size", "candidates_generated", "total_pruned", "cas_efficiency", "thread_pool_size")],
-    )
-    out = records.scan_metrics(records.synthetic_runs(spark, d).select("run", said.alias("output")))
-    return out.select("run", "execution_time", "database_size", "candidates_generated", "total_pruned", "cas_efficiency", "thread_pool_size", "num_items", F.round("pruning_ratio", 6).alias("pruning_ratio"), F.round("transactions_per_second", 6).alias("transactions_per_second"))
+    """All metrics from made outputs, whose case varies; one is missing in every second."""
+    made = records.synthetic_runs(spark, d).selectExpr("run", *[f"{x} as {n}" for n, x in SCANNED.items()])
+    lines = []
+    for n, (pattern, _) in records.METRICS.items():
+        before, after = pattern.replace("\\+", "+").split(r":\s*")
+        unit = after.split(")")[1].replace(r"\s*", " ")
+        shown = F.concat(F.lit(before.upper() + ":  "), F.col(n).cast("string"), F.lit(unit))
+        lines.append(F.when(F.col("run") % 3 == 0, shown).otherwise(F.concat(F.lit(f"  {before}: "), F.col(n).cast("string"), F.lit(unit))))
+    out = records.scan_metrics(made.select("run", F.concat_ws("\n", F.lit("start"), *lines).alias("output")))
+    return out.select("run", *records.METRICS, F.round("pruning_ratio", 6).alias("pruning_ratio"), F.round("transactions_per_second", 6).alias("transactions_per_second"))
 
 
 @query("s8_union_of_rows", f"""with {records.RUNS_SQL} select run, status, dataset, execution_time_ms, null::varchar as error from runs where status = 'SUCCESS'
@@ -288,6 +303,21 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return search.mine(tx, pr, 20, 0.1).stats(spark)
 
 
+@query("s4_configuration", f"""with {BRANDS} select printf('transactions %d, items %d, k 20, least probability 0.1, cores 8', count(distinct tid), count(distinct item)) as line from db""")
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    size = tables.from_lines(spark, d).agg(F.count_distinct("tid"), F.count_distinct("item")).first()
+    return spark.createDataFrame([(printing.configuration(size[0], size[1], 20, 0.1, 8),)], "line string")
+
+
+@query("s5_ranked_lines", f"with t as ({top_sql(BRANDS, 20, 0.1)}) select printf('%d. {{%s}}: utility %.2f, probability %.4f', rank, replace(items, ' ', ', '), eu, ep) as line from t")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    """The result as it is printed, from utilities of four digits."""
+    tx, pr = brands(spark, d)
+    found = shown(search.mine(tx, pr, 20, 0.1), spark).collect()
+    rows = [([int(i) for i in r["items"].split()], r["eu"], r["ep"]) for r in found]
+    return spark.createDataFrame([(x,) for x in printing.ranked(search.Mined(rows, 0.0))], "line string")
+
+
 # Reports
 
 
@@ -345,3 +375,14 @@ report("a28_curve_fit", """, z as (select k::double - (select avg(k) from good)
 report("a29_group_means", " union all ".join(f"select '{g}' as \"grouping\", {v} as value, round(avg(execution_time_ms), 4) as time_ms, round(avg(peak_memory_mb), 4) as memory_mb, round(avg(pruning_percentage), 4) as pruning from good group by {g}" for g, v in (("dataset", "dataset"), ("k", "k::varchar"), ("min_prob", "printf('%.5f', min_prob)"))), lambda r: rounded(reports.group_means(r)))
 report("w4_speedup", "select run, round(min(execution_time_ms) over (partition by dataset) / execution_time_ms, 6) as speedup from good", lambda r: reports.with_speedup(r).select("run", near("speedup", 6)))
 report("t5_extremes", "select (select run from good order by execution_time_ms, run limit 1) as fastest, round(min(execution_time_ms), 4) as fastest_ms, (select run from good order by pruning_percentage desc, run limit 1) as most_pruned, round(max(pruning_percentage), 4) as most_pruning from good", lambda r: rounded(reports.extremes(r)))
+report("s11_performance_table", "select dataset, round(avg(execution_time_ms), 4) as time_ms, round(avg(peak_memory_mb), 4) as memory_mb, round(avg(pruning_percentage), 4) as pruning, round(avg(transactions_per_second), 4) as throughput, round(avg(speedup), 4) as speedup from (select *, min(execution_time_ms) over (partition by dataset) / execution_time_ms as speedup from good) group by 1", lambda r: rounded(reports.performance_table(r)))
+report("s11_sensitivity_table", "select 'k' as parameter, k::double as setting, round(avg(execution_time_ms), 4) as time_ms from good group by k union all select 'min_prob', min_prob, round(avg(execution_time_ms), 4) as time_ms from good group by min_prob", lambda r: reports.sensitivity_table(r).select("parameter", "setting", near("time_ms", 4)))
+report("s11_latex_rows", r"select printf('%s & %.1f & %.1f & %.1f & %.0f & %.2f \\', dataset, avg(execution_time_ms), avg(peak_memory_mb), avg(pruning_percentage), avg(transactions_per_second), avg(speedup)) as line from (select *, min(execution_time_ms) over (partition by dataset) / execution_time_ms as speedup from good) group by dataset union all select printf('k & %.3f & %.1f \\', k::double, avg(execution_time_ms)) from good group by k union all select printf('min\_prob & %.3f & %.1f \\', min_prob, avg(execution_time_ms)) from good group by min_prob", lambda r: latex_rows(r))
+report("s12_best_runs", "(select 'fastest' as kind, dataset, k, min_prob, round(execution_time_ms, 4) as reached from good order by execution_time_ms, run limit 1) union all (select 'most pruned', dataset, k, min_prob, round(pruning_percentage, 4) as reached from good order by pruning_percentage desc, run limit 1)", lambda r: rounded(reports.best_runs(r)))
+report("s12_grades", "select 'pruning_percentage' as metric, round(avg(pruning_percentage), 4) as mean, case when avg(pruning_percentage) > 90 then 'excellent' when avg(pruning_percentage) > 80 then 'good' else 'improve' end as grade from good union all select 'cas_efficiency', round(avg(cas_efficiency), 4) as mean, case when avg(cas_efficiency) > 95 then 'excellent' when avg(cas_efficiency) > 90 then 'good' else 'improve' end from good", lambda r: rounded(reports.grades(r)))
+
+
+def latex_rows(runs: DataFrame) -> DataFrame:
+    """The body lines of both tables of a paper, as ``latex_tables`` writes them."""
+    lines = [x for x in reports.latex_tables(runs).split("\n") if " & " in x and not x.startswith(("dataset &", "parameter &"))]
+    return runs.sparkSession.createDataFrame([(x,) for x in lines], "line string")

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (increasing in file order) and value. The number is given before anything is exploded."""
+    """line_no and value. The number is given before anything is exploded.
+
+    Numbers rise with the lines of a file. Of several files Spark decides which comes first, so where a later line is to
+    win over an earlier one in another file, read them one by one.
+    """
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyrift.plans.mine import Mined, mine
+from tallyrift.sources.shared import remove
 
 
 def remine(
@@ -16,15 +17,26 @@ def remine(
 ) -> StreamingQuery:
     """Start a query that appends each batch to ``store`` and mines the last ``window`` tids.
 
-    Batches are written to a folder of their number, so that one that runs again replaces itself.
+    Batches are written to a folder of their number, so that one that runs again replaces itself, and the
+    largest tid of each is kept beside them. Only batches that reach into the window are read; others are removed.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
         rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        every = rows.sparkSession.read.parquet(store).drop("batch")
-        last = every.agg(F.max("tid")).first()[0]
-        if last is not None:
-            on_result(number, mine(every.where(F.col("tid") > last - window), profits, k, min_pro, **options))
+        own = spark.read.schema(rows.schema).parquet(f"{store}/batch={number}").agg(F.max("tid").alias("last"))
+        own.where("last is not null").write.mode("overwrite").parquet(f"{store}-last/batch={number}")
+        # A row for each batch that is still there.
+        last = {r["batch"]: r["last"] for r in spark.read.schema("last long, batch long").parquet(f"{store}-last").collect()}
+        if not last:
+            return
+        since = max(last.values()) - window
+        live = [f"{store}/batch={b}" for b, top in last.items() if top > since]
+        on_result(number, mine(spark.read.schema(rows.schema).parquet(*live).where(F.col("tid") > since), profits, k, min_pro, **options))
+        for b, top in last.items():
+            if top <= since:
+                for path in (f"{store}-last/batch={b}", f"{store}/batch={b}"):
+                    remove(spark, path)
 
     return transactions.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{store}-state").start()
 

@@ -5,8 +5,8 @@ from them says which lengths share sequences, how many times; each piece then fi
 its rank among the pieces of its length. Ranks come from counts by (bucket, length), so a length
 that a third of all pieces have is numbered in as many tasks as any other.
 
-Null texts count as empty and hold the end token only. Repeated rows are documents of their own. An
-empty table gives no rows. Only the columns named are read.
+Null texts count as empty and hold the end token only. Repeated rows are documents of their own; very
+long texts are cut into pieces as they come. An empty table gives no rows. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -17,25 +17,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import stash
 from .tokens import encoder
 
-#: Pieces numbered by one task.
-BUCKET_ROWS = 100_000
+#: Pieces, and ids if they are wanted, that are placed by one task.
+BUCKET_ROWS, BUCKET_IDS = 100_000, 8_000_000
 
 
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids: the whole documents, cut at ``capacity``."""
+    """doc_id, piece, start, length, ids_crc32, _number (another for each row) and, if wanted, ids: the whole documents, cut at ``capacity``."""
     kind = next(t for n, t in docs.dtypes if n == id_col)
-    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, _number bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, enc = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -50,46 +52,79 @@ def pieces(
                         size.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
                         if with_ids:
-                            ids.append(np.frombuffer(own, "<u4").astype(np.int64))
-                cols = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
-                names = [id_col, "piece", "start", "length", "ids_crc32"]
+                            ids.append(np.frombuffer(own, "<u4").astype(np.int32))
+                numbers = np.arange(number, number + len(row))
+                number += len(row)
+                cols = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc, numbers))]
+                names = [id_col, "piece", "start", "length", "ids_crc32", "_number"]
                 if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int64())))
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, schema)
 
 
-def _pair(have: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two lengths that add up to ``gap``, the larger as large as can be."""
-    if gap < 2:
-        return None
-    large = np.arange(gap - 1, (gap - 1) // 2, -1)
-    ok = (have[large] > 0) & (have[gap - large] > (large == gap - large))
-    if not ok.any():
-        return None
-    b = int(large[ok.argmax()])
-    return b, gap - b
+class Sums:
+    """Which gaps one, two or three available lengths fill exactly: an index by sum, of the lengths that are left.
 
+    ``pairs`` and ``triples`` hold for each sum a way that was there when last looked for, or none; lengths only get fewer,
+    so a sum without a way has none later on, and a way is looked for again only when its lengths have run out.
+    """
 
-def _exact(have: np.ndarray, gap: int, sums: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that fill ``gap`` exactly.
+    def __init__(self, have: np.ndarray):
+        there = np.flatnonzero(have)
+        self.size = len(have)
+        self.maybe_pair, self.maybe_triple = np.zeros(self.size, bool), np.zeros(self.size, bool)
+        for a in there:
+            s = there + a
+            self.maybe_pair[s[s < self.size]] = True
+        for a in there:
+            s = np.flatnonzero(self.maybe_pair[: self.size - a]) + a
+            self.maybe_triple[s] = True
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    @staticmethod
+    def _left(have: np.ndarray, lengths: list[int]) -> bool:
+        return all(have[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, have: np.ndarray, gap: int) -> list[int] | None:
+        """Two lengths that add up to ``gap``, the larger as large as can be."""
+        if gap < 2 or not self.maybe_pair[gap]:
+            return None
+        way = self.pairs.get(gap)
+        if way is None or not self._left(have, way):
+            large = np.arange(gap - 1, (gap - 1) // 2, -1)
+            ok = (have[large] > 0) & (have[gap - large] > (large == gap - large))
+            if not ok.any():
+                return None
+            b = int(large[ok.argmax()])
+            way = self.pairs[gap] = [b, gap - b]
+        return way
+
+    def triple(self, have: np.ndarray, gap: int) -> list[int] | None:
+        """Three lengths that add up to ``gap``, the first as large as can be when it was looked for."""
+        if gap < 3 or not self.maybe_triple[gap]:
+            return None
+        way = self.triples.get(gap)
+        if way is not None and self._left(have, way):
+            return way
+        firsts = np.flatnonzero(have[:gap])[::-1]
+        for b in firsts[self.maybe_pair[gap - firsts]].tolist():
+            have[b] -= 1
+            rest = self.pair(have, gap - b)
+            have[b] += 1
+            if rest:
+                self.triples[gap] = [b, *rest]
+                return self.triples[gap]
+        return None
 
-    ``sums`` marks sums of two lengths that were there at some time, so an unmarked one is none.
-    """
-    if have[gap] > 0:
-        return [gap]
-    if sums[gap] and (p := _pair(have, gap)):
-        return list(p)
-    firsts = np.flatnonzero(have[:gap])[::-1]
-    for b in firsts[sums[gap - firsts]]:
-        have[b] -= 1
-        p = _pair(have, gap - int(b))
-        have[b] += 1
-        if p:
-            return [int(b), *p]
-    return None
+    def fill(self, have: np.ndarray, gap: int) -> list[int] | None:
+        """One, two or three available lengths that fill ``gap`` exactly."""
+        if have[gap] > 0:
+            return [gap]
+        return self.pair(have, gap) or self.triple(have, gap)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -102,11 +137,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
-    there = np.flatnonzero(have)
-    sums = np.zeros(capacity + 1, bool)
-    for a in there:
-        s = there + a
-        sums[s[s <= capacity]] = True
+    sums = Sums(have)
     out = []
     for a in range(capacity, 0, -1):
         while have[a] > 0:
@@ -114,7 +145,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
             left[a] -= 1
             gap = capacity - a
             while gap > 0:
-                if more := _exact(left, gap, sums):
+                if more := sums.fill(left, gap):
                     row += more
                     break
                 fit = np.flatnonzero(left[1 : gap + 1])
@@ -153,8 +184,9 @@ def pack(
     cut = stash(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     table = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS), with_ids * -(-sum(n * c for n, c in counts.items()) // BUCKET_IDS))
+    # By the number that each piece was written with, so that repeated rows are dealt apart.
+    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("_number"), F.lit(buckets)).cast("int"))
     by_bucket = dealt.groupBy("_bucket", "length").count()
     # Columns of their own: a cogroup's sides may not share any.
     before = by_bucket.select(
@@ -163,8 +195,7 @@ def pack(
     )
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = [("length", "ascending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
-        left = left.take(pc.sort_indices(left, sort_keys=keys))
+        left = left.take(pc.sort_indices(left, sort_keys=[("length", "ascending"), ("_number", "ascending")]))
         base = np.zeros(capacity + 1, np.int64)
         base[right.column("_of").to_numpy()] = right.column("_before").to_numpy()
         length = left.column("length").to_numpy()
@@ -172,9 +203,9 @@ def pack(
         t = table.value
         big = np.int64(1) << 44
         found = t[np.searchsorted(t[:, 0] * big + t[:, 1], length * big + rank, "right") - 1]
-        out = left.drop_columns(["_bucket"])
+        out = left.drop_columns(["_bucket", "_number"])
         out = out.append_column("sequence_id", pa.array(found[:, 2] + rank - found[:, 1], pa.int64()))
         return out.append_column("offset", pa.array(found[:, 3], pa.int64()))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id bigint, offset bigint"
+    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes if n != "_number") + ", sequence_id bigint, offset bigint"
     return dealt.groupBy("_bucket").cogroup(before.groupBy("_in")).applyInArrow(place, schema)

@@ -200,11 +200,11 @@ def find_pii(
     dropped and not tried again, but of an iban every end is tried. A context word within ``window`` characters raises the score.
     """
     text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), MARK, SPARE)
-    held = docs.select(*[F.col(f"`{c}`") for c in id_cols], text.alias("__text"))
-    raw = held.withColumns({f"__{k.name}": _matches(F.col("__text"), k, window) for k in kinds})
+    held = docs.select(*[F.col(f"`{c}`") for c in id_cols], text.alias("__pii_text"))
+    raw = held.withColumns({f"__pii_{k.name}": _matches(F.col("__pii_text"), k, window) for k in kinds})
     return raw.select(
         *[F.col(f"`{c}`") for c in id_cols],
-        F.concat(*[_scored(k, F.col(f"__{k.name}")) for k in kinds]).alias(name),
+        F.concat(*[_scored(k, F.col(f"__pii_{k.name}")) for k in kinds]).alias(name),
     )
 
 

@@ -8,16 +8,21 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-#: Hashes of words that a Python worker keeps between tasks, at most.
-WORDS = 1_000_000
-_known: dict[str, int] = {}
+#: Characters of the words whose hashes a Python worker keeps between tasks, at most, and of the longest of them.
+WORDS_CHARS, LONGEST = 16_000_000, 64
 
 
 class _Known(dict):
+    held = 0
+
     def __missing__(self, word: str) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if self.held > WORDS_CHARS:
+                self.clear()
+                self.held = 0
+            self[word] = h
+            self.held += len(word) + 8
         return h
 
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts, word by word: a word is encoded once and remembered.
 
 Natural text repeats its words, so the ids of most are found in a table that each Python worker
-keeps between tasks, ``WORDS`` of them at most. That is exact for tokenizers that encode each word
+keeps between tasks, ``WORDS_CHARS`` characters of words at most and none longer than ``LONGEST``. That is exact for tokenizers that encode each word
 on its own, if words are told apart as the tokenizer does; ``WordEncoder`` knows how
 ``word_bpe_49k.json`` does it for texts of Latin letters, signs and digits. All other texts, and
 other tokenizers, are encoded whole.
@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-WORDS = 600_000
+WORDS_CHARS, LONGEST = 8_000_000, 64
 #: What the tokenizer file must say for its words to be told apart by ``WORD``.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,17 +43,21 @@ class WordEncoder:
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def _learn(self, words: set[str]) -> None:
-        """One call for all new words: each ends with the token that has the end-of-word suffix."""
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new words, one call for all: each ends with the token that has the end-of-word suffix.
+
+        Where the library ends another number of words, each is encoded by itself.
+        """
         order = list(words)
         ids = np.array(self.tokenizer.encode(" ".join(order), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        assert len(ends) == len(order)
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(order, (ends * 4).tolist(), strict=True):
-            self.known[w] = raw[at:end]
-            at = end
+        if len(ends) != len(order):
+            return {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in order}
+        cut = np.append(0, ends * 4).tolist()
+        raw = ids.tobytes()
+        return {w: raw[lo:hi] for w, lo, hi in zip(order, cut[:-1], cut[1:], strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -66,17 +70,23 @@ class WordEncoder:
                     split[i] = WORD.findall(t.lower())
                 else:
                     whole.append(i)
-        if len(self.known) > WORDS:
+        if self.held > WORDS_CHARS:
             self.known.clear()
+            self.held = 0
         new: set[str] = set()
         for words in split.values():
             new.update(words)
         new.difference_update(self.known)
-        if new:
-            self._learn(new)
+        learned = self._learn(new) if new else {}
+        self.known |= learned
         get = self.known.__getitem__
         for i, words in split.items():
             out[i] = b"".join(map(get, words))
+        for w in learned:
+            if len(w) > LONGEST:
+                del self.known[w]
+            else:
+                self.held += len(w) + 8
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, "<u4").tobytes()

@@ -28,7 +28,7 @@ from .base import partitions, release, stash
 #: Rows of a cell: queries and candidates meet in cells of bounded size, whatever the data.
 QUERY_ROWS, CANDIDATE_ROWS, LEAST_ROWS = 2048, 16384, 2048
 #: Rows of the sample that gives pivots and first scores, of a block, and how many blocks are evaluated at once.
-SAMPLE, BLOCK, BLOCKS = 1024, 64, 64
+SAMPLE, BLOCK, BLOCKS = 1024, 64, 16
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, dtype=np.float64) -> np.ndarray:
@@ -75,8 +75,11 @@ def search(
     norms = (q.astype(np.float64) ** 2).sum(1)
     slack = 1e-9 * (norms.max(initial=0) + top + 1)
     out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, q.dtype)]]
-    for at in range(0, len(q), 64):
-        part = slice(at, at + 64)
+    # Queries of one nearest pivot look at much the same blocks.
+    ask_near = dq.argmin(1)
+    by = np.argsort(ask_near, kind="stable")
+    cuts = np.flatnonzero(np.diff(ask_near[by])) + 1
+    for part in (g[k : k + 64] for g in np.split(by, cuts) for k in range(0, len(g), 64)):
         gap = np.zeros((len(q[part]), len(begin)))
         for p in range(dq.shape[1]):
             d = dq[part, p, None]
@@ -94,18 +97,18 @@ def search(
             ask = np.flatnonzero(reach.any(1))
             rows = (begin[blocks][:, None] + np.arange(BLOCK)).ravel()
             rows = rows[rows < n]
-            score = q[at + ask] @ x[rows].T
+            score = q[part[ask]] @ x[rows].T
             evaluated += score.size
             i, j = np.nonzero(score >= least[ask][:, None])
             value, i, j = score[i, j], ask[i], rows[j]
-            other = own[at + i] != j
+            other = own[part[i]] != j
             found = [np.concatenate([a, b]) for a, b in zip(found, (i[other], j[other], value[other]), strict=True)]
             best = first_in_order(found[0], found[2], order[found[1]], k)
             found = [c[best] for c in found]
             count = np.bincount(found[0], minlength=len(least))
             full = np.flatnonzero(count == k)
             least[full] = np.maximum(least[full], found[2][np.cumsum(count)[full] - 1])
-        out.append([found[0] + at, perm[found[1]], found[2]])
+        out.append([part[found[0]], perm[found[1]], found[2]])
     i, j, score = (np.concatenate(c) for c in zip(*out, strict=True))
     return i, j, score, evaluated
 

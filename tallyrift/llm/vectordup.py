@@ -11,20 +11,21 @@ it on that line only, so a pair meets once. A strip of many rows is cut into sli
 slices is one task, so none holds more than ``HOME_ROWS`` and ``VISIT_ROWS`` rows.
 
 Equal vectors are one class, joined once, however many there are. Vectors that are null, zero or hold
-null or non-finite components link with nothing, nor do those of another length than most. Rows that
-repeat an id are rows of their own. An empty table gives no rows. Only the columns named are read.
+null or non-finite components link with nothing; those of each length are joined with each other. Rows
+that repeat an id are rows of their own. An empty table gives no rows. Only the columns named are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import release, stash
 from .components import components
 
 HOME_ROWS, VISIT_ROWS = 16384, 65536
@@ -95,25 +96,8 @@ def links_in_cell(
     return np.concatenate(first_out), np.concatenate(second_out)
 
 
-def near_duplicates(
-    vectors: DataFrame, least: float = 0.9, blocks: int = 8, id_col: str = "vec_id", vec_col: str = "embedding"
-) -> DataFrame:
-    """``id_col``, n_links, component_id, kept: one row per vector, linked where the cosine is at least ``least``."""
-    v = F.col(f"`{vec_col}`")
-    whole = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    length = F.aggregate(F.transform(v, lambda c: c.cast("double") * c.cast("double")), F.lit(0.0), lambda a, c: a + c)
-    rows = stash(
-        vectors.select(
-            F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"),
-            F.when(whole & (length > 0) & (length < float("inf")), v).alias("v"),
-        ),
-        "vectors",
-    )
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = sizes[0] if sizes else 1
-    blocks = min(blocks, dim)
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
-    classes = stash(rows.where("v is not null").groupBy("v").agg(F.min("row").alias("cls"), F.count("*").alias("weight")), "classes")
+def length_links(classes: DataFrame, dim: int, least: float, blocks: int) -> DataFrame:
+    """cls, links, up: parts of the links and of a forest of them, of classes (v, cls, weight) whose vectors have ``dim`` components."""
     wide = 2 * float(np.sqrt((2 - 2 * least) / blocks * (1 + 1e-9) + 1e-12))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +150,40 @@ def near_duplicates(
         return pa.table({"cls": pa.array(ids[some]), "links": pa.array(count[some]), "up": pa.array(ids[parent[some]])})
 
     by = ["block", "strip", "h", "w"]
-    found = stash(home.groupBy(*by).cogroup(visit.groupBy(*by)).applyInArrow(cell, "cls bigint, links bigint, up bigint"), "links")
+    return home.groupBy(*by).cogroup(visit.groupBy(*by)).applyInArrow(cell, "cls bigint, links bigint, up bigint")
+
+
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.9, blocks: int = 8, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
+    """``id_col``, n_links, component_id, kept: one row per vector, linked where the cosine is at least ``least``."""
+    v = F.col(f"`{vec_col}`")
+    whole = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    length = F.aggregate(F.transform(v, lambda c: c.cast("double") * c.cast("double")), F.lit(0.0), lambda a, c: a + c)
+    rows = stash(
+        vectors.select(
+            F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"),
+            F.when(whole & (length > 0) & (length < float("inf")), v).alias("v"),
+        ),
+        "vectors",
+    )
+    classes = stash(rows.where("v is not null").groupBy("v").agg(F.min("row").alias("cls"), F.count("*").alias("weight")), "classes")
+    # Vectors of each length by themselves; there are few lengths, mostly one.
+    lengths = [r[0] for r in classes.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    every = [length_links(classes.where(F.size("v") == n), n, least, min(blocks, n)) for n in lengths]
+    none = rows.sparkSession.createDataFrame([], "cls bigint, links bigint, up bigint")
+    found = stash(reduce(DataFrame.unionByName, every, none), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     comp = stash(components(found.select(F.col("cls").alias("a"), F.col("up").alias("b"))), "components")
     of_class = (
         classes.join(links, "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
         .select("v", "cls", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component"))
     )
-    known = stash(rows.join(of_class, "v", "left").select("id", "row", "weight", "links", F.coalesce("component", "row").alias("component")), "members")
-    smallest = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Rows that link with nothing join nothing; they are not sent to one place as null keys.
+    known = rows.where("v is not null").join(of_class, "v").select("id", "row", "weight", "links", "component")
+    known = stash(known.unionByName(rows.where("v is null").select("id", "row", F.col("row").alias("component")), allowMissingColumns=True), "members")
+    smallest = stash(known.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    release(rows, classes, found, comp)
     return known.join(smallest, "component").select(
         F.col("id").alias(id_col),
         F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("bigint").alias("n_links"),

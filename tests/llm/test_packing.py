@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
@@ -28,7 +29,8 @@ def test_pieces_and_places(docs_of, tokenizer):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 2
     ids = packing.pack(docs_of(texts[:5]), path, 256, with_ids=True).collect()
     assert all(len(r.ids) == r.length for r in ids)
-    assert packing.pack(docs_of(texts), path, 256).count() == len(want)
+    again = packing.pack(docs_of(["a b"] * 30 + [None] * 3, [1] * 33), path, 256, with_ids=True).collect()  # repeated rows
+    assert len(again) == 33 and len({(r.sequence_id, r.offset) for r in again}) == 33 and {len(r.ids) for r in again} == {3, 1}
     assert packing.pack(docs_of(["a"]).limit(0), path).count() == 0
 
 
@@ -46,6 +48,22 @@ def test_plan_uses_all_and_fits(counts):
     assert len(loads) < 2 or loads[0] + loads[1] > 32
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=25, max_size=25))
+def test_sums_find_what_is_there(have):
+    have = np.array([0, *have[1:]])
+    sums = packing.Sums(have)
+    for _ in range(3):
+        for gap in range(1, len(have)):
+            way = sums.fill(have, gap)
+            lengths = [x for x in range(1, gap + 1) for _ in range(have[x])]
+            there = any(sum(c) == gap for n in (1, 2, 3) for c in set(combinations(lengths, n)))
+            assert (way is not None) == there
+            assert way is None or (sum(way) == gap and all(have[x] >= way.count(x) for x in way))
+            if way:
+                have[way[0]] -= 1
+
+
 def test_plan_is_optimal_where_complements_are():
     assert sum(t for _, t in packing.plan({20: 7, 12: 7}, 32)) == 7
     assert sum(t for _, t in packing.plan({16: 3, 10: 3, 4: 3, 2: 3}, 32)) == 3

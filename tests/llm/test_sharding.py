@@ -1,5 +1,6 @@
 import pytest
 
+from tallyrift.llm import registry
 from tallyrift.llm.sharding import shard_rows, write_shards
 
 
@@ -23,6 +24,36 @@ def test_shards_fit_and_are_minimal(docs_of, limit):
             assert sum(n for t, n in size.items() if t.startswith(s[:-1])) > limit
 
 
+def slow_shards(rows, limit, bits=60):
+    """The directory by hand: a bucket over the limit is split on its next bit unless all its rows have one hash."""
+    todo, out = [("", rows)], {}
+    while todo:
+        prefix, own = todo.pop()
+        if sum(n for _, _, n in own) <= limit or len({h for _, h, _ in own}) == 1 or len(prefix) == bits:
+            out |= {i: prefix for i, _, _ in own}
+        else:
+            for bit in "01":
+                if part := [r for r in own if f"{r[1]:060b}"[len(prefix)] == bit]:
+                    todo.append((prefix + bit, part))
+    return out
+
+
+@pytest.mark.parametrize("limit", [60, 700, 5000])
+def test_against_the_slow_directory(docs_of, spark, limit):
+    docs = docs_of(["é" * (i * 13 % 41) for i in range(400)] + ["z" * 9000, None], list(range(398)) + [5, 5, 7, 9])
+    hashed = docs.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id), 4) as h", "coalesce(octet_length(text), 0) as n").collect()
+    want = slow_shards([(r.doc_id, r.h, r.n) for r in hashed], limit)
+    rows = shard_rows(docs, limit).collect()
+    assert len(rows) == 402 and {r.doc_id: r.shard_id for r in rows} == want
+
+
+def test_query_splits(spark):
+    """The query's own limit, as a share of a small table's bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = shard_rows(docs, registry.SHARD_BYTES >> 6).collect()
+    assert len({r.shard_id for r in rows}) > 4 and not any(r.oversized for r in rows)
+
+
 def test_copies_and_nothing(docs_of):
     rows = shard_rows(docs_of(["abc"] * 50, [7] * 50), 10).collect()
     assert len(rows) == 50 and len({r.shard_id for r in rows}) == 1 and rows[0].oversized

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyrift.llm.topk import top_k
+from tallyrift.llm.topk import far_apart, search, top_k
 
 
 def brute(rows, k, scale=64):
@@ -33,3 +33,24 @@ def test_few_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0]), (20, [-1.0])], 5) == [(0, 1, 1, 64 * 128), (0, 2, 20, -64 * 64), (20, 1, 0, -64 * 64), (20, 2, 1, -64 * 128)]
     assert run(spark, [(0, [1.0])], 5) == []
     assert run(spark, [], 5) == []
+    twice = [(20, [1.0]), (20, [2.0]), (None, [3.0]), (2**53 + 1, [1.0]), (2**53, [1.0])]  # rows that repeat an id, a null id, ids beyond doubles
+    got = run(spark, twice, 9)
+    assert [(r[2], r[3]) for r in got if r[3] == 64 * 64] == [(2**53, 4096), (2**53 + 1, 4096)] and len(got) == 8
+
+
+def test_bounds_leave_half_out_where_rows_are_clustered():
+    r = np.random.default_rng(2)
+    middle = r.standard_normal((60, 16)) * 40
+    x = np.floor(middle[r.integers(0, 60, 6000)] + r.standard_normal((6000, 16)))
+    q, top = x[:50], float((x**2).sum(1).max())
+    piv = far_apart(x[:1024], 64)
+    up, p_up = np.sqrt(top - (x**2).sum(1)), np.sqrt(top - (piv**2).sum(1))
+    far = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(2)
+    dq, dx = np.sqrt(far(q, piv) + p_up**2), np.sqrt(far(x, piv) + (up[:, None] - p_up) ** 2)
+    i, j, score, evaluated = search(q, x, np.arange(50), np.arange(6000), dq, dx, top, 20, np.full(50, -np.inf))
+    assert evaluated < 0.55 * len(q) * len(x)
+    for n in range(50):
+        full = x @ q[n]
+        full[n] = -np.inf
+        assert score[i == n].tolist() == full[np.lexsort((np.arange(6000), -full))[:20]].tolist()
+        assert j[i == n].tolist() == np.lexsort((np.arange(6000), -full))[:20].tolist()

@@ -47,6 +47,26 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.01]), (5, [3.0]), (6, [4.0]), (6, [-4.0])]
+    got = vectordup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 0, 6), (6, 1, 5)]
+
+
+def test_each_pair_is_found_once_over_the_blocks():
+    rows, found = 2000, []
+    r = np.random.default_rng(5)
+    x = r.standard_normal((rows, 64))
+    x[1::50] = x[::50] + r.standard_normal((rows // 50, 64)) * 0.3
+    unit, ids = x / np.linalg.norm(x, axis=1)[:, None], np.arange(rows)
+    for block in range(8):
+        line = (unit @ vectordup.rotation(64))[:, 8 * block]
+        i, j = vectordup.links_in_cell(x, x, line, line, ids, ids, block, 8, 0.9)
+        found += [(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
+    assert sorted(found) == list(zip(a.tolist(), b.tolist(), strict=True)) and len(found) > 10
+
+
 def test_nothing(spark):
     assert vectordup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

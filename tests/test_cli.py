@@ -1,6 +1,7 @@
 import pytest
 
 from tallyrift.__main__ import main
+from tallyrift.plans.mine import Mined
 from tallyrift.sources import results
 
 
@@ -18,3 +19,11 @@ def test_run(spark, tmp_path, capsys):
 def test_four_arguments():
     with pytest.raises(SystemExit):
         main(["a", "b"])
+
+
+def test_printed_lines():
+    mined = Mined([([1, 2], 3.14159, 0.98765)], 0.5)
+    assert list(results.ranked(mined)) == ["1. {1, 2}: utility 3.14, probability 0.9877"]
+    assert results.configuration(5, 3, 2, 0.1, 8) == "transactions 5, items 3, k 2, least probability 0.1, cores 8"
+    said = results.progress({"level": 2, "candidates": 7, "survivors": 3, "threshold": 1.23456})
+    assert said == "level 2: 7 candidates, 3 go on, threshold 1.2346"

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -73,3 +74,53 @@ def test_nothing_and_bad_k(spark):
     assert run(spark, [], {1: 1.0}, 3, 0.1).rows == []
     with pytest.raises(ValueError):
         run(spark, SAMPLE, SAMPLE_PROFITS, 0, 0.1)
+
+
+def recounted(rows, profits, k, min_pro):
+    """The levels of the search once more, from their definition: dictionaries, one itemset at a time."""
+    of = {}
+    for tid, item, quantity, prob in rows:
+        if prob > 0 and item in profits:
+            of.setdefault(tid, {})[item] = (profits[item] * quantity, prob)
+    rtu = {t: sum(max(u, 0.0) for u, _ in x.values()) for t, x in of.items()}
+    bound, single = {}, {}
+    for t, x in of.items():
+        for i, (u, p) in x.items():
+            bound[i] = bound.get(i, 0.0) + rtu[t] * p
+            eu, miss = single.get(i, (0.0, 1.0))
+            single[i] = (eu + u * p, miss * (1 - p))
+    seeds = sorted((eu for i, (eu, miss) in single.items() if bound[i] > 0 and 1 - miss >= min_pro - 1e-10 and eu >= -1e-10), reverse=True)
+    threshold = max(0.0, seeds[k - 1]) if len(seeds) >= k else 0.0
+    usable = {i for i, (_, miss) in single.items() if bound[i] > 0 and 1 - miss >= min_pro - 1e-10 and bound[i] >= threshold - 1e-6}
+    order = {t: sorted(usable & x.keys(), key=lambda i: (bound[i], i)) for t, x in of.items()}
+    level, best, out = {(i,) for i in usable}, [], []
+    while True:
+        sums = {}
+        for t, items in order.items():
+            for x in level:
+                if set(x) <= set(items):
+                    u, p = sum(of[t][i][0] for i in x), math.prod(of[t][i][1] for i in x)
+                    rem = sum(max(of[t][i][0], 0.0) for i in items[items.index(x[-1]) + 1 :])
+                    eu, miss, ub = sums.get(x, (0.0, 1.0, 0.0))
+                    sums[x] = (eu + u * p, miss * (1 - p), ub + max(u + rem, 0.0) * p)
+        good = [(sorted(x), eu, 1 - miss) for x, (eu, miss, _) in sums.items() if 1 - miss >= min_pro - 1e-10 and eu >= (threshold - 1e-6 if threshold > 0 else -1e-10)]
+        best = sorted(best + good, key=lambda r: (-round(r[1], 6), len(r[0]), r[0]))[:k]
+        if len(best) == k:
+            threshold = max(threshold, best[-1][1], 0.0)
+        likely = {x for x, (_, miss, _) in sums.items() if 1 - miss >= min_pro - 1e-10}
+        grow = {x for x in likely if sums[x][2] >= threshold - 1e-6}
+        out.append((len(out) + 1, len(sums), len(sums) - len(likely), len(likely) - len(grow), len(grow), round(threshold, 6)))
+        if not grow:
+            return out
+        level = {(*x, i) for items in order.values() for x in grow if set(x) <= set(items) for i in items[items.index(x[-1]) + 1 :] if bound[i] >= threshold - 1e-6}
+
+
+@pytest.mark.parametrize("k", [3, 10, 40])
+def test_level_counts(spark, k):
+    r = random.Random(k)
+    rows = [(t, i, r.randint(1, 9), r.choice([0.2, 0.5, 0.9, 1.0])) for t in range(30) for i in r.sample(range(1, 9), r.randint(1, 6))]
+    profits = {i: float(r.choice([-6, -2, 1, 3, 7])) for i in range(1, 9)}
+    found = run(spark, rows, profits, k, 0.3)
+    want = recounted(rows, profits, k, 0.3)
+    assert [(x["level"], x["candidates"], x["ep_pruned"], x["ub_pruned"], x["survivors"], round(x["threshold"], 6)) for x in found.levels] == want
+    check(found, brute(rows, profits, k, 0.3))

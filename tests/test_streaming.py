@@ -14,6 +14,16 @@ def test_stream_is_mined_again(spark, tmp_path):
         assert found and found[-1][0][0] == ([1] if n else [2])
 
 
+def test_old_batches_go(spark, tmp_path):
+    profits, found = spark.createDataFrame([(1, 2.0)], "item int, profit double"), []
+    for n in range(3):
+        spark.createDataFrame([(10 * n + 1, 1, 1, 0.5), (10 * n + 2, 1, 1, 1.0)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = remine(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), profits, str(tmp_path / "store"), 3, 0.1, 5, lambda b, m: found.append(m.rows))
+        q.awaitTermination()
+    assert found[-1] == [([1], 3.0, 1.0)] and len(found) == 3
+    assert [p.name for p in (tmp_path / "store").glob("batch=*")] == ["batch=2"]
+
+
 def test_running_sums(spark, tmp_path):
     spark.createDataFrame([(1, 1, 1, 0.5), (2, 1, 1, 0.25)], SCHEMA).write.parquet(str(tmp_path / "in"))
     profits = spark.createDataFrame([(1, 2.0)], "item int, profit double")

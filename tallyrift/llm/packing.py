@@ -25,7 +25,7 @@ from .base import stash
 from .tokens import encoder
 
 #: Pieces, and ids if they are wanted, that are placed by one task.
-BUCKET_ROWS, BUCKET_IDS = 100_000, 8_000_000
+BUCKET_ROWS, BUCKET_IDS = 100_000, 2_000_000
 
 
 def pieces(

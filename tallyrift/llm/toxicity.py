@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 STARTS = (4,)
 #: Characters of the words that a Python worker remembers, and of the longest of them.
-KNOWN_CHARS, LONGEST = 8_000_000, 64
+KNOWN_CHARS, LONGEST = 3_000_000, 64
 #: Characters of the texts that are matched at once.
 BATCH = 1_000_000
 #: Terms that so large a share of the examples has become rows of a matrix where they are searched.
@@ -104,16 +104,18 @@ class Matcher(dict):
         return np.searchsorted(doc, np.arange(len(texts) + 1)), term, np.add.reduceat(n, first) if len(first) else n
 
 
-def batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """The texts in runs, from and to, of BATCH characters or a little more."""
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 100
-        if held >= BATCH:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def batches(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column in runs of BATCH characters or a little more, each with its first row; not more than 1024 are held."""
+    for lo in range(0, len(column), 1024):
+        texts = column.slice(lo, 1024).to_pylist()
+        at = held = 0
+        for i, t in enumerate(texts):
+            held += len(t or "") + 100
+            if held >= BATCH:
+                yield lo + at, texts[at : i + 1]
+                at, held = i + 1, 0
+        if at < len(texts):
+            yield lo + at, texts[at:]
 
 
 def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -365,10 +367,9 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
         match = Matcher(held.value)
         df, n = np.zeros(len(match.place), np.int64), 0
         for batch in incoming:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in batches(texts):
-                df += np.bincount(match(texts[lo:hi])[1], minlength=len(df))
-            n += len(texts)
+            for _, texts in batches(batch.column(0)):
+                df += np.bincount(match(texts)[1], minlength=len(df))
+            n += batch.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
@@ -399,11 +400,10 @@ def toxicity_scores(
         at = index.value
         match = at.matcher()
         for whole in incoming:
-            texts = whole.column(spot).to_pylist()
-            for lo, hi in batches(texts):
-                batch = whole.slice(lo, hi - lo)
+            for lo, texts in batches(whole.column(spot)):
+                batch = whole.slice(lo, len(texts))
                 score, near = [], []
-                for rows, cos in at.all_nearest(*match(texts[lo:hi]), k):
+                for rows, cos in at.all_nearest(*match(texts), k):
                     score.append(at.score(rows, cos))
                     near.append([at.ids[i] for i in rows[:3]])
                 cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(named))]

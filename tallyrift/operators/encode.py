@@ -33,9 +33,9 @@ def with_rtu(base: DataFrame) -> DataFrame:
     return base.withColumn("rtu", F.sum(positive(F.col("u"))).over(Window.partitionBy("tid")))
 
 
-def item_measures(base: DataFrame) -> DataFrame:
-    """item, its bounds and its own measures (eu, ep), in one pass."""
-    return with_rtu(base).groupBy("item").agg(
+def measured_items(rows: DataFrame) -> DataFrame:
+    """item, its bounds and its own measures (eu, ep), in one pass over rows with their rtu."""
+    return rows.groupBy("item").agg(
         F.sum("rtu").alias("rtwu"), F.sum(F.col("rtu") * F.col("p")).alias("rtwu_weighted"), F.sum("p").alias("support"), F.count("*").alias("frequency"),
         expected_utility().alias("eu"), existential_probability().alias("ep"),
     )
@@ -43,7 +43,7 @@ def item_measures(base: DataFrame) -> DataFrame:
 
 def item_bounds(base: DataFrame) -> DataFrame:
     """item, rtwu, rtwu_weighted, support (expected), frequency: bounds on all itemsets with the item."""
-    return item_measures(base).select("item", "rtwu", "rtwu_weighted", "support", "frequency")
+    return measured_items(with_rtu(base)).select("item", "rtwu", "rtwu_weighted", "support", "frequency")
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:

@@ -97,14 +97,14 @@ def mine(
         return frame
 
     try:
-        # All that follows of transactions goes by tid, so this is their only shuffle.
-        base = keep(encode.priced(transactions, profits, unpriced).select("tid", "item", "u", "p").repartition("tid"))
-        items = keep(encode.promising(encode.item_measures(base), by, 0.0, min_support))
+        # All that follows of transactions goes by tid, so the shuffle for their sums is the only one; none, if they come dealt by tid.
+        base = keep(encode.with_rtu(encode.priced(transactions, profits, unpriced).select("tid", "item", "u", "p")))
+        items = keep(encode.promising(encode.measured_items(base), by, 0.0, min_support))
         # Singles give the first threshold, so that items which can't matter are gone before lists are built.
         seeds = items.where(qualifies(min_pro, 0.0)).orderBy(F.desc("eu")).limit(k).select("eu").collect()
         threshold = max(0.0, seeds[-1][0]) if len(seeds) == k else 0.0
         usable = items.where((F.col("ep") >= min_pro - EPSILON) & (F.col(by) >= threshold - SLACK))
-        ranked = base.join(usable.select("item", F.col(by).alias("bound")), "item")
+        ranked = base.drop("rtu").join(usable.select("item", F.col(by).alias("bound")), "item")
         tails = keep(encode.as_tails(encode.with_remaining(ranked, "bound", "item"), "bound", "item"))
         out = Mined([], threshold)
         best: list[tuple[list[int], float, float]] = []
@@ -124,7 +124,7 @@ def mine(
                 break
             level = grown(level, sums.where(may_grow).select("items"), threshold)
             if pairs and size == 1:
-                able = pair_bounds(base).where(F.col("bound") >= threshold - SLACK).select(F.array("i1", "i2").alias("_pair"))
+                able = pair_bounds(base.drop("rtu")).where(F.col("bound") >= threshold - SLACK).select(F.array("i1", "i2").alias("_pair"))
                 level = level.join(able, F.array_sort("items") == F.col("_pair"), "left_semi")
             size += 1
             if size % CUT_EVERY == 0:

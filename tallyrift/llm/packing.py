@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .base import stash
 from .tokens import encoder
 
-#: Pieces, and ids if they are wanted, that are placed by one task.
-BUCKET_ROWS, BUCKET_IDS = 100_000, 2_000_000
+#: Pieces that are placed by one task.
+BUCKET_ROWS = 100_000
 
 
 def pieces(
@@ -184,7 +184,7 @@ def pack(
     cut = stash(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     table = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS), with_ids * -(-sum(n * c for n, c in counts.items()) // BUCKET_IDS))
+    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     # By the number that each piece was written with, so that repeated rows are dealt apart.
     dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("_number"), F.lit(buckets)).cast("int"))
     by_bucket = dealt.groupBy("_bucket", "length").count()
@@ -203,9 +203,9 @@ def pack(
         t = table.value
         big = np.int64(1) << 44
         found = t[np.searchsorted(t[:, 0] * big + t[:, 1], length * big + rank, "right") - 1]
-        out = left.drop_columns(["_bucket", "_number"])
-        out = out.append_column("sequence_id", pa.array(found[:, 2] + rank - found[:, 1], pa.int64()))
-        return out.append_column("offset", pa.array(found[:, 3], pa.int64()))
+        return pa.table({"_number": left.column("_number"), "sequence_id": pa.array(found[:, 2] + rank - found[:, 1], pa.int64()), "offset": pa.array(found[:, 3], pa.int64())})
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes if n != "_number") + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("_bucket").cogroup(before.groupBy("_in")).applyInArrow(place, schema)
+    # Only numbers and lengths go through Python again; ids stay with Spark.
+    small = dealt.select("_bucket", "_number", "length")
+    placed = small.groupBy("_bucket").cogroup(before.groupBy("_in")).applyInArrow(place, "_number bigint, sequence_id bigint, offset bigint")
+    return cut.join(placed, "_number").drop("_number")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccardjoin, lmscore, packing, piecefst, pii, sharding, topk, toxicity, urlfilter, vectordup
+from . import jaccardjoin, lmscore, mixing, packing, piecefst, pii, resample, sharding, topk, toxicity, urlfilter, vectordup, whitening
 
 #: The rules of op1.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -142,9 +142,56 @@ select doc_id, (select count(*) from l where x = doc_id) as n_links, (select min
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), k=32)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(mixing.fair_queue(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), most=3))
+
+
+OP13_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(sha256('13:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),
+s as (
+  select source, sum(size)::bigint as source_size, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::double as weight
+  from d group by source),
+b as (select sum(source_size)::bigint as budget, sum(weight) as total from s),
+f as (
+  select *, 3 * source_size as full_at, sum(3 * source_size) over o - 3 * source_size as before, total - (sum(weight) over o - weight) as left_over
+  from s, b window o as (order by 3 * source_size / weight, source is null, source)),
+share as (select max((budget - before) / left_over) as share from f where (budget - before) / left_over * weight <= full_at),
+t as (select source, source_size, coalesce(least((3 * source_size)::double, share * weight), (3 * source_size)::double) as target from s, share),
+q as (
+  select doc_id, d.source, size, source_size, target,
+    sum(size) over (partition by d.source order by h, doc_id nulls last, size rows unbounded preceding)::bigint as so_far
+  from d join t on d.source is not distinct from t.source),
+c as (
+  select source, so_far, n, size, (n * source_size + so_far)::double / target as finish from q, (values (0), (1), (2)) x(n)
+  where size > 0 and target > 0),
+r as (select *, sum(size) over (order by finish, source is null, coalesce(source, ''), n, so_far) as taken_by_then from c),
+m as (select source, so_far, count(*) as times from r, b where taken_by_then <= budget group by 1, 2)
+select doc_id, size, source_size, target, (case when size > 0 then size * coalesce(times, 0) else 0 end)::bigint as taken
+from q left join m on q.source is not distinct from m.source and q.so_far = m.so_far
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_exact_topk": op2_exact_topk, "op3_sharding": op3_sharding, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    found = (
+        op1_url_filters, op2_exact_topk, op3_sharding, op4_pii, op5_toxicity, op6_embedding_near_dedup, op7_packing, op8_sentencepiece, op9_lm_scoring,
+        op10_ngram_jaccard_join, op11_importance_resampling, op12_embedding_whitening, op13_source_mixing,
+    )
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {
+        "op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_ngram_jaccard_join": OP10_SQL,
+        "op13_source_mixing": OP13_SQL,
+    }

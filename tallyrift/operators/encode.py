@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrift.functions.measures import existential_probability, expected_utility, positive, utility
-from tallyrift.sources.shared import stash
+from tallyrift.sources.shared import remove, stash
 
 
 def priced(transactions: DataFrame, profits: DataFrame, unpriced: str = "exclude") -> DataFrame:
@@ -46,14 +46,22 @@ def item_bounds(base: DataFrame) -> DataFrame:
     return measured_items(with_rtu(base)).select("item", "rtwu", "rtwu_weighted", "support", "frequency")
 
 
+#: So many narrow rows at most are numbered by one task.
+FEW_ROWS = 100_000
+
+
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """The rows with their place from 0 in the order given, which must be total: counted within ranges, then shifted by the ranges before.
 
     Ranges hold about as many rows each, so no task numbers all of them. They are written to the shared folder, as both
-    passes must see the same ones.
+    passes must see the same ones. Up to ``FEW_ROWS`` rows are one range.
     """
+    rows = stash(rows, "to-number")
+    if rows.count() <= FEW_ROWS:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stash(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    remove(rows.sparkSession, rows.stash_path)
     sizes = ranged.groupBy("_range").count()  # a row for each range
     before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
@@ -81,11 +89,27 @@ def ranked_base(base: DataFrame, ranks: DataFrame) -> DataFrame:
     return with_remaining(base.join(ranks, "item").select("tid", "item", "rank", "bound", "u", "p"))
 
 
+def as_rows(base: DataFrame) -> DataFrame:
+    """A row for each transaction: t, its items with their u and p, and rtu. A transaction that has an item twice is an error."""
+    rows = base.groupBy("tid").agg(F.collect_list(F.struct("item", "u", "p")).alias("t"), F.sum(positive(F.col("u"))).alias("rtu"))
+    twice = F.raise_error(F.concat(F.lit("a transaction has an item twice: "), F.col("tid").cast("string"))).cast("double")
+    return rows.withColumn("rtu", F.when(F.size("t") > F.size(F.array_distinct("t.item")), twice).otherwise(F.col("rtu")))
+
+
+def items_of(rows: DataFrame) -> DataFrame:
+    """The items of ``as_rows`` again, a row each: tid, rtu, item, u, p."""
+    return rows.select("tid", "rtu", F.inline("t"))
+
+
 def as_tails(ranked: DataFrame, *order: str) -> DataFrame:
     """A row for each transaction: lists of its items, their u, p, rem and bounds, in the order given (by rank, if none is).
 
-    From here on itemsets grow within their row, so no level of the search shuffles by transaction.
+    t_rem is the positive utility of the items after each, t_rtu that of all. From here on itemsets grow within their row, so no
+    level of the search shuffles by transaction.
     """
-    each = F.struct(*(order or ("rank",)), *[c for c in ("item", "u", "p", "rem", "bound") if c not in order])
-    rows = ranked.groupBy("tid").agg(F.array_sort(F.collect_list(each)).alias("t"))
-    return rows.select("tid", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("item", "u", "p", "rem", "bound")])
+    each = F.struct(*(order or ("rank",)), *[c for c in ("item", "u", "p", "bound") if c not in order])
+    rows = ranked.groupBy("tid").agg(F.array_sort(F.collect_list(each)).alias("t"), F.sum(positive(F.col("u"))).alias("t_rtu"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("rem"))
+    step = lambda s, x: F.struct((s["sum"] + positive(x["u"])).alias("sum"), F.array_prepend(s["rem"], s["sum"]).alias("rem"))
+    rem = F.aggregate(F.reverse("t"), start, step, lambda s: s["rem"])
+    return rows.select("tid", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("item", "u", "p", "bound")], rem.alias("t_rem"), "t_rtu")

@@ -22,7 +22,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: the lineage ends at files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that ``stash`` wrote in this session and that nobody has removed."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,11 @@ import random
 import pytest
 
 from helpers import brute
-from tallyrift.plans.mine import mine
+from pyspark.sql import functions as F
+
+from tallyrift.operators import encode
+from tallyrift.plans import mine as search
+from tallyrift.plans.mine import mine, mine_settings
 
 TX = "tid long, item int, quantity int, prob double"
 SAMPLE = [
@@ -123,4 +127,92 @@ def test_level_counts(spark, k):
     found = run(spark, rows, profits, k, 0.3)
     want = recounted(rows, profits, k, 0.3)
     assert [(x["level"], x["candidates"], x["ep_pruned"], x["ub_pruned"], x["survivors"], round(x["threshold"], 6)) for x in found.levels] == want
+    assert all(x["occurrences"] >= x["candidates"] and x["pair_pruned"] == 0 and x["batches"] == 1 and x["peak_memory_mb"] > 0 for x in found.levels)
     check(found, brute(rows, profits, k, 0.3))
+
+
+def many(seed, transactions=60, items=9, most=7):
+    r = random.Random(seed)
+    rows = [(t, i, r.randint(1, 9), r.choice([0.2, 0.5, 0.9, 1.0])) for t in range(transactions) for i in r.sample(range(1, items + 1), r.randint(1, most))]
+    return rows, {i: float(r.choice([-6, -2, 1, 3, 7])) for i in range(1, items + 1)}
+
+
+def test_an_item_twice_is_an_error(spark):
+    with pytest.raises(Exception, match="a transaction has an item twice: 1"):
+        run(spark, [(1, 1, 1, 0.5), (1, 1, 2, 0.5), (2, 1, 1, 0.5)], {1: 1.0}, 3, 0.0)
+
+
+SETTINGS = [(3, 0.0), (10, 0.3), (50, 0.3), (5, 0.7), (2, 0.99)]
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_settings_share_a_search(spark, pairs):
+    rows, profits = many(3)
+    tx, p = spark.createDataFrame(rows, TX), spark.createDataFrame(list(profits.items()), "item int, profit double")
+    found = mine_settings(tx, p, SETTINGS, pairs=pairs)
+    for (k, min_pro), one in zip(SETTINGS, found, strict=True):
+        check(one, brute(rows, profits, k, min_pro))
+    assert len({tuple((x["level"], x["candidates"]) for x in m.levels) for m in found}) == 1  # the same levels
+    with pytest.raises(ValueError):
+        mine_settings(tx, p, [])
+
+
+def test_pairs_prune_at_every_level(spark):
+    rows, profits = many(5, 90, 12, 7)
+    plain, paired = (run(spark, rows, profits, 10, 0.05, pairs=x) for x in (False, True))
+    check(paired, plain.rows)
+    of = lambda m, name: {x["level"]: x[name] for x in m.levels}
+    assert sum(of(paired, "pair_pruned").values()) > 0 and all(of(paired, "candidates")[n] <= c for n, c in of(plain, "candidates").items() if n in of(paired, "candidates"))
+    assert sum(n for level, n in of(paired, "candidates").items() if level > 2) < sum(n for level, n in of(plain, "candidates").items() if level > 2)
+
+
+def test_threshold_rises_within_a_level(spark, monkeypatch):
+    rows, profits = many(7, 90, 12, 6)
+    plain = run(spark, rows, profits, 12, 0.05)
+    monkeypatch.setattr(search, "BATCH_FROM", 3)
+    batched = run(spark, rows, profits, 12, 0.05)
+    check(batched, plain.rows)
+    assert max(x["batches"] for x in batched.levels) > 1
+    assert sum(x["candidates"] for x in batched.levels) <= sum(x["candidates"] for x in plain.levels)
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_survivors_beyond_a_broadcast(spark, pairs):
+    rows, profits = many(9, 40, 9, 6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = run(spark, rows, profits, 30, 0.05, pairs=pairs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(x["level"] for x in found.levels) >= 4  # beyond a level that is written out
+    check(found, brute(rows, profits, 30, 0.05))
+
+
+def test_no_shuffle_of_lists(spark):
+    rows, profits = many(9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        priced = encode.priced(spark.createDataFrame(rows, TX), spark.createDataFrame(list(profits.items()), "item int, profit double")).withColumn("bound", F.lit(1.0))
+        tails = encode.as_tails(priced, "bound", "item")
+        keep = spark.createDataFrame([([1],), ([2],)], "items array<int>")
+        plan = search.extended_by_join(search.first_level(tails), keep, tails)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The lists are made behind the one shuffle of transactions; what is shuffled from there on has none of them.
+    assert plan.count("Exchange") >= 3
+    for line in plan.split("\n"):
+        if "Exchange" in line:
+            assert "t_" not in line
+
+
+def test_nothing_is_left_behind(spark):
+    from tallyrift.sources.shared import shared_dir
+
+    rows, profits = many(9, 40, 9, 6)
+    run(spark, rows, profits, 30, 0.05)
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}")
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    assert not [n for n in names if n.startswith("level-")]
+    assert not spark._jsparkSession.sharedState().cacheManager().cachedData().mkString("").count("t_rem")

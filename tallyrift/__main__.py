@@ -20,8 +20,8 @@ def main(args: list[str] | None = None) -> list[str]:
     parser.add_argument("--out")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("tallyrift").getOrCreate()
-    tx = tables.validate(text.parse_transactions(text.read_lines(spark, given.database))).persist()
-    profits = text.parse_profits(text.read_lines(spark, given.profits))
+    tx = tables.validate(text.parse_transactions(text.read_files(spark, given.database))).persist()
+    profits = text.parse_profits(text.read_files(spark, given.profits))
     size = tx.agg(F.countDistinct("tid"), F.countDistinct("item")).first()
     mined = mine(tx, profits, given.k, given.least_probability)
     out = [results.configuration(size[0], size[1], given.k, given.least_probability, spark.sparkContext.defaultParallelism)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrift.operators import quantiles as exact
+
 #: The metrics that are averaged over repetitions.
 AVERAGED = ("execution_time_ms", "candidates_generated", "total_pruned", "pruning_ratio", "peak_memory_mb", "transactions_per_second", "cas_efficiency", "database_size")
 PRUNED = ("rtwu_pruned", "branches_pruned", "bulk_branches_pruned", "eu_remaining_pruned", "ep_pruned")
@@ -60,7 +62,9 @@ def histogram(runs: DataFrame, metric: str, bins: int = 20) -> DataFrame:
 
 
 def center(runs: DataFrame, metric: str) -> DataFrame:
-    return runs.agg(F.avg(metric).alias("mean"), F.median(metric).alias("median"))
+    """mean, median: one row."""
+    middle = exact.quantiles(runs, [], metric, {"median": 0.5}).select("median")
+    return runs.agg(F.avg(metric).alias("mean")).join(F.broadcast(middle), F.lit(True), "left")  # a row each
 
 
 def summary(runs: DataFrame, metrics: tuple[str, ...] = SUMMARY) -> DataFrame:
@@ -79,11 +83,9 @@ def pruning_shares(runs: DataFrame) -> DataFrame:
 
 
 def quantiles(runs: DataFrame, key: str, metric: str) -> DataFrame:
-    """What a box plot shows: exact quartiles, least and largest."""
-    q = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return runs.groupBy(key).agg(q.alias("q"), F.min(metric).alias("least"), F.max(metric).alias("largest")).select(
-        key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "least", "largest"
-    )
+    """Exact quartiles, least and largest."""
+    found = exact.quantiles(runs, [key], metric, exact.QUARTILES | {"least": 0.0, "largest": 1.0})
+    return found.select(key, "q1", "q2", "q3", "least", "largest")
 
 
 def line_fit(runs: DataFrame, x: Column, y: Column) -> DataFrame:

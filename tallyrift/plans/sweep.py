@@ -133,7 +133,7 @@ def sweep(
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"run-{run.number}")
         record = run_one(spark, run, datasets[run.dataset], timeout_s, **options)
         row = spark.createDataFrame([tuple(record[n] for n in NAMES)], RECORD)
-        row.coalesce(1).write.mode("overwrite").json(f"{store}/number={run.number}")
+        runs.append(row.coalesce(1), store, run.number)
         if on_record:
             on_record(record)
 
@@ -145,10 +145,4 @@ def sweep(
 
 def records(spark: SparkSession, store: str) -> DataFrame:
     """The records in a store, with what the reports derive from them; none, if there is no store yet."""
-    try:
-        found = spark.read.schema(RECORD).json(f"{store}/number=*")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        found = spark.createDataFrame([], RECORD)
-    return runs.derived(found)
+    return runs.derived(runs.appended(spark, store, RECORD).drop("batch"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What a run prints, by metric: pattern and type.
 METRICS = {
@@ -65,10 +66,28 @@ def save(runs: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str, schema: str, kind: str = "json") -> DataFrame:
-    """Successful runs only; the schema is given, not inferred."""
-    reader = spark.read.schema(schema)
-    rows = reader.json(f"{path}/json") if kind == "json" else spark.read.schema(schema).option("header", True).csv(f"{path}/csv")
-    return successful(rows)
+    """Successful runs only; the schema is given, not inferred. Columns of CSV go by the names of its header, in whatever order; one that isn't there is null."""
+    if kind == "json":
+        return successful(spark.read.schema(schema).json(f"{path}/json"))
+    said = spark.read.option("header", True).csv(f"{path}/csv")  # all text: nothing but the header is read for it
+    fields = StructType.fromDDL(schema).fields
+    return successful(said.select(*[(F.col(f"`{f.name}`") if f.name in said.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]))
+
+
+def append(rows: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of records to a growing table. A batch that is written again replaces itself, so a job that is repeated adds nothing twice."""
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of all batches that were written to their end, which Spark's mark in each says, with their number in ``batch``."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    marks = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at) or []
+    whole = sorted(m.getPath().getParent().toString() for m in marks)
+    if not whole:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").option("basePath", path).json(whole)
 
 
 def successful(runs: DataFrame) -> DataFrame:

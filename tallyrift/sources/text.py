@@ -6,19 +6,33 @@ lines alike; ``read_lines`` numbers the lines of files in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no and value. The number is given before anything is exploded.
 
-    Numbers rise with the lines of a file. Of several files Spark decides which comes first, so where a later line is to
-    win over an earlier one in another file, read them one by one.
+    Numbers rise with the lines of a file. Of several files Spark decides which comes first; ``read_files`` orders them.
     """
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """line_no and value of all lines of some files: 0, 1, ... without gaps, files in the order of their names.
+
+    So a later line wins over an earlier one across files as within one. Spark reads files in splits; each is counted
+    once, and its lines are numbered behind those of the splits before, of which there are as many as tasks.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    splits = rows.groupBy("_file", "_from").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.orderBy("_file", "_from")) - F.col("_lines")
+    met = rows.join(F.broadcast(splits.withColumn("_before", before)), ["_file", "_from"])
+    return met.select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+
+
 def parse_profits(lines: DataFrame) -> DataFrame:
     """item, profit. Only lines of two fields count; of an item's lines the last wins."""
     fields = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")

@@ -46,3 +46,16 @@ def running_bounds(transactions: DataFrame, profits: DataFrame) -> DataFrame:
     from tallyrift.operators.encode import priced
 
     return priced(transactions, profits).groupBy("item").agg(F.sum("p").alias("support"), F.sum(F.col("u") * F.col("p")).alias("eu"))
+
+
+def sliding_bounds(transactions: DataFrame, profits: DataFrame, width: int, slide: int, late: int = 0) -> DataFrame:
+    """since, until, item, support, eu of a stream of transactions over each ``width`` tids, a new stretch beginning every ``slide``.
+
+    Tids stand for event time, so Spark's windows and watermark do the work: a stretch is put out once tids beyond its end (and
+    ``late`` more) have come, and its state goes then. What comes later than that is left out.
+    """
+    from tallyrift.operators.encode import priced
+
+    timed = priced(transactions, profits).withColumn("_at", F.timestamp_seconds("tid")).withWatermark("_at", f"{late} seconds")
+    sums = timed.groupBy(F.window("_at", f"{width} seconds", f"{slide} seconds").alias("_stretch"), "item").agg(F.sum("p").alias("support"), F.sum(F.col("u") * F.col("p")).alias("eu"))
+    return sums.select(F.unix_seconds("_stretch.start").alias("since"), F.unix_seconds("_stretch.end").alias("until"), "item", "support", "eu")

@@ -45,3 +45,37 @@ def test_runs_files(spark, tmp_path):
     csv = "dataset string, execution_time_ms double, k int, status string"
     assert sorted(r.k for r in runs.load(spark, str(tmp_path / "out"), csv, "csv").collect()) == [5, 10]
     assert runs.newest_path(spark, str(tmp_path / "out" / "json" / "*.json")).endswith(".json")
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    made = spark.createDataFrame([("SUCCESS", 7, 50), ("FAILED", 8, 5), ("SUCCESS", 9, None)], "status string, run int, k int")
+    runs.save(made, str(tmp_path / "out"))
+    for schema in ("status string, run int, k int", "run int, k int, status string", "k int, status string, run int, more double"):
+        assert sorted((r.run, r.k) for r in runs.load(spark, str(tmp_path / "out"), schema, "csv").collect()) == [(7, 50), (9, None)]
+
+
+def test_batches_are_added_once(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "run int, note string"
+    assert runs.appended(spark, path, schema).count() == 0
+    for batch in (1, 2, 2):
+        runs.append(spark.createDataFrame([(batch, "x"), (batch, "y")], schema), path, batch)
+    assert sorted(r.batch for r in runs.appended(spark, path, schema).collect()) == [1, 1, 2, 2]
+    (tmp_path / "table" / "batch=2" / "_SUCCESS").unlink()  # as if the job had broken off
+    assert {r.batch for r in runs.appended(spark, path, schema).collect()} == {1}
+
+
+def test_lines_of_several_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    many = [f"{i} {i}.5" for i in range(3000)]
+    (tmp_path / "in" / "b").write_text("\n".join(["1 -1.0", *many[2:]]) + "\n")
+    (tmp_path / "in" / "a").write_text("1 1.0\n\n2 2.0\n")
+    (tmp_path / "in" / "c").write_text("2 -2.0\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # b is read in splits
+    try:
+        lines = text.read_files(spark, str(tmp_path / "in"))
+        got = sorted(map(tuple, lines.collect()))
+        profits = {r.item: r.profit for r in text.parse_profits(lines).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(["1 1.0", "", "2 2.0", "1 -1.0", *many[2:], "2 -2.0"]))
+    assert profits[1] == -1.0 and profits[2] == -2.0 and profits[2999] == 2999.5

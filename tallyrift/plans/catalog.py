@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.functions import measures
-from tallyrift.operators import encode, pairs, reports
+from tallyrift.operators import encode, pairs, quantiles, reports
 from tallyrift.plans import mine as search
+from tallyrift.plans import sweep as sweeps
 from tallyrift.sources import results as printing
 from tallyrift.sources import runs as records
 from tallyrift.sources import tables, text
+from tallyrift.sources.shared import shared_dir, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,18 +117,30 @@ SCANNED = {
 }
 
 
-@query("s7_metric_scan", f"""with {records.RUNS_SQL} select run, {", ".join(f"{x} as {n}" for n, x in SCANNED.items())},
-  round(total_pruned / candidates_generated, 6) as pruning_ratio, round(case when execution_time > 0 then database_size / (execution_time / 1000) end, 6) as transactions_per_second from runs""")
+#: What a run prints, line by line, as format strings with the metric that each shows.
+PRINTED = (
+    ("Database size: %d", "database_size"), ("Number of items: %d", "num_items"), ("Thread pool size: %d", "thread_pool_size"), ("Items after filtering: %d", "items_after_filter"),
+    ("Execution time: %d ms", "execution_time"), ("Candidates generated: %d", "candidates_generated"), ("Utility lists created: %d", "utility_lists_created"),
+    ("Enhanced pruning statistics:", None), ("  - RTWU pruned: %d", "rtwu_pruned"), ("  - Branches pruned: %d", "branches_pruned"), ("  - Bulk branches pruned: %d", "bulk_branches_pruned"),
+    ("  - EU+remaining pruned: %d", "eu_remaining_pruned"), ("  - Existential probability pruned: %d", "ep_pruned"), ("  - Total pruned: %d", "total_pruned"),
+    ("Peak memory usage: %d MB", "peak_memory_reported"), ("Final threshold: %.4f", "final_threshold"), ("Top-K found: %d", "topk_found"), ("Lock-free TopK statistics:", None),
+    ("  - Successful updates: %d", "successful_updates"), ("  - CAS retries: %d", "cas_retries"), ("  - CAS efficiency: %.2f%%", "cas_efficiency"),
+)
+
+
+S7_SQL = f"""with {records.RUNS_SQL} select run, {", ".join(f"{x} as {n}" for n, x in SCANNED.items())},
+  round(total_pruned / candidates_generated, 6) as pruning_ratio,
+  round(case when execution_time > 0 then database_size / (execution_time / 1000) end, 6) as transactions_per_second from runs"""
+
+
+@query("s7_metric_scan", S7_SQL)
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    """All metrics from made outputs, whose case varies; one is missing in every second."""
+    """All metrics from outputs as a run prints them; every third is in capitals, and in every second the number of items isn't printed."""
     made = records.synthetic_runs(spark, d).selectExpr("run", *[f"{x} as {n}" for n, x in SCANNED.items()])
-    lines = []
-    for n, (pattern, _) in records.METRICS.items():
-        before, after = pattern.replace("\\+", "+").split(r":\s*")
-        unit = after.split(")")[1].replace(r"\s*", " ")
-        shown = F.concat(F.lit(before.upper() + ":  "), F.col(n).cast("string"), F.lit(unit))
-        lines.append(F.when(F.col("run") % 3 == 0, shown).otherwise(F.concat(F.lit(f"  {before}: "), F.col(n).cast("string"), F.lit(unit))))
-    out = records.scan_metrics(made.select("run", F.concat_ws("\n", F.lit("start"), *lines).alias("output")))
+    lines = [F.format_string(line, F.col(n)) if n else F.lit(line) for line, n in PRINTED]
+    shown = [F.when(F.col(n).isNotNull(), x) if n else x for x, (_, n) in zip(lines, PRINTED, strict=True)]
+    text_of = F.concat_ws("\n", F.lit("=== start ==="), *shown)
+    out = records.scan_metrics(made.select("run", F.when(F.col("run") % 3 == 0, F.upper(text_of)).otherwise(text_of).alias("output")))
     return out.select("run", *records.METRICS, F.round("pruning_ratio", 6).alias("pruning_ratio"), F.round("transactions_per_second", 6).alias("transactions_per_second"))
 
 
@@ -138,7 +154,12 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s9_successful_runs", f"with {records.RUNS_SQL} select run, status, k from good")
 def s9(spark: SparkSession, d: str) -> DataFrame:
-    return records.successful(records.synthetic_runs(spark, d)).select("run", "status", "k")
+    """Written as CSV and JSON and loaded again, half from each."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/runs-{uuid.uuid4().hex}"
+    records.save(records.synthetic_runs(spark, d).select("run", "status", "k", "dataset"), path)
+    schema = "status string, k int, run long"
+    parts = [records.load(spark, path, schema, kind).where(F.col("run") % 2 == n) for n, kind in enumerate(("csv", "json"))]
+    return parts[0].unionByName(parts[1]).select("run", "status", "k")
 
 
 @query("s10_newest", "select max_by(o_orderpriority || '-' || o_orderkey, o_orderkey) as path from orders where o_orderdate = (select max(o_orderdate) from orders)")
@@ -191,9 +212,10 @@ def a2_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_p12_p13_promising", f"with {BRANDS}, {PROFITS}, {BASE}, {RTU}, {BOUNDS} select item from w where rtwu_weighted > 0 and rtwu_weighted >= (select avg(rtwu_weighted) from w) and support >= (select avg(support) from w) * 0.9")
 def p8(spark: SparkSession, d: str) -> DataFrame:
-    bounds = encode.item_bounds(base(spark, d)).persist()
-    mean, support = bounds.agg(F.avg("rtwu_weighted"), F.avg("support")).first()
-    return encode.promising(bounds, "rtwu_weighted", mean, support * 0.9).select("item")
+    bounds = encode.item_bounds(base(spark, d))
+    mean = bounds.agg(F.avg("rtwu_weighted").alias("_bound"), F.avg("support").alias("_support"))
+    enough = encode.promising(bounds.join(F.broadcast(mean)), "rtwu_weighted")  # one row of means
+    return enough.where((F.col("rtwu_weighted") >= F.col("_bound")) & (F.col("support") >= F.col("_support") * 0.9)).select("item")
 
 
 @query("w1_item_ranks", f"with {BRANDS}, {PROFITS}, {BASE}, {RTU}, {BOUNDS}, {RANKS} select item, round(bound, 4) as bound, rank from r")
@@ -241,7 +263,7 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
   select x.tid, x.item as i1, y.item as i2 from b x join b y on x.tid = y.tid and x.item < y.item where (x.item, y.item) in (select (i1, i2) from e where bound >= (select avg(bound) from e))""")
 def j5(spark: SparkSession, d: str) -> DataFrame:
     b = base(spark, d)
-    bounds = pairs.pair_bounds(b).persist()
+    bounds = stash(pairs.pair_bounds(b), "pair-bounds")
     able = pairs.promising_pairs(bounds, bounds.agg(F.avg("bound")).first()[0])
     return pairs.pair_rows(b).select("tid", "i1", "i2").join(able, ["i1", "i2"], "left_semi").select("tid", "i1", "i2")
 
@@ -268,6 +290,10 @@ def shown(mined: search.Mined, spark: SparkSession) -> DataFrame:
     return mined.frame(spark).select("rank", F.array_join("items", " ").alias("items"), shown_eu().alias("eu"), shown_ep().alias("ep"))
 
 
+#: Settings that one search finds all results of.
+SHARED = ((20, 0.1), (100, 0.5), (50, 0.2), (10, 0.2))
+
+
 def topk(name: str, k: int, min_pro: float, source: str = "brands", db: str = BRANDS, of: str = BASE, **options) -> None:
     @query(name, top_sql(db, k, min_pro, options.get("max_len"), of, options.get("min_support", 0.0)))
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -296,11 +322,74 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(search.mine(tx, pr, 25, 0.2).threshold,)], "threshold double").select(F.round("threshold", 2).alias("threshold"))
 
 
-@query("a12_level_statistics")
+@query("t1_shared_settings", " union all ".join(f"select {k} as k, {mp}::double as min_pro, rank, items, eu, ep from ({top_sql(BRANDS, k, mp)})" for k, mp in SHARED))
+def t1_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Several settings by one search."""
+    tx, pr = brands(spark, d)
+    found = [shown(m, spark).select(F.lit(k).alias("k"), F.lit(mp).alias("min_pro"), "*") for (k, mp), m in zip(SHARED, search.mine_settings(tx, pr, list(SHARED)), strict=True)]
+    return reduce(DataFrame.unionByName, found)
+
+
+COUNTED_SQL = f"""with {BRANDS}, {PROFITS}, {BASE}, {RTU}, {BOUNDS}, {RANKS}, {REM},
+  l1 as (select item as a, count(*) as n, 1 - product(1 - p) as ep from m group by 1),
+  k1 as (select a from l1 where ep >= 0.99 - 1e-10),
+  f as (select * from m where item in (select a from k1)),
+  l2 as (select x.item as a, y.item as b, count(*) as n, 1 - product(1 - x.p * y.p) as ep from f x join f y on x.tid = y.tid and x.rank < y.rank group by 1, 2),
+  l3 as (select x.item as a, y.item as b, z.item as c, count(*) as n, 1 - product(1 - x.p * y.p * z.p) as ep from f x join f y on x.tid = y.tid and x.rank < y.rank
+    join f z on z.tid = y.tid and y.rank < z.rank where (x.item, y.item) in (select (a, b) from l2 where ep >= 0.99 - 1e-10) group by 1, 2, 3),
+  l as (select 1 as level, n, ep from l1 where a in (select a from k1) union all select 2, n, ep from l2 union all select 3, n, ep from l3)
+select level::int as level, count(*) as candidates, sum(n)::bigint as occurrences, 0::bigint as rtwu_pruned, 0::bigint as pair_pruned,
+  count(*) filter (ep < 0.99 - 1e-10) as ep_pruned, 0::bigint as ub_pruned, count(*) filter (ep >= 0.99 - 1e-10) as survivors, 0::double as threshold from l group by 1"""
+
+
+@query("a12_level_statistics", COUNTED_SQL)
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by level; what is pruned depends on the thresholds of the search, so there is no SQL."""
+    """Counts by level of a search that finds all likely itemsets of three items at most: with a k that large the threshold stays zero."""
+    tx, pr = brands(spark, d)
+    return search.mine(tx, pr, 10**6, 0.99, max_len=3).stats(spark).drop("peak_memory_mb", "batches")
+
+
+@query("a12_search_statistics")
+def a12_search(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and peak memory by level; what is pruned depends on the thresholds of the search, so there is no SQL."""
     tx, pr = brands(spark, d)
-    return search.mine(tx, pr, 20, 0.1).stats(spark)
+    return search.mine(tx, pr, 20, 0.1, pairs=True).stats(spark)
+
+
+SWEPT = {"brands": (BRANDS, tables.from_lines), "events": (EVENTS, tables.from_events)}
+SWEPT_KS, SWEPT_PROBS = (5, 50), (0.1, 0.5)
+
+
+def swept(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a sweep over the driver's tables."""
+
+    def of(make: Callable[[SparkSession, str], DataFrame]) -> sweeps.Dataset:
+        def read(s: SparkSession) -> tuple[DataFrame, DataFrame]:
+            tx = make(s, d)
+            return tx, tables.signed_profits(tx)
+
+        return read
+
+    return sweeps.sweep(spark, {n: of(make) for n, (_, make) in SWEPT.items()}, SWEPT_KS, SWEPT_PROBS, parallel=2)
+
+
+def swept_sql() -> str:
+    one = "select '{n}' as dataset, {k} as k, {p}::double as min_prob, 'SUCCESS' as status, count(*) as topk_found, round(case when count(*) = {k} then min(eu) else 0 end, 2) as final_threshold from ({q})"
+    found = [one.format(n=n, k=k, p=p, q=top_sql(db, k, p)) for n, (db, _) in SWEPT.items() for k in SWEPT_KS for p in SWEPT_PROBS]
+    sizes = [f"select '{n}' as dataset, count(distinct tid) as database_size, count(distinct item) as num_items from (with {db} select * from db)" for n, (db, _) in SWEPT.items()]
+    return f"select * from ({' union all '.join(found)}) join ({' union all '.join(sizes)}) using (dataset)"
+
+
+@query("sweep_runs", swept_sql())
+def sweep_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What real runs of a grid found."""
+    return swept(spark, d).select("dataset", "k", "min_prob", "status", "topk_found", F.round(F.col("final_threshold") + 1e-6, 2).alias("final_threshold"), "database_size", "num_items")
+
+
+@query("sweep_averages")
+def sweep_averages(spark: SparkSession, d: str) -> DataFrame:
+    """Times, memory and counts of real runs by setting; they differ from run to run, so there is no SQL."""
+    return reports.averages(records.successful(swept(spark, d)))
 
 
 @query("s4_configuration", f"""with {BRANDS} select printf('transactions %d, items %d, k 20, least probability 0.1, cores 8', count(distinct tid), count(distinct item)) as line from db""")
@@ -364,6 +453,16 @@ report("a24_pruning_shares", " union all ".join(f"select '{c}' as counter, sum({
 report("a25_by_threads", "select thread_pool_size, round(avg(execution_time_ms), 4) as avg_execution_time_ms, round(avg(speedup), 6) as avg_speedup from (select *, min(execution_time_ms) over (partition by dataset) / execution_time_ms as speedup from good) group by 1", lambda r: reports.mean_by(reports.with_speedup(r), "thread_pool_size", "execution_time_ms", "speedup").select("thread_pool_size", near("avg_execution_time_ms", 4), near("avg_speedup", 6)))
 for metric in ("execution_time_ms", "peak_memory_mb", "pruning_percentage"):
     report(f"a26_heatmap_{metric}", sql_pivot("min_prob", "k", KS, metric, "k"), lambda r, m=metric: rounded(reports.pivot_mean(r, "min_prob", "k", KS, m, "k")))
+BOXES = """, b as (select dataset, quantile_cont(peak_memory_mb, 0.25) as q1, quantile_cont(peak_memory_mb, 0.5) as q2, quantile_cont(peak_memory_mb, 0.75) as q3 from good group by 1),
+  f as (select good.*, q1, q2, q3, peak_memory_mb < q1 - 1.5 * (q3 - q1) or peak_memory_mb > q3 + 1.5 * (q3 - q1) as beyond from good join b using (dataset))"""
+report(
+    "a27_box_plot",
+    f"""{BOXES} select dataset, round(any_value(q1), 4) as q1, round(any_value(q2), 4) as q2, round(any_value(q3), 4) as q3,
+    round(min(peak_memory_mb) filter (not beyond), 4) as whisker_low, round(max(peak_memory_mb) filter (not beyond), 4) as whisker_high,
+    count(*) filter (beyond) as outliers, round(min(peak_memory_mb), 4) as least, round(max(peak_memory_mb), 4) as largest from f group by 1""",
+    lambda r: rounded(quantiles.box_plot(r, "dataset", "peak_memory_mb")),
+)
+report("a27_outliers", f"{BOXES} select run, dataset, round(peak_memory_mb, 4) as peak_memory_mb from f where beyond", lambda r: rounded(quantiles.outliers(r, "dataset", "peak_memory_mb").select("run", "dataset", "peak_memory_mb")))
 report("a27_quantiles", "select dataset, round(quantile_cont(peak_memory_mb, 0.25), 4) as q1, round(quantile_cont(peak_memory_mb, 0.5), 4) as q2, round(quantile_cont(peak_memory_mb, 0.75), 4) as q3, round(min(peak_memory_mb), 4) as least, round(max(peak_memory_mb), 4) as largest from good group by 1", lambda r: rounded(reports.quantiles(r, "dataset", "peak_memory_mb")))
 report("a28_line_fit", "select round(regr_slope(peak_memory_mb, database_size), 8) as slope, round(regr_intercept(peak_memory_mb, database_size), 4) as intercept from good", lambda r: reports.line_fit(r, F.col("database_size"), F.col("peak_memory_mb")).select(near("slope", 8), near("intercept", 4)))
 report("a28_log_fit", "select round(regr_slope(ln(execution_time_ms), ln(database_size * num_items)), 6) as slope, round(regr_intercept(ln(execution_time_ms), ln(database_size * num_items)), 6) as intercept from good", lambda r: rounded(reports.line_fit(r, F.ln(F.col("database_size") * F.col("num_items")), F.ln("execution_time_ms")), 6))

@@ -173,7 +173,7 @@ class Counted:
         self.given, self.counts, self.seen = rows, [c.alias(n) for n, c in counts.items()], Observation()
         self.rows = rows.observe(self.seen, *self.counts)
 
-    def get(self) -> dict[str, int]:
+    def get(self) -> dict:
         try:
             found = self.seen.get
         except Py4JJavaError:  # rows that come to nothing are dropped from the plan, and the counts with them
@@ -289,9 +289,13 @@ def mine_settings(
                 if not parts:
                     break
                 sums = reduce(DataFrame.unionByName, parts)
-                may_grow = needed(least(), "ub")
-                ends = [F.percentile_approx(F.when(may_grow, F.col("ub")), F.array(*[F.lit(q) for q in BATCH_SHARES])).alias("ends")]
-                left, cuts = sums.agg(F.count_if(may_grow), *ends).first()
+                # Survivors are written, so the next level's plan begins with a table and not with all levels before.
+                alive = sums.where(needed(least(), "ub")).select("items", "ep", "ub")
+                ends = F.percentile_approx("ub", F.array(*[F.lit(q) for q in BATCH_SHARES]))
+                told = Counted(alive, left=F.count("*"), ends=ends)
+                keep = stash(told.rows, f"alive-{size}")
+                written.append(keep.stash_path)
+                left, cuts = (told.get()[c] for c in ("left", "ends"))
             likely = counts["candidates"] - counts["ep_pruned"]
             row = {"level": size, **counts, "ub_pruned": likely - left, "survivors": left, "batches": ran, "peak_memory_mb": meter.peak_memory_mb}
             for m, t in zip(out, thresholds, strict=True):
@@ -307,7 +311,6 @@ def mine_settings(
                 tails = hold(with_pairs(tails, able))
                 level = grown(first_level(tails), items.select(F.array("item").alias("items")))
             size += 1
-            keep = sums.where(may_grow).select("items", "ep", "ub")
             batches = _batches(keep, left, cuts)
             if size % CUT_EVERY == 0:
                 level = stash(level, f"level-{size - 1}")

@@ -214,5 +214,5 @@ def test_nothing_is_left_behind(spark):
     at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}")
     fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-    assert not [n for n in names if n.startswith("level-")]
+    assert not [n for n in names if n.startswith(("level-", "alive-"))]
     assert not spark._jsparkSession.sharedState().cacheManager().cachedData().mkString("").count("t_rem")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyrift.functions.measures import EPSILON, existential_probability, expected_utility, upper_bound
 from tallyrift.operators import encode
+from tallyrift.plans import dense
 from tallyrift.plans.metering import Meter
 from tallyrift.sources.shared import remove, stash
 
@@ -59,7 +60,7 @@ class Mined:
         """A row for each level: itemsets generated, their occurrences, what was pruned and why, and the memory at the peak.
 
         rtwu_pruned and pair_pruned count ways to grow an occurrence that an item's or a pair's bound ruled out; ep_pruned
-        and ub_pruned count itemsets. In a search shared by several settings all counts but the threshold are of the search.
+        and ub_pruned count itemsets. Levels by columns don't count the former. In a search shared by several settings all counts but the threshold are of the search.
         """
         names = [c.split(" ")[0] for c in STATS.split(", ")]
         return spark.createDataFrame([tuple(x[n] for n in names) for x in self.levels], STATS)
@@ -203,20 +204,21 @@ def leading(rows: DataFrame, least: dict[float, float], k: int) -> dict[float, l
 
 def mine(
     transactions: DataFrame, profits: DataFrame, k: int, min_pro: float, max_len: int | None = None, unpriced: str = "exclude",
-    min_support: float = 0.0, weighted: bool = True, pairs: bool = False, on_level: Callable[[dict], None] | None = None,
+    min_support: float = 0.0, weighted: bool = True, pairs: bool = False, on_level: Callable[[dict], None] | None = None, columns: bool | None = None,
 ) -> Mined:
     """The k itemsets of the largest expected utility, at least zero, whose existential probability is at least ``min_pro``.
 
     ``weighted``: rank items by the tighter bound; ``pairs``: an itemset grows only by items that make a promising pair with
-    each of its own. Neither changes the result. ``min_support``: drop items of less expected support (this does).
+    each of its own; ``columns``: levels by columns (``dense``) as far as their itemsets can be sent to all tasks, None: where that costs
+    less. None of these changes the result. ``min_support``: drop items of less expected support (this does).
     A transaction that has an item twice is an error. ``on_level`` is told of each level when it is done.
     """
-    return mine_settings(transactions, profits, [(k, min_pro)], max_len, unpriced, min_support, weighted, pairs, on_level)[0]
+    return mine_settings(transactions, profits, [(k, min_pro)], max_len, unpriced, min_support, weighted, pairs, on_level, columns)[0]
 
 
 def mine_settings(
     transactions: DataFrame, profits: DataFrame, settings: list[Setting], max_len: int | None = None, unpriced: str = "exclude",
-    min_support: float = 0.0, weighted: bool = True, pairs: bool = False, on_level: Callable[[dict], None] | None = None,
+    min_support: float = 0.0, weighted: bool = True, pairs: bool = False, on_level: Callable[[dict], None] | None = None, columns: bool | None = None,
 ) -> list[Mined]:
     """What ``mine`` finds for each (k, min_pro) of ``settings``, by one search over the transactions."""
     if not settings or any(k < 1 for k, _ in settings):
@@ -259,6 +261,8 @@ def mine_settings(
         tails = hold(encode.as_tails(ranked, "bound", "item"))
         best = [[] for _ in settings]
         level, size, sums = first_level(tails), 1, None
+        grew: list[DataFrame] = []  # the survivors of each level
+        by_columns, shape, order = False, (0, 0, 0.0), []
         batches: list[tuple[DataFrame | None, float | None]] = [(None, None)]
         while True:
             parts, counts, ran = [], {"candidates": 0, "occurrences": 0, "rtwu_pruned": 0, "pair_pruned": 0, "ep_pruned": 0}, 0
@@ -269,33 +273,38 @@ def mine_settings(
                     if reach is not None and reach < lowest - SLACK:
                         break  # no itemset of this batch or a later one grows into what is needed
                     rows, seen = level, None
-                    if keep is not None:
+                    if by_columns:
+                        few = keep.where(needed(least(), "ub")).select("items").collect()  # itemsets that fit a broadcast
+                        part = hold(dense.measured(tails, [r["items"] for r in few], order, lowest - SLACK))
+                    elif keep is not None:
                         few = keep.where(needed(least(), "ub")).select("items")
                         in_row = _fits(spark, keep.expected, size)
                         rows = extended(with_lists(level, tails), F.broadcast(few)) if in_row else extended_by_join(level, few, tails)
                         able, fits = F.col("able"), F.col("bound") >= lowest - SLACK
                         seen = Counted(rows.select(*NARROW, "bound", "able"), rtwu_pruned=F.count_if(able & ~fits), pair_pruned=F.count_if(~able))
                         rows = rows.where(able & fits).drop("bound", "able")
-                    wide.append(rows)
-                    part = hold(measured(rows.select(*NARROW) if seen is None else seen.rows.where(able & fits)))
+                    if not by_columns:
+                        wide.append(rows)
+                        part = hold(measured(rows.select(*NARROW) if seen is None else seen.rows.where(able & fits)))
                     likely = F.col("ep") >= min(least()) - EPSILON
-                    said = Counted(part, candidates=F.count("*"), ep_pruned=F.count_if(~likely), occurrences=F.sum("n"))
+                    said = Counted(part, candidates=F.count("*"), ep_pruned=F.count_if(~likely), occurrences=F.sum("n"), widest=F.max("n"))
                     learn(said.rows)
                     parts.append(part)
                     for x in (said, *([seen] if seen else [])):
                         for name, n in x.get().items():
-                            counts[name] += n
+                            counts[name] = counts.get(name, 0) + n
                     ran += 1
                 if not parts:
                     break
                 sums = reduce(DataFrame.unionByName, parts)
                 # Survivors are written, so the next level's plan begins with a table and not with all levels before.
-                alive = sums.where(needed(least(), "ub")).select("items", "ep", "ub")
+                alive = sums.where(needed(least(), "ub")).select("items", "ep", "ub", "n")
                 ends = F.percentile_approx("ub", F.array(*[F.lit(q) for q in BATCH_SHARES]))
-                told = Counted(alive, left=F.count("*"), ends=ends)
+                told = Counted(alive, left=F.count("*"), ends=ends, met=F.sum("n"))
                 keep = stash(told.rows, f"alive-{size}")
                 written.append(keep.stash_path)
-                left, cuts = (told.get()[c] for c in ("left", "ends"))
+                left, cuts, met = (told.get()[c] for c in ("left", "ends", "met"))
+                widest = counts.pop("widest", 0)
             likely = counts["candidates"] - counts["ep_pruned"]
             row = {"level": size, **counts, "ub_pruned": likely - left, "survivors": left, "batches": ran, "peak_memory_mb": meter.peak_memory_mb}
             for m, t in zip(out, thresholds, strict=True):
@@ -304,7 +313,24 @@ def mine_settings(
                 on_level({**row, "threshold": min(thresholds)})
             if not left or size == max_len:
                 break
-            level = united(wide)
+            grew.append(keep)
+            if size == 1:
+                # There are at least as many transactions as the most frequent item has; they are counted if that few would do.
+                shape = (widest, counts["candidates"], counts["occurrences"] / max(widest, 1))
+            was, fits = by_columns, _fits(spark, left, size)
+            may = not pairs and fits and columns is not False and shape[1] <= dense.MOST_ITEMS
+            if may and not was and columns is None and size == 1 and dense.pays(shape[0], left, met, shape[1], shape[2]):
+                transactions = tails.count()
+                shape = (transactions, shape[1], out[0].levels[0]["occurrences"] / max(transactions, 1))
+            by_columns = may and (bool(columns) or was or dense.pays(shape[0], left, met, shape[1], shape[2]))
+            if by_columns and not order:
+                order = [tuple(r) for r in usable.select("item", by).orderBy(by, "item").collect()]  # MOST_ITEMS rows at most
+            if by_columns:
+                level = None
+            elif was:
+                level = reduce(grown, grew[:-1], first_level(tails))
+            else:
+                level = united(wide)
             if pairs and size == 2:
                 # From triples on, both new pairs of an itemset must be able as well; itemsets are the same, so the level is made anew with its places.
                 able = sums.where(needed(least(), "pair"))
@@ -312,7 +338,7 @@ def mine_settings(
                 level = grown(first_level(tails), items.select(F.array("item").alias("items")))
             size += 1
             batches = _batches(keep, left, cuts)
-            if size % CUT_EVERY == 0:
+            if size % CUT_EVERY == 0 and level is not None:
                 level = stash(level, f"level-{size - 1}")
                 written.append(level.stash_path)
         for m, rows, t in zip(out, best, thresholds, strict=True):

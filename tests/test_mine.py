@@ -7,6 +7,7 @@ from helpers import brute
 from pyspark.sql import functions as F
 
 from tallyrift.operators import encode
+from tallyrift.plans import dense
 from tallyrift.plans import mine as search
 from tallyrift.plans.mine import mine, mine_settings
 
@@ -216,3 +217,31 @@ def test_nothing_is_left_behind(spark):
     names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
     assert not [n for n in names if n.startswith(("level-", "alive-"))]
     assert not spark._jsparkSession.sharedState().cacheManager().cachedData().mkString("").count("t_rem")
+
+
+@pytest.mark.parametrize("min_pro", [0.0, 0.3])
+def test_columns_give_the_same(spark, monkeypatch, min_pro):
+    monkeypatch.setattr(dense, "CLASS", 2)
+    monkeypatch.setattr(dense, "BLOCK_CELLS", 64)
+    rows, profits = many(11, 60, 8, 7)
+    check(run(spark, rows, profits, 25, min_pro, columns=True), brute(rows, profits, 25, min_pro))
+    # Too many survivors for a broadcast from some level on: back to rows.
+    limit, calls = search._fits, []
+    monkeypatch.setattr(search, "_fits", lambda s, n, size: calls.append(size) or (limit(s, n, size) and size != 2))
+    check(run(spark, rows, profits, 25, min_pro, columns=True), brute(rows, profits, 25, min_pro))
+    assert 3 in calls
+
+
+def test_columns_are_chosen_where_data_is_dense(spark, monkeypatch):
+    asked = []
+    real = dense.measured
+    monkeypatch.setattr(dense, "measured", lambda *a: asked.append(len(a[1])) or real(*a))
+    rows = [(t, i, 1 + (t * i) % 4, 0.9) for t in range(40) for i in range(1, 8) if (t + i) % 6]
+    profits = {i: float(i - 2) for i in range(1, 8)}
+    found = run(spark, rows, profits, 15, 0.1)
+    assert asked
+    check(found, brute(rows, profits, 15, 0.1))
+    asked.clear()
+    sparse, some = many(13, 60, 40, 2)
+    check(run(spark, sparse, some, 15, 0.1), brute(sparse, some, 15, 0.1))
+    assert not asked and dense.pays(1000, 50, 40000, 75, 37.0) and not dense.pays(1000, 50, 400, 4000, 8.0) and not dense.pays(10, 1, 10, 5000, 5000.0)

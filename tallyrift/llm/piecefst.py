@@ -279,10 +279,10 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``id_col``, ids (if wanted), n_ids, n_bytes (ids of the byte fallback), ids_crc32, round_trip for each row.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """``id_col``, n_ids, n_bytes (ids of the byte fallback), ids_crc32, round_trip, and if wanted ids and decoded for each row.
 
-    round_trip: whether decoding the ids gives the text back; blanks written as U+2581 come back as blanks.
+    decoded: the text that the ids give back; round_trip: whether that is the row's own text; blanks written as U+2581 come back as blanks.
     """
     kind = next(t for n, t in docs.dtypes if n == id_col)
 
@@ -292,24 +292,30 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids, n, fell, crc, same = [], [], [], [], []
+                ids, n, fell, crc, same, back = [], [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     raw = fst.encode(text)
                     own = np.frombuffer(raw, "<u4")
                     n.append(len(own))
                     fell.append(int(((own >= low[0]) & (own <= low[-1])).sum()))
                     crc.append(zlib.crc32(raw))
-                    same.append(fst.decode(own.tolist()) == (text or "").replace(BLANK, " "))
+                    decoded = fst.decode(own.tolist())
+                    same.append(decoded == (text or "").replace(BLANK, " "))
                     if with_ids:
                         ids.append(own.astype(np.int64))
+                    if with_text:
+                        back.append(decoded)
                 cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(fell, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
                 names = [id_col, "n_ids", "n_bytes", "ids_crc32", "round_trip"]
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int64())))
                     names.append("ids")
+                if with_text:
+                    cols.append(pa.array(back, pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"`{id_col}` {kind}, n_ids bigint, n_bytes bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<bigint>" * with_ids
+    schema = f"`{id_col}` {kind}, n_ids bigint, n_bytes bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<bigint>" * with_ids + ", decoded string" * with_text
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 

@@ -117,7 +117,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piecefst.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return piecefst.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_text=True)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

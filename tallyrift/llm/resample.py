@@ -185,10 +185,13 @@ def scored(docs: DataFrame, gain: list[int], seed: int, keep: tuple[str, ...], t
             found = n + pairs
             weight = np.floor_divide(total, np.maximum(found, 1))
             columns = [b.column(i + 1).cast(t) for i, t in enumerate(types)]
-            yield pa.record_batch([*columns, pa.array(n), pa.array(found), pa.array(weight)], names=[*keep, "n_words", "n_features", "weight"])
+            yield pa.record_batch([*columns, pa.array(n), pa.array(found), pa.array(weight)], names=[*plain, "n_words", "n_features", "weight"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "n_words long, n_features long, weight long"])
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), *[F.col(f"`{c}`") for c in keep]).mapInArrow(own, schema)
+    # Names with a dot don't pass through mapInArrow, so columns go by number there.
+    plain = [f"c{i}" for i in range(len(keep))]
+    schema = ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, kept, strict=True)], "n_words long, n_features long, weight long"])
+    sent = [F.col(f"`{c}`").alias(n) for n, c in zip(plain, keep, strict=True)]
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *sent).mapInArrow(own, schema).toDF(*keep, "n_words", "n_features", "weight")
     return rows.withColumn("score", (F.col("weight") + gumbel(keep[0], seed)).cast("long"))
 
 
@@ -238,11 +241,15 @@ def merge(slices: list[tuple[np.ndarray, list[tuple]]], count: int) -> list[int]
 
 def drawn(rows: DataFrame, share: int, eligible: Column, order: tuple[str, str] = ("score", "doc_id")) -> DataFrame:
     """``rows`` with rank: from 1 by falling ``order[0]``, then ``order[1]`` (a number), for ``share`` hundredths of the eligible ones; null for all others."""
-    spark = rows.sparkSession
-    score, ident = (F.col(f"`{c}`") for c in order)
+    spark, given = rows.sparkSession, rows.columns
+    # Names with a dot don't pass through applyInArrow, so columns go by number there.
+    rows = rows.withColumn("_may", F.coalesce(eligible, F.lit(False))).toDF(*[f"c{i}" for i in range(len(given))], "_may")
+    order = tuple(f"c{given.index(c)}" for c in order)
+    score, ident = (F.col(c) for c in order)
     by = [score.desc(), ident.asc_nulls_last()]
-    cols = [F.col(f"`{c}`") for c in rows.columns]
-    own = rows.withColumn("_run", F.spark_partition_id()).withColumn("_may", F.coalesce(eligible, F.lit(False)))
+    own = rows.withColumn("_run", F.spark_partition_id())
+    rows = rows.drop("_may")
+    cols = [F.col(c) for c in rows.columns]
     runs = stash(own.sortWithinPartitions(F.col("_may").desc(), *by).withColumn("_place", F.monotonically_increasing_id()), "runs")
     able = runs.where("_may")
     total = able.count()
@@ -278,7 +285,7 @@ def drawn(rows: DataFrame, share: int, eligible: Column, order: tuple[str, str]
     none = F.lit(None).cast("long").alias("rank")
     first = met.where("_take > 0").groupBy("_range").applyInArrow(merged, schema)
     rest = met.where("_take = 0").select(*cols, none)
-    return first.unionByName(rest).unionByName(runs.where("not _may").select(*cols, none))
+    return first.unionByName(rest).unionByName(runs.where("not _may").select(*cols, none)).toDF(*given, "rank")
 
 
 def resample(

@@ -86,6 +86,12 @@ def shard_rows(
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The rows of ``docs`` by shard, a folder each; every shard fits the limit, so it is one task's work."""
-    out = docs.join(sharded.select(key, "shard_id"), key).withColumn("shard_id", F.concat(F.lit("b"), F.col("shard_id")))
+    """The rows of ``docs`` by shard, a folder each; every shard fits the limit, so it is one task's work.
+
+    A shard is looked up by the hash of the key, each hash once: rows that repeat a key stay as many as they are,
+    in the same shard, and rows without a key have a hash as well.
+    """
+    of = F.xxhash64(F.col(f"`{key}`")).alias("__hash")
+    known = sharded.select(of, F.concat(F.lit("b"), "shard_id").alias("shard_id")).distinct()
+    out = docs.withColumn("__hash", of).join(known, "__hash").drop("__hash")
     out.repartition("shard_id").write.partitionBy("shard_id").parquet(path)

@@ -407,7 +407,10 @@ def toxicity_scores(
                     score.append(at.score(rows, cos))
                     near.append([at.ids[i] for i in rows[:3]])
                 cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(named))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
+                yield pa.RecordBatch.from_arrays(cols, [*plain[: len(keep)], "score", "evidence"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{names[0]}` double, `{names[1]}` array<{kinds[id_col]}>"
-    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(judge, schema)
+    # Names with a dot don't pass through mapInArrow, so columns go by number there.
+    plain = [f"c{i}" for i in range(len(sent))]
+    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(plain, keep)) + f", score double, evidence array<{kinds[id_col]}>"
+    found = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(plain, sent, strict=True)]).mapInArrow(judge, schema)
+    return found.toDF(*keep, *names)

@@ -186,12 +186,15 @@ def whiten(vectors: DataFrame, w: Whitening, k: int) -> DataFrame:
             white = _white(x, w, k) if k else np.zeros((len(x), 0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(white.ravel()))
             columns = [b.column(i + 1).cast(types.field(i).type) for i in range(len(kept))]
-            yield pa.record_batch([*columns, pa.array(deviations(x, w.count, w.sums), pa.int64()), lists], names=[*types.names, "deviation", "whitened"])
+            yield pa.record_batch([*columns, pa.array(deviations(x, w.count, w.sums), pa.int64()), lists], names=[*plain, "deviation", "whitened"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "deviation long, whitened array<double>"])
+    # Names with a dot don't pass through mapInArrow, so columns go by number there.
+    plain = [f"c{i}" for i in range(len(kept))]
+    schema = ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, kept, strict=True)], "deviation long, whitened array<double>"])
     if not w.count:
         return vectors.drop("x").selectExpr("*", "cast(null as long) as deviation", "cast(array() as array<double>) as whitened").limit(0)
-    return vectors.select("x", *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(made, schema)
+    sent = vectors.select("x", *[F.col(f"`{f.name}`").alias(n) for n, f in zip(plain, kept, strict=True)])
+    return sent.mapInArrow(made, schema).toDF(*types.names, "deviation", "whitened")
 
 
 def whitened(rows: DataFrame, k: int = 32, vec_col: str = "embedding", keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:

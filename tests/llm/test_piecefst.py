@@ -97,3 +97,15 @@ def test_odd_ids_and_repeated_rows(docs_of, tokenizer, spark):
     assert got[0] == got[1]
     odd = spark.createDataFrame([(1, [None, -1, 10**9, got[0].ids[0]]), (2, None)], "doc_id long, ids array<long>")
     assert {r.doc_id: r.text for r in piecefst.decode(odd, path).collect()} == {1: "a", 2: ""}
+
+
+def test_query_returns_ids_and_text(spark):
+    from tallyrift.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    found = {r.doc_id: r for r in registry.op8_sentencepiece(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert found.keys() == texts.keys()
+    for i, r in found.items():
+        assert len(r.ids) == r.n_ids and r.round_trip == (r.decoded == (texts[i] or "").replace("\u2581", " "))
+    assert sum(r.round_trip for r in found.values()) > 0.9 * len(found)

@@ -25,3 +25,31 @@ def test_stages(spark, tmp_path):
     assert masked[5].text == clean[5] and masked[103].text is None
     assert {r.doc_id for r in seen[3].collect()} == set(masked)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[3].count()
+
+
+ODD = "doc_id long, text string, `a.b` string, v string, score double, entities string, cls long"
+
+
+def odd(spark, path, texts, ids=None):
+    rows = [(i, t, "x", "v", 1.0, "e", 7) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    spark.createDataFrame(rows, ODD).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    return spark.read.parquet(str(path / "documents.parquet"))
+
+
+def test_odd_rows_and_names(spark, tmp_path):
+    same = "one two three four five six seven eight nine ten"
+    docs = odd(spark, tmp_path, [same, same, same + " eleven", "other words in here that nobody else has said", None, None, ""], [1, 1, 2, 3, None, None, 4])
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in step.collect()), key=str)
+    assert kept == sorted([(1, same), (3, "other words in here that nobody else has said"), (4, ""), (None, None), (None, None)], key=str)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted((i for i, _ in kept), key=str)
+
+
+def test_empty_table(spark, tmp_path):
+    odd(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -97,3 +97,9 @@ def test_query_is_the_slow_one(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     target = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert got(registry.op11_importance_resampling(spark, sf)) == slow(docs, target)
+
+
+def test_names_with_dots(spark, docs_of):
+    docs = docs_of(["a b c " * 9] * 8).withColumnRenamed("v", "a.b")
+    found = resample.resample(docs, docs, keep=("doc_id", "a.b")).collect()
+    assert len(found) == 8 and {r["a.b"] for r in found} == {"x"} and sorted(r["rank"] for r in found if r["rank"]) == [1, 2]

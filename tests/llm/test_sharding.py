@@ -64,3 +64,11 @@ def test_written(docs_of, tmp_path, spark):
     docs = docs_of(["x" * 50 for _ in range(40)])
     write_shards(docs, shard_rows(docs, 400), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_written_rows_are_the_rows_given(docs_of, tmp_path, spark):
+    docs = docs_of([f"{i}" * 40 for i in range(30)], [*range(24), 5, 5, 5, None, None, 23])
+    write_shards(docs, shard_rows(docs, 300), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, (r.text for r in back.collect()))) == sorted(map(str, (r.text for r in docs.collect())))
+    assert back.where("doc_id is null").count() == 2 and back.where("doc_id = 5").select("shard_id").distinct().count() == 1

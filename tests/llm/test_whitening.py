@@ -68,6 +68,11 @@ def test_without_variance(spark):
     assert len(few) == 2 and {abs(round(r.whitened, 9)) for r in few} == {1.0}
 
 
+def test_names_with_dots(spark):
+    named = rows(spark, [[1.0, 2.0], [2.0, 1.0]]).withColumnRenamed("x", "a.b")
+    assert {r["a.b"] for r in whitening.whitened(named, 1, keep=("vec_id", "a.b")).collect()} == {"x"}
+
+
 def test_deviations_beyond_long():
     x = np.array([[2**40, 0], [0, 0]], np.int64)
     assert whitening.deviations(x, 2, [2**40, 0]) == [None, None]

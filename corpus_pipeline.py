@@ -10,7 +10,7 @@ along; names of columns that stages add begin with ``__pipeline_``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.llm import jaccardjoin, packing, pii, toxicity
@@ -21,22 +21,27 @@ from tallyrift.llm.registry import TOXIC_FROM, table, tokenizer_path, toxic_trai
 ORACLE_SQL = None
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """All columns, also those with a dot in their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is below ``TOXIC_FROM``; texts without words have the score of such examples and stay."""
     scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), toxic_trains(), keep=tuple(docs.columns), names=("__pipeline_score", "__pipeline_evidence"))
-    return scored.where(F.col("__pipeline_score") < TOXIC_FROM).select(*docs.columns)
+    return scored.where(F.col("__pipeline_score") < TOXIC_FROM).select(*_columns(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one of the smallest id; texts without words all stay, of rows with the same id and text one."""
-    return jaccardjoin.one_of_each(docs).select(*docs.columns)
+    return jaccardjoin.one_of_each(docs).select(*_columns(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked by its kind, n_chars counted anew; a null text stays null, of 0 characters."""
     found = pii.find_pii(docs, id_cols=tuple(docs.columns), name="__pipeline_entities")
     text = pii.masked(F.col("text"), F.col("__pipeline_entities"))
-    return found.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
+    return found.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 
 WORD = re.compile(r"\w+")
 #: Characters of the words whose hashes a Python worker keeps between tasks, at most, and of the longest of them.
-WORDS_CHARS, LONGEST = 16_000_000, 64
+WORDS_CHARS, LONGEST = 5_000_000, 64
 
 
 class _Known(dict):

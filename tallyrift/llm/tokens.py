@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-WORDS_CHARS, LONGEST = 8_000_000, 64
+WORDS_CHARS, LONGEST = 3_000_000, 64
 #: What the tokenizer file must say for its words to be told apart by ``WORD``.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 STARTS = (4,)
 #: Characters of the words that a Python worker remembers, and of the longest of them.
-KNOWN_CHARS, LONGEST = 3_000_000, 64
+KNOWN_CHARS, LONGEST = 2_000_000, 64
 #: Characters of the texts that are matched at once.
 BATCH = 1_000_000
 #: Terms that so large a share of the examples has become rows of a matrix where they are searched.

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyrift.plans.mine import mine
-from tallyrift.sources import results, tables, text
+from tallyrift.sources import results, shared, tables, text
 
 
 def main(args: list[str] | None = None) -> list[str]:
@@ -30,6 +30,7 @@ def main(args: list[str] | None = None) -> list[str]:
     if given.out:
         results.save(mined.frame(spark), given.out)
     tx.unpersist()
+    shared.clear(spark)
     return out
 
 

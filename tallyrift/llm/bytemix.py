@@ -8,8 +8,9 @@ context, by a key of 60 bits (``keys``); the counts of the bits are sums over th
 the code tree (``answers``). Any number of keys may be counted, as no table has a fixed size. A predictor
 speaks by the logarithm of its odds, gated by its evidence: few counts say little, none are silent.
 Weights add these up. There is a set of weights for each place in a word (``gates``), and the set in use is
-refined after each byte of a text by its error. The weights start anew every ``SEGMENT`` bytes, so that
-the parts of long texts go forward side by side; what the contexts see goes across these starts.
+refined along the whole text by its errors: after each byte at first, and then after stretches that grow as
+the text does (``stretches``), as weights that have seen much change little. The rule goes by the place in the
+text alone, and a text of n bytes takes some ``EACH`` * (1 + ln(n / EACH)) refinements.
 """
 
 from __future__ import annotations
@@ -26,12 +27,17 @@ EDGE = 255
 #: The contexts' weights at each start: last three bytes, word so far, last four.
 FIRST = np.array([0.2, 0.5, 0.45], np.float32)
 RATE = 0.02
-SEGMENT = 4096
+#: Weights are refined after each of so many bytes, then after stretches of one byte more for every EACH bytes before.
+EACH = 128
+#: A stretch moves the weights as this many of its bytes would, at most.
+MOST = 16
 #: Sets of weights: after so many bytes of a word, or more.
 GATES = 4
 ORDERS, KEY_BITS = 3, 60
 #: What predictors say is kept in so many steps to the unit.
 STEPS = 8
+#: Keys that are answered at once.
+ANSWERED = 1 << 17
 #: Bytes whose predictors are looked up at once.
 WINDOW = 20_000
 BLANK = np.zeros(256, bool)
@@ -225,24 +231,43 @@ def distinct(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 class KeyCounts:
-    """The keys of all texts given, and how often each came in those that are trained on."""
+    """The keys of all texts given, and how often each came in those that are trained on.
+
+    Runs of keys are sorted and counted as soon as they have ``RUN`` bytes, so few are held as they came.
+    """
+
+    RUN = 1 << 20
 
     def __init__(self) -> None:
         self.waiting: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+        self.counted: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDERS)]
+        self.held = 0
 
     def add(self, texts: list[bytes], trains: np.ndarray) -> None:
         data, sizes = joined(texts)
         flags = np.repeat(trains.astype(np.int64), sizes)
         for k, key in enumerate(keys(data, sizes)):
             self.waiting[k].append(key << 1 | flags)
+        self.held += len(data)
+        if self.held >= self.RUN:
+            for k in range(ORDERS):
+                self._count(k)
+            self.held = 0
 
-    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys in order and their counts; what was gathered for them is dropped."""
+    def _count(self, k: int) -> None:
         key = np.concatenate([np.zeros(0, np.int64), *self.waiting[k]])
         self.waiting[k] = []
-        key.sort()
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])) if len(key) else np.zeros(0, np.int64)
-        return key[starts] >> 1, np.add.reduceat(key & 1, starts) if len(key) else key
+        if len(key):
+            key.sort()
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1]))
+            self.counted[k].append((key[starts] >> 1, np.add.reduceat(key & 1, starts)))
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys in order and their counts; what was gathered for them is dropped."""
+        self._count(k)
+        runs, self.counted[k] = self.counted[k], []
+        none = np.zeros(0, np.int64)
+        return distinct(*(np.concatenate([none, *c]) for c in zip(*runs, strict=True))) if runs else (none, none)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -257,13 +282,23 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
 
 def answers(code: Code, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For distinct keys in order, with whole contexts: where each key's bits start, how many there are, and what is said of all bits, in steps."""
-    size, at = code.paths(key >> 8 & 0xFFFF, key & 0xFF)
-    context = np.cumsum(np.concatenate([[0], key[1:] >> 8 != key[:-1] >> 8])) if len(key) else key
-    node, where = np.unique(np.repeat(context, size) * 512 + code.nodes[at], return_inverse=True)
-    many = np.repeat(count, size)
-    n = np.bincount(where, many, len(node))
-    ones = np.bincount(where, many * code.bits[at], len(node))
-    return np.cumsum(size) - size, size, np.rint(opinions(n, ones) * STEPS).clip(-127, 127).astype(np.int8)[where]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] >> 8 != key[:-1] >> 8])) if len(key) else key
+    sizes, every = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+    # Whole contexts, some ``ANSWERED`` keys at a time: bits take many times the room of keys.
+    at = np.unique(np.searchsorted(first, np.arange(0, len(key), ANSWERED)))
+    cuts = first[at[at < len(first)]]
+    for lo, hi in zip(cuts, [*cuts[1:], len(key)], strict=True):
+        own, times = key[lo:hi], count[lo:hi]
+        size, at = code.paths(own >> 8 & 0xFFFF, own & 0xFF)
+        context = np.cumsum(np.concatenate([[0], own[1:] >> 8 != own[:-1] >> 8]))
+        node, where = np.unique(np.repeat(context, size) * 512 + code.nodes[at], return_inverse=True)
+        many = np.repeat(times, size)
+        n = np.bincount(where, many, len(node))
+        ones = np.bincount(where, many * code.bits[at], len(node))
+        sizes.append(size)
+        every.append(np.rint(opinions(n, ones) * STEPS).clip(-127, 127).astype(np.int8)[where])
+    size = np.concatenate(sizes)
+    return np.cumsum(size) - size, size, np.concatenate(every)
 
 
 class Places:
@@ -353,58 +388,66 @@ def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
+def stretches(most: int) -> np.ndarray:
+    """Where the weights' refinements lie in a text of ``most`` bytes: 0, the end of each stretch, ``most``."""
+    out, at = [0], 0
+    while at < most:
+        at = min(most, at + max(1, at // EACH))
+        out.append(at)
+    return np.array(out)
+
+
 def score(code: Code, model: Known, texts: list[bytes]) -> np.ndarray:
     """The natural logarithm of each text's probability, its end included. ``model`` is about these texts.
 
-    Segments of all texts go forward together, byte by byte; each one's weights follow its own errors.
+    All texts go forward together, stretch by stretch; each one's weights follow its own errors.
     """
     data, sizes = joined(texts)
     if not len(data):
         return np.zeros(0)
-    parts = -(-sizes // SEGMENT)
-    text = np.repeat(np.arange(len(sizes)), parts)
-    begin = np.cumsum(sizes) - sizes
-    offset = flat(np.zeros(len(parts), np.int64), parts) * SEGMENT
-    long = np.minimum(sizes[text] - offset, SEGMENT)
-    order = np.argsort(-long, kind="stable")
-    text, long, start = text[order], long[order], (begin[text] + offset)[order]
+    order = np.argsort(-sizes, kind="stable")
+    long, start = sizes[order], (np.cumsum(sizes) - sizes)[order]
     n = len(long)
-    active = n - np.searchsorted(long[::-1], np.arange(long[0]), "right")  # segments with a byte at each step
+    edges = stretches(int(long[0]))
+    active = n - np.searchsorted(long[::-1], edges[:-1], "right")  # texts with a byte in each stretch
     total = np.zeros(n)
     weights = np.repeat(FIRST[:, None], n * GATES, 1)
     gate = gates(data)
     before = before_two(data, sizes)
-    ends = np.cumsum(active)
-    at = 0
-    while at < long[0]:
-        till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOW, "right")))
+    upto = np.concatenate([[0], np.cumsum(long[::-1])])  # bytes of the shortest texts
+    ends = upto[n - active] + active * edges[:-1]  # bytes of all texts before each stretch
+    at, last = 0, len(edges) - 1
+    while at < last:
+        till = min(last, max(at + 1, int(np.searchsorted(ends, ends[at] + WINDOW, "right")) - 1))
         many = active[at:till]
         who = flat(np.zeros(len(many), np.int64), many)
-        row = start[who] + np.repeat(np.arange(at, till), many)
+        first, stop = np.repeat(edges[at:till], many), np.repeat(edges[at + 1 : till + 1], many)
+        count = np.minimum(long[who], stop) - first
+        row = flat(start[who] + first, count)
+        text = np.repeat(who, count)
         size, path = code.paths(before[row], data[row])
-        stop = np.cumsum(size)
-        said = model.said(row, size, stop)
+        bits = np.cumsum(size)
+        said = model.said(row, size, bits)
         said *= (1 - 2 * code.bits[path]).astype(np.float32)  # of the other bit against the one that came
-        mine = who * GATES + gate[row]
-        of_bit = np.repeat(mine, size)
-        first = stop - size
+        of_bit = np.repeat(text * GATES + gate[row], size)
         wrong = np.empty(len(of_bit), np.float32)
-        sums = np.zeros((len(said), len(of_bit) + 1))
-        lo = 0
-        for a in many.tolist():
-            hi = lo + a
-            b, e = first[lo], stop[hi - 1]
-            own = said[:, b:e]
-            odds = np.einsum("ij,ij->j", weights.take(of_bit[b:e], 1), own)
+        # Where each stretch's bits end.
+        cuts = bits[np.cumsum(count)[np.cumsum(many) - 1] - 1].tolist()
+        b = 0
+        for a, e, width in zip((many * GATES).tolist(), cuts, np.diff(edges[at : till + 1]).tolist(), strict=True):
+            own, mine = said[:, b:e], of_bit[b:e]
+            odds = np.einsum("ij,ij->j", weights.take(mine, 1), own)
             np.minimum(np.maximum(odds, -11, out=odds), 11, out=odds)
             np.exp(odds, out=odds)
             wrong[b:e] = odds
             odds /= 1 + odds
             own *= odds
-            sums[:, 1 : e - b + 1] = own
-            np.cumsum(sums[:, : e - b + 1], 1, out=sums[:, : e - b + 1])
-            weights[:, mine[lo:hi]] -= RATE * (sums[:, stop[lo:hi] - b] - sums[:, first[lo:hi] - b])
-            lo = hi
-        total -= np.bincount(who, np.add.reduceat(np.log1p(wrong), first, dtype=np.float64), n)
+            rate = RATE * min(1, MOST / width)
+            for w, o in zip(weights, own, strict=True):
+                w[:a] -= rate * np.bincount(mine, o, a)
+            b = e
+        total -= np.bincount(np.repeat(text, size), np.log1p(wrong), n)
         at = till
-    return np.bincount(text, total, len(sizes))
+    out = np.empty(n)
+    out[order] = total
+    return out

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import bytemix
 from .base import stash
 
-BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 8 << 20, 4 << 20, 64 << 20, 80_000
+BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 8 << 20, 4 << 20, 32 << 20, 80_000
 #: The kinds of packed rows besides the contexts, which are numbered from 0: a block's texts, its words, and totals.
 TEXTS, WORDS, TOTALS = -1, bytemix.ORDERS, bytemix.ORDERS + 1
 

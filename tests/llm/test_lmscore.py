@@ -79,11 +79,9 @@ def slow_score(train, text):
                 for k, c in enumerate(own):
                     seen[k, c, node] += 1
                     ones[k, c, node] += bit
-    total, weights = 0.0, None
+    total, weights = 0.0, np.repeat(bytemix.FIRST[None].astype(float), bytemix.GATES, 0)
+    step, at, width = np.zeros_like(weights), 0, 1
     for i, ((own, before, gate), byte) in enumerate(zip(contexts(text), text + b"\xff", strict=True)):
-        if i % bytemix.SEGMENT == 0:
-            weights = np.repeat(bytemix.FIRST[None].astype(float), bytemix.GATES, 0)
-        step = np.zeros(bytemix.ORDERS)
         for node, bit in bits(before, byte):
             say = []
             for k, c in enumerate(own):
@@ -92,18 +90,63 @@ def slow_score(train, text):
             say = np.array(say)
             p = 1 / (1 + math.exp(-max(-11, min(11, float(weights[gate] @ say)))))
             total += math.log(p if bit else 1 - p)
-            step += (bit - p) * say
-        weights[gate] += bytemix.RATE * step
+            step[gate] += (bit - p) * say
+        if i + 1 == at + width:  # the end of a stretch
+            weights += bytemix.RATE * min(1, bytemix.MOST / width) * step
+            step[:] = 0
+            at += width
+            width = max(1, at // bytemix.EACH)
     return total
 
 
 def test_score_equals_the_slow_model(monkeypatch):
-    monkeypatch.setattr(bytemix, "SEGMENT", 50)  # longer texts have several
+    monkeypatch.setattr(bytemix, "EACH", 20)  # so that stretches grow soon
+    monkeypatch.setattr(bytemix, "MOST", 3)
     train = [t.encode() for t in texts(120)]
     others = [b"", b"ab Cd", train[3], train[4] + b" new words \xc3\xa9 1", b"zzz zz", train[5][:51]]
+    others.append(b" ".join(train[6:12]))
+    assert np.diff(bytemix.stretches(len(others[-1]))).max() > 2 * bytemix.MOST
     assert scored(train, others) == pytest.approx([slow_score(train, t) for t in others], rel=1e-4, abs=1e-3)
 
 
+def test_stretches_go_by_the_place_alone():
+    assert bytemix.stretches(0).tolist() == [0]
+    long = bytemix.stretches(10**7)
+    assert long[-1] == 10**7 and len(long) < bytemix.EACH * (2 + math.log(10**7 / bytemix.EACH))
+    for n in (1, bytemix.EACH, 5000, 99_999):
+        own = bytemix.stretches(n)
+        assert own[-1] == n and (own[:-1] == long[: len(own) - 1]).all()
+
+
+def test_weights_are_kept_along_long_texts(monkeypatch):
+    monkeypatch.setattr(bytemix, "FIRST", np.array([0.02, 0.02, 0.02], np.float32))  # so that there is much to learn
+    train = [t.encode() for t in texts(400)]
+    whole = b" ".join(train)
+    assert len(whole) > 30_000
+    at = len(whole) // 2
+    half, every = -scored(train, [whole[:at], whole])
+    pieces = [whole[i : i + 200] for i in range(at, len(whole) - 200, 200)]
+    # What was learned serves a text to its end; its pieces, each from anew, cost more.
+    assert (every - half) / (len(whole) - at) < 0.9 * -scored(train, pieces).sum() / sum(map(len, pieces))
+
+
+def test_answers_are_the_same_in_parts(monkeypatch):
+    train = [t.encode() for t in texts(60)]
+    code = coded(train)
+    counts = bytemix.KeyCounts()
+    monkeypatch.setattr(bytemix.KeyCounts, "RUN", 500)
+    for at in lmscore._runs(train, 200):
+        counts.add(train[at], np.ones(len(train[at]), bool))
+    every, _ = known(train, [], code)
+    for k, (key, n) in enumerate(every):
+        assert all((a == b).all() for a, b in zip(counts.of(k), (key, n), strict=True))
+        whole = bytemix.answers(code, key, n)
+        monkeypatch.setattr(bytemix, "ANSWERED", 7)
+        assert all((a == b).all() for a, b in zip(bytemix.answers(code, key, n), whole, strict=True))
+        monkeypatch.undo()
+        monkeypatch.setattr(bytemix.KeyCounts, "RUN", 500)
+
+
 def test_probabilities_add_up_and_training_helps():
     train = [t.encode() for t in texts(300)]
     code = coded(train)

@@ -16,11 +16,11 @@ text alone, and a text of n bytes takes some ``EACH`` * (1 + ln(n / EACH)) refin
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 
 #: Comes before and after each text; no UTF-8 text has it.
 EDGE = 255
@@ -270,13 +270,21 @@ class KeyCounts:
         return distinct(*(np.concatenate([none, *c]) for c in zip(*runs, strict=True))) if runs else (none, none)
 
 
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def restored(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Compressed, the first bytes of all values before the second ones."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T), 1)
+    return squeezed(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpacked(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(restored(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -410,7 +418,7 @@ def score(code: Code, model: Known, texts: list[bytes]) -> np.ndarray:
     n = len(long)
     edges = stretches(int(long[0]))
     active = n - np.searchsorted(long[::-1], edges[:-1], "right")  # texts with a byte in each stretch
-    total = np.zeros(n)
+    total = np.zeros(n * GATES)
     weights = np.repeat(FIRST[:, None], n * GATES, 1)
     gate = gates(data)
     before = before_two(data, sizes)
@@ -446,8 +454,8 @@ def score(code: Code, model: Known, texts: list[bytes]) -> np.ndarray:
             for w, o in zip(weights, own, strict=True):
                 w[:a] -= rate * np.bincount(mine, o, a)
             b = e
-        total -= np.bincount(np.repeat(text, size), np.log1p(wrong), n)
+        total -= np.bincount(of_bit, np.log1p(wrong), n * GATES)
         at = till
     out = np.empty(n)
-    out[order] = total
+    out[order] = total.reshape(n, GATES).sum(1)
     return out

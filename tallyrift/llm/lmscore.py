@@ -1,11 +1,11 @@
 """Language-model scores of whole texts: a unigram base, and online logistic mixing of byte contexts.
 
 Texts are dealt into blocks of about ``BLOCK_BYTES`` where they lie, by the tasks that read them. A block
-is written once, packed: its texts, its distinct words with their counts, and for each context its distinct
-keys with theirs. Both are cut into buckets, words by a checksum and keys by their first bits. A bucket's
-counts are summed over all blocks, and what they say of each word and key comes back to the blocks
-that have it. So a word or key crosses the network twice for each block that has it, packed with its
-neighbours, and nothing is broadcast but the code.
+is written once, packed: its texts in a row, and its distinct words with their counts. For each context its
+distinct keys with theirs are found from that row. Both are cut into buckets, words by a checksum and keys by
+their first bits. A bucket's counts are summed over all blocks, and what they say of each word and key comes
+back to the blocks that have it. So a word or key crosses the network twice for each block that has it, packed
+with its neighbours, and nothing is broadcast but the code. Only packed texts and words are written as a table.
 
 The mixing model's counts are of (context, byte), by keys of 60 bits; there are as many as the training
 texts have, with no bound, as there are words. The number of buckets grows with the text, so what one
@@ -33,9 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import bytemix
 from .base import stash
 
-BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 8 << 20, 4 << 20, 32 << 20, 80_000
-#: The kinds of packed rows besides the contexts, which are numbered from 0: a block's texts, its words, and totals.
-TEXTS, WORDS, TOTALS = -1, bytemix.ORDERS, bytemix.ORDERS + 1
+BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 16 << 20, 4 << 20, 32 << 20, 80_000
+#: The kinds of packed rows besides the contexts, which are numbered from 0: a block's texts and its words.
+TEXTS, WORDS = -1, bytemix.ORDERS
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -60,11 +60,11 @@ def _runs(texts: list[bytes], most: int) -> Iterator[slice]:
 
 
 def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
-    return zlib.compress(b"".join(texts), 1), np.array([len(t) for t in texts], "<i8").tobytes()
+    return bytemix.squeezed(b"".join(texts)), np.array([len(t) for t in texts], "<i8").tobytes()
 
 
 def unpack_texts(raw: bytes, sizes: bytes) -> list[bytes]:
-    data, out, at = zlib.decompress(raw), [], 0
+    data, out, at = bytemix.restored(raw), [], 0
     for n in np.frombuffer(sizes, "<i8").tolist():
         out.append(data[at : at + n])
         at += n
@@ -73,11 +73,11 @@ def unpack_texts(raw: bytes, sizes: bytes) -> list[bytes]:
 
 def pack_words(words: list[bytes]) -> bytes:
     """Sorted words, which hold no blanks; the empty one stands for the end of a text."""
-    return zlib.compress(b" ".join(words), 1)
+    return bytemix.squeezed(b" ".join(words))
 
 
 def unpack_words(raw: bytes) -> list[bytes]:
-    return zlib.decompress(raw).split(b" ")
+    return bytemix.restored(raw).split(b" ")
 
 
 def _rows(block: int, parts: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -90,9 +90,25 @@ def _rows(block: int, parts: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def block_rows(texts: list[bytes], ids: list, trains: list[bool], cut: int) -> Iterator[tuple]:
-    """The packed rows of one block, cut into 2^cut buckets."""
-    for at in _runs(texts, 2 << 20):
-        yield (TEXTS, 0, *pack_texts(texts[at]), ids[at], trains[at])
+    """The packed texts of one block, and its words, cut into 2^cut buckets."""
+    yield (TEXTS, 0, *pack_texts(texts), ids, trains)
+    known: Counter = Counter()
+    others: set[bytes] = set()
+    # Blanks between texts keep their words apart.
+    for at in _runs(texts, 1 << 20):
+        known.update(tokens(b" ".join([t for t, f in zip(texts[at], trains[at], strict=True) if f])))
+        others.update(tokens(b" ".join([t for t, f in zip(texts[at], trains[at], strict=True) if not f])))
+    known[b""] = sum(trains)
+    buckets: list[list[bytes]] = [[] for _ in range(1 << cut)]
+    for w in sorted(others.union(known)):
+        buckets[zlib.crc32(w) & (1 << cut) - 1].append(w)
+    for i, own in enumerate(buckets):
+        if own:
+            yield WORDS, i, pack_words(own), bytemix.packed(np.array([known[w] for w in own], np.int32)), None, None
+
+
+def key_rows(texts: list[bytes], trains: list[bool], cut: int) -> Iterator[tuple]:
+    """The packed keys of one block's texts and their counts, for each context, cut into 2^cut buckets."""
     flags, seen = np.array(trains, bool), bytemix.KeyCounts()
     for at in _runs(texts, BATCH):
         seen.add(texts[at], flags[at])
@@ -102,18 +118,7 @@ def block_rows(texts: list[bytes], ids: list, trains: list[bool], cut: int) -> I
         ends = [0, *np.searchsorted(key, edges).tolist(), len(key)]
         for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if lo < hi:
-                yield k, i, bytemix.packed(np.diff(key[lo:hi], prepend=0)), bytemix.packed(count[lo:hi].astype(np.int32)), None, None
-    known: Counter = Counter()
-    others: set[bytes] = set()
-    for t, f in zip(texts, trains, strict=True):
-        known.update(tokens(t)) if f else others.update(tokens(t))
-    known[b""] = int(flags.sum())
-    buckets: list[list[bytes]] = [[] for _ in range(1 << cut)]
-    for w in sorted(others.union(known)):
-        buckets[zlib.crc32(w) & (1 << cut) - 1].append(w)
-    for i, own in enumerate(buckets):
-        if own:
-            yield WORDS, i, pack_words(own), bytemix.packed(np.array([known[w] for w in own], np.int32)), None, None
+                yield k, i, bytemix.packed(np.diff(key[lo:hi], prepend=0)), bytemix.packed(count[lo:hi].astype(np.int32))
 
 
 def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,38 +170,50 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
     few = max(1, min(parts, max(-(-every // BLOCK_BYTES), sc.defaultParallelism)))
     blocks = stash(texts.coalesce(few).mapInArrow(pack, schema), "blocks")
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, a, b, trains in zip(*(batch.column(i) for i in range(4)), strict=True):
+                for k, i, key, n in key_rows(unpack_texts(a.as_py(), b.as_py()), trains.as_py(), cut):
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([key], pa.binary()), pa.array([n], pa.binary())], ["block", "k", "bucket", "a", "b"])
+
+    def words_of(rows: pa.Table) -> dict[bytes, int]:
+        total: dict[bytes, int] = {}
+        get = total.get
+        for raw, n in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True):
+            for w, c in zip(unpack_words(raw), bytemix.unpacked(n, np.int32).tolist(), strict=True):
+                total[w] = get(w, 0) + c
+        return total
+
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
         """What is said of the keys or words of one bucket, to each block that has them."""
         k = key[0].as_py()
-        block, times = rows.column("block").to_pylist(), [bytemix.unpacked(b, np.int32) for b in rows.column("b").to_pylist()]
         sent, out = rows.column("a").to_pylist(), []
-        kinds, totals = [k] * len(block), (0, 0, 0)
         if k == WORDS:
-            total: dict[bytes, int] = {}
-            get = total.get
-            for raw, n in zip(sent, times, strict=True):
-                for w, c in zip(unpack_words(raw), n.tolist(), strict=True):
-                    total[w] = get(w, 0) + c
+            total = words_of(rows)
             for raw in sent:
                 own = unpack_words(raw)
                 out.append(bytemix.packed(np.fromiter(map(total.__getitem__, own), np.int64, len(own))))
-            totals = (sum(total.values()), sum(c > 0 for c in total.values()), get(b"", 0))
-            block, kinds, sent = [*block, -1], [*kinds, TOTALS], [*sent, b""]
-            out.append(np.array(totals, "<i8").tobytes())
         else:
+            times = [bytemix.unpacked(b, np.int32) for b in rows.column("b").to_pylist()]
             held = [np.cumsum(bytemix.unpacked(a, np.int64)) for a in sent]
             every_key, n = bytemix.distinct(np.concatenate(held), np.concatenate(times).astype(np.int64))
             start, size, said = bytemix.answers(code.value, every_key, n)
             for own in held:
                 at = np.searchsorted(every_key, own)
-                out.append(zlib.compress(said[bytemix.flat(start[at], size[at])].tobytes(), 1))
-        return pa.table({"block": pa.array(block, pa.int64()), "k": pa.array(kinds, pa.int32()), "bucket": pa.array([key[1].as_py()] * len(block), pa.int32()), "a": pa.array(sent, pa.binary()), "b": pa.array(out, pa.binary())})
+                out.append(bytemix.squeezed(said[bytemix.flat(start[at], size[at])].tobytes()))
+        return pa.table({"block": rows.column("block"), "k": rows.column("k"), "bucket": rows.column("bucket"), "a": rows.column("a"), "b": pa.array(out, pa.binary())})
+
+    def count_words(rows: pa.Table) -> pa.Table:
+        own = words_of(rows)
+        return pa.table({"total": [sum(own.values())], "known": [sum(c > 0 for c in own.values())], "ends": [own.get(b"", 0)]})
 
-    asked = blocks.where(f"k <> {TEXTS}").select("block", "k", "bucket", "a", "b")
-    answered = stash(asked.groupBy("k", "bucket").applyInArrow(answer, "block bigint, k int, bucket int, a binary, b binary"), "answers")
-    # A row for each bucket of words.
-    totals = [np.frombuffer(bytes(r[0]), "<i8") for r in answered.where(f"k = {TOTALS}").select("b").collect()]
-    total, distinct, ends = (int(x) for x in np.sum(totals, 0)) if totals else (0, 0, 0)
+    words = blocks.where(f"k = {WORDS}").select("block", "k", "bucket", "a", "b")
+    # Sums of a row for each bucket of words.
+    totals = words.groupBy("bucket").applyInArrow(count_words, "total bigint, known bigint, ends bigint").agg(F.sum("total"), F.sum("known"), F.sum("ends")).first()
+    total, distinct, ends = (int(x or 0) for x in totals)
+    schema = "block bigint, k int, bucket int, a binary, b binary"
+    asked = blocks.where(f"k = {TEXTS}").select("block", "a", "b", "trains").mapInArrow(keyed, schema).unionByName(words)
+    answered = asked.groupBy("k", "bucket").applyInArrow(answer, schema)
 
     def judge(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("k", "ascending"), ("bucket", "ascending")])
@@ -212,7 +229,7 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
             elif what == WORDS:
                 of.update(zip(unpack_words(a[i]), np.log10(bytemix.unpacked(b[i], np.int64) + 0.1).tolist(), strict=True))
             else:
-                parts[what].append((np.cumsum(bytemix.unpacked(a[i], np.int64)), np.frombuffer(zlib.decompress(b[i]), np.int8)))
+                parts[what].append((np.cumsum(bytemix.unpacked(a[i], np.int64)), np.frombuffer(bytemix.restored(b[i]), np.int8)))
         del a, b
         tables = [tuple(np.concatenate(c) for c in zip(*p, strict=True)) for p in parts]
         n_tokens, n_known, base, score = (np.zeros(len(raw), t) for t in (np.int64, np.int64, np.float64, np.float64))
@@ -236,7 +253,7 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
             "base_score": pa.array(base), "score": pa.array(score / math.log(10)), "bits_per_byte": pa.array(-score / math.log(2) / size),
         })
 
-    held = blocks.where(f"k = {TEXTS}").unionByName(answered.where(f"k <> {TOTALS}"), allowMissingColumns=True)
+    held = blocks.where(f"k = {TEXTS}").unionByName(answered, allowMissingColumns=True)
     schema = f"id {kind}, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"
     out = held.groupBy("block").applyInArrow(judge, schema)
     return out.select(F.col("id").alias(id_col), "trains", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")

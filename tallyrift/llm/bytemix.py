@@ -39,7 +39,7 @@ STEPS = 8
 #: Keys that are answered at once.
 ANSWERED = 1 << 17
 #: Bytes whose predictors are looked up at once.
-WINDOW = 20_000
+WINDOW = 60_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256)

@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many rows are one task's, about, where rows are dealt by transaction or item.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, count: int, *by: str) -> DataFrame:
+    """The rows by hash of some columns; ``count``: how many there are. What a task holds doesn't grow with them.
+
+    Left to itself Spark makes as few tasks as there are cores of what it shuffles. A number of partitions that is
+    named stays; a few rows need none.
+    """
+    spark, parts = rows.sparkSession, math.ceil(count / TASK_ROWS)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return rows.repartition(*by)
+    return rows.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def count_lines(spark: SparkSession, sf_dir: str) -> int:
+    """How many lines all orders have: the files' footers tell."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
 
 def validate(transactions: DataFrame) -> DataFrame:
     """The rows, with an error for a probability that is none; quantities and ids may not be null."""
@@ -21,7 +43,8 @@ def from_lines(spark: SparkSession, sf_dir: str, item: str = "brand") -> DataFra
     else:
         lines = lines.withColumn("item", F.col("l_partkey").cast("int"))
     # Few lines of an order share an item, so sums before a shuffle would save nothing; dealt by order, the rows need no other shuffle later.
-    return lines.select("l_orderkey", "item", "l_quantity", "l_discount").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("tid"), "item").agg(
+    lines = dealt(lines.select("l_orderkey", "item", "l_quantity", "l_discount"), count_lines(spark, sf_dir), "l_orderkey")
+    return lines.groupBy(F.col("l_orderkey").alias("tid"), "item").agg(
         F.sum("l_quantity").alias("quantity"), F.max(1 - F.col("l_discount") * 5).alias("prob")
     )
 

@@ -79,3 +79,18 @@ def test_lines_of_several_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == list(enumerate(["1 1.0", "", "2 2.0", "1 -1.0", *many[2:], "2 -2.0"]))
     assert profits[1] == -1.0 and profits[2] == -2.0 and profits[2999] == 2999.5
+
+
+def test_tasks_of_transactions_stay_small(spark, tmp_path, monkeypatch):
+    """What a task holds is bounded by ``TASK_ROWS``, however many lines there are; results are the same."""
+    made = spark.range(6000).selectExpr("id % 1500 l_orderkey", "id % 40 l_partkey", "double(1 + id % 7) l_quantity", "id % 5 / 50 l_discount")
+    made.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(40).selectExpr("id p_partkey", "'Brand#' || (11 + id % 9) p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    few = {item: sorted(map(tuple, tables.from_lines(spark, str(tmp_path), item).collect())) for item in ("brand", "part")}
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    for item in ("brand", "part"):
+        got = tables.from_lines(spark, str(tmp_path), item)
+        assert sorted(map(tuple, got.collect())) == few[item]
+        sizes = got.rdd.mapPartitions(lambda rows: [len(list(rows))]).collect()
+        assert len(sizes) == 12
+        assert max(sizes) < 1000

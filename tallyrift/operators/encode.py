@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrift.functions.measures import existential_probability, expected_utility, positive, utility
 from tallyrift.sources.shared import remove, stash
+from tallyrift.sources.tables import TASK_ROWS, dealt
 
 
 def priced(transactions: DataFrame, profits: DataFrame, unpriced: str = "exclude") -> DataFrame:
@@ -57,15 +60,16 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     passes must see the same ones. Up to ``FEW_ROWS`` rows are one range.
     """
     rows = stash(rows, "to-number")
-    if rows.count() <= FEW_ROWS:
+    count = rows.count()
+    if count <= FEW_ROWS:
         return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(math.ceil(count / TASK_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = stash(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     remove(rows.sparkSession, rows.stash_path)
     sizes = ranged.groupBy("_range").count()  # a row for each range
     before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).select(*rows.columns, name)
+    return dealt(ranged, count, "_range").withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).select(*rows.columns, name)
 
 
 def item_ranks(bounds: DataFrame, by: str = "rtwu_weighted") -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from tallyrift.operators import encode
 from tallyrift.sources import runs, tables, text
 
 
@@ -94,3 +95,11 @@ def test_tasks_of_transactions_stay_small(spark, tmp_path, monkeypatch):
         sizes = got.rdd.mapPartitions(lambda rows: [len(list(rows))]).collect()
         assert len(sizes) == 12
         assert max(sizes) < 1000
+
+
+def test_ranges_to_number_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(encode, "FEW_ROWS", 100)
+    monkeypatch.setattr(encode, "TASK_ROWS", 500)
+    got = encode.numbered(spark.range(6000).selectExpr("id * 7 % 6000 * 3 as x"), "place", "x")
+    assert sorted(map(tuple, got.collect())) == [(3 * i, i) for i in range(6000)]
+    assert got.inputFiles() and len(got.inputFiles()) >= 12

@@ -207,7 +207,9 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
 @query("a2_part_bounds", f"with {PARTS}, {PROFITS}, {BASE}, {RTU}, {BOUNDS} select {ROUNDED} from w")
 def a2_parts(spark: SparkSession, d: str) -> DataFrame:
     tx = tables.from_lines(spark, d, "part")
-    return bounds_rounded(encode.item_bounds(encode.priced(tx, tables.signed_profits(tx))))
+    n = tables.count_lines(spark, d)
+    priced = encode.priced(tables.dealt(tx, n, "item"), tables.signed_profits(tx))
+    return bounds_rounded(encode.item_bounds(tables.dealt(priced, n, "tid")))
 
 
 @query("p8_p12_p13_promising", f"with {BRANDS}, {PROFITS}, {BASE}, {RTU}, {BOUNDS} select item from w where rtwu_weighted > 0 and rtwu_weighted >= (select avg(rtwu_weighted) from w) and support >= (select avg(support) from w) * 0.9")

@@ -8,7 +8,8 @@ whole vectors; of the blocks that find it, the first counts it.
 The range join of a block goes by strips of its first coordinate, twice the range wide: a row lives in
 its own strip and visits the one before if it is in range of that. Each row looks for rows that follow
 it on that line only, so a pair meets once. A strip of many rows is cut into slices, and each pair of
-slices is one task, so none holds more than ``HOME_ROWS`` and ``VISIT_ROWS`` rows.
+slices is one task, so none holds more than ``HOME_ROWS`` and ``VISIT_ROWS`` rows. Strips are counted
+first and their rows dealt straight to such tasks: no copy but the shuffle's is written.
 
 Equal vectors are one class, joined once, however many there are. Vectors that are null, zero or hold
 null or non-finite components link with nothing; those of each length are joined with each other. Rows
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .base import release, stash
 from .components import components
 
-HOME_ROWS, VISIT_ROWS = 16384, 65536
+HOME_ROWS, VISIT_ROWS = 1 << 18, 1 << 19
+#: Rows whose products with a chunk of rows are looked at together: they fit a core's cache.
+TILE = 8192
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -39,7 +42,17 @@ def rotation(dim: int) -> np.ndarray:
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     parts = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
-    return (np.concatenate(parts) if parts else np.zeros(0)).astype(np.float64).reshape(-1, dim)
+    return (np.concatenate(parts) if parts else np.zeros(0)).reshape(-1, dim)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+def _in_block(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The unit vectors' coordinates in a block, made in parts, so that no copy of all vectors in double precision is held."""
+    return np.concatenate([np.zeros((0, turn.shape[1]), np.float32), *[(_unit(x[k : k + 65536]) @ turn).astype(np.float32) for k in range(0, len(x), 65536)]])
 
 
 def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -64,35 +77,36 @@ def links_in_cell(
 ) -> tuple[np.ndarray, np.ndarray]:
     """The links (home row, visiting row) of rows that follow on the line, if ``block`` is the first to find them."""
     turn = rotation(home.shape[1])
-    unit = lambda x: x / np.sqrt((x**2).sum(1))[:, None]
-    h, v = unit(home), unit(visit)
     edges = np.linspace(0, home.shape[1], blocks + 1).astype(int)
     lo, hi = edges[block], edges[block + 1]
     budget = (2 - 2 * least) / blocks * (1 + 1e-9) + 1e-12
     reach = np.sqrt(budget) * (1 + 1e-9)
     order, at_home = np.argsort(visit_line), np.argsort(home_line)
     line = visit_line[order]
-    small_v, small_h = (v[order] @ turn[:, lo:hi]).astype(np.float32), (h @ turn[:, lo:hi]).astype(np.float32)
-    sq_v, sq_h = (small_v**2).sum(1), (small_h**2).sum(1)
+    small_v, small_h = _in_block(visit, turn[:, lo:hi])[order], _in_block(home, turn[:, lo:hi])
+    half_v, half_h = (small_v**2).sum(1) / 2, ((small_h**2).sum(1) - np.float32(budget + 1e-4)) / 2
     first_out, second_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(h), chunk):
+    for at in range(0, len(home), chunk):
         own = at_home[at : at + chunk]
         first, last = np.searchsorted(line, home_line[own[0]]), np.searchsorted(line, home_line[own[-1]] + reach, "right")
-        # Half of (sum of squares - budget) against the product: one pass less over the matrix.
-        near = small_h[own] @ small_v[first:last].T >= (sq_h[own, None] - np.float32(budget + 1e-4)) / 2 + sq_v[None, first:last] / 2
-        i, j = np.nonzero(near)
-        i, j = own[i], order[first + j]
-        for k in range(0, len(i), 1 << 17):
-            a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-            after = (visit_line[b] > home_line[a]) | ((visit_line[b] == home_line[a]) & (visit_id[b] > home_id[a]))
-            a, b = a[after], b[after]
-            true = np.einsum("ij,ij->i", h[a], v[b]) >= least
-            a, b = a[true], b[true]
-            if len(a):
-                subs = np.add.reduceat(np.einsum("ij,jk->ik", h[a] - v[b], turn) ** 2, edges[:-1], axis=1)
-                mine = (subs <= budget).argmax(1) == block
-                first_out.append(a[mine])
-                second_out.append(b[mine])
+        for start in range(first, last, TILE):
+            end = min(start + TILE, last)
+            # Half of (sum of squares - budget) against the product: one pass less over the matrix.
+            near = small_h[own] @ small_v[start:end].T >= half_h[own, None] + half_v[None, start:end]
+            i, j = np.nonzero(near)
+            i, j = own[i], order[start + j]
+            for k in range(0, len(i), 1 << 15):
+                a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                after = (visit_line[b] > home_line[a]) | ((visit_line[b] == home_line[a]) & (visit_id[b] > home_id[a]))
+                a, b = a[after], b[after]
+                h, v = _unit(home[a]), _unit(visit[b])
+                true = np.einsum("ij,ij->i", h, v) >= least
+                a, b = a[true], b[true]
+                if len(a):
+                    subs = np.add.reduceat(np.einsum("ij,jk->ik", h[true] - v[true], turn) ** 2, edges[:-1], axis=1)
+                    mine = (subs <= budget).argmax(1) == block
+                    first_out.append(a[mine])
+                    second_out.append(b[mine])
     return np.concatenate(first_out), np.concatenate(second_out)
 
 
@@ -100,57 +114,69 @@ def length_links(classes: DataFrame, dim: int, least: float, blocks: int) -> Dat
     """cls, links, up: parts of the links and of a forest of them, of classes (v, cls, weight) whose vectors have ``dim`` components."""
     wide = 2 * float(np.sqrt((2 - 2 * least) / blocks * (1 + 1e-9) + 1e-12))
 
+    def strips(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """Block, rows, strips and lines: each row once at home, and in the strip it visits, for each block."""
+        firsts = _unit(_matrix(batch.column(0), dim)) @ rotation(dim)[:, np.linspace(0, dim, blocks + 1).astype(int)[:-1]]
+        for b in range(blocks):
+            strip = np.floor(firsts[:, b] / wide).astype(np.int64)
+            guests = np.flatnonzero(firsts[:, b] - strip * wide <= wide / 2 * (1 + 1e-6))
+            for step, took in ((0, np.arange(len(firsts))), (-1, guests)):
+                yield b, took, strip[took] + step, firsts[took, b], step == 0
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for b, _, strip, _, home in strips(batch):
+                names, n = np.unique(strip, return_counts=True)
+                columns = [np.full(len(n), b, np.int32), names, n * home, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "strip", "homes", "every"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row once at home, and in the strips it visits, for each block."""
-        turn, edges = rotation(dim), np.linspace(0, dim, blocks + 1).astype(int)[:-1]
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 4096):
-                batch = whole_batch.slice(at, 4096)
-                x = _matrix(batch.column(0), dim)
-                firsts = (x / np.sqrt((x**2).sum(1))[:, None]) @ turn[:, edges]
-                for b in range(blocks):
-                    strip = np.floor(firsts[:, b] / wide).astype(np.int64)
-                    guests = np.flatnonzero(firsts[:, b] - strip * wide <= wide / 2 * (1 + 1e-6))
-                    for step, took in ((0, np.arange(len(x))), (-1, guests)):
-                        n = len(took)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, b, np.int32)), pa.array(strip[took] + step), pa.array(np.full(n, step == 0)), pa.array(firsts[took, b]), *batch.take(pa.array(took)).columns],
-                            ["block", "strip", "home", "line", "v", "cls", "weight"],
-                        )
+        for batch in small(batches):
+            for b, took, strip, line, home in strips(batch):
+                n = len(took)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, b, np.int32)), pa.array(strip), pa.array(np.full(n, home)), pa.array(line), *batch.take(pa.array(took)).columns],
+                    ["block", "strip", "home", "line", "v", "cls", "weight"],
+                )
 
     kind = next(t for n, t in classes.dtypes if n == "v")
-    dealt = stash(
-        classes.select("v", "cls", "weight").mapInArrow(deal, f"block int, strip bigint, home boolean, line double, v {kind}, cls bigint, weight bigint"), "strips"
-    )
-    sums = dealt.groupBy("block", "strip").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("homes > 0")
-    sums = sums.select(
-        "block", "strip", F.ceil(F.col("homes") / HOME_ROWS).cast("int").alias("hs"), F.ceil(F.col("all") / VISIT_ROWS).cast("int").alias("vs")
+    # A row for each strip, of which a block has few: they are as wide as twice the range.
+    sums = classes.select("v").mapInArrow(count, "block int, strip bigint, homes bigint, every bigint").groupBy("block", "strip").agg(F.sum("homes").alias("homes"), F.sum("every").alias("every"))
+    sums = sums.where("homes > 0").select(
+        "block", "strip", F.ceil(F.col("homes") / HOME_ROWS).cast("int").alias("hs"), F.ceil(F.col("every") / VISIT_ROWS).cast("int").alias("vs")
     )
-    cut = dealt.join(sums, ["block", "strip"])
+    dealt = classes.select("v", "cls", "weight").mapInArrow(deal, f"block int, strip bigint, home boolean, line double, v {kind}, cls bigint, weight bigint")
     slice_of = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = cut.where("home").select("block", "strip", slice_of("hs", 1).alias("h"), every("vs").alias("w"), "line", "v", "cls", "weight")
-    same = [F.col(c).alias(c) for c in ("block", "strip", "line", "v", "cls", "weight")]  # columns of their own, for the cogroup
-    visit = cut.select(*same, every("hs").alias("h"), slice_of("vs", 2).alias("w"))
-
-    def cell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {"cls": pa.int64(), "links": pa.int64(), "up": pa.int64()}
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-        of = lambda c: (left.column(c).to_numpy(), right.column(c).to_numpy())
-        (a, b), (la, lb), (wa, wb) = of("cls"), of("line"), of("weight")
-        i, j = links_in_cell(_matrix(left.column("v"), dim), _matrix(right.column("v"), dim), la, lb, a, b, key[0].as_py(), blocks, least)
-        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    cut = dealt.join(F.broadcast(sums), ["block", "strip"]).withColumn("own_h", slice_of("hs", 1)).withColumn("own_w", slice_of("vs", 2))
+    # Each pair of slices is a cell; a row that is of both goes there once.
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda h, w: F.struct(h.alias("h"), w.alias("w"))
+    at_home = F.when(F.col("home"), F.transform(every("vs"), lambda w: pair(F.col("own_h"), w))).otherwise(F.array().cast("array<struct<h:int,w:int>>"))
+    cells = F.explode(F.array_union(at_home, F.transform(every("hs"), lambda h: pair(h, F.col("own_w")))))
+    sent = cut.withColumn("cell", cells).select(
+        "block", "strip", "cell.h", "cell.w", (F.col("home") & (F.col("own_h") == F.col("cell.h"))).alias("homes"), (F.col("own_w") == F.col("cell.w")).alias("visits"),
+        "line", "v", "cls", "weight",
+    )
+
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
+        at_home, on_visit = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("homes", "visits"))
+        ids, line, weight = (rows.column(c).to_numpy() for c in ("cls", "line", "weight"))
+        x = _matrix(rows.column("v"), dim)
+        i, j = links_in_cell(x[at_home], x[on_visit], line[at_home], line[on_visit], ids[at_home], ids[on_visit], key[0].as_py(), blocks, least)
+        ids, place = np.unique(ids, return_inverse=True)
+        n = (weight[at_home[i]], weight[on_visit[j]])
+        i, j = place[at_home[i]], place[on_visit[j]]
         count, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        i, j, n = place[i], place[len(a) + j], (wa[i], wb[j])
         np.add.at(count, i, n[1])
         np.add.at(count, j, n[0])
         union(parent, i, j)
         some = np.flatnonzero(count)
         return pa.table({"cls": pa.array(ids[some]), "links": pa.array(count[some]), "up": pa.array(ids[parent[some]])})
 
-    by = ["block", "strip", "h", "w"]
-    return home.groupBy(*by).cogroup(visit.groupBy(*by)).applyInArrow(cell, "cls bigint, links bigint, up bigint")
+    return sent.groupBy("block", "strip", "h", "w").applyInArrow(links, "cls bigint, links bigint, up bigint")
 
 
 def near_duplicates(

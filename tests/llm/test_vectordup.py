@@ -67,6 +67,16 @@ def test_each_pair_is_found_once_over_the_blocks():
     assert sorted(found) == list(zip(a.tolist(), b.tolist(), strict=True)) and len(found) > 10
 
 
+def test_vectors_are_written_twice_at_most(spark, monkeypatch):
+    """Blocks and strips get their copies by shuffle alone; a row goes to a cell once, at home and on visit alike."""
+    written, stash = {}, vectordup.stash
+    monkeypatch.setattr(vectordup, "stash", lambda df, name: written.setdefault(name, stash(df, name)))
+    rows = [(i, v) for i, v in vectors() if v is not None]
+    found = vectordup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert found.count() == len(rows)
+    assert [n for n, t in written.items() if "v" in t.columns] == ["vectors", "classes"]
+
+
 def test_nothing(spark):
     assert vectordup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyrift.plans.metering import Meter
 from tallyrift.plans.mine import Mined, mine
 from tallyrift.sources import runs
-from tallyrift.sources.shared import shared_dir
+from tallyrift.sources.shared import remove, shared_dir, stash
 
 #: The settings that a sweep has if none are given.
 KS, LEAST_PROBABILITIES, TIMEOUT_S = (5, 50, 100, 500, 1000, 10000), (0.00001, 0.005, 0.01, 0.1, 0.5), 6000.0
@@ -95,14 +95,28 @@ def counted(mined: Mined) -> dict:
     return found | {"total_pruned": sum(found[c] for c in ("rtwu_pruned", "branches_pruned", "eu_remaining_pruned", "ep_pruned"))}
 
 
-def run_one(spark: SparkSession, run: Run, data: Dataset, timeout_s: float, **options) -> dict:
+class Known:
+    """What is the same for all runs of a dataset, made by its first: its sizes are counted once, and its profits written."""
+
+    def __init__(self, data: Dataset):
+        self.data, self.lock, self.found = data, threading.Lock(), None
+
+    def get(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+        with self.lock:
+            if self.found is None:
+                tx, profits = self.data(spark)
+                size = tuple(tx.agg(F.count_distinct("tid"), F.count_distinct("item")).first())
+                self.found = (tx, stash(profits, "profits"), size)
+            return self.found
+
+
+def run_one(spark: SparkSession, run: Run, data: Dataset | Known, timeout_s: float, **options) -> dict:
     """The record of one run: SUCCESS, TIMEOUT, FAILED with the error's first line, or SKIPPED if its data isn't there."""
     record = dict.fromkeys(NAMES) | {"run": run.number, "dataset": run.dataset, "k": run.k, "min_prob": run.min_prob, "repetition": run.repetition, "thread_pool_size": spark.sparkContext.defaultParallelism}
     try:
-        tx, profits = data(spark)
-        size = tx.agg(F.count_distinct("tid"), F.count_distinct("item")).first()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
+        tx, profits, size = (data if isinstance(data, Known) else Known(data)).get(spark)
+    except Exception as e:
+        if isinstance(e, AnalysisException) and "PATH_NOT_FOUND" in str(e):
             return record | {"status": "SKIPPED", "error": "no data"}
         return record | {"status": "FAILED", "error": str(e).split("\n")[0]}
     record |= {"database_size": size[0], "num_items": size[1]}
@@ -127,19 +141,25 @@ def sweep(
     """The records of all runs of the grid. ``store``: where they are kept; ``options``: of ``mine``."""
     store = store or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/sweep-{time.time_ns()}"
     known = {r["run"] for r in records(spark, store).select("run").collect()}  # a row for each run
+    shared = {name: Known(data) for name, data in datasets.items()}
     todo = [r for r in grid(list(datasets), tuple(ks), tuple(min_probs), repetitions) if r.number not in known]
 
     def go(run: Run) -> None:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"run-{run.number}")
-        record = run_one(spark, run, datasets[run.dataset], timeout_s, **options)
+        record = run_one(spark, run, shared[run.dataset], timeout_s, **options)
         row = spark.createDataFrame([tuple(record[n] for n in NAMES)], RECORD)
         runs.append(row.coalesce(1), store, run.number)
         if on_record:
             on_record(record)
 
-    with ThreadPoolExecutor(parallel) as pool:
-        for done in [pool.submit(go, r) for r in todo]:
-            done.result()
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            for done in [pool.submit(go, r) for r in todo]:
+                done.result()
+    finally:
+        for known in shared.values():
+            if known.found:
+                remove(spark, known.found[1].stash_path)
     return records(spark, store)
 
 

@@ -57,6 +57,18 @@ def test_grid_is_recorded(spark, data, tmp_path):
     assert {r["dataset"] for r in again} == {"more"} and len(again) == 4
 
 
+def test_runs_of_a_dataset_share_its_sizes_and_profits(spark, data, tmp_path):
+    made, read = [], of(data)
+
+    def counted(s):
+        made.append(1)
+        return read(s)
+
+    found = sweeps.sweep(spark, {"small": counted}, (3, 8), (0.1, 0.7), parallel=2, store=str(tmp_path / "runs")).collect()
+    assert len(made) == 1
+    assert [(r.status, r.database_size, r.num_items) for r in found] == [("SUCCESS", 30, 7)] * 4
+
+
 def test_failures_and_timeouts(spark, data, tmp_path):
     found = sweeps.sweep(spark, {"broken": broken}, (3,), (0.0,), store=str(tmp_path / "a")).first()
     assert found.status == "FAILED" and found.error

@@ -34,16 +34,27 @@ def validate(transactions: DataFrame) -> DataFrame:
     return transactions.withColumn("prob", F.when(wrong, F.raise_error(F.concat(F.lit("not a transaction item: "), F.to_json(F.struct("tid", "item", "prob"))))).otherwise(F.col("prob")))
 
 
+def of_parts(lines: DataFrame, parts: DataFrame, count: int) -> DataFrame:
+    """The lines with what their part has; ``count``: how many lines there are.
+
+    Where Spark doesn't broadcast the parts, the lines are dealt as the parts are: into tasks that don't grow with their number.
+    """
+    if count > TASK_ROWS * lines.sparkSession.sparkContext.defaultParallelism:
+        parts = dealt(parts, count, "p_partkey")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey)
+
+
 def from_lines(spark: SparkSession, sf_dir: str, item: str = "brand") -> DataFrame:
     """tid, item, quantity, prob of orders: items are brand numbers or parts, the discount is the doubt."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
+    count = count_lines(spark, sf_dir)
     if item == "brand":
         parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("item"))
-        lines = lines.join(parts, lines.l_partkey == parts.p_partkey)
+        lines = of_parts(lines, parts, count)
     else:
         lines = lines.withColumn("item", F.col("l_partkey").cast("int"))
     # Few lines of an order share an item, so sums before a shuffle would save nothing; dealt by order, the rows need no other shuffle later.
-    lines = dealt(lines.select("l_orderkey", "item", "l_quantity", "l_discount"), count_lines(spark, sf_dir), "l_orderkey")
+    lines = dealt(lines.select("l_orderkey", "item", "l_quantity", "l_discount"), count, "l_orderkey")
     return lines.groupBy(F.col("l_orderkey").alias("tid"), "item").agg(
         F.sum("l_quantity").alias("quantity"), F.max(1 - F.col("l_discount") * 5).alias("prob")
     )

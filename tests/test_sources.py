@@ -103,3 +103,20 @@ def test_ranges_to_number_stay_small(spark, monkeypatch):
     got = encode.numbered(spark.range(6000).selectExpr("id * 7 % 6000 * 3 as x"), "place", "x")
     assert sorted(map(tuple, got.collect())) == [(3 * i, i) for i in range(6000)]
     assert got.inputFiles() and len(got.inputFiles()) >= 12
+
+
+def test_lines_meet_their_parts_in_small_tasks(spark, monkeypatch):
+    """Where the parts are too many to be broadcast, too, a task of the join holds about ``TASK_ROWS`` lines."""
+    lines = spark.range(6000).selectExpr("id l_orderkey", "id % 40 + 40 * (id % 30) l_partkey")
+    parts = spark.range(1200).selectExpr("id p_partkey", "int(id % 9) item")
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tables.of_parts(lines, parts, 6000)
+        sizes = got.rdd.mapPartitions(lambda rows: [len(list(rows))]).collect()
+        found = sorted(tuple(r) for r in got.select("l_orderkey", "item").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert found == [(i, (i % 40 + 40 * (i % 30)) % 9) for i in range(6000)]
+    assert len(sizes) == 12 and max(sizes) < 1500

@@ -183,16 +183,44 @@ def forest_ties(classes: DataFrame, least: float, shortest: int, longest: int, r
     return ties
 
 
+def filter_size(count: int) -> int:
+    """Bits, as a power of two, of a filter of so many keys."""
+    return min(FILTER_BITS, max(16, (16 * count).bit_length()))
+
+
+def _place(key: Column, bits: int) -> Column:
+    """A key's place in a filter; bitmaps count from 1."""
+    return F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - bits) + 1
+
+
+def bitmaps(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """k, bits: the filter of the keys, cut into bitmaps of 4096 bytes."""
+    at = keys.select(_place(F.col(key), bits).alias("at"))
+    return at.groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
+
+
+def with_mark(docs: DataFrame, text_col: str, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` and whether the filter of ``keys`` has their text's key: true for all that are among them, and for few others.
+
+    The filter is of a fixed size at most, so it is broadcast and no text is moved.
+    """
+    bits = filter_size(keys.count())
+    maps = bitmaps(keys, key, bits).withColumnsRenamed({"k": "__mark_of", "bits": "__mark_bits"})
+    rows = docs.withColumn("__mark_at", _place(_key(F.col(f"`{text_col}`")), bits))
+    rows = rows.join(F.broadcast(maps), F.expr("bitmap_bucket_number(__mark_at) = __mark_of"), "left")
+    byte = F.expr("int(conv(hex(substring(__mark_bits, int(bitmap_bit_position(__mark_at) div 8) + 1, 1)), 16, 10))")
+    found = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(__mark_at) % 8))")) != 0, F.lit(False))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias(name))
+
+
 def tied_sets(docs: DataFrame, text_col: str, members: DataFrame, words: int) -> DataFrame:
     """tie, cls, weight, shingles of ``members`` (tie, cls, weight, text_key), read from the texts of ``docs``.
 
     A filter of fixed size keeps most texts that aren't tied from being moved; the join decides.
     """
     spark = docs.sparkSession
-    bits = min(FILTER_BITS, max(16, (16 * members.count()).bit_length()))
-    place = F.conv(F.substring("text_key", 1, 7), 16, 10).cast("long")
-    place = F.shiftright(place, 28 - bits) + 1  # bitmaps count from 1
-    marks = members.select(place.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
+    bits = filter_size(members.count())
+    marks = bitmaps(members, "text_key", bits)
     filled = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
     for k, own in marks.collect():  # one bit for each place of the filter: a fixed size
         filled[(k - 1) * 4096 : (k - 1) * 4096 + len(own)] = np.frombuffer(bytes(own), np.uint8)
@@ -325,7 +353,8 @@ def jaccard_links(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class, all columns; rows are told by id and text.
 
-    What goes is left out by an anti-join, which moves no text as long as Spark broadcasts what goes.
+    What goes is left out by an anti-join, of those rows alone that a filter of its texts doesn't let through at once:
+    the other texts are never moved, however many rows go.
     Of rows with the same id and text one stays, any of them; those without words all do.
     """
     names = ("__judged_id", "__judged_key")
@@ -333,6 +362,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by = judged.groupBy(F.col(id_col).alias(names[0]), F.col("text_key").alias(names[1])).agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
     by = stash(by.where("k < n"), "repeated")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (_key(F.col(f"`{text_col}`")) == F.col(names[1]))
-    rest = docs.join(by.select(*names), same, "left_anti")
-    again = docs.join(by.where("k > 0").select(*names), same, "left_semi").withColumn("__text_key", _key(F.col(f"`{text_col}`")))
-    return rest.unionByName(again.dropDuplicates([id_col, "__text_key"]).drop("__text_key"))
+    marked = with_mark(docs, text_col, by, names[1], "__judged_maybe")
+    maybe = marked.where("__judged_maybe").drop("__judged_maybe")
+    rest = maybe.join(by.select(*names), same, "left_anti")
+    again = maybe.join(by.where("k > 0").select(*names), same, "left_semi").withColumn("__text_key", _key(F.col(f"`{text_col}`")))
+    return marked.where("not __judged_maybe").drop("__judged_maybe").unionByName(rest).unionByName(again.dropDuplicates([id_col, "__text_key"]).drop("__text_key"))

@@ -59,6 +59,26 @@ def test_one_of_each(docs_of, spark):
     assert jaccardjoin.jaccard_links(docs_of(["a"]).limit(0)).count() == 0
 
 
+def test_texts_that_stay_are_not_moved(spark, docs_of):
+    """Without broadcasts, too, only rows whose text is among those that go meet them; the filter lets few others through."""
+    every = [f"text nr {i} has words {i * 7} of its own {i * i} and more {i * 13}" for i in range(3000)]
+    every += every[:40] + [None, "", None]
+    docs = docs_of(every)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccardjoin.one_of_each(docs)
+        got = sorted(r.doc_id for r in kept.collect())
+        gone = docs.where("doc_id < 40").selectExpr("md5(text) as gone")
+        marks = {r.doc_id: r.maybe for r in jaccardjoin.with_mark(docs, "text", gone, "gone", "maybe").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert got == [*range(3000), *range(3040, 3043)]
+    assert all(marks[i] for i in [*range(40), *range(3000, 3040)]) and sum(marks.values()) < 80 + 60
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "__mark_bits" in plan.split("Join LeftAnti")[1]
+
+
 @pytest.mark.parametrize("crowd", [0, 10**6])
 def test_long_and_short_prefixes_find_the_same(docs_of, crowd):
     every = texts(7)

@@ -64,26 +64,38 @@ def terms_of(text: str | None) -> dict[str, int]:
 
 
 class Matcher(dict):
-    """The terms of texts that are in a vocabulary, by number. Words already seen are remembered, up to a size."""
+    """The terms of texts that are in a vocabulary, by number. Words already seen are remembered, up to a size.
+
+    Words of the same terms have one number, as most words of a text are rare and have none, or only those of their beginning.
+    """
 
     def __init__(self, vocabulary: str):
         super().__init__()
         self.place = {t: i for i, t in enumerate(vocabulary.split("\n"))} if vocabulary else {}
         self.of: list[tuple[int, ...]] = []
+        self.numbers: dict[tuple[int, ...], int] = {}
         self.held = 0
 
     def __missing__(self, word: str) -> int:
-        self.of.append(tuple(i for t in _terms(word) if (i := self.place.get(t)) is not None))
-        if len(word) <= LONGEST:
-            self[word] = len(self.of) - 1
-            self.held += len(word) + 8
-        return len(self.of) - 1
+        place, size = self.place, len(word)
+        terms = (place[word],) if word in place else ()
+        for start in STARTS:
+            if size >= start and (i := place.get(word[:start] + "*")) is not None:
+                terms += (i,)
+        number = self.numbers.get(terms)
+        if number is None:
+            number = self.numbers[terms] = len(self.of)
+            self.of.append(terms)
+        if size <= LONGEST:
+            self[word] = number
+            self.held += size + 8
+        return number
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(where each text's terms begin, one more at the end; terms in order; how often each)."""
         if self.held > KNOWN_CHARS:
             self.clear()
-            self.of, self.held = [], 0
+            self.of, self.numbers, self.held = [], {}, 0
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
         sizes = [len(w) for w in words]
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))

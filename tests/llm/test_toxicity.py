@@ -147,3 +147,15 @@ def test_terms_and_fit():
     assert begin.tolist() == [0, 2, 2, 5] and ids.tolist() == [0, 1, 0, 1, 2] and tf.tolist() == [3, 2, 1, 1, 1]
     x, y = monotonic(np.array([0.0, 0.5, 1.0]), np.array([0.0, 1.0, 1.0]), np.ones(3))
     assert (np.diff(y) >= 0).all() and y[0] < 0.5 < y[-1]
+
+
+def test_words_of_the_same_terms_have_one_number():
+    vocabulary = ["appl*", "apple", "pear"]
+    words = [f"{start}{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(300) for start in ("appl", "zz", "pearl")]
+    texts = [" ".join(words), "apple pear apple apples pear", None, "", " ".join(words[:50]) + " apple"]
+    match = toxicity.Matcher("\n".join(vocabulary))
+    for _ in range(2):
+        begin, term, tf = match(texts)
+        got = [{vocabulary[t]: int(n) for t, n in zip(term[a:b], tf[a:b], strict=True)} for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        assert got == [{t: n for t, n in toxicity.terms_of(x).items() if t in vocabulary} for x in texts]
+    assert len(match.of) == 4

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: So many rows are one task's, about, where rows are dealt by transaction or item.
 TASK_ROWS = 250_000
+#: So many parts at most may be broadcast, some 64 bytes each where they are held.
+HELD_PARTS = 2_000_000
 
 
 def dealt(rows: DataFrame, count: int, *by: str) -> DataFrame:
@@ -37,10 +39,13 @@ def validate(transactions: DataFrame) -> DataFrame:
 def of_parts(lines: DataFrame, parts: DataFrame, count: int) -> DataFrame:
     """The lines with what their part has; ``count``: how many lines there are.
 
-    Where Spark doesn't broadcast the parts, the lines are dealt as the parts are: into tasks that don't grow with their number.
+    Spark may broadcast ``HELD_PARTS`` parts, but not more, as the driver and each task would hold all of them. Where it doesn't,
+    the lines are dealt as the parts are: into tasks that don't grow with their number.
     """
     if count > TASK_ROWS * lines.sparkSession.sparkContext.defaultParallelism:
         parts = dealt(parts, count, "p_partkey")
+    if parts.count() > HELD_PARTS:
+        parts = parts.hint("merge")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
 

@@ -120,3 +120,14 @@ def test_lines_meet_their_parts_in_small_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert found == [(i, (i % 40 + 40 * (i % 30)) % 9) for i in range(6000)]
     assert len(sizes) == 12 and max(sizes) < 1500
+
+
+def test_many_parts_are_not_broadcast(spark, monkeypatch):
+    """What each task would hold of the parts doesn't grow with their number either, whatever Spark takes their size to be."""
+    lines = spark.range(6000).selectExpr("id l_orderkey", "id % 1200 l_partkey")
+    parts = spark.range(1200).selectExpr("id p_partkey", "int(id % 9) item")
+    for most, broadcast in ((500, False), (2000, True)):
+        monkeypatch.setattr(tables, "HELD_PARTS", most)
+        got = tables.of_parts(lines, parts, 6000)
+        assert sorted(tuple(r) for r in got.select("l_orderkey", "item").collect()) == [(i, i % 1200 % 9) for i in range(6000)]
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == broadcast

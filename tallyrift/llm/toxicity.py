@@ -49,6 +49,15 @@ BATCH = 1_000_000
 COMMON = 0.12
 
 
+#: Of ASCII texts in lower case, all but letters made blank.
+LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def words_of(lower: str) -> list[str]:
+    """The words of a text in lower case; those of ASCII texts are cut at blanks."""
+    return lower.encode().translate(LETTERS).decode().split() if lower.isascii() else WORD.findall(lower)
+
+
 def _terms(word: str) -> list[str]:
     """A word's terms; a star ends the beginning of a word."""
     return [word, *(word[:size] + "*" for size in STARTS if len(word) >= size)]
@@ -72,21 +81,22 @@ class Matcher(dict):
     def __init__(self, vocabulary: str):
         super().__init__()
         self.place = {t: i for i, t in enumerate(vocabulary.split("\n"))} if vocabulary else {}
+        self.begun = {t[:-1]: i for t, i in self.place.items() if t[-1] == "*"}
         self.of: list[tuple[int, ...]] = []
         self.numbers: dict[tuple[int, ...], int] = {}
         self.held = 0
 
     def __missing__(self, word: str) -> int:
-        place, size = self.place, len(word)
-        terms = (place[word],) if word in place else ()
+        begun, i = self.begun, self.place.get(word)
+        terms = () if i is None else (i,)
         for start in STARTS:
-            if size >= start and (i := place.get(word[:start] + "*")) is not None:
+            if (i := begun.get(word[:start])) is not None and len(word) >= start:
                 terms += (i,)
         number = self.numbers.get(terms)
         if number is None:
             number = self.numbers[terms] = len(self.of)
             self.of.append(terms)
-        if size <= LONGEST:
+        if (size := len(word)) <= LONGEST:
             self[word] = number
             self.held += size + 8
         return number
@@ -96,7 +106,7 @@ class Matcher(dict):
         if self.held > KNOWN_CHARS:
             self.clear()
             self.of, self.numbers, self.held = [], {}, 0
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t.lower()) if t else [] for t in texts]
         sizes = [len(w) for w in words]
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
         wide = max(len(self.of), 1)
@@ -130,6 +140,22 @@ def batches(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
             yield lo + at, texts[at:]
 
 
+def matched(incoming: Iterator[pa.RecordBatch], match: Matcher, spot: int, keep: int) -> Iterator[pa.RecordBatch]:
+    """The first ``keep`` columns, and the numbers of each text's terms and how often each, packed; ``spot``: the column of texts."""
+    for whole in incoming:
+        for lo, texts in batches(whole.column(spot)):
+            begin, *values = match(texts)
+            ends = pa.py_buffer((begin * 4).astype(np.int32))
+            cols = [pa.Array.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer(v.astype(np.int32))]) for v in values]
+            yield pa.RecordBatch.from_arrays([*whole.slice(lo, len(texts)).columns[:keep], *cols], [*(f"c{i}" for i in range(keep)), "terms", "tf"])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's values begin, one more at the end; all values."""
+    rows = column.to_pylist()
+    return np.append(0, np.cumsum([len(r) // 4 for r in rows], dtype=np.int64)), np.frombuffer(b"".join(rows), np.int32)
+
+
 def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size."""
     ends = np.cumsum(size)
@@ -338,8 +364,11 @@ def build(ids: list, toxic: np.ndarray, vocabulary: list[str], begin: np.ndarray
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_col: str, label_col: str, k: int, most: int) -> Index:
-    """The index. ``trains``: which ids of ``labels`` may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_col: str, label_col: str, k: int, most: int, keep: tuple[str, ...] = ()) -> tuple[Index, DataFrame | None]:
+    """The index, and if there is something to keep, that of all rows as c0, c1 and so on with what ``matched`` finds in their texts.
+
+    ``trains``: which ids of ``labels`` may be learned from.
+    """
     spark = docs.sparkSession
     marked = labels.where(trains & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
@@ -367,30 +396,39 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, text_co
     coded = pa.concat_arrays([pa.array([], pa.string()), *(c.flatten() for c in got.column("terms").chunks)]).dictionary_encode()
     vocabulary, term = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
     del got, coded
-    # Numbers in the order of the terms, whatever the order of arrival.
-    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    # Common terms first, as in the index, then in the order of the terms, whatever the order of arrival.
+    has = np.bincount(term, minlength=len(vocabulary))
+    order = sorted(range(len(vocabulary)), key=lambda i: (-has[i], vocabulary[i]))
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     vocabulary, term = [vocabulary[i] for i in order], rank[term]
     del order, rank
     held = spark.sparkContext.broadcast("\n".join(vocabulary))
 
-    def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(held.value)
-        df, n = np.zeros(len(match.place), np.int64), 0
-        for batch in incoming:
-            for _, texts in batches(batch.column(0)):
-                df += np.bincount(match(texts)[1], minlength=len(df))
+    def count(found: Iterator[pa.RecordBatch], wide: int) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(wide, np.int64), 0
+        for batch in found:
+            for lo in range(0, batch.num_rows, 1024):
+                df += np.bincount(unpacked(batch.column("terms").slice(lo, 1024))[1], minlength=wide)
             n += batch.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
     # Document frequencies over all documents: a row for each term of the sample reaches the driver.
-    counted = texts.select("_text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    wide, found = len(vocabulary), None
+    if keep:
+        kinds, names = dict(docs.dtypes), [f"c{i}" for i in range(len(keep))]
+        sent = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col(f"`{text_col}`").alias("_text"))
+        schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)), "terms binary", "tf binary"])
+        found = stash(sent.mapInArrow(lambda b: matched(b, Matcher(held.value), len(keep), len(keep)), schema), "matched")
+        counts = found.select("terms").mapInArrow(lambda b: count(b, wide), "term bigint, n bigint")
+    else:
+        counts = texts.select("_text").mapInArrow(lambda b: count(matched(b, Matcher(held.value), 0, 0), wide), "term bigint, n bigint")
+    counted = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     held.unpersist()
     df, n, at = np.zeros(len(vocabulary), np.int64), counted.column("n").to_numpy(), counted.column("term").to_numpy()
     df[at[at >= 0]] = n[at >= 0]
-    return build(ids, toxic, vocabulary, begin, term, tf, df, int(n[at < 0].sum()), (rows.get(0, 0), rows.get(1, 0)), k)
+    return build(ids, toxic, vocabulary, begin, term, tf, df, int(n[at < 0].sum()), (rows.get(0, 0), rows.get(1, 0)), k), found
 
 
 def toxicity_scores(
@@ -399,30 +437,30 @@ def toxicity_scores(
 ) -> DataFrame:
     """``keep`` or ``id_col``, score, evidence (ids of the nearest examples, at most three) for each row.
 
-    ``names``: what the last two are called, for rows that have columns of those names.
+    ``names``: what the last two are called, for rows that have columns of those names. What is found in the texts is written
+    once; if the texts themselves are kept, it is found twice, so that they aren't written again.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, trains, id_col, text_col, label_col, k, most))
     keep = keep or (id_col,)
+    spot = keep.index(text_col) if text_col in keep else -1
+    fitted, found = fit(docs, labels, trains, id_col, text_col, label_col, k, most, () if spot >= 0 else keep)
+    index = docs.sparkSession.sparkContext.broadcast(fitted)
     kinds = dict(docs.dtypes)
     named = to_arrow_type(docs.schema[id_col].dataType)
-    sent = keep if text_col in keep else (*keep, text_col)
-    spot = sent.index(text_col)
 
     def judge(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
-        match = at.matcher()
-        for whole in incoming:
-            for lo, texts in batches(whole.column(spot)):
-                batch = whole.slice(lo, len(texts))
+        for whole in matched(incoming, at.matcher(), spot, len(keep)) if spot >= 0 else incoming:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
                 score, near = [], []
-                for rows, cos in at.all_nearest(*match(texts), k):
+                for rows, cos in at.all_nearest(*unpacked(batch.column("terms")), unpacked(batch.column("tf"))[1], k):
                     score.append(at.score(rows, cos))
                     near.append([at.ids[i] for i in rows[:3]])
                 cols = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(near, pa.list_(named))]
-                yield pa.RecordBatch.from_arrays(cols, [*plain[: len(keep)], "score", "evidence"])
+                yield pa.RecordBatch.from_arrays(cols, [*plain, "score", "evidence"])
 
     # Names with a dot don't pass through mapInArrow, so columns go by number there.
-    plain = [f"c{i}" for i in range(len(sent))]
-    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(plain, keep)) + f", score double, evidence array<{kinds[id_col]}>"
-    found = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(plain, sent, strict=True)]).mapInArrow(judge, schema)
-    return found.toDF(*keep, *names)
+    plain = [f"c{i}" for i in range(len(keep))]
+    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(plain, keep, strict=True)) + f", score double, evidence array<{kinds[id_col]}>"
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(plain, keep, strict=True)]) if found is None else found
+    return rows.mapInArrow(judge, schema).toDF(*keep, *names)

@@ -159,3 +159,21 @@ def test_words_of_the_same_terms_have_one_number():
         got = [{vocabulary[t]: int(n) for t, n in zip(term[a:b], tf[a:b], strict=True)} for a, b in zip(begin[:-1], begin[1:], strict=True)]
         assert got == [{t: n for t, n in toxicity.terms_of(x).items() if t in vocabulary} for x in texts]
     assert len(match.of) == 4
+
+
+def test_words_of_ascii_texts_and_others():
+    every = "".join(map(chr, range(128)))
+    for x in (every, every * 2 + "\u0130\xdf\u017f x\u0301y", "Ab-cD_e1f\x00g", ""):
+        assert toxicity.words_of(x.lower()) == toxicity.WORD.findall(x.lower())
+
+
+def test_texts_are_matched_once(docs_of, spark, tmp_path):
+    """Unless texts are kept, they are read for what is found in them and not again; the scores are the same."""
+    texts, toxic = made(80)
+    docs_of([*texts, None, texts[3]]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    found = {keep: toxicity_scores(docs, labels, F.lit(True), keep=keep) for keep in (("doc_id", "text"), ("doc_id",))}
+    assert all("matched-" in f for f in found["doc_id",].inputFiles())
+    got = [sorted((r.doc_id, r.score, *r.evidence) for r in x.collect()) for x in found.values()]
+    assert got[0] == got[1] and len(got[0]) == 82

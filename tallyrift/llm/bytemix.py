@@ -142,7 +142,8 @@ def huffman(triple: np.ndarray, count: np.ndarray) -> Code:
 def triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (two bytes before, byte) in order, and how often each came."""
     data, sizes = joined(texts)
-    return np.unique(before_two(data, sizes) << 8 | data, return_counts=True)
+    triple, n = np.unique((before_two(data, sizes) << 8 | data).astype(np.int32), return_counts=True)
+    return triple.astype(np.int64), n
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +167,7 @@ def gates(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), np.int8)
     inside = ~gap[:-1]
     for _ in range(GATES - 1):
-        out[inside] += 1
+        out += inside
         inside[1:] = inside[1:] & ~gap[:-2] & inside[:-1] if len(inside) else inside[1:]
         inside[:1] = False
     return out

@@ -1,8 +1,8 @@
 """Language-model scores of whole texts: a unigram base, and online logistic mixing of byte contexts.
 
 Texts are dealt into blocks of about ``BLOCK_BYTES`` where they lie, by the tasks that read them. A block
-is written once, packed: its texts in a row, and its distinct words with their counts. For each context its
-distinct keys with theirs are found from that row. Both are cut into buckets, words by a checksum and keys by
+is written once, packed: its texts, as numbers of distinct units (words with what is behind), and its distinct
+words with their counts. For each context its distinct keys with theirs are found from that row. Both are cut into buckets, words by a checksum and keys by
 their first bits. A bucket's counts are summed over all blocks, and what they say of each word and key comes
 back to the blocks that have it. So a word or key crosses the network twice for each block that has it, packed
 with its neighbours, and nothing is broadcast but the code. Only packed texts and words are written as a table.
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import bytemix
 from .base import stash
 
-BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES, BATCH = 16 << 20, 4 << 20, 32 << 20, 80_000
+BLOCK_BYTES, GROUP_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20, 32 << 20
 #: The kinds of packed rows besides the contexts, which are numbered from 0: a block's texts and its words.
 TEXTS, WORDS = -1, bytemix.ORDERS
 
@@ -43,10 +42,21 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def unit_words(own: bytemix.Units) -> tuple[np.ndarray, list[bytes]]:
+    """Which units hold a word, and these words."""
+    return np.diff(own.edges) > 1, tokens(own.data.tobytes().replace(bytes([bytemix.EDGE]), b" "))
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of these sizes that have ``most`` bytes or a little more."""
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    return zip([0, *ends.tolist()], [*ends.tolist(), len(sizes)], strict=True)
+
+
 def _runs(texts: list[bytes], most: int) -> Iterator[slice]:
     """The texts in runs of ``most`` bytes or a little more."""
     at = size = 0
@@ -59,16 +69,26 @@ def _runs(texts: list[bytes], most: int) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
-    return bytemix.squeezed(b"".join(texts)), np.array([len(t) for t in texts], "<i8").tobytes()
+def pack_units(found: pa.Array, number: np.ndarray) -> tuple[bytes, bytes]:
+    """Texts as their distinct units and the number of each unit that comes."""
+    return bytemix.squeezed(bytemix.unit_bytes(found).data.tobytes()), bytemix.packed(number.astype(np.int32))
+
+
+def unpack_units(raw: bytes, number: bytes) -> tuple[pa.Array, np.ndarray]:
+    data = np.frombuffer(bytemix.restored(raw), np.uint8)
+    return bytemix.as_units(data), bytemix.unpacked(number, np.int32)
+
+
+def unpack_texts(raw: bytes, number: bytes) -> list[bytes]:
+    found, of = unpack_units(raw, number)
+    return bytemix.unit_bytes(found).joined(of).tobytes().split(bytes([bytemix.EDGE]))[:-1]
 
 
-def unpack_texts(raw: bytes, sizes: bytes) -> list[bytes]:
-    data, out, at = bytemix.restored(raw), [], 0
-    for n in np.frombuffer(sizes, "<i8").tolist():
-        out.append(data[at : at + n])
-        at += n
-    return out
+def text_runs(found: pa.Array, number: np.ndarray) -> np.ndarray:
+    """Where the units of each text begin, and those of the last one end."""
+    own = bytemix.unit_bytes(found)
+    ends = own.data[own.edges[1:] - 1] == bytemix.EDGE
+    return np.append(0, np.flatnonzero(ends[number]) + 1)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -91,27 +111,32 @@ def _rows(block: int, parts: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def block_rows(texts: list[bytes], ids: list, trains: list[bool], cut: int) -> Iterator[tuple]:
     """The packed texts of one block, and its words, cut into 2^cut buckets."""
-    yield (TEXTS, 0, *pack_texts(texts), ids, trains)
-    known: Counter = Counter()
-    others: set[bytes] = set()
-    # Blanks between texts keep their words apart.
-    for at in _runs(texts, 1 << 20):
-        known.update(tokens(b" ".join([t for t, f in zip(texts[at], trains[at], strict=True) if f])))
-        others.update(tokens(b" ".join([t for t, f in zip(texts[at], trains[at], strict=True) if not f])))
+    data, sizes = bytemix.joined(texts)
+    found, number, first = bytemix.units(data)
+    n = np.bincount(number, np.repeat(np.array(trains, bool), sizes)[first], len(found)).astype(np.int64)
+    yield (TEXTS, 0, *pack_units(found, number), ids, trains)
+    del data, number, first
+    filled, words = unit_words(bytemix.unit_bytes(found))
+    known: dict[bytes, int] = {}
+    get = known.get
+    for w, c in zip(words, n[filled].tolist(), strict=True):
+        known[w] = get(w, 0) + c
     known[b""] = sum(trains)
     buckets: list[list[bytes]] = [[] for _ in range(1 << cut)]
-    for w in sorted(others.union(known)):
+    for w in sorted(known):
         buckets[zlib.crc32(w) & (1 << cut) - 1].append(w)
     for i, own in enumerate(buckets):
         if own:
             yield WORDS, i, pack_words(own), bytemix.packed(np.array([known[w] for w in own], np.int32)), None, None
 
 
-def key_rows(texts: list[bytes], trains: list[bool], cut: int) -> Iterator[tuple]:
+def key_rows(found: pa.Array, number: np.ndarray, trains: list[bool], cut: int) -> Iterator[tuple]:
     """The packed keys of one block's texts and their counts, for each context, cut into 2^cut buckets."""
-    flags, seen = np.array(trains, bool), bytemix.KeyCounts()
-    for at in _runs(texts, BATCH):
-        seen.add(texts[at], flags[at])
+    flags, seen, own, at = np.array(trains, bool), bytemix.KeyCounts(), bytemix.unit_bytes(found), text_runs(found, number)
+    seen.units.put(found, np.bincount(number, np.repeat(flags, np.diff(at)), len(found)))
+    size = np.add.reduceat(np.diff(own.edges)[number], at[:-1])
+    for lo, hi in _cuts(size, seen.RUN):
+        seen.near(own.joined(number[at[lo] : at[hi]]), np.repeat(flags[lo:hi].astype(np.int64), size[lo:hi]))
     edges = np.arange(1, 1 << cut) << bytemix.KEY_BITS - cut
     for k in range(bytemix.ORDERS):
         key, count = seen.of(k)
@@ -173,7 +198,7 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a, b, trains in zip(*(batch.column(i) for i in range(4)), strict=True):
-                for k, i, key, n in key_rows(unpack_texts(a.as_py(), b.as_py()), trains.as_py(), cut):
+                for k, i, key, n in key_rows(*unpack_units(a.as_py(), b.as_py()), trains.as_py(), cut):
                     yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([key], pa.binary()), pa.array([n], pa.binary())], ["block", "k", "bucket", "a", "b"])
 
     def words_of(rows: pa.Table) -> dict[bytes, int]:
@@ -218,38 +243,40 @@ def lm_scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
     def judge(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("k", "ascending"), ("bucket", "ascending")])
         k, a, b = (rows.column(c).to_pylist() for c in ("k", "a", "b"))
-        raw, ids, flags, tables = [], [], [], []
         of: dict[bytes, float] = {}
         parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(bytemix.ORDERS)]
         for i, what in enumerate(k):
             if what == TEXTS:
-                raw += unpack_texts(a[i], b[i])
-                ids.append(rows.column("ids")[i].values)
-                flags.append(rows.column("trains")[i].values)
+                found, number = unpack_units(a[i], b[i])
+                ids, flags = rows.column("ids")[i].values, rows.column("trains")[i].values
             elif what == WORDS:
                 of.update(zip(unpack_words(a[i]), np.log10(bytemix.unpacked(b[i], np.int64) + 0.1).tolist(), strict=True))
             else:
                 parts[what].append((np.cumsum(bytemix.unpacked(a[i], np.int64)), np.frombuffer(bytemix.restored(b[i]), np.int8)))
         del a, b
         tables = [tuple(np.concatenate(c) for c in zip(*p, strict=True)) for p in parts]
-        n_tokens, n_known, base, score = (np.zeros(len(raw), t) for t in (np.int64, np.int64, np.float64, np.float64))
+        model, own = bytemix.Known(code.value, tables, []), bytemix.unit_bytes(found)
+        del tables, parts
+        model.know(own)
+        del model.word  # no other units come
         new, end = math.log10(0.1), math.log10(ends + 0.1)
-        for i, t in enumerate(raw):
-            own = np.fromiter(map(of.__getitem__, tokens(t)), np.float64)
-            n_tokens[i], n_known[i] = len(own) + 1, (own > new + 1e-9).sum() + (ends > 0)
-            base[i] = own.sum() + end
+        filled, words = unit_words(own)
+        value = np.zeros(len(filled))
+        value[filled] = np.fromiter(map(of.__getitem__, words), np.float64, len(words))
         of.clear()
-        size = np.array([len(t) + 1 for t in raw])
-        model = bytemix.Known(code.value, tables, [])
+        # Sums over the units of each text.
+        at = text_runs(found, number)
+        size, n_tokens, n_known, base = (np.add.reduceat(x[number], at[:-1]) for x in (np.diff(own.edges), filled.astype(np.int64), (filled & (value > new + 1e-9)).astype(np.int64), value))
+        n_tokens, n_known, base, score = n_tokens + 1, n_known + (ends > 0), base + end, np.zeros(len(size))
         # Texts of like lengths go forward together.
         order = np.argsort(size, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // GROUP_BYTES)) + 1):
-            group = [raw[i] for i in own]
-            model.meet(group)
-            score[own] = bytemix.score(code.value, model, group)
+        for lo, hi in _cuts(size[order], GROUP_BYTES):
+            which = order[lo:hi]
+            data = model.read(number[bytemix.flat(at[which], np.diff(at)[which])])
+            score[which] = bytemix.score(code.value, model, data.tobytes().split(bytes([bytemix.EDGE]))[:-1])
         base -= n_tokens * math.log10(total + 0.1 * (distinct + 1))
         return pa.table({
-            "id": pa.chunked_array(ids), "trains": pa.chunked_array(flags), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
+            "id": ids, "trains": flags, "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
             "base_score": pa.array(base), "score": pa.array(score / math.log(10)), "bits_per_byte": pa.array(-score / math.log(2) / size),
         })
 

@@ -222,3 +222,31 @@ def test_last_three_and_four_bytes_and_the_word_are_contexts():
     assert bytemix.ORDERS == 3 and len(bytemix.keys(data, sizes)) == 3
     same = [len(np.unique(k[[4, 10]])) for k in bytemix.keys(data, sizes)]
     assert same == [1, 2, 2]  # the last three agree, words and last four don't
+
+
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    train = [t.encode() for t in texts(20)] * 20
+    looked, find = [], bytemix.Places.__call__
+    monkeypatch.setattr(bytemix.Places, "__call__", lambda self, key: looked.append(len(key)) or find(self, key))
+    assert len(set(scored(train, train).round(6))) <= 20
+    assert sum(looked) < 1.5 * sum(len(t) + 1 for t in train)  # a byte's window; not each of its contexts
+
+
+def test_units_and_windows_come_back():
+    own = [b"", b" ", b"a  b\n", b"word", b"\x00\xfe A a", b"word word", b"\xf0\x9f\x98\x80 x" * 3]
+    data, sizes = bytemix.joined(own)
+    found, number, first = bytemix.units(data)
+    units = bytemix.unit_bytes(found)
+    assert units.joined(number).tobytes() == data.tobytes() and bytemix.text_sizes(data).tolist() == sizes.tolist()
+    assert lmscore.unpack_texts(*lmscore.pack_units(found, number)) == own
+    at = lmscore.text_runs(found, number)
+    assert first[at[:-1]].tolist() == (np.cumsum(sizes) - sizes).tolist() and at[-1] == len(number)
+    window = bytemix.windows(data, sizes)
+    want = [int.from_bytes((b"\xff" * 4 + t + b"\xff")[i : i + 5], "big") for t in own for i in range(len(t) + 1)]
+    assert window.tolist() == want and bytemix.windows_of(bytemix.near_keys(window)[1]).tolist() == want
+    # A byte's key after its word is the same from its window, or from its unit alone.
+    word, (early, key), (rest, late) = bytemix.keys(data, sizes)[1], bytemix.opening(window), units.rest()
+    assert (word[early] == key).all()
+    place = bytemix.flat(units.edges[:-1][number], np.diff(units.edges)[number])
+    of = dict(zip(rest.tolist(), late.tolist(), strict=True))
+    assert all(of[p] == w for i, (p, w) in enumerate(zip(place.tolist(), word.tolist(), strict=True)) if i not in set(early.tolist()))

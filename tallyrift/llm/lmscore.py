@@ -2,8 +2,8 @@
 
 Texts are dealt into blocks of about ``BLOCK_BYTES`` where they lie, by the tasks that read them. A block
 is written once, packed: its texts, as numbers of distinct units (words with what is behind), and its distinct
-words with their counts. For each context its distinct keys with theirs are found from that row. Both are cut into buckets, words by a checksum and keys by
-their first bits. A bucket's counts are summed over all blocks, and what they say of each word and key comes
+words with their counts. For each context its distinct keys with theirs are found from that row. Both are cut
+into buckets, words by a checksum and keys by their first bits. A bucket's counts are summed over all blocks, and what they say of each word and key comes
 back to the blocks that have it. So a word or key crosses the network twice for each block that has it, packed
 with its neighbours, and nothing is broadcast but the code. Only packed texts and words are written as a table.
 
